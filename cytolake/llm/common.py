@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import pandas_udf
 
 #: White space as Unicode defines it; Python's own \s also holds the separators 0x1c-0x1f.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -55,3 +58,15 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def text_udf(one: Callable[[str | None], tuple], result: str):
+    """A Pandas UDF from a text column to a struct of `result` (DDL), by a function of one text."""
+    columns = [x.split()[0] for x in result.split(", ")]
+
+    @pandas_udf(result)
+    def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([one(t) for t in texts], columns=columns, dtype=object)
+
+    return rows
