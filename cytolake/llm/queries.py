@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolake.llm import bpe, licenses, quality
+from cytolake.llm import bpe, decontaminate, licenses, quality
 from cytolake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,11 @@ def op2_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_id", "spans")
+
+
+ORACLES["op9_benchmark_windows"] = decontaminate.SQL
