@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolake.llm import bpe, decontaminate, licenses, quality
+from cytolake.llm import bpe, decontaminate, licenses, quality, simhash
 from cytolake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,8 @@ def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_benchmark_windows"] = decontaminate.SQL
+
+
+@query
+def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
