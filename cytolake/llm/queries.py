@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolake.llm import bpe, decontaminate, licenses, quality, simhash
+from cytolake.llm import bpe, decontaminate, licenses, quality, rans, simhash
 from cytolake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,9 @@ ORACLES["op9_benchmark_windows"] = decontaminate.SQL
 @query
 def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rans.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 49_408, 2, partitions)
