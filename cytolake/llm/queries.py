@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolake.llm import bpe, decontaminate, licenses, quality, rans, simhash
+from cytolake.llm import bpe, decontaminate, licenses, quality, rans, simhash, token_counts, warc
 from cytolake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,16 @@ def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rans.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 49_408, 2, partitions)
+
+
+@query
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op3_warc_revisits"] = warc.SQL
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, ("<|endoftext|>",), 1024)
