@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolake.llm import bpe, decontaminate, licenses, quality, rans, simhash, token_counts, warc
+from cytolake.llm import bpe, decontaminate, licenses, pii, quality, rans, simhash, token_counts, warc
 from cytolake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,9 @@ ORACLES["op3_warc_revisits"] = warc.SQL
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, ("<|endoftext|>",), 1024)
+
+
+@query
+def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.learn_patterns(docs))
