@@ -24,7 +24,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -35,26 +35,24 @@ SHINGLE, SEED, DISTANCE = 4, 42, 4
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Most nodes of a tile, leaf width and fan-out of the hierarchy, and searches that go down at once.
 TILE, LEAF, FAN, AT_ONCE = 2048, 8, 8, 256
+#: Groups of up to this many nodes are compared row by row, many groups at once.
+SMALL = 12
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
+        shingles = [b" ".join(words)]
     else:
-        ends = list(itertools.accumulate(len(w) + 1 for w in words))
-        starts = [0, *ends[:-1]]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :])]
+        shingles = [b" ".join(x) for x in zip(*(words[k:] for k in range(shingle)))]
+    digest = xxhash.xxh64_digest
+    hashes = np.frombuffer(b"".join([digest(x, SEED) for x in shingles]), np.uint8).reshape(-1, 8)
     bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
-        part = np.array(hashes[at : at + 8192], "<u8").view(np.uint8).reshape(-1, 8)
-        bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    ones = np.flatnonzero(2 * bits > len(hashes))
-    return sum(1 << int(b) for b in ones)
+        bits += np.unpackbits(hashes[at : at + 8192], axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
 
 
 def _signed(text: str | None) -> tuple[int]:
@@ -195,34 +193,63 @@ def _choice_masks() -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _forest(key: np.ndarray, two_tiles: np.ndarray, side: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """For rows sorted into groups (key: group number) the row of the same group that each is tied to, itself at a root."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    parent = np.arange(len(key))
+    few = np.repeat((sizes <= SMALL) & (sizes > 1), sizes) & ~two_tiles
+    at = np.flatnonzero(few)
+    for gap in range(1, min(SMALL, int(sizes.max(initial=0)))):
+        # Rows a gap apart, in all small groups at once.
+        a, b = at[:-gap], at[gap:]
+        near = (key[a] == key[b]) & _close(fps[a], fps[b])
+        parent = _union(parent, b[near], a[near])
+    for k in np.flatnonzero((sizes > SMALL) | (two_tiles[starts] & (sizes > 1))):
+        rows = slice(starts[k], starts[k] + sizes[k])
+        parent[rows] = starts[k] + connect(fps[rows], side[rows] == 1 if two_tiles[starts[k]] else None)
+    return parent
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes (id, fp), fp distinct: a spanning forest of the links of each group."""
-    spark = nodes.sparkSession
     tagged = F.explode(F.array(*[F.struct(F.lit(c).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for c, m in enumerate(_choice_masks())])).alias("key")
     keyed = nodes.select("id", "fp", tagged).select("id", "fp", "key.choice", "key.bits")
-    sizes = keyed.groupBy("choice", "bits").count().where("count > 1")
-    large = materialise(sizes.where(F.col("count") > TILE), "simhash-large")
-    small_groups = sizes.where(F.col("count") <= TILE).drop("count")
-    # Both sides of this join have their group key alone, and groups are no larger than a tile.
-    small = keyed.join(small_groups, ["choice", "bits"]).select("choice", "bits", F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(0).alias("side"), "id", "fp")
-    parts = small
-    if not large.isEmpty():
+    large = materialise(keyed.groupBy("choice", "bits").count().where(F.col("count") > TILE), "simhash-large")
+    group, row = ["choice", "bits", "left", "right"], ["side", "id", "fp"]
+    none = F.lit(0)
+    if large.isEmpty():
+        parts = keyed.select("choice", "bits", none.alias("left"), none.alias("right"), none.alias("side"), "id", "fp")
+    else:
         # A large group goes into ceil(n / TILE) tiles by hash, and every pair of tiles is compared on its own.
-        tiles = F.ceil(F.col("count") / TILE).cast("int")
-        in_large = keyed.join(large, ["choice", "bits"]).withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-        pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda other: F.struct(F.least("own", other).alias("left"), F.greatest("own", other).alias("right"))))
-        cut = in_large.withColumn("pair", pairs).select("choice", "bits", "pair.left", "pair.right", (F.col("own") == F.col("pair.left")).cast("int").alias("side"), "id", "fp")
-        parts = parts.unionByName(cut)
-
-    def edges(groups: pd.DataFrame) -> pd.DataFrame:
-        fps = groups["fp"].to_numpy(np.int64).view(np.uint64)
-        ids = groups["id"].to_numpy(np.int64)
-        two_tiles = groups["left"].iat[0] != groups["right"].iat[0]
-        to = connect(fps, groups["side"].to_numpy() == 1 if two_tiles else None)
-        own = to != np.arange(len(to))
-        return pd.DataFrame({"a": ids[own], "b": ids[to[own]]})
-
-    return parts.groupBy("choice", "bits", "left", "right").applyInPandas(edges, "a long, b long")
+        sized = keyed.join(large, ["choice", "bits"], "left").withColumn("tiles", F.coalesce(F.ceil(F.col("count") / TILE), F.lit(1)).cast("int"))
+        own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+        pairs = F.explode(F.transform(F.sequence(none, F.col("tiles") - 1), lambda other: F.struct(F.least("own", other).alias("left"), F.greatest("own", other).alias("right"))))
+        parts = sized.withColumn("own", own).withColumn("pair", pairs).select("choice", "bits", "pair.left", "pair.right", (F.col("own") == F.col("pair.left")).cast("int").alias("side"), "id", "fp")
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; the last group of a batch waits for the next batch."""
+        held: list[np.ndarray] | None = None
+
+        def out(x: list[np.ndarray]) -> pa.RecordBatch:
+            choice, bits, left, right, side, ids, fps = x
+            new = (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+            to = _forest(np.r_[0, np.cumsum(new)], left != right, side, fps.view(np.uint64))
+            own = to != np.arange(len(to))
+            return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[to[own]])], names=["a", "b"])
+
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            held = columns if held is None else [np.concatenate(c) for c in zip(held, columns)]
+            last = np.flatnonzero(np.any([c[:-1] != c[-1] for c in held[:4]], axis=0))
+            cut = last[-1] + 1 if len(last) else 0
+            if cut:
+                yield out([c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+        if held is not None and len(held[0]):
+            yield out(held)
+
+    return parts.repartition(*group).sortWithinPartitions(*group).select(*group, *row).mapInArrow(edges, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
