@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolake.llm import bpe, decontaminate, licenses, pii, quality, rans, simhash, token_counts, warc
+from cytolake.llm import bpe, decontaminate, licenses, lm, pii, quality, rans, simhash, token_counts, warc
 from cytolake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.find(docs, pii.learn_patterns(docs))
+
+
+@query
+def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
