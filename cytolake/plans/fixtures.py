@@ -37,11 +37,11 @@ SELECT concat('r', l_orderkey) AS name, CASE WHEN l_linenumber = 7 THEN 256 ELSE
   CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE concat('c', l_partkey % 300) END AS cb, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE concat('u', l_orderkey % 500) END AS ub,
   concat('u', l_orderkey % 500) AS ur, CAST(CASE l_orderkey % 4 WHEN 0 THEN 25 WHEN 1 THEN 17 WHEN 2 THEN 1 ELSE 0 END AS INT) AS xf,
   CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE concat('g', l_partkey % 200) END AS gx, CAST(l_linenumber AS INT) AS nh, CAST(l_quantity AS INT) AS as_score,
-  l_orderkey * 10 + l_linenumber AS file_offset
+  (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey % 10000 * 100 + l_suppkey % 100 AS file_offset
 FROM lineitem""",
     "regions": "SELECT * FROM (VALUES ('D1_A1', 'chr1', 985, 5212), ('A1_D4', 'chr1', 5213, 6596), ('D4_A7', 'chr1', 6597, 8806), ('A7_LTR', 'chr2', 8807, 9700)) AS t(target, chrom, start_pos, end_pos)",
     "spans": """
-SELECT concat('c', l_partkey % 300) AS cell, concat('u', row_number() OVER (PARTITION BY l_partkey % 300 ORDER BY l_orderkey, l_linenumber)) AS umi,
+SELECT concat('c', l_partkey % 300) AS cell, concat('u', row_number() OVER (PARTITION BY l_partkey % 300 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS umi,
   concat('chr', l_suppkey % 3) AS chrom, CAST((l_partkey * 37 + l_orderkey * 11) % 9000 AS INT) AS start_pos,
   CAST((l_partkey * 37 + l_orderkey * 11) % 9000 + 100 + l_orderkey % 900 AS INT) AS end_pos, CASE WHEN l_linenumber % 2 = 0 THEN '+' ELSE '-' END AS strand,
   CAST(100 + l_orderkey % 900 AS INT) AS aligned
@@ -106,7 +106,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str, *names: str) -> str:
     parts = [f"{v} AS ({VIEWS[v]})" for v in needed(names)]
     sql = sql.strip()
-    if sql.upper().startswith("WITH "):
-        parts.append(sql[5:])
-        return "WITH " + ",\n".join(parts)
+    if sql.startswith("WITH "):
+        recursive = sql.startswith("WITH RECURSIVE ")
+        parts.append(sql[15 if recursive else 5 :])
+        return f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(parts)
     return "WITH " + ",\n".join(parts) + "\n" + sql if parts else sql
