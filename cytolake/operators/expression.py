@@ -279,7 +279,8 @@ def pattern_markers(scores: DataFrame) -> DataFrame:
     top = F.slice(F.sort_array(F.collect_list("v").over(g), asc=False), 1, 2)
     d = scores.withColumn("top", top)
     others = F.when(F.col("v") == F.col("top")[0], F.try_element_at("top", F.lit(2))).otherwise(F.col("top")[0])
-    z = F.coalesce(F.try_divide(F.col("v") - F.avg("v").over(g), F.stddev_samp("v").over(g)), F.lit(0.0))
+    sd = F.stddev_samp("v").over(g)
+    z = F.when(sd > 1e-9, (F.col("v") - F.avg("v").over(g)) / sd).otherwise(0.0)  # equal values differ by rounding alone
     share = F.exp(F.col("v") - F.max("v").over(g))
     d = d.withColumn("e", share)
     return d.select(

@@ -193,7 +193,7 @@ def _(scores):
 
 
 @operator("EX-27", "spectra", sql="""WITH s AS (SELECT gene, pattern, v / 1000 AS v FROM spectra), t AS (SELECT *, (SELECT max(o.v) FROM s o WHERE o.gene = s.gene AND o.pattern <> s.pattern) AS other FROM s)
-SELECT gene, pattern, round(coalesce((v - avg(v) OVER g) / stddev_samp(v) OVER g, 0) * v, 9) + 0.0 AS weighted_z, exp(v) / sum(exp(v)) OVER g AS softmax, rank() OVER (PARTITION BY gene ORDER BY v DESC) * rank() OVER (PARTITION BY pattern ORDER BY v DESC) AS rank_product, v / other AS ratio FROM t WINDOW g AS (PARTITION BY gene)""")
+SELECT gene, pattern, round(CASE WHEN stddev_samp(v) OVER g > 1e-9 THEN (v - avg(v) OVER g) / stddev_samp(v) OVER g ELSE 0 END * v, 9) AS weighted_z, exp(v) / sum(exp(v)) OVER g AS softmax, rank() OVER (PARTITION BY gene ORDER BY v DESC) * rank() OVER (PARTITION BY pattern ORDER BY v DESC) AS rank_product, v / other AS ratio FROM t WINDOW g AS (PARTITION BY gene)""")
 def _(scores):
     return x.pattern_markers(scores.withColumn("v", F.col("v") / 1000)).withColumn("weighted_z", F.round("weighted_z", 9) + 0.0)
 
