@@ -34,7 +34,7 @@ LANES, SEGMENT_STEPS, BLOCK_IDS = 1024, 128, 262_144
 MAGIC = b"rANS"
 HEADER, SEGMENT = struct.Struct("<4sIIIII"), struct.Struct("<II")
 #: Entries of the per-worker caches of chunks and words, and the longest entry.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 40
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 40
 
 IDS = "part long, seq long, start long, doc_ids array<long>, lengths array<long>, ids binary"
 BLOCKS = "part long, seq long, first long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -157,10 +157,18 @@ class WordEncoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parts(self, chunk: str) -> list[str]:
+        """The pre-tokens of a chunk; most are letters alone, or with one mark at the end, and need no pattern."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ".,;:?" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.split.findall(chunk)
+
     def _learn(self, chunks: list[str], plain: bool) -> dict[str, bytes]:
         if not plain:
             return dict(zip(chunks, self._encoded(chunks)))
-        parts = [self.split.findall(c) for c in chunks]
+        parts = [self._parts(c) for c in chunks]
         words = self.words
         for w in {w for p in parts for w in p}.difference(words):
             # What the library does with a pre-token: bytes to characters, then its BPE model.
@@ -180,10 +188,13 @@ class WordEncoder:
         cache = self.chunks if plain else {}
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
-        missing = list(set(chunks).difference(cache))
-        if missing:
+        found = list(map(cache.get, chunks))
+        missing: list[str] = []
+        if None in found:
+            missing = list({c for c, x in zip(chunks, found) if x is None})
             cache.update(self._learn(missing, plain))
-        out = b"".join([cache[c] for c in chunks])
+            found = [cache[c] for c in chunks]
+        out = b"".join(found)
         for c in missing:
             if len(c) > CACHE_CHARS:
                 del cache[c]
