@@ -19,7 +19,7 @@ from cytolake.llm.common import free_name, text_udf
 #: Bound on the labelled rows that the learner collects (the rows of smallest hash).
 LABELLED_ROWS = 20_000
 #: Share of rejected rows among those that a rule covers, on both parts of the labelled rows, and the least rows of each.
-PRECISION, SUPPORT, MAX_RULES, MAX_CONDITIONS = 0.97, 5, 12, 4
+PRECISION, SUPPORT, MAX_RULES, MAX_CONDITIONS = 0.97, 5, 12, 8
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long, n_chars long"
 _SYMBOLS, _BLANKS, _MARKS = "#*$%&|<>", " \t\n\v\f\r", "!?"
@@ -107,20 +107,20 @@ def _covers(rule: Rule, x: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
-    """Adds the threshold of best FOIL gain until only rejected rows are covered or nothing gains."""
+def _grow(x: dict[str, np.ndarray], bad: np.ndarray, first: str) -> Rule:
+    """Adds the threshold of best FOIL gain, of the statistic `first` to begin with, until only rejected rows are covered or nothing gains."""
     rule: Rule = []
     held = np.ones(len(bad), bool)
     while len(rule) < MAX_CONDITIONS and (held & ~bad).any():
         p0, n0 = int((held & bad).sum()), int((held & ~bad).sum())
         best: tuple[float, tuple[str, str, float] | None] = (1e-9, None)
-        for name in sorted(x):
+        for name in sorted(x) if rule else [first]:
             order = np.argsort(x[name][held], kind="stable")
             values, hits = x[name][held][order], bad[held][order].astype(np.int64)
             ends = np.flatnonzero(np.r_[values[1:] != values[:-1], True])  # the last row of each value
             p_low, all_low = np.cumsum(hits)[ends], ends + 1
-            between = np.r_[(values[ends[:-1]] + values[ends[1:]]) / 2, values[-1]]
-            for op, p, total, at in (("<=", p_low[:-1], all_low[:-1], between[:-1]), (">=", p0 - p_low[:-1], len(values) - all_low[:-1], between[:-1])):
+            # A threshold is the last value that it covers, so a rule claims no more than it has seen.
+            for op, p, total, at in (("<=", p_low[:-1], all_low[:-1], values[ends[:-1]]), (">=", p0 - p_low[:-1], len(values) - all_low[:-1], values[ends[1:]])):
                 if not len(p):
                     continue
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -135,15 +135,22 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return rule
 
 
-def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
-    """The prefix of the rule with the best (p - n) / (p + n) on rows that it didn't grow from."""
+def _precise(c: np.ndarray, bad: np.ndarray) -> bool:
+    return (c & bad).sum() >= PRECISION * c.sum()
 
-    def worth(r: Rule) -> float:
-        c = _covers(r, x)
-        p, n = int((c & bad).sum()), int((c & ~bad).sum())
-        return (p - n) / (p + n) if p + n else -1.0
 
-    return max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: (worth(r), -len(r)), default=[])
+def _prune(rule: Rule, grow: tuple[dict[str, np.ndarray], np.ndarray], prune: tuple[dict[str, np.ndarray], np.ndarray]) -> tuple[float, Rule]:
+    """Of the rule's prefixes that are precise on both parts and cover enough, the one of best (p - n) / (p + n) on the rows that it didn't grow from, the shortest of equals; with p - n."""
+    best: tuple[float, float, Rule] = (-2.0, 0.0, [])
+    for k in range(1, len(rule) + 1):
+        grown, held_out = _covers(rule[:k], grow[0]), _covers(rule[:k], prune[0])
+        if (grown & grow[1]).sum() < SUPPORT or not _precise(grown, grow[1]) or not _precise(held_out, prune[1]):
+            continue
+        p, n = int((held_out & prune[1]).sum()), int((held_out & ~prune[1]).sum())
+        worth = (p - n) / (p + n) if p + n else -1.0
+        if worth > best[0]:
+            best = (worth, p - n, rule[:k])
+    return best[1], best[2]
 
 
 def learn_rules(rows: pd.DataFrame) -> list[Rule]:
@@ -152,16 +159,13 @@ def learn_rules(rows: pd.DataFrame) -> list[Rule]:
     left, rules = rows, []
     for _ in range(MAX_RULES):
         parts = [(left[left["part"] != 2]), (left[left["part"] == 2])]
-        (grow_x, grow_bad), (prune_x, prune_bad) = [({c: p[c].to_numpy(float) for c in names}, p["quality"].to_numpy() == 0) for p in parts]
-        if grow_bad.sum() < SUPPORT or not (~grow_bad).any():
+        grow, prune = [({c: p[c].to_numpy(float) for c in names}, p["quality"].to_numpy() == 0) for p in parts]
+        if grow[1].sum() < SUPPORT or not (~grow[1]).any():
             break
-        rule = _prune(_grow(grow_x, grow_bad), prune_x, prune_bad)
+        # One rule from each first statistic; the one that covers most held-out rejected rows is kept.
+        rule = max((_prune(_grow(*grow, first), grow, prune) for first in sorted(names)), key=lambda r: (r[0], -len(r[1])))[1]
         if not rule:
             break
-        grown, held_out = _covers(rule, grow_x), _covers(rule, prune_x)
-        good_enough = lambda c, bad: (c & bad).sum() >= PRECISION * c.sum()
-        if (grown & grow_bad).sum() < SUPPORT or not good_enough(grown, grow_bad) or not good_enough(held_out, prune_bad):
-            break
         rules.append(rule)
         left = left[~_covers(rule, {c: left[c].to_numpy(float) for c in names})]
     return rules
