@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from cytolake.operators import molecules as m
 from cytolake.plans.reads_queries import RB, ov
-from cytolake.plans.registry import operator
+from cytolake.plans.registry import ORACLES, QUERIES, operator
 from cytolake.plans.staging import shared_path, staged
 from cytolake.sources import readers as s, writers as w
+from cytolake.streaming import incremental
 
 
 @operator("SRC-01", "reads", sql=f"WITH {RB} SELECT file_offset FROM rb WHERE ref = 'chr1' AND pos < 5000 AND e1 > 1000")
@@ -131,3 +132,13 @@ FROM (SELECT *, concat('e', o_orderkey) AS event_id, CAST(unnest(range(0, 8)) AS
 def _(events):
     e = events.select(F.concat(F.lit("e"), "o_orderkey").alias("event_id"), "chrom", F.lit("+").alias("strand"), F.col("start_pos").alias("up_start"), (F.col("start_pos") + 10).alias("up_end"), (F.col("start_pos") + 20).alias("skipped_start"), (F.col("start_pos") + 30).alias("skipped_end"), (F.col("start_pos") + 60).alias("down_start"), F.col("end_pos").alias("down_end"))
     return w.events_to_gff3(e)
+
+
+def _stream(spark, sf_dir):
+    counts = incremental.cell_counts(incremental.molecule_stream(spark, sf_dir), "6 hours")
+    out = incremental.run_available(counts, shared_path(spark, "stream"), shared_path(spark, "stream-state"))
+    return out.groupBy("start", "category").agg(F.sum("molecules").alias("molecules"), F.count_distinct("cell").alias("cells")).withColumn("start", F.unix_timestamp("start"))
+
+
+QUERIES["STREAM-01"] = _stream
+ORACLES["STREAM-01"] = "SELECT CAST(epoch(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01')) AS BIGINT) AS start, event_type AS category, count(*) AS molecules, count(DISTINCT user_id) AS cells FROM events GROUP BY 1, 2"
