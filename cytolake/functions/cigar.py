@@ -36,6 +36,19 @@ def gap_blocks(cigar: Column, pos: Column) -> Column:
     return _walk(cigar_ops(cigar), pos, ("N",))
 
 
+def last_block(cigar: Column, pos: Column) -> Column:
+    """The last aligned block as a struct (start, end), null where nothing is aligned; no list of blocks is built."""
+    zero = F.struct(pos.cast("int").alias("at"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+
+    def step(acc: Column, x: Column) -> Column:
+        end, aligned = acc["at"] + x["len"], x["op"].isin("M", "=", "X")
+        return F.struct(
+            F.when(x["op"].isin("M", "D", "N", "=", "X"), end).otherwise(acc["at"]).alias("at"), F.when(aligned, acc["at"]).otherwise(acc["start"]).alias("start"), F.when(aligned, end).otherwise(acc["end"]).alias("end")
+        )
+
+    return F.aggregate(cigar_ops(cigar), zero, step, lambda acc: F.when(acc["start"].isNotNull(), F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))
+
+
 def overlap(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Column:
     """Length of the common part of two half-open intervals, 0 where they don't meet."""
     return F.greatest(F.lit(0), F.least(end_a, end_b) - F.greatest(start_a, start_b))

@@ -50,14 +50,15 @@ def read_span(reads: DataFrame) -> DataFrame:
 
 def last_block_overlap(reads: DataFrame, chrom: str, start: int, end: int, min_overlap: int = 20) -> DataFrame:
     """RD-05: reads whose last aligned block meets the region by min_overlap bases."""
-    b = F.try_element_at("blocks", F.lit(-1))
-    return with_blocks(reads.where(F.col("ref") == chrom)).where(c.overlap(b["start"], b["end"], F.lit(start), F.lit(end)) >= min_overlap)
+    # As a predicate over an array of one, so the CIGAR is walked once a read.
+    last = F.array(c.last_block(F.col("cigar"), F.col("pos")))
+    return reads.where((F.col("ref") == chrom) & F.exists(last, lambda b: c.overlap(b["start"], b["end"], F.lit(start), F.lit(end)) >= min_overlap))
 
 
 def total_overlap(reads: DataFrame, chrom: str, start: int, end: int, min_overlap: int = 20) -> DataFrame:
     """RD-06: reads whose aligned blocks meet the region by min_overlap bases together."""
-    total = F.aggregate("blocks", F.lit(0), lambda a, b: a + c.overlap(b["start"], b["end"], F.lit(start), F.lit(end)))
-    return with_blocks(reads.where(F.col("ref") == chrom)).where(total >= min_overlap)
+    total = F.aggregate(c.aligned_blocks(F.col("cigar"), F.col("pos")), F.lit(0), lambda a, b: a + c.overlap(b["start"], b["end"], F.lit(start), F.lit(end)))
+    return reads.where((F.col("ref") == chrom) & (total >= min_overlap))
 
 
 def start_overlap(reads: DataFrame, chrom: str, start: int, end: int, reach: int = 20) -> DataFrame:
@@ -75,8 +76,7 @@ def region_counts(reads: DataFrame, regions: DataFrame, min_overlap: int = 20, m
 
     Regions are broadcast while they are few; beyond max_broadcast both sides meet on bins of the largest region's length.
     """
-    b = F.element_at("blocks", -1)
-    blocks = with_blocks(reads).where(F.size("blocks") > 0).select("ref", b["start"].alias("s"), b["end"].alias("e"))
+    blocks = reads.select("ref", c.last_block(F.col("cigar"), F.col("pos")).alias("b")).select("ref", F.col("b.start").alias("s"), F.col("b.end").alias("e"))
     meets = (F.col("ref") == F.col("chrom")) & (c.overlap(F.col("s"), F.col("e"), F.col("start_pos"), F.col("end_pos")) >= min_overlap)
     if regions.limit(max_broadcast + 1).count() <= max_broadcast:
         joined = blocks.join(F.broadcast(regions), meets)
