@@ -1,14 +1,17 @@
 """Stupid-backoff language-model scores by relational operations.
 
-Words outside the VOCABULARY most frequent lower-cased words are one unknown word. Bigram counts over the
-corpus form a table that is partitioned by the hash of the bigram. Documents become bigram
-frequencies, which are joined to that table and summed per document:
+Every distinct lower-cased word counts for itself. Word and bigram counts over the corpus form tables that are
+partitioned by hash. Documents become bigram frequencies, which are joined to the bigram table and summed:
 
     score(b | a) = count(a b) / count(a) if count(a b) >= MIN_COUNT, else BACKOFF * count(b) / words
 
-The vocabulary (a fixed number of rows) is broadcast, and so are the FREQUENT most frequent bigrams (a fixed
-number too): their part is summed where the document is read. Everything else is joined by a shuffle, in
-which no bigram is hot, since the hot ones are among the frequent.
+Broadcasts hold hot keys alone and have a fixed size: the numbers of the `hot` most frequent words (1 and above) and
+the `frequent` most frequent bigrams of such words, which are summed where the document is read. Both change the cost
+only. Any other word is a negative number, made of 63 bits of its hash (two of 100 million words coincide with a
+chance of about 1 in 2,000). A document's sum starts with the backed-off value of each bigram, where a word that is
+not hot counts as seen once; the joined table holds the differences to that, so most bigrams seen once need no row.
+
+A `vocabulary`, if given, is the size of another model: all words but the most frequent are one unknown word.
 
 Null text has no words and a null score, as has a text of one word. Each input row gives one result row.
 """
@@ -20,21 +23,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cytolake.llm.common import materialise, release_shuffles
 
-VOCABULARY, FREQUENT = 65_535, 1_000_000
+HOT, FREQUENT = 65_535, 1_000_000
 MIN_COUNT, BACKOFF = 2, 0.4
 TASK_ENTRIES = 500_000
-#: Bits of a word's number in a bigram key; number 0 is the unknown word.
-WORD_BITS = 16
+#: Bits of a word's number within a task in a bigram key.
+WORD_BITS = 32
+SIGN = -(1 << 63)
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+class _Numbers(dict):
+    """Numbers of words within a task: those of hot words; others count on from `first` (or are all the unknown word, 0)."""
+
+    def __init__(self, known: dict[bytes, int], first: int, unknown: bool):
+        super().__init__(known)
+        self.first, self.unknown, self.hashes = first, unknown, []
+
+    def __missing__(self, word: bytes) -> int:
+        if self.unknown:
+            return 0
+        self[word] = number = self.first + len(self.hashes)
+        self.hashes.append((xxhash.xxh64_intdigest(word, 42) | 1 << 63) + 2 * SIGN)
+        return number
+
+    def bigrams(self, words: list[bytes]) -> np.ndarray:
+        ids = np.array([self[w] for w in words], np.int64)
+        return (ids[:-1] << WORD_BITS) | ids[1:]
+
+    def columns(self, keys: np.ndarray) -> list[pa.Array]:
+        """Both words of each key, as numbers that hold for all tasks."""
+        everywhere = np.concatenate([np.arange(self.first), np.array(self.hashes, np.int64)])
+        return [pa.array(everywhere[keys >> WORD_BITS]), pa.array(everywhere[keys & ((1 << WORD_BITS) - 1)])]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all documents."""
 
@@ -56,89 +85,118 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def bigram_counts(docs: DataFrame, numbers) -> DataFrame:
-    """(key, n) over all documents; key is the first word's number and the second's."""
+def bigram_counts(docs: DataFrame, numbers, first: int, unknown: bool) -> DataFrame:
+    """(first, second, n) over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = numbers.value
-
-        def out(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
             for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["key", "n"])
+                yield pa.RecordBatch.from_arrays([*ids.columns(keys[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["first", "second", "n"])
 
+        ids = _Numbers(numbers.value, first, unknown)
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                keys = _bigrams(text, known)
+                keys = ids.bigrams(_words(text))
                 held.append(keys)
                 size += len(keys)
-                if size > 8 * TASK_ENTRIES:
-                    yield from out(held)
-                    held, size = [], 0
+                if size > 8 * TASK_ENTRIES or len(ids.hashes) > TASK_ENTRIES:
+                    yield from out()
+                    ids, held, size = _Numbers(numbers.value, first, unknown), [], 0
         if held:
-            yield from out(held)
-
-    return docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            yield from out()
 
+    return docs.select("text").mapInArrow(count, "first long, second long, n long").groupBy("first", "second").agg(F.sum("n").alias("n"))
 
-def _bigrams(text: str | None, known: dict[bytes, int]) -> np.ndarray:
-    get = known.get
-    ids = np.array([get(w, 0) for w in _words(text)], np.int64)
-    return (ids[:-1] << WORD_BITS) | ids[1:]
 
-
-def score(docs: DataFrame, vocabulary: int = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, vocabulary: int | None = None, frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_bigrams and score (mean natural logarithm) of each row of docs."""
     spark = docs.sparkSession
     context = spark.sparkContext
+    unknown = vocabulary is not None
+    hot = vocabulary if unknown else hot
     words = materialise(word_counts(docs), "lm-words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    top = words.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
-    counts = np.zeros(vocabulary + 1, np.float64)
+    top = words.orderBy(F.desc("n"), "word").limit(hot).toArrow()
+    counts = np.zeros(hot + 1, np.float64)
     counts[1 : 1 + top.num_rows] = top.column("n").to_numpy()
-    counts[0] = total - counts.sum()
+    counts[0] = total - counts.sum() if unknown else 0
     numbers = context.broadcast({w: k for k, w in enumerate(top.column("word").to_pylist(), 1)})
+    first_other = hot + 1
     release_shuffles(spark)
 
-    bigrams = materialise(bigram_counts(docs, numbers), "lm-bigrams")
-    often = bigrams.orderBy(F.desc("n"), "key").limit(frequent).toArrow().sort_by("key")
+    # A bigram below MIN_COUNT whose second word is hot needs no row: its value is known where it is read.
+    bigrams = materialise(bigram_counts(docs, numbers, first_other, unknown).where((F.col("n") >= MIN_COUNT) | (F.col("second") < 0)), "lm-bigrams")
+    packed = F.shiftleft("first", WORD_BITS).bitwiseOR(F.col("second"))
+    often = bigrams.where((F.col("n") >= MIN_COUNT) & (F.col("first") >= 0) & (F.col("second") >= 0)).select(packed.alias("key"), "n").orderBy(F.desc("n"), "key").limit(frequent).toArrow().sort_by("key")
     bottom = (1 << WORD_BITS) - 1
-
-    def logs(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore"):
-            seen = np.log(n) - np.log(counts[keys >> WORD_BITS])
-            backed = np.log(BACKOFF) + np.log(counts[keys & bottom]) - np.log(max(total, 1))
-        return np.where(n >= MIN_COUNT, seen, backed)
-
-    keys = often.column("key").to_numpy().astype(np.int64)
-    at_once = context.broadcast((keys, logs(keys, often.column("n").to_numpy().astype(np.float64))))
+    per_word = float(np.log(BACKOFF) - np.log(max(total, 1)))
+    with np.errstate(divide="ignore"):
+        log_counts = np.log(counts)
+    common = often.column("key").to_numpy().astype(np.int64)
+    worths = np.log(often.column("n").to_numpy().astype(np.float64)) - log_counts[common >> WORD_BITS]
+    at_once = context.broadcast((common, worths, np.append(log_counts, 0.0) + per_word))
     release_shuffles(spark)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (common, worth) = numbers.value, at_once.value
+        common, worths, backed = at_once.value
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys = np.concatenate(rest)
+            rows = np.repeat(np.array([d[0] for d in done], np.int64), [len(k) for k in rest])
+            n = np.concatenate(times)
+            for at in range(0, len(keys), 100_000):
+                part = slice(at, at + 100_000)
+                columns = [pa.array(rows[part]), *ids.columns(keys[part]), pa.array(n[part], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), doc_type)], names=names)
+            # The document's own row has no second word, so that it joins nothing and is dealt out by its number.
+            own = [d[0] for d in done]
+            docs_of = pa.array([dict(zip(("doc_id", "n_words", "n_bigrams", "log_sum"), d[1:])) for d in done], doc_type)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(own, pa.int64()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int32()), docs_of], names=names)
+
+        names = ["row_id", "first", "second", "times", "doc"]
+        doc_type = pa.struct([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_bigrams", pa.int64()), ("log_sum", pa.float64())])
+        ids = _Numbers(numbers.value, first_other, unknown)
+        done: list[tuple] = []
+        rest: list[np.ndarray] = []
+        times: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            out: list[tuple] = []
             for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                all_keys = _bigrams(text, known)
+                cut = _words(text)
+                all_keys = ids.bigrams(cut)
                 own, n = np.unique(all_keys, return_counts=True)
                 place = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
                 found = common[place] == own if len(common) else np.zeros(len(own), bool)
-                out.append((row, doc_id, len(_words(text)), len(all_keys), float((worth[place[found]] * n[found]).sum()) if found.any() else 0.0, own[~found], n[~found]))
-            columns = list(zip(*out)) or [()] * 7
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["row_id", "doc_id", "n_words", "n_bigrams", "log_sum", "keys", "times"])
-
-    schema = "row_id long, doc_id long, n_words long, n_bigrams long, log_sum double, keys array<long>, times array<int>"
-    split = materialise(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text").mapInArrow(frequencies, schema), "lm-documents")
-    exploded = split.select("row_id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("times").alias("times"))))
-    # At most vocabulary + 1 rows of 16 bytes.
-    unigrams = F.broadcast(spark.createDataFrame([(int(k), float(c)) for k, c in enumerate(counts) if c > 0], "word int, c double"))
-    first, second = F.shiftright("key", WORD_BITS).cast("int"), F.col("key").bitwiseAND(F.lit(bottom)).cast("int")
-    rare = bigrams.join(unigrams.select(F.col("word").alias("first"), F.col("c").alias("c1")), first == F.col("first")).join(unigrams.select(F.col("word").alias("second"), F.col("c").alias("c2")), second == F.col("second"))
-    worth = F.when(F.col("n") >= MIN_COUNT, F.log("n") - F.log("c1")).otherwise(F.log(F.lit(BACKOFF) * F.col("c2") / F.lit(float(max(total, 1)))))
-    table = rare.select("key", worth.alias("worth"))
-    summed = exploded.join(table, "key").groupBy("row_id").agg(F.sum(F.col("times") * F.col("worth")).alias("more"))
-    out = split.drop("keys", "times").join(summed, "row_id", "left")
-    return out.select("doc_id", "n_words", "n_bigrams", F.round(F.try_divide(F.col("log_sum") + F.coalesce("more", F.lit(0.0)), F.col("n_bigrams")), 6).alias("score"))
+                left, left_n = own[~found], n[~found]
+                sum_found = float((worths[place[found]] * n[found]).sum()) if found.any() else 0.0
+                sum_left = float((backed[np.minimum(left & bottom, first_other)] * left_n).sum())
+                done.append((row, doc_id, len(cut), len(all_keys), sum_found + sum_left))
+                rest.append(left)
+                times.append(left_n)
+                size += len(left)
+                if size > TASK_ENTRIES or len(done) >= 10_000:
+                    yield from out()
+                    ids, done, rest, times, size = _Numbers(numbers.value, first_other, unknown), [], [], [], 0
+        if done:
+            yield from out()
+
+    schema = "row_id long, first long, second long, times int, doc struct<doc_id:long,n_words:long,n_bigrams:long,log_sum:double>"
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text").mapInArrow(frequencies, schema)
+
+    # At most hot + 1 rows of 16 bytes.
+    logs = F.broadcast(spark.createDataFrame([(int(k), float(c)) for k, c in enumerate(log_counts) if counts[k] > 0], "word long, log_c double"))
+    others = words.select(F.xxhash64("word").bitwiseOR(F.lit(SIGN)).alias("word"), "n").groupBy("word").agg(F.log(F.sum("n")).alias("log_c"))
+    seen, second_hot = F.col("n") >= MIN_COUNT, F.col("second") >= 0
+    # Each bigram needs the count of one word: the first if it is seen often enough, else the second.
+    need = bigrams.withColumn("word", F.when(seen, F.col("first")).otherwise(F.col("second")))
+    known = need.where("word >= 0").join(logs, "word").unionByName(need.where("word < 0").join(others, "word"))
+    second = logs.select(F.col("word").alias("second"), F.col("log_c").alias("log_second"))
+    backed_off = F.when(second_hot, F.col("log_second")).otherwise(0.0) + per_word
+    more = F.when(seen, F.log("n") - F.col("log_c") - backed_off).otherwise(F.col("log_c"))
+    table = known.join(second, "second", "left").select("first", "second", more.alias("more")).where("more <> 0")
+    joined = rows.join(table, ["first", "second"], "left").where("more IS NOT NULL OR doc IS NOT NULL")
+    sums = joined.groupBy("row_id").agg(*[F.max(f"doc.{c}").alias(c) for c in ("doc_id", "n_words", "n_bigrams")], F.sum(F.coalesce("doc.log_sum", F.col("times") * F.col("more"))).alias("log_sum"))
+    return sums.select("doc_id", "n_words", "n_bigrams", F.round(F.try_divide("log_sum", "n_bigrams"), 6).alias("score"))

@@ -161,6 +161,30 @@ def test_stupid_backoff(docs, odd_texts, frequent):
     assert all((a[3] is None) == (b[3] is None) and (a[3] is None or abs(a[3] - b[3]) < 1e-4) for a, b in zip(got, want))
 
 
+def brute_whole_backoff(texts):
+    cut = [(t or "").encode().lower().split() for t in texts]
+    words, pairs = Counter(w for x in cut for w in x), Counter(p for x in cut for p in zip(x, x[1:]))
+    total = sum(words.values())
+    score = lambda p: math.log(pairs[p] / words[p[0]]) if pairs[p] >= 2 else math.log(0.4 * words[p[1]] / total)
+    return [sum(map(score, zip(x, x[1:]))) / (len(x) - 1) if len(x) > 1 else None for x in cut]
+
+
+@pytest.mark.parametrize("hot, frequent", [(0, 0), (20, 3), (20, 10_000), (65_535, 10)])
+def test_stupid_backoff_of_all_words(docs, odd_texts, hot, frequent):
+    texts = [*odd_texts, odd_texts[4]]
+    want = sorted(((i if i < len(odd_texts) else 4), s) for i, s in enumerate(brute_whole_backoff(texts)))
+    got = sorted((r.doc_id, r.score) for r in lm.score(docs, frequent=frequent, hot=hot).collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert all(a == b if b is None else abs(a - b) < 1e-5 for (_, a), (_, b) in zip(got, want))
+
+
+def test_stupid_backoff_has_no_unknown_word(spark):
+    rare = [f"w{i}" for i in range(70_000)]
+    texts = [" ".join(rare + rare[::-1] + ["w3 w4 w5"] * 3), " ".join(rare[-900:-600] + rare[-50:]), "new w69999 w3 w4"]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(abs(got[i] - s) < 1e-5 for i, s in enumerate(brute_whole_backoff(texts)))
+
+
 def test_stupid_backoff_of_nothing(no_docs):
     assert lm.score(no_docs).count() == 0
 
