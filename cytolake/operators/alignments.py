@@ -108,14 +108,25 @@ def drop_sparse_columns(aln: DataFrame, cut: float = 0.1) -> DataFrame:
     return aln.join(F.broadcast(numbered), "pos").select("seq_id", "new_pos", "base")
 
 
-def a_rich_regions(seqs: DataFrame, least: int = 6, mismatches: int = 2, longest: int = 60) -> DataFrame:
-    """SEQ-11: from each A the longest stretch that ends in A with at most the mismatches, of at least `least` bases (fewest mismatches at equal length)."""
-    ends = F.transform(F.sequence(F.lit(least), F.lit(longest)), lambda n: F.struct(n.alias("length"), F.substring(F.col("seq"), F.col("start"), n).alias("s")))
-    miss = lambda s: F.length(F.replace(s, F.lit("A"), F.lit("")))
-    starts = seqs.select("seq_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("start")).where(F.substring(F.col("seq"), F.col("start"), F.lit(1)) == "A")
-    fit = F.filter(ends, lambda e: (F.length(e["s"]) == e["length"]) & F.endswith(e["s"], F.lit("A")) & (miss(e["s"]) <= mismatches))
-    best = F.try_element_at(fit, F.lit(-1))
-    return starts.select("seq_id", F.col("start").cast("bigint").alias("start"), best.alias("b")).where("b IS NOT NULL").select("seq_id", "start", F.col("b.length").cast("bigint").alias("length"), miss(F.col("b.s")).cast("bigint").alias("mismatches"))
+def a_rich_regions(seqs: DataFrame, least: int = 6, mismatches: int = 2) -> DataFrame:
+    """SEQ-11: from each A the longest stretch that ends in A with at most the mismatches, of at least `least` bases (fewest mismatches at equal length).
+
+    All starts of a run of A share their end: the one before the last of the next mismatches that follows an A.
+    """
+    others = F.filter(F.transform(F.split("seq", ""), lambda c, i: F.when(c != "A", i + 1)), lambda p: p.isNotNull())
+    # Places of other bases, between those before the first base and after the last.
+    places = seqs.select("seq_id", F.concat(F.array(F.lit(0)), others, F.array(F.length("seq") + 1)).alias("b"))
+    place = lambda k: F.get("b", k)
+
+    def run(k: Column) -> Column:
+        missed = F.coalesce(*[F.when(place(k + m + 1) - place(k + m) > 1, m) for m in range(mismatches, 0, -1)], F.lit(0))
+        return F.struct((place(k) + 1).alias("low"), (place(k + 1) - 1).alias("high"), (place(k + 1 + missed) - 1).alias("end"), missed.alias("mismatches"))
+
+    runs = F.filter(F.transform(F.sequence(F.lit(0), F.size("b") - 2), run), lambda r: r["end"] - r["low"] + 1 >= least)
+    runs = places.select("seq_id", F.inline(F.filter(runs, lambda r: r["high"] >= r["low"])))
+    starts = F.explode(F.sequence("low", F.least("high", F.col("end") - least + 1)))
+    found = runs.select("seq_id", starts.alias("start"), "end", "mismatches")
+    return found.select("seq_id", F.col("start").cast("bigint").alias("start"), (F.col("end") - F.col("start") + 1).cast("bigint").alias("length"), F.col("mismatches").cast("bigint").alias("mismatches"))
 
 
 def window_counts(positions: DataFrame, size: int, last: int) -> DataFrame:

@@ -91,7 +91,7 @@ def _(positions):
 
 @operator("SEQ-14", "reads")
 def _(reads):
-    return a.cluster_reads(reads.select(F.col("file_offset").cast("string").alias("read_id"), "pos", F.substring("seq", 1, 64).alias("seq")))
+    return a.cluster_reads(reads.select(F.col("file_offset").cast("string").alias("read_id"), "pos", "seq"))
 
 
 @operator("SEQ-15", "positions", sql="SELECT umi, count(*) AS reads, round_even(avg(pos), 0) AS mean, quantile_cont(pos, 0.5) AS median, max(pos) - min(pos) AS range, stddev_samp(pos) AS sd, count(DISTINCT cell) AS cells, CASE WHEN count(*) >= 10 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM positions GROUP BY umi")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytolake.functions import cigar as c, stats
-from cytolake.operators import barcodes as b, molecules as m, reads as r
+from cytolake.operators import alignments as al, barcodes as b, molecules as m, reads as r
+from cytolake.plans import registry
 from cytolake.sources import readers as s, writers as w
 
 
@@ -107,3 +108,28 @@ def test_csv_round_trip_and_many_files(spark, tmp_path):
     assert s.read_many(spark, str(tmp_path / "x")).count() == 1
     with pytest.raises(ValueError):
         s.regions_of(spark.createDataFrame([("t", 1, 2)], "Target string, Start int, End int"))
+
+
+def brute_stretches(seq, least=6, mismatches=2):
+    found = {}
+    for i in range(len(seq)):
+        for j in range(i + least - 1, len(seq)):
+            miss = sum(x != "A" for x in seq[i : j + 1])
+            if seq[i] == seq[j] == "A" and miss <= mismatches:
+                found[i + 1] = (j - i + 1, miss)
+    return found
+
+
+def test_a_rich_regions_of_any_length(spark):
+    seqs = ["A" * 130, "C" * 40 + "A" * 70 + "GG" + "A" * 5 + "T" + "A" * 9, "AAACAGAAATTTAAAAAAC", "CCCC", "", "AAAAA", "ACACAAAGAA" * 12, "TAAAAAANAAAA", None]
+    df = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string")
+    got = {(x.seq_id, x.start): (x.length, x.mismatches) for x in al.a_rich_regions(df).collect()}
+    assert got == {(i, start): v for i, seq in enumerate(seqs) for start, v in brute_stretches(seq or "").items()}
+    assert got[0, 1] == (130, 0)
+
+
+def test_clusters_of_whole_reads(spark, monkeypatch):
+    rows = [(1, 10, "G" * 80 + "ACGTACGTAC"), (2, 11, "G" * 80 + "TTGTACGTAC"), (3, 12, "G" * 90 + "ACGTACGTAC")]
+    reads = spark.createDataFrame(rows, "file_offset long, pos int, seq string")
+    monkeypatch.setattr(registry.fixtures, "view", lambda *_: reads)
+    assert {x.read_id: x.cluster for x in registry.QUERIES["SEQ-14"](spark, "").collect()} == {"1": "1", "2": "2", "3": "1"}
