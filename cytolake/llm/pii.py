@@ -7,8 +7,10 @@ letters alone) by the patterns that extract it, in turns, on a graph of distinct
 edges. Patterns of high confidence extract the unseen identifiers that follow them, as kind `id`.
 
 A pattern needs SUPPORT distinct seeds, and its confidence is the mean score of all that follows it,
-where tokens of other shapes count as 0: words that merely often stand before numbers don't pass. The
-MODEL_PATTERNS patterns of most seeds are kept (the size of the model, a parameter).
+where tokens of other shapes count as 0: words that merely often stand before numbers don't pass. All
+such patterns are kept. Up to BROADCAST_PATTERNS of them are broadcast; beyond that they stay a table, to
+which what follows them is joined by a shuffle, with the same result (a bitmap of fixed size only saves
+rows that would not join).
 
 Spans are half-open in code points; discovered spans never overlap base spans. Null text counts as empty.
 Each input row gives one result row, also when a doc_id repeats.
@@ -16,20 +18,25 @@ Each input row gives one result row, also when a doc_id repeats.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from cytolake.llm.common import free_name, materialise
 
 KINDS = ("email", "ip", "card", "phone", "id")
-SUPPORT, CONFIDENCE, ROUNDS, MODEL_PATTERNS, MIN_CHARS = 5, 0.7, 3, 20_000, 6
+SUPPORT, CONFIDENCE, ROUNDS, BROADCAST_PATTERNS, MIN_CHARS = 5, 0.7, 3, 20_000, 6
+#: Bits of the bitmap of a table of patterns, and of a place's end in a pair of places.
+BITMAP, END_BITS = 1 << 24, 32
 
 #: The base rules. Each begins where the rule's leftmost match begins, so no scan starts twice in a run.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -108,33 +115,65 @@ def _looks_like_id(token: str) -> bool:
     return len(token) >= MIN_CHARS and ("@" in token or any("0" <= c <= "9" for c in token))
 
 
-def _before(text: str, start: int) -> str | None:
-    """The two tokens before a place, lower-cased."""
-    found = text[max(0, start - 120) : start].split()
-    words = [w for w in (x.strip(_EDGE).lower() for x in found[-6:]) if w][-2:]
-    return " ".join(words) if len(words) == 2 else None
+def _lowered(text: str) -> str:
+    """Lower-cased text with the places of the text."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _before(places: list[tuple[int, int, str]], start: int) -> str | None:
+    """The two whole tokens before the one that holds a place, of the tokens of a lower-cased text."""
+    at = bisect.bisect_right(places, start, key=lambda p: p[1])
+    return f"{places[at - 2][2]} {places[at - 1][2]}" if at > 1 else None
 
 
-def seed_patterns(docs: DataFrame, size: int = MODEL_PATTERNS) -> DataFrame:
-    """(pattern, seeds): contexts of at least SUPPORT distinct seed entities, the `size` with most of them."""
+def seed_patterns(docs: DataFrame) -> DataFrame:
+    """(pattern, seeds): contexts of at least SUPPORT distinct seed entities."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = set()
             for text in batch.column(0).to_pylist():
-                for start, _, end in base_spans(text or ""):
-                    if pattern := _before(text, start):
+                spans = base_spans(text or "")
+                places = _tokens(_lowered(text)) if spans else []
+                for start, _, end in spans:
+                    if pattern := _before(places, start):
                         found.add((pattern, text[start:end].lower()))
             patterns, instances = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.string()), pa.array(instances, pa.string())], names=["pattern", "instance"])
 
     edges = docs.select("text").mapInArrow(contexts, "pattern string, instance string").distinct()
-    return edges.groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT).orderBy(F.desc("seeds"), "pattern").limit(size)
+    return edges.groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT)
+
+
+class _Bitmap:
+    """Stands for a table of patterns where they are read: holds all of them and, by chance, some others."""
+
+    def __init__(self, patterns: DataFrame):
+        slots = patterns.select(F.pmod(F.xxhash64("pattern"), F.lit(BITMAP)).cast("int").alias("slot")).distinct().toArrow()  # at most BITMAP rows of 4 bytes
+        bits = np.zeros(BITMAP, bool)
+        bits[slots.column("slot").to_numpy()] = True
+        self.bits = np.packbits(bits).tobytes()
 
+    def __contains__(self, pattern: str) -> bool:
+        slot = xxhash.xxh64_intdigest(pattern.encode("utf-8", "replace"), 42) % BITMAP
+        return bool(self.bits[slot >> 3] & 128 >> (slot & 7))
 
-def pattern_edges(docs: DataFrame, patterns: list[str]) -> DataFrame:
+
+Patterns = list[str] | DataFrame
+
+
+def _small(patterns: DataFrame) -> Patterns:
+    """The patterns as a sorted list where a broadcast may hold them, else the table."""
+    if patterns.limit(BROADCAST_PATTERNS + 1).count() > BROADCAST_PATTERNS:
+        return patterns.select("pattern")
+    return sorted(r[0] for r in patterns.select("pattern").collect())
+
+
+def pattern_edges(docs: DataFrame, patterns: Patterns) -> DataFrame:
     """(pattern, instance, seed, n): what follows the patterns in the corpus; instance null: other tokens."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_by_second(patterns))
+    exact = isinstance(patterns, list)
+    wanted = docs.sparkSession.sparkContext.broadcast(_by_second(patterns) if exact else _Bitmap(patterns))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +188,8 @@ def pattern_edges(docs: DataFrame, patterns: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.int64()))], names=["pattern", "instance", "seed", "n"])
 
     found = docs.select("text").mapInArrow(follow, "pattern string, instance string, seed boolean, n long")
-    return found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
+    edges = found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
+    return edges if exact else edges.join(patterns, "pattern", "left_semi")
 
 
 def _by_second(patterns: list[str]) -> dict[str, set[str]]:
@@ -160,14 +200,16 @@ def _by_second(patterns: list[str]) -> dict[str, set[str]]:
     return out
 
 
-def _follows(text: str, wanted: dict[str, set[str]]) -> Iterator[tuple[str, int, int, str]]:
+def _follows(text: str, wanted: dict[str, set[str]] | _Bitmap) -> Iterator[tuple[str, int, int, str]]:
     """Pattern, place and text of each token that follows a pattern."""
-    if not wanted:
+    if isinstance(wanted, dict) and not wanted:
+        return
+    places = _tokens(_lowered(text))
+    if isinstance(wanted, _Bitmap):
+        for (_, _, first), (_, _, second), (start, end, _) in zip(places, places[1:], places[2:]):
+            if (pattern := f"{first} {second}") in wanted:
+                yield pattern, start, end, text[start:end]
         return
-    lower = text.lower()
-    if len(lower) != len(text):
-        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    places = _tokens(lower)
     for (_, _, first), (_, _, second), (start, end, _) in zip(places, places[1:], places[2:]):
         if (firsts := wanted.get(second)) and first in firsts:
             yield f"{first} {second}", start, end, text[start:end]
@@ -193,45 +235,78 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return scores.select("pattern", "score")
 
 
-def learn_patterns(docs: DataFrame) -> list[str]:
-    """Patterns of high confidence, at most MODEL_PATTERNS, sorted."""
-    candidates = sorted(r[0] for r in seed_patterns(docs).collect())  # bounded by MODEL_PATTERNS
-    if not candidates:
+def learn_patterns(docs: DataFrame) -> Patterns:
+    """Patterns of high confidence: a sorted list, or a table beyond BROADCAST_PATTERNS."""
+    candidates = _small(materialise(seed_patterns(docs), "pii-candidates"))
+    if isinstance(candidates, list) and not candidates:
         return []
     edges = materialise(pattern_edges(docs, candidates), "pii-edges")
-    return sorted(r[0] for r in score_patterns(edges).where(F.col("score") >= CONFIDENCE).select("pattern").collect())
+    return _small(materialise(score_patterns(edges).where(F.col("score") >= CONFIDENCE), "pii-patterns"))
+
+
+#: The patterns, or the pairs of places that follow them in this text (start and END_BITS of end).
+Wanted = dict[str, set[str]] | np.ndarray
 
 
-def all_spans(text: str, wanted: dict[str, set[str]]) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, wanted: Wanted) -> tuple[list[Span], list[Span]]:
     """Base spans and discovered spans."""
     base = base_spans(text)
     more = []
-    for _, start, end, token in _follows(text, wanted):
-        if _looks_like_id(token) and not any(a < end and start < b for a, _, b in base):
+    places = ((start, end) for _, start, end, _ in _follows(text, wanted)) if isinstance(wanted, dict) else ((int(p) >> END_BITS, int(p) & ((1 << END_BITS) - 1)) for p in sorted(wanted))
+    for start, end in places:
+        if _looks_like_id(text[start:end]) and not any(a < end and start < b for a, _, b in base):
             more.append((start, 4, end))
     return base, more
 
 
-def _report(text: str | None, wanted: dict[str, set[str]]) -> tuple:
+def _placed(docs: DataFrame, patterns: Patterns) -> tuple[DataFrame, str]:
+    """docs with a column of the pairs of places that follow a pattern, by a shuffle; null where patterns are broadcast.
+
+    Equal texts have equal places, so texts are known by their digests.
+    """
+    name = free_name(docs, "_places")
+    if isinstance(patterns, list):
+        return docs.withColumn(name, F.lit(None).cast("array<long>")), name
+    wanted = docs.sparkSession.sparkContext.broadcast(_Bitmap(patterns))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(0).to_pylist():
+                if found := [(p, start << END_BITS | end) for p, start, end, token in _follows(text or "", wanted.value) if _looks_like_id(token)]:
+                    digest = hashlib.sha256(text.encode()).hexdigest()
+                    rows += [(digest, p, place) for p, place in found]
+            columns = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["digest", "pattern", "place"])
+
+    digest = free_name(docs, "_digest")
+    found = docs.select("text").mapInArrow(follow, "digest string, pattern string, place long").join(patterns, "pattern", "left_semi")
+    found = found.groupBy(F.col("digest").alias(digest)).agg(F.collect_set("place").alias(name))
+    joined = docs.withColumn(digest, F.sha2(F.col("text").cast("binary"), 256)).join(found, digest, "left")
+    return joined.withColumn(name, F.coalesce(name, F.array().cast("array<long>"))).drop(digest), name
+
+
+def _report(text: str | None, wanted: Wanted) -> tuple:
     base, more = all_spans(text or "", wanted)
     kinds = Counter(k for _, k, _ in base)
     return kinds[0], kinds[1], kinds[2], kinds[3], hashlib.sha256(shown(base).encode()).hexdigest(), shown(base + more)
 
 
-def find(docs: DataFrame, patterns: list[str]) -> DataFrame:
+def find(docs: DataFrame, patterns: Patterns) -> DataFrame:
     """doc_id and RESULT of each row of docs."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_by_second(patterns))
+    wanted = docs.sparkSession.sparkContext.broadcast(_by_second(patterns) if isinstance(patterns, list) else {})
     columns = [x.split()[0] for x in RESULT.split(", ")]
 
     @pandas_udf(RESULT)
-    def report(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([_report(t, wanted.value) for t in texts], columns=columns, dtype=object)
+    def report(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, places in batches:
+            yield pd.DataFrame([_report(t, wanted.value if p is None else p) for t, p in zip(texts, places)], columns=columns, dtype=object)
 
-    return docs.select("doc_id", report("text").alias("r")).select("doc_id", "r.*")
+    placed, name = _placed(docs.select("doc_id", "text"), patterns)
+    return placed.select("doc_id", report("text", name).alias("r")).select("doc_id", "r.*")
 
 
-def mask(text: str | None, wanted: dict[str, set[str]]) -> str | None:
+def mask(text: str | None, wanted: Wanted) -> str | None:
     """The text with each span replaced by its kind in brackets; overlapping spans become one."""
     if text is None:
         return None
@@ -244,17 +319,18 @@ def mask(text: str | None, wanted: dict[str, set[str]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, patterns: list[str]) -> DataFrame:
+def redact(docs: DataFrame, patterns: Patterns) -> DataFrame:
     """docs with personal data masked in text and, where there is such a column, n_chars counted anew."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_by_second(patterns))
+    wanted = docs.sparkSession.sparkContext.broadcast(_by_second(patterns) if isinstance(patterns, list) else {})
 
     @pandas_udf("string")
-    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([mask(t, wanted.value) for t in texts], dtype=object)
+    def masked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, places in batches:
+            yield pd.Series([mask(t, wanted.value if p is None else p) for t, p in zip(texts, places)], dtype=object)
 
-    name = free_name(docs, "_masked")
-    out = docs.withColumn(name, masked("text"))
+    placed, places_name = _placed(docs, patterns)
+    name = free_name(placed, "_masked")
+    out = placed.withColumn(name, masked("text", places_name))
 
     def column(c: str) -> Column:
         if c == "text":

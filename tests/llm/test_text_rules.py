@@ -127,6 +127,26 @@ def test_contexts_find_unseen_identifiers_and_leave_other_text_alone(spark):
     assert masked[100] == "reach me at [ID] today" and masked[3] == "some words here reach me at [EMAIL] thanks" and masked[102] is None
 
 
+def test_all_contexts_are_kept_and_joined(spark):
+    lines = [f"p{i} at u{k}x{i}@m.org" for i in range(20_100) for k in range(5)]
+    texts = ["\n".join(lines[k : k + 250]) for k in range(0, len(lines), 250)] + ["x p9999 at user77(at)mail today", "q9 at user77(at)mail", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(docs, pii.learn_patterns(docs)).collect()}
+    assert len(got) == len(texts) and [got[len(texts) - k] for k in (3, 2, 1)] == ["id:11:25", "", ""]
+
+
+def test_broadcast_and_joined_patterns_agree(spark, monkeypatch):
+    url = "http://host/" + "path" * 50
+    seen = [(i, f"reach me at user{i}@mail.example.com thanks. See {url} for user{i}@b.example.org") for i in range(12)]
+    docs = spark.createDataFrame([*seen, (100, "reach me at user77(at)mail today"), (100, "reach me at user77(at)mail today"), (101, f"See {url} for user88(at)mail"), (102, None)], "doc_id long, text string")
+    one = sorted(map(tuple, pii.find(docs, pii.learn_patterns(docs)).collect()))
+    assert [r[-1] for r in one if r[0] == 101] == [f"id:{9 + len(url)}:{23 + len(url)}"]
+    monkeypatch.setattr(pii, "BROADCAST_PATTERNS", 0)
+    patterns = pii.learn_patterns(docs)
+    assert not isinstance(patterns, list) and sorted(map(tuple, pii.find(docs, patterns).collect())) == one
+    assert {r.text for r in pii.redact(docs, patterns).where("doc_id = 100").collect()} == {"reach me at [ID] today"}
+
+
 def test_pii_keeps_columns_and_rows(docs, no_docs):
     assert pii.learn_patterns(docs) == []
     out = pii.redact(docs, [])
