@@ -1,16 +1,19 @@
 """License scans: fuzzy search for short notices.
 
 Pigeonhole: a notice with at most k edits holds one of its k + 1 pieces unchanged, so the pieces are
-the exact seeds of one automaton. Around each seed hit the regex library's bounded-error matching
-verifies the edits and gives the span. A hit without edits on whole words is a base place.
+the exact seeds of one automaton. Around each seed hit, in a window that ends between words, the regex
+library's bounded-error matching verifies the edits and gives the span of whole words. A hit without edits
+is a base place. Every notice within its bound is reported, short words included.
 
 Text is lower-cased (A-Z only) and cut into words of [0-9a-z] and all characters from U+0080; words are
 joined by one blank before the search, so punctuation and line ends between words don't matter.
-Null text counts as empty: no words, no labels, score 0. Repeated rows give repeated results.
+Null text counts as empty: no words, no labels, score 0. Repeated rows give repeated results, an empty table
+none. Texts of any length are read whole; of overlapping inexact spans of one label, an exact place stays.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 from dataclasses import dataclass
 
@@ -39,6 +42,9 @@ NOTICES = (
     ("all rights reserved", "all-rights-reserved", 2),
 )
 
+#: No notice is longer.
+LONGEST = max(len(text) for text, _, _ in BASE + NOTICES)
+
 _WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
@@ -73,7 +79,6 @@ class Scanner:
             self.seeds.add_word(piece, (len(piece), at))
         self.seeds.make_automaton()
         self.fuzzy = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}(?![^ ])") if n.edits else None for n in notices]
-        self.short = [[w for w in n.text.split() if len(w) <= 3] for n in notices]
 
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, end, notice, edits) over the normalised text, sorted: all exact places, and inexact ones apart from them."""
@@ -90,19 +95,21 @@ class Scanner:
                     windows.setdefault(k, []).append((max(0, start - notice.edits), stop + notice.edits))
         found = [(a, b, k, 0) for a, b, k in exact]
         for k, parts in windows.items():
+            # Exact places of a label don't overlap by more than a notice, so the neighbours by start tell.
             taken = sorted((a, b) for a, b, j in exact if self.notices[j].label == self.notices[k].label)
-            parts.sort()
-            merged = [list(parts[0])]
-            for a, b in parts[1:]:
-                if a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
+            merged: list[list[int]] = []
+            for a, b in sorted(parts):
+                # To the word ends outside the window, so that no word is cut before it is verified.
+                first, last = text.rfind(" ", 0, a) + 1, text.find(" ", b)
+                last = len(text) if last < 0 else last
+                if merged and first <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], last)
                 else:
-                    merged.append([a, b])
-            for a, b in merged:
-                for m in self.fuzzy[k].finditer(text, a, min(b, len(text))):
-                    at_words = (m.start() == 0 or text[m.start() - 1] == " ") and text[m.end() : m.end() + 1] in ("", " ")
-                    words = m.group().split()
-                    if at_words and sum(m.fuzzy_counts) and all(w in words for w in self.short[k]) and not any(x < m.end() and m.start() < y for x, y in taken):
+                    merged.append([first, last])
+            for first, last in merged:
+                for m in self.fuzzy[k].finditer(text, first, last):
+                    near = range(bisect.bisect_left(taken, (m.start() - LONGEST,)), bisect.bisect_left(taken, (m.end(),)))
+                    if sum(m.fuzzy_counts) and not any(m.start() < taken[i][1] for i in near):
                         found.append((m.start(), m.end(), k, sum(m.fuzzy_counts)))
         return sorted(found)
 
