@@ -7,8 +7,9 @@ plain WARC/1.1 records, a gzip file a task, through Spark's text writer (so on a
 lost executor's half-written file never counts). Records hold only UTF-8 text, and each ends in a blank
 line whose last line end is the writer's line separator.
 
-Null html counts as an empty payload, always a response. page_id names a page: it must not be null, and
-a page that repeats gives a record for each of its rows. Empty tables give empty archives.
+Null html counts as an empty payload, always a response. Each row gives a record, also where a page_id
+repeats, with the same payload or with another one: revisits are told by page_id and digest. A row without
+page_id is always a response, has no WARC-Page field and reads back as null. Empty tables give empty archives.
 """
 
 from __future__ import annotations
@@ -40,42 +41,45 @@ def headers(pages: DataFrame) -> DataFrame:
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """The page and the response that it refers to, for every page that revisits another.
+    """page_id, payload_digest and the response that it refers to, for every page that revisits another.
 
     The aggregate combines before its shuffle, and the join has the digest alone as its key on both
     sides, so a digest with very many pages is split by adaptive execution.
     """
     long = found.where(F.col("payload_bytes") >= MIN_BYTES)
     originals = long.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return long.join(originals, "payload_digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return long.join(originals, "payload_digest").where("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
 
 
 def _lines(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _record_id(page: Column) -> Column:
-    h = F.md5(page.cast("string"))
+def _record_id(page: Column, digest: Column) -> Column:
+    h = F.md5(F.concat_ws(" ", page.cast("string"), digest))
     return _lines("<urn:uuid:", F.substring(h, 1, 8), "-", F.substring(h, 9, 4), "-", F.substring(h, 13, 4), "-", F.substring(h, 17, 4), "-", F.substring(h, 21, 12), ">")
 
 
 def records(pages: DataFrame, revisits: DataFrame) -> DataFrame:
     """One string column: the record of each page, without its last line end."""
     payload = F.coalesce("html", F.lit(""))
-    size = F.octet_length(F.encode(payload, "UTF-8"))
-    page, revisit = F.col("page_id"), F.col("refers_to").isNotNull()
+    known = pages.select("page_id", "url", payload.alias("payload"), F.sha2(F.encode(payload, "UTF-8"), 256).alias("payload_digest"))
+    known = known.join(revisits, ["page_id", "payload_digest"], "left")
+    size = F.octet_length(F.encode("payload", "UTF-8"))
+    page, digest, revisit = F.col("page_id"), F.col("payload_digest"), F.col("refers_to").isNotNull()
     uri = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20\x7f]", "%20")
     http = _lines("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ", size.cast("string"), "\r\n\r\n")
-    block = F.when(revisit, http).otherwise(F.concat(http, payload))
+    block = F.when(revisit, http).otherwise(F.concat(http, "payload"))
+    refers = _lines("\r\nWARC-Profile: " + PROFILE + "\r\nWARC-Refers-To: ", _record_id(F.col("refers_to"), digest), "\r\nWARC-Refers-To-Page: ", F.col("refers_to").cast("string"))
     head = _lines(
         "WARC/1.1\r\nWARC-Type: ", F.when(revisit, "revisit").otherwise("response"),
-        "\r\nWARC-Record-ID: ", _record_id(page), "\r\nWARC-Date: " + DATE + "\r\nWARC-Target-URI: ", uri,
-        "\r\nWARC-Payload-Digest: sha256:", F.sha2(F.encode(payload, "UTF-8"), 256),
-        "\r\nWARC-Page: ", page.cast("string"),
-        F.when(revisit, _lines("\r\nWARC-Profile: " + PROFILE + "\r\nWARC-Refers-To: ", _record_id(F.col("refers_to")), "\r\nWARC-Refers-To-Page: ", F.col("refers_to").cast("string"))).otherwise(F.lit("")),
+        "\r\nWARC-Record-ID: ", _record_id(page, digest), "\r\nWARC-Date: " + DATE + "\r\nWARC-Target-URI: ", uri,
+        "\r\nWARC-Payload-Digest: sha256:", digest,
+        F.when(page.isNull(), "").otherwise(_lines("\r\nWARC-Page: ", page.cast("string"))),
+        F.when(revisit, refers).otherwise(F.lit("")),
         "\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: ", F.octet_length(F.encode(block, "UTF-8")).cast("string"), "\r\n\r\n",
     )
-    return pages.select("page_id", "url", "html").join(revisits, "page_id", "left").select(F.concat(head, block, F.lit("\r\n\r")).alias("value"))
+    return known.select(F.concat(head, block, F.lit("\r\n\r")).alias("value"))
 
 
 def write(pages: DataFrame, path: str) -> None:
@@ -125,21 +129,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         kind = fields["warc-type"]
                         if kind == "response" and (len(body) != declared or hashlib.sha256(body).hexdigest() != digest):
                             raise ValueError(f"record {fields['warc-record-id']} differs from its digest")
-                        target = fields.get("warc-refers-to-page")
-                        out.append((int(fields["warc-page"]), declared, digest, kind, None if target is None else int(target)))
+                        page, target = (None if x is None else int(x) for x in (fields.get("warc-page"), fields.get("warc-refers-to-page")))
+                        out.append((page, declared, digest, kind, target))
                 columns = list(zip(*out)) or [()] * 5
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    had = spark.conf.get(key)
-    spark.conf.set(key, "1")  # an archive at a time
-    try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-        return materialise(files.mapInArrow(rows, HEADERS), "warc-read")
-    finally:
-        spark.conf.set(key, had)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return materialise(files.mapInArrow(rows, HEADERS), "warc-read")
 
 
 def resolved(found: DataFrame) -> DataFrame:

@@ -134,6 +134,17 @@ def test_warc_revisits(spark):
     assert warc.write_and_read(table.where("FALSE")).count() == 0
 
 
+def test_warc_rows_that_repeat_or_lack_their_page(spark):
+    a, b = "a" * 200, "b" * 200
+    rows = [(1, "u", a), (1, "u", b), (2, "u", b), (3, "u", a), (3, "u", a), (None, "u", a), (None, "u", None), (4, None, b), (1, "u", "short")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    key = lambda x: tuple(str(v) for v in x)
+    first = {a: 1, b: 1}
+    want = [(p, len(h or ""), hashlib.sha256((h or "").encode()).hexdigest(), *(("revisit", first[h]) if p and len(h or "") >= 100 and p != first[h] else ("response", None))) for p, _, h in rows]
+    got = warc.write_and_read(table).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
 def test_warc_files_are_plain_archives(spark, tmp_path):
     table = spark.createDataFrame([(1, "u", "a" * 200), (2, "v", "a" * 200)], "page_id long, url string, html string")
     warc.write(table.coalesce(1), f"file://{tmp_path}/w")
