@@ -7,7 +7,8 @@ unsigned 32-bit integers; then for each segment its word offset, crc32 and the l
 checkpoint where decoding can begin); then the 32-bit words. Id i belongs to lane i % lanes, step i // lanes.
 Blocks and segments decode without one another, so readers split anywhere.
 
-Null text counts as empty (the end id alone). Rows are ordered by doc_id, then text; repeated rows stay.
+Null text counts as empty (the end id alone). Rows are ordered by doc_id (null first), then by their ids as
+bytes; repeated rows stay. Texts of any length are one document of a block. No documents give no blocks.
 """
 
 from __future__ import annotations
@@ -23,20 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cytolake.llm.bpe import byte_characters
-from cytolake.llm.common import SPACE, materialise, new_path, release_shuffles
+from cytolake.llm.common import SPACE, materialise, new_path
 
 PRECISION, LOW = 20, 1 << 31
 LANES, SEGMENT_STEPS, BLOCK_IDS = 1024, 128, 262_144
 MAGIC = b"rANS"
+LEAST = -(1 << 63)
 HEADER, SEGMENT = struct.Struct("<4sIIIII"), struct.Struct("<II")
 #: Entries of the per-worker caches of chunks and words, and the longest entry.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 40
+CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 40
 
-IDS = "part long, seq long, start long, doc_ids array<long>, lengths array<long>, ids binary"
+IDS = "part long, seq long, start long, doc_ids array<long>, lengths array<long>, ids binary, counts binary"
 BLOCKS = "part long, seq long, first long, doc_ids array<long>, lengths array<long>, payload binary"
 REPORT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -170,10 +173,10 @@ class WordEncoder:
             return dict(zip(chunks, self._encoded(chunks)))
         parts = [self._parts(c) for c in chunks]
         words = self.words
+        tokenize, mapped = self.model.tokenize, self.map
         for w in {w for p in parts for w in p}.difference(words):
             # What the library does with a pre-token: bytes to characters, then its BPE model.
-            mapped = w.encode().decode("latin-1").translate(self.map)
-            words[w] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            words[w] = array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(mapped))]).tobytes()
         out = {c: b"".join([words[w] for w in p]) for c, p in zip(chunks, parts)}
         if len(words) > CACHE_ENTRIES:
             words.clear()
@@ -207,7 +210,7 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def _pack(ids: bytes) -> bytes:
-    """Low and high halves of 16-bit planes apart, then zstd: only for the working copy."""
+    """The bytes of each significance apart, then zstd: only for the working copy."""
     import zstandard
 
     planes = np.frombuffer(ids, np.uint8).reshape(-1, 4).T
@@ -221,53 +224,88 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view("<u4")
 
 
-def token_ids(docs: DataFrame, path: str, end_id: int, partitions: int) -> DataFrame:
-    """IDS rows in ascending order of doc_id: `part` numbers the range partition, `start` counts the ids before the row in it."""
+def _narrow(ids: bytes, wide: bool) -> bytes:
+    """Ids of 16 bits where the vocabulary allows."""
+    return ids if wide else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+
+
+def token_ids(docs: DataFrame, path: str, vocabulary: int, end_id: int, partitions: int) -> DataFrame:
+    """IDS rows in ascending order of doc_id: `part` numbers the range partition, `start` counts the ids before the row in it.
+
+    Texts are encoded where they are read, and only the ids are shuffled. The range bounds are quantiles of doc_id
+    alone. The last row of a part holds the counts of its ids, so nobody has to decode them again to count.
+    """
+    wide = vocabulary > 1 << 16
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = word_encoder(path), TaskContext.get().partitionId()
-        end = struct.pack("<I", end_id)
+        encoder, end = word_encoder(path), struct.pack("<I", end_id)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                doc_ids, texts = batch.column(0)[at : at + 512], batch.column(1)[at : at + 512]
+                # A null doc_id comes first.
+                part = np.searchsorted(bounds, pc.fill_null(doc_ids, LEAST).to_numpy(zero_copy_only=False))
+                ids = [_narrow(encoder.encode(t or "") + end, wide) for t in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc_ids, pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        total = np.zeros(vocabulary, np.int64)
         seq = start = held = 0
         doc_ids: list[int] = []
         lengths: list[int] = []
         parts: list[bytes] = []
+        waiting: list | None = None
+
+        def row(values: list, counts: bytes | None) -> pa.RecordBatch:
+            types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.binary()] * 2
+            names = [x.split()[0] for x in IDS.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([*values, counts], types)], names=names)
 
-        def row() -> pa.RecordBatch:
-            data = [[part], [seq], [start], [doc_ids], [lengths], [_pack(b"".join(parts))]]
-            types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(data, types)], names=["part", "seq", "start", "doc_ids", "lengths", "ids"])
+        def block() -> list:
+            ids = np.frombuffer(b"".join(parts), "<u4" if wide else "<u2")
+            total[:] += np.bincount(ids, minlength=vocabulary)
+            return [part, seq, start, doc_ids, lengths, _pack(ids.astype("<u4").tobytes())]
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.encode(text or "") + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 doc_ids.append(doc_id)
-                lengths.append(len(ids) // 4)
+                lengths.append(len(ids) // (4 if wide else 2))
                 parts.append(ids)
                 held += lengths[-1]
                 if held >= BLOCK_IDS:
-                    yield row()
+                    if waiting:
+                        yield row(waiting, None)
+                    waiting = block()
                     seq, start, held = seq + 1, start + held, 0
                     doc_ids, lengths, parts = [], [], []
         if doc_ids:
-            yield row()
+            if waiting:
+                yield row(waiting, None)
+            waiting = block()
+        if waiting:
+            yield row(waiting, _pack(total.tobytes()))
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(encode, IDS)
+    shares = [k / partitions for k in range(1, partitions)]
+    found = docs.agg(F.percentile_approx("doc_id", F.lit(shares), 20 * partitions)).first()[0] if shares else None
+    bounds = np.unique(np.array(found or [], np.int64))  # fewer than partitions
+    encoded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "part int, doc_id long, ids binary")
+    ordered = encoded.repartitionById(partitions, "part").sortWithinPartitions("doc_id", "ids")
+    return ordered.select("doc_id", "ids").mapInArrow(blocks, IDS)
 
 
-def frequencies(ids: DataFrame, size: int) -> np.ndarray:
-    """How often each of `size` ids occurs in all rows; the result is bounded by the vocabulary."""
+def frequencies(ids: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each id occurs in all rows; the result is bounded by the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for data in batch.column(0):
-                total += np.bincount(_unpack(data.as_py()), minlength=size)
+                total += _unpack(data.as_py()).view("<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
-    counts = np.zeros(size, np.int64)
-    for i, n in ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).toLocalIterator():
+    counts = np.zeros(vocabulary, np.int64)
+    for i, n in ids.where("counts IS NOT NULL").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).toLocalIterator():
         counts[i] = n
     return counts
 
@@ -275,8 +313,7 @@ def frequencies(ids: DataFrame, size: int) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int, partitions: int) -> None:
     """Encodes all texts and writes the folder `path` in the file format of this module."""
     spark = docs.sparkSession
-    ids = materialise(token_ids(docs, tokenizer, end_id, partitions), "rans-ids", compression="none")
-    release_shuffles(spark)
+    ids = materialise(token_ids(docs, tokenizer, vocabulary, end_id, partitions), "rans-ids", compression="none")
     freq = quantise(frequencies(ids, vocabulary))
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id int, freq int").coalesce(1).write.parquet(f"{path}/table")
     # Ids before each range partition; one row a partition.
@@ -285,24 +322,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(freq)
+        names = [x.split()[0] for x in BLOCKS.split(", ")]
         for batch in batches:
-            part, start = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            first = pa.array([before[p] + s for p, s in zip(part, start)], pa.int64())
-            payload = pa.array([codec.encode(_unpack(x.as_py())) for x in batch.column(5)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first, batch.column(3), batch.column(4), payload], names=["part", "seq", "first", "doc_ids", "lengths", "payload"])
-
-    _small_batches(spark, lambda: ids.mapInArrow(encode, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks"))
-
-
-def _small_batches(spark: SparkSession, action):
-    """Runs action with few rows an Arrow batch: rows are whole blocks."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    had = spark.conf.get(key)
-    spark.conf.set(key, "8")
-    try:
-        return action()
-    finally:
-        spark.conf.set(key, had)
+            for at in range(batch.num_rows):
+                part, seq, start, doc_ids, lengths, data = (c[at : at + 1] for c in batch.columns)
+                first = before[part[0].as_py()] + start[0].as_py()
+                payload = codec.encode(_unpack(data[0].as_py()))
+                yield pa.RecordBatch.from_arrays([part, seq, pa.array([first], pa.int64()), doc_ids, lengths, pa.array([payload], pa.binary())], names=names)
+
+    ids.drop("counts").mapInArrow(encode, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_table(spark: SparkSession, path: str, vocabulary: int) -> np.ndarray:

@@ -97,3 +97,17 @@ def test_rans_files_give_the_library_ids(docs, odd_texts, no_docs):
         start += len(ids)
     assert got == want
     assert rans.write_and_read(no_docs, WORDS, 49_408, 2, 3).count() == 0
+
+
+def test_rans_files_with_null_and_repeated_doc_ids(spark):
+    library = Tokenizer.from_file(WORDS)
+    rows = [(7, "some words"), (None, "null one"), (7, "other"), (None, None), (2, "two"), (7, "other"), (-5, "minus")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in rans.write_and_read(docs, WORDS, 49_408, 2, 5).orderBy("start").collect()]
+    coded = [(i, np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u2").tobytes()) for i, t in rows]
+    want, start = [], 0
+    for i, data in sorted(coded, key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        ids = np.frombuffer(data, "<u2").astype("<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == want
