@@ -4,15 +4,18 @@ Fingerprints (64 bits over XXH64 of word shingles) link at DISTANCE or fewer dif
 are the connected documents. Work goes in steps, each a Spark job over all fingerprints:
 
 1. Equal fingerprints collapse to one node, named by its smallest doc_id.
-2. Pigeonhole: of BLOCKS bit blocks at least BLOCKS - DISTANCE agree in a linked pair, so nodes are
-   grouped by each choice of that many blocks. A group of more than TILE nodes is cut by the rest of
-   its Gray order into tiles, and each pair of tiles is one task, so no task holds an unbounded group.
-3. In a group, nodes are sorted by Gray rank and built into a hierarchy: each upper node keeps the bits
-   that all fingerprints below it share (mask and pattern). A search goes down from the top, adds up
-   the differences in the bits that become known, and drops a whole group when the sum passes
-   DISTANCE, or when its members are known to be connected with the searching one.
-4. Each group gives a spanning forest (at most one edge a node), never all pairs.
-5. Components by alternating large-star and small-star steps over the edges, cut by written tables.
+2. Pigeonhole: linked fingerprints agree on some choice of whole bit blocks (BLOCKS), so nodes are grouped by
+   each choice. More nodes take choices of more bits; this changes the size of the groups, never the links.
+3. The groups of a task are sorted by Gray rank into runs under one hierarchical index: each upper node keeps
+   the bits that all fingerprints below it share (mask and pattern), the blocks of a run highest. Every
+   fingerprint goes down from the top, adds up the differences in the bits that become known, and drops a
+   whole node when the sum passes DISTANCE, when a shared block bit differs, or when all below it is already
+   connected with the searching one. All links come from this search.
+4. A group of more than TILE nodes is spread over range partitions of its Gray order and cut into tiles, each
+   searched as above. Then the tiles' shared bits are upper nodes in a table: a fingerprint is sent to a later
+   tile of its group only if the differences allow and the tile isn't already connected with it.
+5. Searches give a spanning forest (at most one edge a row), never all pairs. Components by alternating
+   large-star and small-star steps over the edges, cut by written tables.
 
 Null text and text without words have fingerprint zero and link like any other. doc_id names a document:
 rows that repeat a doc_id are linked through it. No documents give no rows.
@@ -26,17 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cytolake.llm.common import free_name, materialise, text_udf
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: 64 bits in 6 blocks: linked fingerprints agree on 2 of them at least (15 choices, 20 to 22 bits each).
-BLOCKS = (11, 11, 11, 11, 10, 10)
-#: Most nodes of a tile, leaf width and fan-out of the hierarchy, and searches that go down at once.
-TILE, LEAF, FAN, AT_ONCE = 2048, 8, 8, 256
-#: Groups of up to this many nodes are compared row by row, many groups at once.
-SMALL = 12
+#: Widths of bit blocks, by the most nodes they serve. Of DISTANCE + k blocks, k agree at least in a linked pair.
+BLOCKS = ((1 << 21, (13, 13, 13, 13, 12)), (1 << 30, (11, 11, 11, 11, 10, 10)), (1 << 63, (10, 9, 9, 9, 9, 9, 9)))
+#: Most nodes of a tile, rows under one index, leaf width and fan-out of the index, and searches that go down at once.
+TILE, CHUNK, LEAF, FAN, AT_ONCE = 2048, 32_768, 8, 8, 512
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -121,135 +123,159 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _roots(parent)
 
 
-def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= DISTANCE
+def connect(fps: np.ndarray, group: np.ndarray, block: int, searching: np.ndarray | None = None) -> np.ndarray:
+    """For each row a row that it is connected with through links, the same one for all rows so connected.
 
-
-def connect(fps: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
-    """For each of the distinct fps the index of the smallest one connected with it through links among them.
-
-    first: where given, marks one side, and only links between the sides need be found.
+    Rows of a group agree on the bits of `block`, and links between groups need not be found (those found are
+    links all the same). searching: marks the rows that search, if not all do.
     """
     n = len(fps)
-    order = np.argsort(gray_rank(fps), kind="stable")
-    fps = fps[order]
+    order = np.lexsort((gray_rank(fps), group))
+    index = Hierarchy(fps[order])
     parent = np.arange(n)
-    # Neighbours in the Gray order of each rotation: joins most of a dense group before the search.
-    for turn in range(0, 64, 8):
-        turned = (fps << np.uint64(turn)) | (fps >> np.uint64(64 - turn)) if turn else fps
-        at = np.argsort(gray_rank(turned), kind="stable")
-        near = _close(fps[at[1:]], fps[at[:-1]])
-        parent = _union(parent, at[1:][near], at[:-1][near])
-    index = Hierarchy(fps)
-    searches = np.arange(n) if first is None else np.flatnonzero(first[order])
+    searches = np.arange(n) if searching is None else np.flatnonzero(searching[order])
     for begin in range(0, len(searches), AT_ONCE):
-        parent = _search(index, parent, searches[begin : begin + AT_ONCE])
+        parent = _search(index, parent, searches[begin : begin + AT_ONCE], np.uint64(block))
     out = np.empty(n, np.int64)
-    # Back to the order given, with the smallest index of each tree as its name.
-    smallest = np.full(n, n, np.int64)
-    np.minimum.at(smallest, parent, order)
-    out[order] = smallest[parent]
+    out[order] = order[parent]
     return out
 
 
-def _search(index: Hierarchy, parent: np.ndarray, searches: np.ndarray) -> np.ndarray:
+def _search(index: Hierarchy, parent: np.ndarray, searches: np.ndarray, block: np.uint64) -> np.ndarray:
     fps, settled, top = index.fps, index.settled(parent), len(index.levels) - 1
     mask, pattern = index.levels[top]
     q = np.repeat(searches, len(mask))
     node = np.tile(np.arange(len(mask)), len(searches))
-    sums = np.bitwise_count((fps[q] ^ pattern[node]) & mask[node]).astype(np.int64)
+    new = (fps[q] ^ pattern[node]) & mask[node]
+    sums = np.bitwise_count(new).astype(np.int64)
+    keep = (new & block) == 0
     for level in range(top, -1, -1):
-        keep = (sums <= DISTANCE) & (settled[level][node] != parent[q])
+        keep &= (sums <= DISTANCE) & (settled[level][node] != parent[q])
         q, node, sums = q[keep], node[keep], sums[keep]
         width, below = (FAN, len(index.levels[level - 1][0])) if level else (LEAF, len(fps))
         child = (node[:, None] * width + np.arange(width)).ravel()
         q, up, sums = np.repeat(q, width), np.repeat(node, width), np.repeat(sums, width)
         there = child < below
         q, up, sums, child = q[there], up[there], sums[there], child[there]
-        known = index.levels[level][0][up]
+        unknown = ~index.levels[level][0][up]
         if level:
             mask, pattern = index.levels[level - 1]
-            sums = sums + np.bitwise_count((fps[q] ^ pattern[child]) & mask[child] & ~known)
+            new = (fps[q] ^ pattern[child]) & mask[child] & unknown
+            sums = sums + np.bitwise_count(new)
+            keep = (new & block) == 0
         else:
-            linked = sums + np.bitwise_count((fps[q] ^ fps[child]) & ~known) <= DISTANCE
+            linked = sums + np.bitwise_count((fps[q] ^ fps[child]) & unknown) <= DISTANCE
             linked &= parent[q] != parent[child]
             parent = _union(parent, q[linked], child[linked])
         node = child
     return parent
 
 
-def _block_masks() -> list[int]:
-    masks, at = [], 0
-    for width in BLOCKS:
-        masks.append(((1 << width) - 1) << at)
-        at += width
-    return masks
-
-
-def _choice_masks() -> list[int]:
-    """The bits that each choice of agreeing blocks keeps, as signed longs."""
-    agree = len(BLOCKS) - DISTANCE
-    masks = [sum(c) for c in itertools.combinations(_block_masks(), agree)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
-def _forest(key: np.ndarray, two_tiles: np.ndarray, side: np.ndarray, fps: np.ndarray) -> np.ndarray:
-    """For rows sorted into groups (key: group number) the row of the same group that each is tied to, itself at a root."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    parent = np.arange(len(key))
-    few = np.repeat((sizes <= SMALL) & (sizes > 1), sizes) & ~two_tiles
-    at = np.flatnonzero(few)
-    for gap in range(1, min(SMALL, int(sizes.max(initial=0)))):
-        # Rows a gap apart, in all small groups at once.
-        a, b = at[:-gap], at[gap:]
-        near = (key[a] == key[b]) & _close(fps[a], fps[b])
-        parent = _union(parent, b[near], a[near])
-    for k in np.flatnonzero((sizes > SMALL) | (two_tiles[starts] & (sizes > 1))):
-        rows = slice(starts[k], starts[k] + sizes[k])
-        parent[rows] = starts[k] + connect(fps[rows], side[rows] == 1 if two_tiles[starts[k]] else None)
-    return parent
+def choice_masks(nodes: int) -> list[int]:
+    """The bits that each choice of agreeing blocks keeps, for so many nodes."""
+    widths = next(w for most, w in BLOCKS if nodes <= most)
+    ends = np.cumsum(widths).tolist()
+    blocks = [((1 << w) - 1) << (e - w) for w, e in zip(widths, ends)]
+    return [sum(c) for c in itertools.combinations(blocks, len(widths) - DISTANCE)]
+
+
+def _long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of rows that come sorted by their first `keys` columns, cut between groups, about CHUNK rows at once."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+        size += batch.num_rows
+        if size >= CHUNK:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            differs = np.flatnonzero(np.any([c[:-1] != c[-1] for c in columns[:keys]], axis=0))
+            cut = differs[-1] + 1 if len(differs) else 0
+            if cut:
+                yield [c[:cut] for c in columns]
+            held, size = [[c[cut:] for c in columns]], size - cut
+    if size:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _edges(ids: np.ndarray, to: np.ndarray) -> pa.RecordBatch:
+    own = to != np.arange(len(to))
+    return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[to[own]])], names=["a", "b"])
+
+
+def _gray(fp: Column) -> Column:
+    """The Gray rank as a long that sorts like the unsigned rank."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes (id, fp), fp distinct: a spanning forest of the links of each group."""
-    tagged = F.explode(F.array(*[F.struct(F.lit(c).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for c, m in enumerate(_choice_masks())])).alias("key")
-    keyed = nodes.select("id", "fp", tagged).select("id", "fp", "key.choice", "key.bits")
-    large = materialise(keyed.groupBy("choice", "bits").count().where(F.col("count") > TILE), "simhash-large")
-    group, row = ["choice", "bits", "left", "right"], ["side", "id", "fp"]
-    none = F.lit(0)
+    """Edges (a, b) between nodes (id, fp), fp distinct, that connect what their links connect."""
+    masks = choice_masks(nodes.count())
+    choices = F.explode(F.array(*[F.struct(F.lit(c).alias("choice"), F.col("fp").bitwiseAND(F.lit(_long(m))).alias("bits")) for c, m in enumerate(masks)]))
+    keyed = nodes.select("id", "fp", choices.alias("key")).select("key.choice", "key.bits", "id", "fp")
+    large = materialise(keyed.groupBy("choice", "bits").count().where(F.col("count") > TILE).drop("count"), "simhash-large")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for choice, bits, ids, fps in _whole_groups(batches, 2):
+            for c in np.unique(choice):
+                at = choice == c
+                yield _edges(ids[at], connect(fps[at].view(np.uint64), bits[at], masks[c]))
+
+    group = ["choice", "bits"]
     if large.isEmpty():
-        parts = keyed.select("choice", "bits", none.alias("left"), none.alias("right"), none.alias("side"), "id", "fp")
-    else:
-        # A large group goes into ceil(n / TILE) tiles by hash, and every pair of tiles is compared on its own.
-        sized = keyed.join(large, ["choice", "bits"], "left").withColumn("tiles", F.coalesce(F.ceil(F.col("count") / TILE), F.lit(1)).cast("int"))
-        own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-        pairs = F.explode(F.transform(F.sequence(none, F.col("tiles") - 1), lambda other: F.struct(F.least("own", other).alias("left"), F.greatest("own", other).alias("right"))))
-        parts = sized.withColumn("own", own).withColumn("pair", pairs).select("choice", "bits", "pair.left", "pair.right", (F.col("own") == F.col("pair.left")).cast("int").alias("side"), "id", "fp")
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group; the last group of a batch waits for the next batch."""
-        held: list[np.ndarray] | None = None
-
-        def out(x: list[np.ndarray]) -> pa.RecordBatch:
-            choice, bits, left, right, side, ids, fps = x
-            new = (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
-            to = _forest(np.r_[0, np.cumsum(new)], left != right, side, fps.view(np.uint64))
-            own = to != np.arange(len(to))
-            return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[to[own]])], names=["a", "b"])
+        return keyed.repartition(*group).sortWithinPartitions(*group).mapInArrow(search, "a long, b long")
+    small = keyed.join(large, group, "left_anti").repartition(*group).sortWithinPartitions(*group).mapInArrow(search, "a long, b long")
+    return large_links(keyed.join(large, group, "left_semi"), materialise(small, "simhash-small"), masks)
 
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            held = columns if held is None else [np.concatenate(c) for c in zip(held, columns)]
-            last = np.flatnonzero(np.any([c[:-1] != c[-1] for c in held[:4]], axis=0))
-            cut = last[-1] + 1 if len(last) else 0
-            if cut:
-                yield out([c[:cut] for c in held])
-                held = [c[cut:] for c in held]
-        if held is not None and len(held[0]):
-            yield out(held)
 
-    return parts.repartition(*group).sortWithinPartitions(*group).select(*group, *row).mapInArrow(edges, "a long, b long")
+def large_links(keyed: DataFrame, edges: DataFrame, masks: list[int]) -> DataFrame:
+    """edges, and those inside the groups of keyed (choice, bits, id, fp), which may be of any size."""
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cuts rows in Gray order into tiles of one group."""
+        part, first = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            choice, bits, ids, fps = (c.to_numpy().astype(np.int64) for c in batch.columns)
+            begins = np.r_[True, (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])] if len(ids) else np.zeros(0, bool)
+            begins[::TILE] = True
+            number = first + np.cumsum(begins)
+            first = int(number[-1]) if len(ids) else first
+            to = np.arange(len(ids))
+            for c in np.unique(choice):
+                at = np.flatnonzero(choice == c)
+                to[at] = at[connect(fps[at].view(np.uint64), number[at], masks[c])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (choice, bits, part + number, ids, fps, ids[to])], names=["choice", "bits", "tile", "id", "fp", "root"])
+
+    ranked = keyed.withColumn("gray", _gray(F.col("fp"))).repartitionByRange("choice", "bits", "gray").sortWithinPartitions("choice", "bits", "gray")
+    rows = materialise(ranked.select("choice", "bits", "id", "fp").mapInArrow(tile, "choice long, bits long, tile long, id long, fp long, root long"), "simhash-tiles")
+    edges = edges.unionByName(rows.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    # What is connected so far; a tile is split into its largest component and the rest, each with its shared bits.
+    known = rows.join(components(edges), "id", "left").withColumn("component", F.coalesce("component", "id")).drop("root")
+    known = materialise(known.join(known.groupBy("tile").agg(F.mode("component").alias("most")), "tile").withColumn("main", F.col("component") == F.col("most")).drop("most"), "simhash-known")
+    part = ["tile", "main"]
+    upper = known.groupBy("choice", "bits", *part).agg(F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any"), F.min("component").alias("low"), F.max("component").alias("high"))
+    upper = upper.select("choice", "bits", *part, F.bitwise_not(F.col("all").bitwiseXOR(F.col("any"))).alias("mask"), F.col("all").alias("pattern"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("settled"))
+    differences = F.bit_count(F.col("fp").bitwiseXOR(F.col("pattern")).bitwiseAND(F.col("mask")))
+    asking = known.select("choice", "bits", F.col("tile").alias("from"), "id", "fp", "component").join(upper, ["choice", "bits"])
+    asking = asking.where((F.col("from") < F.col("tile")) & (differences <= DISTANCE) & (F.col("settled").isNull() | (F.col("settled") != F.col("component"))))
+    pair, row = ["choice", "from", *part], ["side", "id", "fp"]
+    asking = materialise(asking.select(*pair, F.lit(1).alias("side"), "id", "fp"), "simhash-asking")
+    asked = asking.select(*pair).distinct().join(known.select(*part, F.lit(0).alias("side"), "id", "fp"), part).select(*pair, *row)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for choice, tile_from, tile_to, main, side, ids, fps in _whole_groups(batches, 4):
+            group = np.cumsum(np.r_[0, (tile_from[1:] != tile_from[:-1]) | (tile_to[1:] != tile_to[:-1]) | (main[1:] != main[:-1])])
+            for c in np.unique(choice):
+                at = choice == c
+                yield _edges(ids[at], connect(fps[at].view(np.uint64), group[at], masks[c], side[at] == 1))
+
+    both = asking.unionByName(asked).repartition(*pair).sortWithinPartitions(*pair)
+    return edges.unionByName(both.mapInArrow(search, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:

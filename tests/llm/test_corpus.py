@@ -48,19 +48,24 @@ def test_near_duplicates_of_odd_documents(docs, odd_texts, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("tile", [8, 2048])
-def test_links_of_dense_groups_in_tiles(spark, monkeypatch, tile):
-    monkeypatch.setattr(simhash, "TILE", tile)
-    rng = np.random.default_rng(2)
-    fps = {int(rng.integers(0, 2**63))}
-    for _ in range(150):
+def dense(seed, size, centres=1):
+    """Fingerprints in chains of near ones around some centres, and some far from all."""
+    rng = np.random.default_rng(seed)
+    fps = {int(x) for x in rng.integers(0, 2**63, centres)}
+    while len(fps) < size:
         f = list(fps)[rng.integers(len(fps))]
-        for b in rng.integers(0, 64, rng.integers(1, 6)):
+        for b in rng.integers(0, 64, rng.integers(1, 7)):
             f ^= 1 << int(b)
         fps.add(f)
-    fps = sorted(fps)
-    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    nodes = spark.createDataFrame(list(enumerate(signed)), "id long, fp long")
+    return sorted(fps | {int(x) for x in rng.integers(0, 2**63, size // 4)})
+
+
+@pytest.mark.parametrize("tile, most", [(8, 1 << 21), (40, 1 << 21), (2048, 1 << 21), (2048, 0)])
+def test_links_of_dense_groups_in_tiles(spark, monkeypatch, tile, most):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "BLOCKS", ((most, simhash.BLOCKS[0][1]), *simhash.BLOCKS[1:]))
+    fps = dense(2, 150, 3)
+    nodes = spark.createDataFrame([(i, simhash._long(f)) for i, f in enumerate(fps)], "id long, fp long")
     got = dict(map(tuple, simhash.components(simhash.links(nodes)).collect()))
     want = brute_components(range(len(fps)), fps)
     assert {i: got.get(i, i) for i in want} == want
@@ -70,9 +75,26 @@ def test_hierarchy_prunes_but_loses_nothing():
     rng = np.random.default_rng(4)
     centres = rng.integers(0, 2**63, 20, dtype=np.uint64)
     fps = np.unique(np.concatenate([centres ^ (np.uint64(1) << rng.integers(0, 64, 20, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 20, dtype=np.uint64)) for _ in range(40)]))
-    got = simhash.connect(fps)
+    got = simhash.connect(fps, np.zeros(len(fps), np.int64), 0)
     want = brute_components(range(len(fps)), [int(f) for f in fps])
-    assert {i: int(x) for i, x in enumerate(got)} == want
+    assert len(set(want.values())) == len(set(got.tolist())) and all(got[i] == got[c] for i, c in want.items())
+
+
+def test_all_links_come_from_the_search(monkeypatch):
+    fps = np.array(dense(5, 400), np.uint64)
+    group = (fps & np.uint64(3)).astype(np.int64)
+    found = simhash.connect(fps, group, 3)
+    for g in range(4):
+        at = np.flatnonzero(group == g)
+        want = brute_components(at.tolist(), [int(f) for f in fps[at]])
+        assert all(found[i] == found[c] for i, c in want.items())
+    near = lambda a, b: int(fps[a] ^ fps[b]).bit_count() <= 4
+    trees = {r: np.flatnonzero(found == r).tolist() for r in set(found.tolist())}
+    for members in trees.values():  # nothing is tied together without links
+        assert len(set(brute_components(members, [int(fps[m]) for m in members]).values())) == 1
+    assert any(near(a, b) for a in range(40) for b in range(a))
+    monkeypatch.setattr(simhash, "_search", lambda index, parent, searches, block: parent)
+    assert (simhash.connect(fps, group, 3) == np.arange(len(fps))).all()
 
 
 BENCH = "the quick brown fox jumps over the lazy dog while seven wizards quietly brew strong tea for nobody at all today"
