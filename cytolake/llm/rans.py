@@ -38,6 +38,8 @@ LEAST = -(1 << 63)
 HEADER, SEGMENT = struct.Struct("<4sIIIII"), struct.Struct("<II")
 #: Entries of the per-worker caches of chunks and words, and the longest entry.
 CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 40
+#: Texts whose chunks are looked up together.
+AT_ONCE = 4096
 
 IDS = "part long, seq long, start long, doc_ids array<long>, lengths array<long>, ids binary, counts binary"
 BLOCKS = "part long, seq long, first long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -138,7 +140,8 @@ class Codec:
         return ids
 
 
-_CONTROLS = re.compile("[\x1c-\x1f]")
+#: White space beyond that of ASCII, controls that Python takes for white space, and a letter whose lower case depends on its place.
+_RARE = re.compile("[Σ\x1c-\x1f" + "".join(c for c in SPACE if c > "\x7f") + "]")
 _CHUNK = re.compile(f"[^{SPACE}]+")
 
 
@@ -164,7 +167,7 @@ class WordEncoder:
         """The pre-tokens of a chunk; most are letters alone, or with one mark at the end, and need no pattern."""
         if chunk.isalpha():
             return [chunk]
-        if chunk[-1] in ".,;:?" and chunk[:-1].isalpha():
+        if chunk and chunk[-1] in ".,;:?" and chunk[:-1].isalpha():
             return [chunk[:-1], chunk[-1]]
         return self.split.findall(chunk)
 
@@ -182,26 +185,41 @@ class WordEncoder:
             words.clear()
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids as packed unsigned 32-bit integers. Chunks are independent: white space never joins the parts of a token."""
-        lower = text.lower()
-        # Lower-case keys are enough where the library's normaliser does nothing else.
-        plain = "<|" not in text and "Σ" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower))
-        chunks = (lower.split() if not _CONTROLS.search(text) else _CHUNK.findall(lower)) if plain else _CHUNK.findall(text)
-        cache = self.chunks if plain else {}
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct lower-cased chunks."""
+        cache = self.chunks
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
         found = list(map(cache.get, chunks))
-        missing: list[str] = []
         if None in found:
-            missing = list({c for c, x in zip(chunks, found) if x is None})
-            cache.update(self._learn(missing, plain))
-            found = [cache[c] for c in chunks]
-        out = b"".join(found)
-        for c in missing:
-            if len(c) > CACHE_CHARS:
-                del cache[c]
-        return out
+            missing = [c for c, x in zip(chunks, found) if x is None]
+            learned = self._learn(missing, True)
+            cache.update((c, x) for c, x in learned.items() if len(c) <= CACHE_CHARS)
+            found = [learned[c] if x is None else x for c, x in zip(chunks, found)]
+        return found
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Chunks are independent: white space never joins the parts of a token."""
+        lowered, others = [], {}
+        for k, text in enumerate(texts):
+            lower = text.lower()
+            # Lower-case keys are enough where the library's normaliser does nothing else.
+            plain = "<|" not in text and not _RARE.search(text) and (text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower))
+            lowered.append(lower if plain else "")
+            if not plain:
+                others[k] = np.frombuffer(b"".join(self._encoded(_CHUNK.findall(text))), "<u4")
+        cut = pc.ascii_split_whitespace(pa.array(lowered, pa.large_string()))
+        # Each distinct chunk is looked up once.
+        coded = cut.flatten().dictionary_encode()
+        found = self._known(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        codes = coded.indices.to_numpy()
+        lengths, starts = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+        ends = np.cumsum(lengths)
+        places = np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        ids = np.frombuffer(b"".join(found), "<u4")[places]
+        bounds = np.r_[0, ends][cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
+        return [others.get(k, ids[x:y]) for k, (x, y) in enumerate(zip(bounds, bounds[1:]))]
 
 
 @functools.lru_cache(2)
@@ -224,11 +242,6 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view("<u4")
 
 
-def _narrow(ids: bytes, wide: bool) -> bytes:
-    """Ids of 16 bits where the vocabulary allows."""
-    return ids if wide else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-
-
 def token_ids(docs: DataFrame, path: str, vocabulary: int, end_id: int, partitions: int) -> DataFrame:
     """IDS rows in ascending order of doc_id: `part` numbers the range partition, `start` counts the ids before the row in it.
 
@@ -238,13 +251,13 @@ def token_ids(docs: DataFrame, path: str, vocabulary: int, end_id: int, partitio
     wide = vocabulary > 1 << 16
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = word_encoder(path), struct.pack("<I", end_id)
+        encoder, end, kind = word_encoder(path), np.array([end_id]), "<u4" if wide else "<u2"
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                doc_ids, texts = batch.column(0)[at : at + 512], batch.column(1)[at : at + 512]
+            for at in range(0, batch.num_rows, AT_ONCE):
+                doc_ids, texts = batch.column(0)[at : at + AT_ONCE], batch.column(1)[at : at + AT_ONCE]
                 # A null doc_id comes first.
                 part = np.searchsorted(bounds, pc.fill_null(doc_ids, LEAST).to_numpy(zero_copy_only=False))
-                ids = [_narrow(encoder.encode(t or "") + end, wide) for t in texts.to_pylist()]
+                ids = [np.concatenate((x, end)).astype(kind).tobytes() for x in encoder.encode_all([t or "" for t in texts.to_pylist()])]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc_ids, pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
