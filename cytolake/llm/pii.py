@@ -1,19 +1,26 @@
 """PII: seed entities by fixed rules, then bootstrapped contextual extraction.
 
-Seeds are the matches of four base rules (email, ip, card, phone). The two tokens before a seed are a
-lexical pattern. A pattern is scored by the instances that it extracts over the whole corpus, and an
-instance (a token of identifier shape: at least MIN_CHARS characters with a digit or @, no word of
-letters alone) by the patterns that extract it, in turns, on a graph of distinct (pattern, instance)
-edges. Patterns of high confidence extract the unseen identifiers that follow them, as kind `id`.
-
-A pattern needs SUPPORT distinct seeds, and its confidence is the mean score of all that follows it,
-where tokens of other shapes count as 0: words that merely often stand before numbers don't pass. All
-such patterns are kept. Up to BROADCAST_PATTERNS of them are broadcast; beyond that they stay a table, to
-which what follows them is joined by a shuffle, with the same result (a bitmap of fixed size only saves
-rows that would not join).
-
-Spans are half-open in code points; discovered spans never overlap base spans. Null text counts as empty.
-Each input row gives one result row, also when a doc_id repeats.
+Seeds are the matches of four base rules (email, ip, card, phone) and, for patterns alone, long random-looking
+tokens (keys and digests). An instance is a seed or any token of identifier shape: MIN_CHARS characters or more
+with a digit or @. Each instance induces three lexical patterns, where <> is its place:
+
+    word <>    two words <>    word <> word
+
+Words are lower-cased, digits in them are slots (0), and marks at their edges and = don't count. One pass
+gathers the graph of distinct (pattern, instance) pairs of the whole corpus, a second one counts all that
+follows patterns of SUPPORT instances or more. Then patterns and instances are scored in turns:
+
+    pattern    share of instances among all that follows it, times the mean worth of its distinct instances,
+               if SUPPORT of them are trusted (worth of CONFIDENCE or more)
+    instance   1 if a seed, else 1 - product of (1 - score) over its confident patterns
+
+so what the patterns of one turn discover induces the patterns of the next. Patterns of one word need
+ONE_WORD_CONFIDENCE, as fewer words say less. Patterns that are confident after the last turn extract the identifiers that stand in their place, as kind `id`. All such patterns are kept. Up to
+BROADCAST_PATTERNS of them are broadcast; beyond that they stay a table, to which what stands in their place is
+joined by a shuffle, with the same result (a bitmap of fixed size only saves rows that would not join).
+
+Spans are half-open in code points; discovered spans never overlap base spans. Null text counts as empty, no
+documents give no patterns, texts are read whole. Each input row gives one result row, also when a doc_id repeats.
 """
 
 from __future__ import annotations
@@ -34,9 +41,13 @@ from pyspark.sql.functions import pandas_udf
 from cytolake.llm.common import free_name, materialise
 
 KINDS = ("email", "ip", "card", "phone", "id")
-SUPPORT, CONFIDENCE, ROUNDS, BROADCAST_PATTERNS, MIN_CHARS = 5, 0.7, 3, 20_000, 6
+SUPPORT, ROUNDS, BROADCAST_PATTERNS, MIN_CHARS = 5, 3, 20_000, 6
+#: Confidence that patterns need, and those of one word.
+CONFIDENCE, ONE_WORD_CONFIDENCE = 0.7, 0.95
 #: Bits of the bitmap of a table of patterns, and of a place's end in a pair of places.
 BITMAP, END_BITS = 1 << 24, 32
+#: Words of a pattern above this length stand as their digest.
+LONGEST_WORD, PLACE = 64, "<>"
 
 #: The base rules. Each begins where the rule's leftmost match begins, so no scan starts twice in a run.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -45,7 +56,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LONG_DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9]){11}")
-_TOKEN = re.compile(r"\S+")
+_TOKEN = re.compile(r"[^\s=]+")
+_IDENTIFIES = re.compile(r"[0-9@]")
+_DIGITS = re.compile(r"[0-9]+")
+#: Seeds of patterns: 32 or more characters of a key or digest.
+_RANDOM = re.compile(r"[0-9a-z+/_-]{32,}")
 _EDGE = ".,;:!?()[]{}<>\"'*#$%&|="
 
 RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -79,6 +94,8 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 def base_spans(text: str) -> list[Span]:
     """Spans of the base rules, by start, then kind; matches that fail their test are dropped."""
+    if not _IDENTIFIES.search(text):
+        return []
     out = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
@@ -100,7 +117,7 @@ def shown(spans: list[Span]) -> str:
 
 
 def _tokens(text: str) -> list[tuple[int, int, str]]:
-    """Tokens between white space without marks at their edges: start, end and text, empty ones left out."""
+    """Tokens between white space or = without marks at their edges: start, end and text, empty ones left out."""
     out = []
     for m in _TOKEN.finditer(text):
         word = m.group()
@@ -112,7 +129,11 @@ def _tokens(text: str) -> list[tuple[int, int, str]]:
 
 
 def _looks_like_id(token: str) -> bool:
-    return len(token) >= MIN_CHARS and ("@" in token or any("0" <= c <= "9" for c in token))
+    return len(token) >= MIN_CHARS and _IDENTIFIES.search(token) is not None
+
+
+def _looks_random(token: str) -> bool:
+    return _RANDOM.fullmatch(token) is not None and 4 * sum("0" <= c <= "9" for c in token) >= len(token) // 2 and not token.isdigit()
 
 
 def _lowered(text: str) -> str:
@@ -121,29 +142,75 @@ def _lowered(text: str) -> str:
     return lower if len(lower) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def _before(places: list[tuple[int, int, str]], start: int) -> str | None:
-    """The two whole tokens before the one that holds a place, of the tokens of a lower-cased text."""
-    at = bisect.bisect_right(places, start, key=lambda p: p[1])
-    return f"{places[at - 2][2]} {places[at - 1][2]}" if at > 1 else None
+def _word(token: str) -> str:
+    """A token as a word of a pattern."""
+    word = _DIGITS.sub("0", token)
+    return word if len(word) <= LONGEST_WORD else hashlib.sha256(word.encode("utf-8", "replace")).hexdigest()[:16]
+
 
+def _contexts(words: list[str], left: int, right: int) -> list[str]:
+    """The patterns of a place between the words `left` and `right`."""
+    out = []
+    if left >= 0:
+        out.append(f"{_word(words[left])} {PLACE}")
+        if left > 0:
+            out.append(f"{_word(words[left - 1])} {out[0]}")
+        if right < len(words):
+            out.append(f"{out[0]} {_word(words[right])}")
+    return out
+
+
+class _Covered:
+    """Places that spans cover."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, _, b in spans:
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
 
-def seed_patterns(docs: DataFrame) -> DataFrame:
-    """(pattern, seeds): contexts of at least SUPPORT distinct seed entities."""
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect.bisect_left(self.starts, end) - 1
+        return at >= 0 and self.ends[at] > start
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def instances(text: str, base: list[Span]) -> Iterator[tuple[int, int, bool, list[str]]]:
+    """Place, whether it is a base seed, and patterns of each instance of a text with these base spans."""
+    if not _IDENTIFIES.search(text):
+        return
+    lower = _lowered(text)
+    places = _tokens(lower)
+    starts, ends, words = [p[0] for p in places], [p[1] for p in places], [p[2] for p in places]
+    for start, _, end in base:
+        yield start, end, True, _contexts(words, bisect.bisect_right(ends, start) - 1, bisect.bisect_left(starts, end))
+    covered = _Covered(base)
+    for k, (start, end, token) in enumerate(places):
+        if _looks_like_id(token) and not covered.meets(start, end):
+            yield start, end, False, _contexts(words, k - 1, k + 1)
+
+
+def pattern_instances(docs: DataFrame) -> DataFrame:
+    """(pattern, instance, seed, n): the distinct pairs of the corpus, instances by a hash of 64 bits."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["pattern", "instance", "seed", "n"]
         for batch in batches:
-            found = set()
+            held: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                spans = base_spans(text or "")
-                places = _tokens(_lowered(text)) if spans else []
-                for start, _, end in spans:
-                    if pattern := _before(places, start):
-                        found.add((pattern, text[start:end].lower()))
-            patterns, instances = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.string()), pa.array(instances, pa.string())], names=["pattern", "instance"])
+                for start, end, base, patterns in instances(text or "", base_spans(text or "")):
+                    token = text[start:end].lower()
+                    name = xxhash.xxh64_intdigest(token.encode("utf-8", "replace"), 42) - (1 << 63)
+                    seed = base or _looks_random(token)
+                    held.update((p, name, seed) for p in patterns)
+            columns = [*(list(zip(*held)) or [()] * 3), list(held.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_(), pa.int64()))], names=names)
 
-    edges = docs.select("text").mapInArrow(contexts, "pattern string, instance string").distinct()
-    return edges.groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT)
+    found = docs.select("text").mapInArrow(pairs, "pattern string, instance long, seed boolean, n long")
+    return found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
 
 
 class _Bitmap:
@@ -170,97 +237,98 @@ def _small(patterns: DataFrame) -> Patterns:
     return sorted(r[0] for r in patterns.select("pattern").collect())
 
 
-def pattern_edges(docs: DataFrame, patterns: Patterns) -> DataFrame:
-    """(pattern, instance, seed, n): what follows the patterns in the corpus; instance null: other tokens."""
-    exact = isinstance(patterns, list)
-    wanted = docs.sparkSession.sparkContext.broadcast(_by_second(patterns) if exact else _Bitmap(patterns))
+class _Sought:
+    """Patterns by their kind, for counting what stands in their place."""
 
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                for pattern, start, end, token in _follows(text or "", wanted.value):
-                    base = {(a, b) for a, _, b in base_spans(text)} if _looks_like_id(token) or token.startswith("+") or token[0].isdigit() else ()
-                    seed = next((text[a:b].lower() for a, b in base if a <= start < b or a == start - 1), None)
-                    held[pattern, seed or (token.lower() if _looks_like_id(token) else None), seed is not None] += 1
-            rows = list(held.items())
-            columns = [[k[i] for k, _ in rows] for i in range(3)] + [[n for _, n in rows]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.int64()))], names=["pattern", "instance", "seed", "n"])
-
-    found = docs.select("text").mapInArrow(follow, "pattern string, instance string, seed boolean, n long")
-    edges = found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
-    return edges if exact else edges.join(patterns, "pattern", "left_semi")
-
-
-def _by_second(patterns: list[str]) -> dict[str, set[str]]:
-    out: dict[str, set[str]] = {}
-    for p in patterns:
-        first, second = p.split(" ")
-        out.setdefault(second, set()).add(first)
-    return out
+    def __init__(self, patterns: list[str]):
+        cut = [p.split(" ") for p in patterns]
+        self.one = {w[0] for w in cut if len(w) == 2}
+        self.two = {(w[0], w[1]) for w in cut if len(w) == 3 and w[2] == PLACE}
+        self.both = {(w[0], w[2]) for w in cut if len(w) == 3 and w[1] == PLACE}
 
+    def count(self, words: list[str], held: Counter) -> None:
+        held.update(f"{a} {PLACE}" for a in filter(self.one.__contains__, words[:-1]))
+        held.update(f"{a} {b} {PLACE}" for a, b in filter(self.two.__contains__, zip(words, words[1:-1])))
+        held.update(f"{a} {PLACE} {c}" for a, c in filter(self.both.__contains__, zip(words, words[2:])))
 
-def _follows(text: str, wanted: dict[str, set[str]] | _Bitmap) -> Iterator[tuple[str, int, int, str]]:
-    """Pattern, place and text of each token that follows a pattern."""
-    if isinstance(wanted, dict) and not wanted:
-        return
-    places = _tokens(_lowered(text))
-    if isinstance(wanted, _Bitmap):
-        for (_, _, first), (_, _, second), (start, end, _) in zip(places, places[1:], places[2:]):
-            if (pattern := f"{first} {second}") in wanted:
-                yield pattern, start, end, text[start:end]
-        return
-    for (_, _, first), (_, _, second), (start, end, _) in zip(places, places[1:], places[2:]):
-        if (firsts := wanted.get(second)) and first in firsts:
-            yield f"{first} {second}", start, end, text[start:end]
 
+class _Mapped:
+    """The same for a bitmap of patterns: these and, by chance, some others."""
 
-def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score) after `rounds` turns over the pattern-instance graph.
+    def __init__(self, bitmap: _Bitmap):
+        self.bitmap = bitmap
 
-    Instances: seeds have score 1, others 1 - product of (1 - score) over their patterns. Patterns: the mean
-    score of their distinct instances, times the share of identifier-like tokens among all that follows.
-    """
-    shares = edges.groupBy("pattern").agg(
-        F.coalesce(F.sum(F.when(F.col("instance").isNotNull(), F.col("n"))), F.lit(0)).alias("ids"), F.sum("n").alias("all"), F.count("instance").alias("instances"), F.sum(F.coalesce(F.col("seed"), F.lit(False)).cast("long")).alias("known")
-    )
-    patterns = shares.select("pattern", (F.col("ids") / F.col("all")).alias("share"), (F.col("known") / F.greatest("instances", F.lit(1))).alias("mean"))
-    graph = edges.where("instance IS NOT NULL").select("pattern", "instance", "seed")
-    scores = materialise(patterns.select("pattern", "share", (F.col("share") * F.col("mean")).alias("score")), "pii-scores")
-    for _ in range(rounds - 1):
-        missing = graph.join(scores.select("pattern", "score"), "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least("score", F.lit(0.999999)))).alias("log_missing"))
-        instances = missing.select("instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("log_missing")).alias("worth"))
-        means = graph.select("pattern", "instance").join(instances, "instance").groupBy("pattern").agg(F.avg("worth").alias("mean"))
-        scores = materialise(scores.select("pattern", "share").join(means, "pattern").select("pattern", "share", (F.col("share") * F.col("mean")).alias("score")), "pii-scores")
-    return scores.select("pattern", "score")
+    def count(self, words: list[str], held: Counter) -> None:
+        held.update(filter(self.bitmap.__contains__, (f"{a} {PLACE}" for a in words[:-1])))
+        held.update(filter(self.bitmap.__contains__, (f"{a} {b} {PLACE}" for a, b in zip(words, words[1:-1]))))
+        held.update(filter(self.bitmap.__contains__, (f"{a} {PLACE} {c}" for a, c in zip(words, words[2:]))))
+
+
+def _words(text: str) -> list[str]:
+    """The words of all tokens of a text: those of _tokens(_lowered(text)), found at once."""
+    words = [w for x in _DIGITS.sub("0", _lowered(text)).replace("=", " ").split() if (w := x.strip(_EDGE))]
+    return [_word(w) for w in words] if max(map(len, words), default=0) > LONGEST_WORD else words
+
+
+def followers(docs: DataFrame, patterns: Patterns) -> DataFrame:
+    """(pattern, followers): how many tokens of the corpus stand in the place of each pattern."""
+    exact = isinstance(patterns, list)
+    sought = docs.sparkSession.sparkContext.broadcast(_Sought(patterns) if exact else _Mapped(_Bitmap(patterns)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                sought.value.count(_words(text or ""), held)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["pattern", "followers"])
+
+    found = docs.select("text").mapInArrow(count, "pattern string, followers long").groupBy("pattern").agg(F.sum("followers").alias("followers"))
+    return found if exact else found.join(patterns, "pattern", "left_semi")
+
+
+def score_patterns(pairs: DataFrame, following: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, score) after `rounds` turns over the graph of pairs (pattern, instance, seed, n)."""
+    sizes = pairs.groupBy("pattern").agg(F.count("*").alias("size"), F.sum("n").alias("ids")).where(F.col("size") >= SUPPORT)
+    sizes = sizes.join(following, "pattern", "left").select("pattern", "size", (F.col("ids") / F.greatest("ids", F.coalesce("followers", F.lit(0)))).alias("share"))
+    # A pattern of a smaller share never reaches CONFIDENCE.
+    graph = materialise(pairs.join(sizes.where(F.col("share") >= CONFIDENCE), "pattern").select("pattern", "instance", "seed", "size", "share"), "pii-graph")
+    worth = graph.where("seed").select("instance", F.lit(1.0).alias("worth")).distinct()
+    for turn in range(rounds):
+        means = graph.join(worth, "instance").groupBy("pattern", "size", "share").agg(F.sum("worth").alias("sum"), F.count(F.when(F.col("worth") >= CONFIDENCE, 1)).alias("trusted"))
+        scores = means.where(F.col("trusted") >= SUPPORT).select("pattern", (F.col("share") * F.col("sum") / F.col("size")).alias("score"))
+        enough = F.when(F.size(F.split("pattern", " ")) > 2, CONFIDENCE).otherwise(ONE_WORD_CONFIDENCE)
+        scores = materialise(scores.where(F.col("score") >= enough), "pii-scores")
+        if turn + 1 < rounds:
+            missing = graph.join(scores, "pattern", "left").groupBy("instance").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least(F.coalesce("score", F.lit(0.0)), F.lit(0.999999)))).alias("log_missing"))
+            worth = missing.select("instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("log_missing")).alias("worth")).where("worth > 0")
+    return scores
 
 
 def learn_patterns(docs: DataFrame) -> Patterns:
     """Patterns of high confidence: a sorted list, or a table beyond BROADCAST_PATTERNS."""
-    candidates = _small(materialise(seed_patterns(docs), "pii-candidates"))
+    pairs = materialise(pattern_instances(docs), "pii-pairs")
+    candidates = _small(materialise(pairs.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= SUPPORT).select("pattern"), "pii-candidates"))
     if isinstance(candidates, list) and not candidates:
         return []
-    edges = materialise(pattern_edges(docs, candidates), "pii-edges")
-    return _small(materialise(score_patterns(edges).where(F.col("score") >= CONFIDENCE), "pii-patterns"))
+    return _small(score_patterns(pairs, followers(docs, candidates)))
 
 
-#: The patterns, or the pairs of places that follow them in this text (start and END_BITS of end).
-Wanted = dict[str, set[str]] | np.ndarray
+#: The patterns, or the pairs of places that they extract from this text (start and END_BITS of end).
+Wanted = frozenset[str] | np.ndarray
 
 
 def all_spans(text: str, wanted: Wanted) -> tuple[list[Span], list[Span]]:
     """Base spans and discovered spans."""
     base = base_spans(text)
-    more = []
-    places = ((start, end) for _, start, end, _ in _follows(text, wanted)) if isinstance(wanted, dict) else ((int(p) >> END_BITS, int(p) & ((1 << END_BITS) - 1)) for p in sorted(wanted))
-    for start, end in places:
-        if _looks_like_id(text[start:end]) and not any(a < end and start < b for a, _, b in base):
-            more.append((start, 4, end))
-    return base, more
+    if not isinstance(wanted, frozenset):
+        return base, [(int(p) >> END_BITS, 4, int(p) & ((1 << END_BITS) - 1)) for p in sorted(wanted)]
+    if not wanted:
+        return base, []
+    return base, [(start, 4, end) for start, end, seed, patterns in instances(text, base) if not seed and not wanted.isdisjoint(patterns)]
 
 
 def _placed(docs: DataFrame, patterns: Patterns) -> tuple[DataFrame, str]:
-    """docs with a column of the pairs of places that follow a pattern, by a shuffle; null where patterns are broadcast.
+    """docs with a column of the pairs of places that patterns extract, by a shuffle; null where patterns are broadcast.
 
     Equal texts have equal places, so texts are known by their digests.
     """
@@ -273,7 +341,8 @@ def _placed(docs: DataFrame, patterns: Patterns) -> tuple[DataFrame, str]:
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
-                if found := [(p, start << END_BITS | end) for p, start, end, token in _follows(text or "", wanted.value) if _looks_like_id(token)]:
+                found = [(p, start << END_BITS | end) for start, end, seed, patterns in instances(text or "", base_spans(text or "")) if not seed for p in patterns if p in wanted.value]
+                if found:
                     digest = hashlib.sha256(text.encode()).hexdigest()
                     rows += [(digest, p, place) for p, place in found]
             columns = list(zip(*rows)) or [()] * 3
@@ -294,7 +363,7 @@ def _report(text: str | None, wanted: Wanted) -> tuple:
 
 def find(docs: DataFrame, patterns: Patterns) -> DataFrame:
     """doc_id and RESULT of each row of docs."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_by_second(patterns) if isinstance(patterns, list) else {})
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(patterns if isinstance(patterns, list) else ()))
     columns = [x.split()[0] for x in RESULT.split(", ")]
 
     @pandas_udf(RESULT)
@@ -321,7 +390,7 @@ def mask(text: str | None, wanted: Wanted) -> str | None:
 
 def redact(docs: DataFrame, patterns: Patterns) -> DataFrame:
     """docs with personal data masked in text and, where there is such a column, n_chars counted anew."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_by_second(patterns) if isinstance(patterns, list) else {})
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(patterns if isinstance(patterns, list) else ()))
 
     @pandas_udf("string")
     def masked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -144,7 +144,7 @@ def test_contexts_find_unseen_identifiers_and_leave_other_text_alone(spark):
     other = [(100, "reach me at user77(at)mail today"), (101, "we met at 2024-11-28 in the hall"), (102, None)]
     docs = spark.createDataFrame(seen + other, "doc_id long, text string")
     patterns = pii.learn_patterns(docs)
-    assert "me at" in patterns
+    assert "me at <>" in patterns and "at <>" not in patterns
     got = {r.doc_id: r for r in pii.find(docs, patterns).collect()}
     assert got[100].spans == "id:12:26" and got[101].spans == "" and got[102].spans == ""
     assert got[3].n_email == 1 and got[3].base_sha256 == hashlib.sha256(got[3].spans.encode()).hexdigest()
@@ -152,12 +152,99 @@ def test_contexts_find_unseen_identifiers_and_leave_other_text_alone(spark):
     assert masked[100] == "reach me at [ID] today" and masked[3] == "some words here reach me at [EMAIL] thanks" and masked[102] is None
 
 
+def name(i):
+    return "".join("abcdefghij"[int(d)] for d in f"{i:05}")
+
+
 def test_all_contexts_are_kept_and_joined(spark):
-    lines = [f"p{i} at u{k}x{i}@m.org" for i in range(20_100) for k in range(5)]
-    texts = ["\n".join(lines[k : k + 250]) for k in range(0, len(lines), 250)] + ["x p9999 at user77(at)mail today", "q9 at user77(at)mail", None]
+    lines = [f"p{name(i)} at u{k}x{i}@m.org" for i in range(20_100) for k in range(5)] + ["we are at home"] * 30_000
+    texts = ["\n".join(lines[k : k + 250]) for k in range(0, len(lines), 250)] + [f"x p{name(9999)} at user77(at)mail today", "q at user77(at)mail", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.find(docs, pii.learn_patterns(docs)).collect()}
-    assert len(got) == len(texts) and [got[len(texts) - k] for k in (3, 2, 1)] == ["id:11:25", "", ""]
+    assert len(got) == len(texts) and [got[len(texts) - k] for k in (3, 2, 1)] == ["id:12:26", "", ""]
+
+
+def planted_identifiers(seed):
+    """Texts with identifiers of unseen shapes, in contexts that seeds share, and numbers elsewhere; and their places."""
+    rng = random.Random(seed)
+    contexts = ["my mail is {} now", "call {} please", "account number {} of", "token = \"{}\" ;", "user id: {} at", "server {} port", "reach me under {} today"]
+    seeds = [lambda: f"u{rng.randrange(10**6)}@x{rng.randrange(99)}.example.com", lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), lambda: f"{rng.getrandbits(160):040x}"]
+    unseen = [lambda: f"u{rng.randrange(10**6)}(at)host", lambda: f"ID-{rng.randrange(10**7):07}", lambda: f"{rng.randrange(10**8)}/{rng.randrange(10)}"]
+    texts, planted = [], []
+    for i in range(700):
+        k = i % len(contexts)
+        fresh = rng.random() < 0.2
+        one = rng.choice(unseen if fresh else seeds)()
+        before = prose(1000 + i, 20) + (f" in {rng.randrange(10**6, 10**7)} " if rng.random() < 0.3 else " ")
+        head, tail = contexts[k].split("{}")
+        if fresh:
+            planted.append((i, len(before + head), len(before + head + one)))
+        texts.append(before + head + one + tail + " " + prose(3000 + i, 20))
+    return texts, planted
+
+
+def brute_patterns(texts):
+    """Scores of the confident patterns after all turns, by plain loops."""
+    edges, follow = {}, {}
+    for text in texts:
+        base = pii.base_spans(text)
+        tokens = pii._tokens(text.lower())
+        words = [re.sub("[0-9]+", "0", w) for _, _, w in tokens]
+        places = [(a, b, True) for a, _, b in base] + [(a, b, False) for a, b, w in tokens if len(w) >= 6 and re.search("[0-9@]", w) and not any(x < b and a < y for x, _, y in base)]
+        for a, b, is_base in places:
+            left = [w for w, (_, end, _) in zip(words, tokens) if end <= a][-2:]
+            right = [w for w, (start, _, _) in zip(words, tokens) if start >= b][:1]
+            found = [" ".join([*left[-1:], "<>"])] * bool(left) + [" ".join([*left, "<>"])] * (len(left) > 1) + [" ".join([*left[-1:], "<>", *right])] * bool(left and right)
+            token = text[a:b].lower()
+            seed = is_base or bool(re.fullmatch("[0-9a-z+/_-]{32,}", token)) and not token.isdigit() and sum(c.isdigit() for c in token) >= 4
+            for p in found:
+                n, s = edges.get((p, token), (0, False))
+                edges[p, token] = n + 1, s or seed
+        for i in range(1, len(words)):
+            for p in [f"{words[i - 1]} <>"] + [f"{words[i - 2]} {words[i - 1]} <>"] * (i > 1) + [f"{words[i - 1]} <> {words[i + 1]}" for _ in range(i + 1 < len(words))]:
+                follow[p] = follow.get(p, 0) + 1
+    by = {}
+    for (p, token), (n, seed) in edges.items():
+        by.setdefault(p, []).append((token, n, seed))
+    worth = {t: 1.0 for (_, t), (_, seed) in edges.items() if seed}
+    for turn in range(pii.ROUNDS):
+        scores = {}
+        for p, found in by.items():
+            ids = sum(n for _, n, _ in found)
+            share = ids / max(ids, follow.get(p, 0))
+            score = share * sum(worth.get(t, 0) for t, _, _ in found) / len(found)
+            if share >= 0.7 and len(found) >= 5 and sum(worth.get(t, 0) >= 0.7 for t, _, _ in found) >= 5 and score >= (0.7 if len(p.split()) > 2 else 0.95):
+                scores[p] = score
+        worth = {}
+        for (p, t), (_, seed) in edges.items():
+            worth[t] = 1.0 if seed or worth.get(t) == 1.0 else 1 - (1 - worth.get(t, 0)) * (1 - min(scores.get(p, 0), 0.999999))
+    return scores
+
+
+def test_planted_identifiers_are_discovered_and_scores_are_those_of_plain_loops(spark):
+    texts, planted = planted_identifiers(3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    pairs = pii.pattern_instances(docs).cache()
+    candidates = sorted(r[0] for r in pairs.groupBy("pattern").count().where("count >= 5").collect())
+    got = {r.pattern: r.score for r in pii.score_patterns(pairs, pii.followers(docs, candidates)).collect()}
+    want = brute_patterns(texts)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 for p in want)
+    assert "account number <>" in got
+    spans = {(r.doc_id, *map(int, x.split(":")[1:])) for r in pii.find(docs, pii.learn_patterns(docs)).collect() for x in r.spans.split(",") if x.startswith("id:")}
+    texts_of = lambda found: {(i, texts[i][a:b]) for i, a, b in found}
+    assert len(texts_of(planted) & texts_of(spans)) >= 0.9 * len(planted)
+    secrets = {(i, x) for i, x in texts_of(spans) if re.fullmatch("[0-9a-f]{40}", x)}
+    assert len(texts_of(planted) & texts_of(spans)) >= 0.9 * len(texts_of(spans) - secrets)
+
+
+def test_discovered_instances_induce_patterns(spark):
+    texts = [f"write to me at user{i}@mail.example.com thanks" for i in range(30)]
+    texts += [f"write to me at id-{name(i)}7 thanks" for i in range(8)] + [f"badge id-{name(i)}7 shown" for i in range(8)] + ["badge id-zzzzz9 shown", "badge of honour", "room 1234567 shown"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    patterns = pii.learn_patterns(docs)
+    assert "badge <> shown" in patterns and "room <> shown" not in patterns
+    got = {r.doc_id: r.spans for r in pii.find(docs, patterns).collect()}
+    assert [got[len(texts) - k] for k in (3, 2, 1)] == ["id:6:15", "", ""]
 
 
 def test_broadcast_and_joined_patterns_agree(spark, monkeypatch):
@@ -177,4 +264,4 @@ def test_pii_keeps_columns_and_rows(docs, no_docs):
     out = pii.redact(docs, [])
     assert out.columns == docs.columns and out.count() == docs.count()
     assert "@" not in "".join(r.text or "" for r in out.where("doc_id = 12").collect())
-    assert pii.find(no_docs, []).count() == 0
+    assert pii.find(no_docs, []).count() == 0 and pii.learn_patterns(no_docs) == []
