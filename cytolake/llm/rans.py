@@ -14,6 +14,7 @@ bytes; repeated rows stay. Texts of any length are one document of a block. No d
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
@@ -38,8 +39,6 @@ LEAST = -(1 << 63)
 HEADER, SEGMENT = struct.Struct("<4sIIIII"), struct.Struct("<II")
 #: Entries of the per-worker caches of chunks and words, and the longest entry.
 CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 40
-#: Texts whose chunks are looked up together.
-AT_ONCE = 4096
 
 IDS = "part long, seq long, start long, doc_ids array<long>, lengths array<long>, ids binary, counts binary"
 BLOCKS = "part long, seq long, first long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -140,8 +139,8 @@ class Codec:
         return ids
 
 
-#: White space beyond that of ASCII, controls that Python takes for white space, and a letter whose lower case depends on its place.
-_RARE = re.compile("[Σ\x1c-\x1f" + "".join(c for c in SPACE if c > "\x7f") + "]")
+#: The start of special tokens, controls that Python takes for white space, and a letter whose lower case depends on its place.
+ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "Σ")
 _CHUNK = re.compile(f"[^{SPACE}]+")
 
 
@@ -152,9 +151,14 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        # The library's model without its own small cache; the caches here replace it.
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.model = BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"])
         self.map = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -171,55 +175,39 @@ class WordEncoder:
             return [chunk[:-1], chunk[-1]]
         return self.split.findall(chunk)
 
-    def _learn(self, chunks: list[str], plain: bool) -> dict[str, bytes]:
-        if not plain:
-            return dict(zip(chunks, self._encoded(chunks)))
-        parts = [self._parts(c) for c in chunks]
-        words = self.words
-        tokenize, mapped = self.model.tokenize, self.map
-        for w in {w for p in parts for w in p}.difference(words):
-            # What the library does with a pre-token: bytes to characters, then its BPE model.
-            words[w] = array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(mapped))]).tobytes()
-        out = {c: b"".join([words[w] for w in p]) for c, p in zip(chunks, parts)}
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of lower-cased chunks by their words."""
+        words, tokenize, out = self.words, self.model.tokenize, {}
+        for chunk in chunks:
+            parts = []
+            for w in self._parts(chunk):
+                ids = words.get(w)
+                if ids is None:
+                    # What the library does with a pre-token: bytes to characters (ASCII marks and letters stay), then its BPE model.
+                    mapped = w if w.isascii() else w.encode().decode("latin-1").translate(self.map)
+                    ids = words[w] = array("I", [t.id for t in tokenize(mapped)]).tobytes()
+                parts.append(ids)
+            out[chunk] = parts[0] if len(parts) == 1 else b"".join(parts)
         if len(words) > CACHE_ENTRIES:
             words.clear()
         return out
 
-    def _known(self, chunks: list[str]) -> list[bytes]:
-        """The ids of distinct lower-cased chunks."""
-        cache = self.chunks
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
+    def encode(self, text: str) -> bytes:
+        """Ids as packed unsigned 32-bit integers. Chunks are independent: white space never joins the parts of a token."""
+        lower = text.lower()
+        # Lower-case keys are enough where the library's normaliser does nothing else.
+        plain = not any(x in text for x in ODD) and (text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower))
+        if not plain:
+            return b"".join(self._encoded(_CHUNK.findall(text)))
+        chunks, cache = lower.split(), self.chunks
         found = list(map(cache.get, chunks))
         if None in found:
-            missing = [c for c, x in zip(chunks, found) if x is None]
-            learned = self._learn(missing, True)
+            if len(cache) > CACHE_ENTRIES:
+                cache.clear()
+            learned = self._learn(list({c for c, x in zip(chunks, found) if x is None}))
             cache.update((c, x) for c, x in learned.items() if len(c) <= CACHE_CHARS)
             found = [learned[c] if x is None else x for c, x in zip(chunks, found)]
-        return found
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Chunks are independent: white space never joins the parts of a token."""
-        lowered, others = [], {}
-        for k, text in enumerate(texts):
-            lower = text.lower()
-            # Lower-case keys are enough where the library's normaliser does nothing else.
-            plain = "<|" not in text and not _RARE.search(text) and (text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower))
-            lowered.append(lower if plain else "")
-            if not plain:
-                others[k] = np.frombuffer(b"".join(self._encoded(_CHUNK.findall(text))), "<u4")
-        cut = pc.ascii_split_whitespace(pa.array(lowered, pa.large_string()))
-        # Each distinct chunk is looked up once.
-        coded = cut.flatten().dictionary_encode()
-        found = self._known(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        codes = coded.indices.to_numpy()
-        lengths, starts = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
-        ends = np.cumsum(lengths)
-        places = np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-        ids = np.frombuffer(b"".join(found), "<u4")[places]
-        bounds = np.r_[0, ends][cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
-        return [others.get(k, ids[x:y]) for k, (x, y) in enumerate(zip(bounds, bounds[1:]))]
+        return b"".join(found)
 
 
 @functools.lru_cache(2)
@@ -251,13 +239,13 @@ def token_ids(docs: DataFrame, path: str, vocabulary: int, end_id: int, partitio
     wide = vocabulary > 1 << 16
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, kind = word_encoder(path), np.array([end_id]), "<u4" if wide else "<u2"
+        encoder, end = word_encoder(path), struct.pack("<I", end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                doc_ids, texts = batch.column(0)[at : at + AT_ONCE], batch.column(1)[at : at + AT_ONCE]
+            for at in range(0, batch.num_rows, 512):
+                doc_ids, texts = batch.column(0)[at : at + 512], batch.column(1)[at : at + 512]
                 # A null doc_id comes first.
                 part = np.searchsorted(bounds, pc.fill_null(doc_ids, LEAST).to_numpy(zero_copy_only=False))
-                ids = [np.concatenate((x, end)).astype(kind).tobytes() for x in encoder.encode_all([t or "" for t in texts.to_pylist()])]
+                ids = [x + end if wide else np.frombuffer(x + end, "<u4").astype("<u2").tobytes() for x in (encoder.encode(t or "") for t in texts.to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc_ids, pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
