@@ -44,12 +44,12 @@ def materialise(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished, unreferenced jobs before the next step needs the disk."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialised table that no later plan reads."""
+    spark = df.sparkSession
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:

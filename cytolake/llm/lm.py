@@ -1,19 +1,27 @@
 """Stupid-backoff language-model scores by relational operations.
 
-Every distinct lower-cased word counts for itself. Word and bigram counts over the corpus form tables that are
-partitioned by hash. Documents become bigram frequencies, which are joined to the bigram table and summed:
+Every distinct lower-cased word counts for itself and every bigram that the corpus holds outside the scored
+document is used, also one seen once: a document never vouches for itself. Over all rows of the corpus,
 
-    score(b | a) = count(a b) / count(a) if count(a b) >= MIN_COUNT, else BACKOFF * count(b) / words
+    c(x)         how often word or bigram x occurs, less its occurrences in the scored row
+    s(b | a)     c(a b) / c(a) if c(a b) > 0, else BACKOFF * s(b)
+    s(b)         c(b) / words of the corpus; a word that no other row has counts as UNSEEN times
 
-Broadcasts hold hot keys alone and have a fixed size: the numbers of the `hot` most frequent words (1 and above) and
-the `frequent` most frequent bigrams of such words, which are summed where the document is read. Both change the cost
-only. Any other word is a negative number, made of 63 bits of its hash (two of 100 million words coincide with a
-chance of about 1 in 2,000). A document's sum starts with the backed-off value of each bigram, where a word that is
-not hot counts as seen once; the joined table holds the differences to that, so most bigrams seen once need no row.
+and the score of a row is the mean natural logarithm of s over its words, the first one by s(b). So a text that
+other rows repeat scores near 0, and text of words that no other row has scores lowest.
 
-A `vocabulary`, if given, is the size of another model: all words but the most frequent are one unknown word.
+One table holds the counts, partitioned by the hash of the word or bigram; a bigram's row also has the counts of
+its words. Each row of the corpus is exploded into its distinct bigrams and words with their own frequencies,
+joined to the table and summed. The sum begins with the value of each word alone where it is read, and the joined
+rows add the difference that a bigram makes, so what the rest of the corpus doesn't have needs no joined row.
 
-Null text has no words and a null score, as has a text of one word. Each input row gives one result row.
+Broadcasts have a fixed size and change the cost only: the numbers of the `hot` most frequent words, the counts of
+the `frequent` most frequent bigrams of such words (summed where they are read, so the hottest keys are never
+shuffled), and a bitmap of the table's keys that keeps most bigrams seen once from the shuffle. Other words and
+bigrams go by 63 bits of a hash: two of 100 million coincide with a chance of about 1 in 2,000.
+
+Null text has no words and a null score. Each input row gives one result row, also when a doc_id repeats; ties at
+the edge of the broadcasts change nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,16 +32,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from cytolake.llm.common import materialise, release_shuffles
+from cytolake.llm.common import discard, materialise
 
 HOT, FREQUENT = 65_535, 1_000_000
-MIN_COUNT, BACKOFF = 2, 0.4
+BACKOFF, UNSEEN = 0.4, 0.5
 TASK_ENTRIES = 500_000
-#: Bits of a word's number within a task in a bigram key.
-WORD_BITS = 32
-SIGN = -(1 << 63)
+#: A bigram of hot words is both numbers in one long; other keys are negative.
+WORD_BITS, SIGN = 32, -(1 << 63)
+#: Bits of the bitmap of the table's keys.
+BITMAP_BITS = 27
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -41,162 +50,195 @@ def _words(text: str | None) -> list[bytes]:
 
 
 class _Numbers(dict):
-    """Numbers of words within a task: those of hot words; others count on from `first` (or are all the unknown word, 0)."""
+    """Places of words in `known`: hot words by their number from 1 on, others by a negative hash."""
 
-    def __init__(self, known: dict[bytes, int], first: int, unknown: bool):
-        super().__init__(known)
-        self.first, self.unknown, self.hashes = first, unknown, []
+    def __init__(self, hot: dict[int, int]):
+        super().__init__()
+        self.hot, self.known = hot, np.zeros(1024, np.int64)
 
     def __missing__(self, word: bytes) -> int:
-        if self.unknown:
-            return 0
-        self[word] = number = self.first + len(self.hashes)
-        self.hashes.append((xxhash.xxh64_intdigest(word, 42) | 1 << 63) + 2 * SIGN)
-        return number
+        number = (xxhash.xxh64_intdigest(word, 42) | 1 << 63) + 2 * SIGN
+        self[word] = place = len(self)
+        if place == len(self.known):
+            self.known = np.concatenate([self.known, np.zeros(place, np.int64)])
+        self.known[place] = self.hot.get(number, number)
+        return place
 
-    def bigrams(self, words: list[bytes]) -> np.ndarray:
-        ids = np.array([self[w] for w in words], np.int64)
-        return (ids[:-1] << WORD_BITS) | ids[1:]
 
-    def columns(self, keys: np.ndarray) -> list[pa.Array]:
-        """Both words of each key, as numbers that hold for all tasks."""
-        everywhere = np.concatenate([np.arange(self.first), np.array(self.hashes, np.int64)])
-        return [pa.array(everywhere[keys >> WORD_BITS]), pa.array(everywhere[keys & ((1 << WORD_BITS) - 1)])]
+def _keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Keys of bigrams by the numbers of their words."""
+    x = first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.view(np.uint64)
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xC2B2AE3D27D4EB4F)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x = ((x ^ (x >> np.uint64(32))) | np.uint64(1 << 63)).view(np.int64)
+    return np.where((first > 0) & (second > 0), (first << WORD_BITS) | second, x)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents."""
+    """(number, n) of each word over all rows, the number being its hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: Counter) -> Iterator[pa.RecordBatch]:
-            keys, values = list(held), list(held.values())
-            for at in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000], pa.binary()), pa.array(values[at : at + 50_000], pa.int64())], names=["word", "n"])
+        def out(held: Counter) -> pa.RecordBatch:
+            numbers = [(xxhash.xxh64_intdigest(w, 42) | 1 << 63) + 2 * SIGN for w in held]
+            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(list(held.values()), pa.int64())], names=["number", "n"])
 
         held: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 held.update(_words(text))
                 if len(held) > TASK_ENTRIES:
-                    yield from out(held)
+                    yield out(held)
                     held = Counter()
-        yield from out(held)
+        yield out(held)
 
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
 
 
-def bigram_counts(docs: DataFrame, numbers, first: int, unknown: bool) -> DataFrame:
-    """(first, second, n) over all documents."""
+def bigram_counts(docs: DataFrame, hot) -> DataFrame:
+    """(key, first, second, n) of each bigram over all rows; first and second are 0 if both words are hot."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[pa.RecordBatch]:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            places, n = np.unique(np.concatenate(held), return_counts=True)
+            first, second = numbers.known[places >> WORD_BITS], numbers.known[places & ((1 << WORD_BITS) - 1)]
+            keys, other = _keys(first, second), (first < 0) | (second < 0)
+            columns = [keys, first * other, second * other, n]
             for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([*ids.columns(keys[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["first", "second", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["key", "first", "second", "n"])
 
-        ids = _Numbers(numbers.value, first, unknown)
+        numbers = _Numbers(hot.value)
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                keys = ids.bigrams(_words(text))
-                held.append(keys)
-                size += len(keys)
-                if size > 8 * TASK_ENTRIES or len(ids.hashes) > TASK_ENTRIES:
+                ids = np.array([numbers[w] for w in _words(text)], np.int64)
+                held.append((ids[:-1] << WORD_BITS) | ids[1:])
+                size += len(ids)
+                if size > 8 * TASK_ENTRIES or len(numbers) > TASK_ENTRIES:
                     yield from out()
-                    ids, held, size = _Numbers(numbers.value, first, unknown), [], 0
+                    numbers, held, size = _Numbers(hot.value), [], 0
         if held:
             yield from out()
 
-    return docs.select("text").mapInArrow(count, "first long, second long, n long").groupBy("first", "second").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(count, "key long, first long, second long, n long")
+    return found.groupBy("key", "first", "second").agg(F.sum("n").alias("n"))
+
+
+def _slot(key: Column) -> Column:
+    """The bit of a key in the bitmap, from 1 on as the bitmap functions count."""
+    return F.shiftleft(F.shiftrightunsigned(key, 32), 11).bitwiseXOR(key).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) + 1
+
+
+def key_bitmap(table: DataFrame) -> np.ndarray:
+    """The packed bitmap of the keys of table: 2**BITMAP_BITS bits, in rows of 4 KiB to the driver."""
+    slots = table.select(_slot(F.col("key")).alias("slot"))
+    rows = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
+    for bucket, bits in rows.toLocalIterator():
+        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slots = ((keys.view(np.uint64) >> np.uint64(32)).view(np.int64) << 11 ^ keys) & ((1 << BITMAP_BITS) - 1)
+    return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
+
 
+def _with_word(bigrams: DataFrame, word: str, top: DataFrame, others: DataFrame) -> DataFrame:
+    """bigrams with the count n_`word` of one of their words: hot ones from a broadcast, others by a shuffle."""
+    columns = lambda words: words.select(F.col("number").alias(word), F.col("n").alias(f"n_{word}"))
+    return bigrams.where(F.col(word) > 0).join(F.broadcast(columns(top)), word).unionByName(bigrams.where(F.col(word) < 0).join(columns(others), word))
 
-def score(docs: DataFrame, vocabulary: int | None = None, frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
+
+def score(docs: DataFrame, frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_bigrams and score (mean natural logarithm) of each row of docs."""
     spark = docs.sparkSession
-    context = spark.sparkContext
-    unknown = vocabulary is not None
-    hot = vocabulary if unknown else hot
     words = materialise(word_counts(docs), "lm-words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    top = words.orderBy(F.desc("n"), "word").limit(hot).toArrow()
-    counts = np.zeros(hot + 1, np.float64)
-    counts[1 : 1 + top.num_rows] = top.column("n").to_numpy()
-    counts[0] = total - counts.sum() if unknown else 0
-    numbers = context.broadcast({w: k for k, w in enumerate(top.column("word").to_pylist(), 1)})
-    first_other = hot + 1
-    release_shuffles(spark)
-
-    # A bigram below MIN_COUNT whose second word is hot needs no row: its value is known where it is read.
-    bigrams = materialise(bigram_counts(docs, numbers, first_other, unknown).where((F.col("n") >= MIN_COUNT) | (F.col("second") < 0)), "lm-bigrams")
-    packed = F.shiftleft("first", WORD_BITS).bitwiseOR(F.col("second"))
-    often = bigrams.where((F.col("n") >= MIN_COUNT) & (F.col("first") >= 0) & (F.col("second") >= 0)).select(packed.alias("key"), "n").orderBy(F.desc("n"), "key").limit(frequent).toArrow().sort_by("key")
-    bottom = (1 << WORD_BITS) - 1
-    per_word = float(np.log(BACKOFF) - np.log(max(total, 1)))
-    with np.errstate(divide="ignore"):
-        log_counts = np.log(counts)
-    common = often.column("key").to_numpy().astype(np.int64)
-    worths = np.log(often.column("n").to_numpy().astype(np.float64)) - log_counts[common >> WORD_BITS]
-    at_once = context.broadcast((common, worths, np.append(log_counts, 0.0) + per_word))
-    release_shuffles(spark)
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, worths, backed = at_once.value
-
-        def out() -> Iterator[pa.RecordBatch]:
-            keys = np.concatenate(rest)
-            rows = np.repeat(np.array([d[0] for d in done], np.int64), [len(k) for k in rest])
-            n = np.concatenate(times)
-            for at in range(0, len(keys), 100_000):
-                part = slice(at, at + 100_000)
-                columns = [pa.array(rows[part]), *ids.columns(keys[part]), pa.array(n[part], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), doc_type)], names=names)
-            # The document's own row has no second word, so that it joins nothing and is dealt out by its number.
-            own = [d[0] for d in done]
-            docs_of = pa.array([dict(zip(("doc_id", "n_words", "n_bigrams", "log_sum"), d[1:])) for d in done], doc_type)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(own, pa.int64()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int32()), docs_of], names=names)
-
-        names = ["row_id", "first", "second", "times", "doc"]
+    most = words.orderBy(F.desc("n"), "number").limit(hot).toArrow()
+    hashes, counts = most.column("number").to_numpy(), np.r_[0, most.column("n").to_numpy()].astype(np.int64)
+    numbers = spark.sparkContext.broadcast({int(h): k for k, h in enumerate(hashes, 1)})
+    # hot + 1 rows of 16 bytes at most.
+    top = spark.createDataFrame([(k, int(counts[k])) for k in range(1, len(counts))], "number long, n long")
+    others = words.where(F.col("n") >= 2).join(F.broadcast(spark.createDataFrame([(int(h),) for h in hashes], "number long")), "number", "left_anti")
+
+    # A bigram seen once is in one row alone and never counts there.
+    counted = bigrams = materialise(bigram_counts(docs, numbers).where(F.col("n") >= 2), "lm-bigrams")
+    of_hot = F.col("first") == 0
+    common = bigrams.where(of_hot).select("key", "n").orderBy(F.desc("n"), "key").limit(frequent).toArrow().sort_by("key")
+    least = int(common.column("n").to_numpy().min()) if frequent and common.num_rows == frequent else 0
+    # What is surely in the broadcast needs no row.
+    bigrams = bigrams.where(~of_hot | (F.col("n") <= least)) if common.num_rows else bigrams
+    bigrams = bigrams.select("key", "n", F.when(of_hot, F.shiftright("key", WORD_BITS)).otherwise(F.col("first")).alias("first"), F.when(of_hot, F.col("key").bitwiseAND(F.lit((1 << WORD_BITS) - 1))).otherwise(F.col("second")).alias("second"))
+    full = _with_word(_with_word(bigrams, "first", top, others), "second", top, others).select("key", "n", "n_first", "n_second")
+    none = F.lit(None).cast("long")
+    table = materialise(full.unionByName(others.select(F.col("number").alias("key"), "n", none.alias("n_first"), none.alias("n_second"))), "lm-table")
+    discard(words)
+    discard(counted)
+    at_once = spark.sparkContext.broadcast((common.column("key").to_numpy().astype(np.int64), common.column("n").to_numpy().astype(np.int64), counts, key_bitmap(table)))
+    log_total, log_backoff = float(np.log(max(total, 1))), float(np.log(BACKOFF))
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, common_n, counts, bitmap = at_once.value
+        names = ["row_id", "key", "own", "own_first", "own_second", "doc"]
         doc_type = pa.struct([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_bigrams", pa.int64()), ("log_sum", pa.float64())])
-        ids = _Numbers(numbers.value, first_other, unknown)
+        places = _Numbers(numbers.value)
         done: list[tuple] = []
-        rest: list[np.ndarray] = []
-        times: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            types = [pa.int64()] * 2 + [pa.int32()] * 3
+            for at in range(0, len(columns[0]), 100_000):
+                part = [pa.array(c[at : at + 100_000], t) for c, t in zip(columns, types)]
+                yield pa.RecordBatch.from_arrays([*part, pa.nulls(len(part[0]), doc_type)], names=names)
+            # The document's own row is dealt out by its number; what that meets in the table is not used.
+            own = pa.array([d[0] for d in done], pa.int64())
+            rows = pa.array([dict(zip(("doc_id", "n_words", "n_bigrams", "log_sum"), d[1:])) for d in done], doc_type)
+            yield pa.RecordBatch.from_arrays([own, own, *[pa.nulls(len(own), pa.int32())] * 3, rows], names=names)
+
+        def row(row_id: int, doc_id: int | None, cut: list[bytes]) -> None:
+            n = len(cut)
+            distinct, at, own = np.unique(np.array([places[w] for w in cut], np.int64), return_inverse=True, return_counts=True)
+            number = places.known[distinct]
+            # Each word alone.
+            alone = np.where(number > 0, np.log(np.maximum(counts[np.maximum(number, 0)] - own, UNSEEN)), np.log(UNSEEN))
+            log_sum = float((alone * own).sum()) - n * log_total + max(n - 1, 0) * log_backoff
+            pairs, times = np.unique(at[:-1] * len(distinct) + at[1:], return_counts=True)
+            a, b = np.divmod(pairs, max(len(distinct), 1))
+            keys = _keys(number[a], number[b])
+            if len(common):
+                place = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+                found = common[place] == keys
+                rest = np.where(found, common_n[place] - times, 0)
+                seen = rest > 0
+                x, y = a[seen], b[seen]
+                log_sum += float((times[seen] * (np.log(rest[seen]) - np.log(counts[number[x]] - own[x]) - log_backoff - alone[y] + log_total)).sum())
+                keys, a, b, times = keys[~found], a[~found], b[~found], times[~found]
+            few = np.flatnonzero(number < 0)
+            keys, zeros = np.concatenate([keys, number[few]]), np.zeros(len(few), np.int64)
+            columns = [keys, np.concatenate([times, own[few]]), np.concatenate([own[a], zeros]), np.concatenate([own[b], zeros])]
+            there = _in_bitmap(bitmap, keys)
+            done.append((row_id, doc_id, n, max(n - 1, 0), log_sum))
+            held.append([np.full(int(there.sum()), row_id), *(c[there] for c in columns)])
+
         size = 0
         for batch in batches:
-            for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                cut = _words(text)
-                all_keys = ids.bigrams(cut)
-                own, n = np.unique(all_keys, return_counts=True)
-                place = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
-                found = common[place] == own if len(common) else np.zeros(len(own), bool)
-                left, left_n = own[~found], n[~found]
-                sum_found = float((worths[place[found]] * n[found]).sum()) if found.any() else 0.0
-                sum_left = float((backed[np.minimum(left & bottom, first_other)] * left_n).sum())
-                done.append((row, doc_id, len(cut), len(all_keys), sum_found + sum_left))
-                rest.append(left)
-                times.append(left_n)
-                size += len(left)
-                if size > TASK_ENTRIES or len(done) >= 10_000:
+            for row_id, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                row(row_id, doc_id, _words(text))
+                size += len(held[-1][0])
+                if size > TASK_ENTRIES or len(done) >= 10_000 or len(places) > TASK_ENTRIES:
                     yield from out()
-                    ids, done, rest, times, size = _Numbers(numbers.value, first_other, unknown), [], [], [], 0
+                    places, done, held, size = _Numbers(numbers.value), [], [], 0
         if done:
             yield from out()
 
-    schema = "row_id long, first long, second long, times int, doc struct<doc_id:long,n_words:long,n_bigrams:long,log_sum:double>"
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text").mapInArrow(frequencies, schema)
-
-    # At most hot + 1 rows of 16 bytes.
-    logs = F.broadcast(spark.createDataFrame([(int(k), float(c)) for k, c in enumerate(log_counts) if counts[k] > 0], "word long, log_c double"))
-    others = words.select(F.xxhash64("word").bitwiseOR(F.lit(SIGN)).alias("word"), "n").groupBy("word").agg(F.log(F.sum("n")).alias("log_c"))
-    seen, second_hot = F.col("n") >= MIN_COUNT, F.col("second") >= 0
-    # Each bigram needs the count of one word: the first if it is seen often enough, else the second.
-    need = bigrams.withColumn("word", F.when(seen, F.col("first")).otherwise(F.col("second")))
-    known = need.where("word >= 0").join(logs, "word").unionByName(need.where("word < 0").join(others, "word"))
-    second = logs.select(F.col("word").alias("second"), F.col("log_c").alias("log_second"))
-    backed_off = F.when(second_hot, F.col("log_second")).otherwise(0.0) + per_word
-    more = F.when(seen, F.log("n") - F.col("log_c") - backed_off).otherwise(F.col("log_c"))
-    table = known.join(second, "second", "left").select("first", "second", more.alias("more")).where("more <> 0")
-    joined = rows.join(table, ["first", "second"], "left").where("more IS NOT NULL OR doc IS NOT NULL")
-    sums = joined.groupBy("row_id").agg(*[F.max(f"doc.{c}").alias(c) for c in ("doc_id", "n_words", "n_bigrams")], F.sum(F.coalesce("doc.log_sum", F.col("times") * F.col("more"))).alias("log_sum"))
-    return sums.select("doc_id", "n_words", "n_bigrams", F.round(F.try_divide("log_sum", "n_bigrams"), 6).alias("score"))
+    schema = "row_id long, key long, own int, own_first int, own_second int, doc struct<doc_id:long,n_words:long,n_bigrams:long,log_sum:double>"
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), "text").mapInArrow(explode, schema)
+    left = lambda n, own: F.log(F.greatest(F.col(n) - F.col(own), F.lit(UNSEEN)))
+    of_word = left("n", "own") - float(np.log(UNSEEN))
+    of_bigram = left("n", "own") - left("n_first", "own_first") - log_backoff - left("n_second", "own_second") + log_total
+    more = F.when(F.col("n") > F.col("own"), F.col("own") * F.when(F.col("n_first").isNull(), of_word).otherwise(of_bigram))
+    joined = rows.join(table, "key", "left").select("row_id", "doc", F.coalesce("doc.log_sum", more).alias("part")).where("part IS NOT NULL")
+    sums = joined.groupBy("row_id").agg(*[F.max(f"doc.{c}").alias(c) for c in ("doc_id", "n_words", "n_bigrams")], F.sum("part").alias("log_sum"))
+    return sums.select("doc_id", "n_words", "n_bigrams", F.round(F.try_divide("log_sum", "n_words"), 6).alias("score"))

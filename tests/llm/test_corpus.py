@@ -177,45 +177,41 @@ def test_warc_files_are_plain_archives(spark, tmp_path):
     assert sorted(seen) == [("response", 200), ("revisit", 0)]
 
 
-@pytest.mark.parametrize("frequent", [0, 3, 10_000])
-def test_stupid_backoff(docs, odd_texts, frequent):
-    texts = [*odd_texts, odd_texts[4]]
-    cut = [(t or "").encode().lower().split() for t in texts]
-    counts = Counter(w for x in cut for w in x)
-    top = dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:50])
-    total = sum(counts.values())
-    unigrams = top | {None: total - sum(top.values())}
-    ids = [[w if w in top else None for w in x] for x in cut]
-    pairs = Counter(p for x in ids for p in zip(x, x[1:]))
-    score = lambda p: math.log(pairs[p] / unigrams[p[0]]) if pairs[p] >= 2 else math.log(0.4 * unigrams[p[1]] / total)
-    want = sorted((i if i < len(odd_texts) else 4, len(x), max(len(x) - 1, 0), round(sum(map(score, zip(x, x[1:]))) / (len(x) - 1), 5) if len(x) > 1 else None) for i, x in enumerate(ids))
-    got = sorted((r.doc_id, r.n_words, r.n_bigrams, None if r.score is None else round(r.score, 5)) for r in lm.score(docs, 50, frequent).collect())
-    assert [g[:3] for g in got] == [w[:3] for w in want]
-    assert all((a[3] is None) == (b[3] is None) and (a[3] is None or abs(a[3] - b[3]) < 1e-4) for a, b in zip(got, want))
-
-
-def brute_whole_backoff(texts):
+def brute_backoff(texts):
+    """Mean log score of each text by the counts of all others."""
     cut = [(t or "").encode().lower().split() for t in texts]
     words, pairs = Counter(w for x in cut for w in x), Counter(p for x in cut for p in zip(x, x[1:]))
-    total = sum(words.values())
-    score = lambda p: math.log(pairs[p] / words[p[0]]) if pairs[p] >= 2 else math.log(0.4 * words[p[1]] / total)
-    return [sum(map(score, zip(x, x[1:]))) / (len(x) - 1) if len(x) > 1 else None for x in cut]
-
-
-@pytest.mark.parametrize("hot, frequent", [(0, 0), (20, 3), (20, 10_000), (65_535, 10)])
-def test_stupid_backoff_of_all_words(docs, odd_texts, hot, frequent):
+    total, out = sum(words.values()), []
+    for x in cut:
+        own, own_pairs, value = Counter(x), Counter(zip(x, x[1:])), 0.0
+        alone = lambda w: math.log((words[w] - own[w] or 0.5) / total)
+        for i, w in enumerate(x):
+            p = (x[i - 1], w)
+            rest = pairs[p] - own_pairs[p] if i else 0
+            value += math.log(rest / (words[p[0]] - own[p[0]])) if rest else alone(w) + (math.log(0.4) if i else 0)
+        out.append(value / len(x) if x else None)
+    return out
+
+
+@pytest.mark.parametrize("hot, frequent", [(0, 0), (20, 0), (20, 3), (20, 10_000), (65_535, 10)])
+def test_stupid_backoff(docs, odd_texts, hot, frequent):
     texts = [*odd_texts, odd_texts[4]]
-    want = sorted(((i if i < len(odd_texts) else 4), s) for i, s in enumerate(brute_whole_backoff(texts)))
-    got = sorted((r.doc_id, r.score) for r in lm.score(docs, frequent=frequent, hot=hot).collect())
-    assert [g[0] for g in got] == [w[0] for w in want]
-    assert all(a == b if b is None else abs(a - b) < 1e-5 for (_, a), (_, b) in zip(got, want))
+    want = sorted(((i if i < len(odd_texts) else 4), len((t or "").encode().lower().split()), s is not None, s or 0) for i, (t, s) in enumerate(zip(texts, brute_backoff(texts))))
+    got = sorted((r.doc_id, r.n_words, r.score is not None, r.score or 0) for r in lm.score(docs, frequent=frequent, hot=hot).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(abs(a[3] - b[3]) < 1e-5 for a, b in zip(got, want))
 
 
-def test_stupid_backoff_has_no_unknown_word(spark):
+def test_stupid_backoff_counts_every_word_and_tells_repeated_texts_apart(spark):
     rare = [f"w{i}" for i in range(70_000)]
     texts = [" ".join(rare + rare[::-1] + ["w3 w4 w5"] * 3), " ".join(rare[-900:-600] + rare[-50:]), "new w69999 w3 w4"]
-    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert all(abs(got[i] - s) < 1e-5 for i, s in enumerate(brute_whole_backoff(texts)))
+    rng = np.random.default_rng(6)
+    fresh = [" ".join(f"x{j}" for j in rng.integers(0, 4000, 80)) for _ in range(60)]
+    texts += fresh + fresh[:20]  # the first twenty occur twice
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert all(abs(got[i] - s) < 1e-5 for i, s in enumerate(brute_backoff(texts)))
+    twice, once = [got[i] for i in [*range(3, 23), *range(63, 83)]], [got[i] for i in range(23, 63)]
+    assert min(twice) > max(once)
 
 
 def test_stupid_backoff_of_nothing(no_docs):
