@@ -135,10 +135,17 @@ def test_decontamination(spark, docs, odd_texts, no_docs):
 
 
 def test_decontamination_by_a_shuffled_join(spark, monkeypatch):
+    items = [(i, BENCH) for i in range(1000)] + [(1000, BENCH.split("dog")[0]), (1001, "short one"), (1002, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [BENCH, "nothing of the kind", None, "a short one " + BENCH + " short one", "the quick brown fox jumps over the lazy", BENCH]
+    rows = spark.createDataFrame([(min(i, 4), t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = sorted((min(i, 4), *brute_hits(t, items)[:2], len(brute_hits(t, items)[2]), hashlib.sha256(",".join(brute_hits(t, items)[2]).encode()).hexdigest()) for i, t in enumerate(texts))
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"]
+    broadcast = sorted(map(tuple, decontaminate.report(rows, bench).select(columns).collect()))
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
-    rows = spark.createDataFrame([(1, BENCH), (2, "nothing of the kind")], "doc_id long, text string")
-    got = {r.doc_id: r.n_hit for r in decontaminate.report(rows, spark.createDataFrame([(1, BENCH)], "item_id long, text string")).collect()}
-    assert got == {1: len(BENCH.split()), 2: 0}
+    assert sorted(map(tuple, decontaminate.report(rows, bench).select(columns).collect())) == broadcast == want
+    left = sorted((r.doc_id, r.words) for r in decontaminate.remove_spans(rows, bench).collect())
+    assert left == [(0, []), (1, ["nothing", "of", "the", "kind"]), (2, []), (3, ["a"]), (4, []), (4, [])]
 
 
 def test_warc_revisits(spark):
