@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cytolake.functions.cigar import reverse_complement
+from cytolake.functions.graph import greedy_clusters
+from cytolake.plans.staging import staged
 
 BASES = "ACGT"
 
@@ -159,28 +161,19 @@ def correct_cells_h1(df: DataFrame, whitelist: DataFrame, length: int) -> DataFr
 
 
 def merge_umis(df: DataFrame) -> DataFrame:
-    """BC-11: per cell, each molecule by rising count is merged into the largest neighbour at Hamming distance 1 (ties by sequence).
+    """BC-11: per cell, in the order of falling count (ties by sequence), each molecule left takes the later ones left at Hamming distance 1.
 
-    The rule depends on order, so each cell is one group; neighbours are looked up by their masked sequences,
-    and counts already merged are seen by later ones. Columns: cell, umi, n.
+    A molecule that was taken takes no one. Columns: cell, umi, n. Neighbours share a sequence with one place left out.
     """
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        counts = dict(zip(group["umi"], group["n"].astype(int)))
-        by_mask: dict[tuple[int, str], set[str]] = {}
-        masks = lambda u: [(i, u[:i] + u[i + 1 :]) for i in range(len(u))]
-        for u in counts:
-            for m in masks(u):
-                by_mask.setdefault(m, set()).add(u)
-        for u in sorted(counts, key=lambda x: (counts[x], x)):
-            near = [v for m in masks(u) for v in by_mask[m] if v != u and v in counts and counts[v] >= counts[u]]
-            if near:
-                into = min(near, key=lambda v: (-counts[v], v))
-                counts[into] += counts.pop(u)
-        return pd.DataFrame({"cell": group["cell"].iat[0], "umi": list(counts), "n": list(counts.values())})
-
-    totals = df.groupBy("cell", "umi").agg(F.sum("n").alias("n"))
-    return totals.groupBy("cell").applyInPandas(merge, "cell string, umi string, n long")
+    key = F.concat_ws("|", "cell", "umi")
+    totals = staged(df.groupBy("cell", "umi").agg(F.sum("n").alias("n")).withColumn("id", key))
+    places = F.transform(F.sequence(F.lit(1), F.length("umi")), lambda i: F.concat(i.cast("string"), F.lit(":"), F.substring(F.col("umi"), F.lit(1), i - 1), F.lit("_"), F.substring(F.col("umi"), i + 1, F.length("umi"))))
+    side = lambda id, n: totals.where("umi <> ''").select("cell", F.col("id").alias(id), F.col("n").alias(n), F.explode(places).alias("mask"))
+    earlier = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    links = staged(side("a", "na").join(side("b", "nb"), ["cell", "mask"]).where(earlier).select("a", "na", "b").distinct())
+    centres = greedy_clusters(totals, links)
+    sums = totals.join(centres, "id").groupBy("centre").agg(F.sum("n").alias("n"))
+    return sums.join(totals.select(F.col("id").alias("centre"), "cell", "umi"), "centre").select("cell", "umi", "n")
 
 
 def clean_counts(df: DataFrame, whitelist: DataFrame) -> DataFrame:
@@ -205,11 +198,8 @@ def cluster_barcodes(df: DataFrame, distance: int = 8) -> DataFrame:
     """BC-15: sphere clusters: by falling count (ties by sequence) each free barcode becomes a centre and takes free neighbours within the edit distance.
 
     Candidate pairs share one of distance + 1 segments near its place (pigeonhole; a segment may move by as many
-    places as there are edits). The greedy order is kept by rounds: in each, the barcodes without a larger free
-    neighbour become centres, and their free neighbours join the largest of them.
+    places as there are edits).
     """
-    from cytolake.plans.staging import staged
-
     counts = staged(df.groupBy("barcode").agg(F.sum("reads").alias("n")))
     size = counts.agg(F.min(F.length("barcode"))).first()[0] or 0
     width = max(size // (distance + 1), 1)
@@ -220,15 +210,7 @@ def cluster_barcodes(df: DataFrame, distance: int = 8) -> DataFrame:
     larger = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     links = left.join(right, ["segment", "text"]).where(larger).select("a", "na", "b").distinct().where(F.levenshtein("a", "b", distance) >= 0)
     links = staged(links)
-    free, done = counts, counts.select("barcode", F.lit("").alias("centre")).where(F.lit(False))
-    while not free.isEmpty():
-        live = links.join(free.select(F.col("barcode").alias("a")), "a", "left_semi").join(free.select(F.col("barcode").alias("b")), "b", "left_semi")
-        blocked = live.select(F.col("b").alias("barcode")).distinct()
-        centres = staged(free.join(blocked, "barcode", "left_anti").select("barcode"))
-        taken = live.join(centres.withColumnRenamed("barcode", "a"), "a", "left_semi").groupBy("b").agg(F.min_by("a", F.struct(-F.col("na"), F.col("a"))).alias("centre"))
-        done = staged(done.unionByName(centres.withColumn("centre", F.col("barcode"))).unionByName(taken.select(F.col("b").alias("barcode"), "centre")))
-        free = staged(free.join(done, "barcode", "left_anti"))
-    return done
+    return greedy_clusters(counts.withColumnRenamed("barcode", "id"), links).withColumnRenamed("id", "barcode")
 
 
 def apply_canonical(df: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cytolake.functions import cigar as c
+from cytolake.functions.graph import components
 
 #: Regions of the isoform classes from blocks, and of those from spans.
 BLOCK_REGIONS = {"us": (431, 4658), "ms_gap": (6043, 8252), "ss_gap": (431, 4658), "ss_after": (6043, 8252)}
@@ -24,6 +25,8 @@ ACCEPTORS = {"A1": 4658, "A2": 5141, "A3": 5746, "A4": 5818, "A5": 5959, "A7": 8
 XF_BITS = {"mapped": 1, "low_support": 2, "multi_gene": 4, "counted": 8, "feature": 16, "target": 32}
 UNMAPPED_SECONDARY_SUPPLEMENTARY = 0x904
 FAR = 2_000_000_000
+#: Width of the bins in which near fragments meet.
+BIN = 1000
 
 
 def where_xf(reads: DataFrame, flags: Sequence[int] = (25,)) -> DataFrame:
@@ -163,29 +166,33 @@ def splice_junctions(reads: DataFrame, min_intron: int = 1000, min_match: int =
     donor is the last base before the gap; acceptor the first after it, null unless a match follows.
     """
     kept = reads if reference is None else reads.where(F.col("ref") == reference)
-    ops = F.col("ops")
-    zero = F.struct(F.col("pos").cast("int").alias("at"), F.lit(0).alias("q"), F.lit(1).alias("i"), F.array().cast("array<struct<donor:int,acceptor:int,seq_after:string,match_start:int,match_end:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        before, after = F.try_element_at(ops, acc["i"]), F.try_element_at(ops, acc["i"] + 2)
-        long = (x["op"] == "N") & (x["len"] >= min_intron) & (F.lit(True) if max_intron is None else x["len"] <= max_intron)
-        found = long & F.coalesce((before["op"] == "M") & (before["len"] >= min_match), F.lit(False))
-        matched = F.coalesce(after["op"] == "M", F.lit(False))
-        junction = F.struct(
-            (acc["at"] - 1).alias("donor"), F.when(matched, acc["at"] + x["len"]).alias("acceptor"), F.when(matched, F.substring(F.col("seq"), acc["q"] + 1, after["len"])).otherwise("").alias("seq_after"),
-            (acc["at"] - before["len"]).alias("match_start"), acc["at"].alias("match_end"),
-        )
+    # Only reads whose CIGAR has a gap with enough digits are taken apart.
+    kept = kept.where(F.col("cigar").rlike(f"[0-9]{{{len(str(min_intron))},}}N") & F.col("seq").isNotNull())
+    # Op i is kinds[i] (an empty text stands first) with sizes[i - 1].
+    kept = kept.withColumn("kinds", F.split("cigar", "[0-9]+")).withColumn("sizes", F.split("cigar", "[MIDNSHPX=]"))
+    kind, size = (lambda i: F.get("kinds", i)), (lambda i: F.get("sizes", i - 1).cast("int"))
+
+    def gap(i: Column) -> Column:
+        long = (kind(i) == "N") & (size(i) >= min_intron) & (F.lit(True) if max_intron is None else size(i) <= max_intron)
+        return long & (kind(i - 1) == "M") & (size(i - 1) >= min_match)
+
+    def before(i: Column, kinds: tuple[str, ...]) -> Column:
+        """Bases that the ops before i consume."""
+        return F.aggregate(F.sequence(F.lit(1), i - 1), F.lit(0), lambda sum, j: sum + F.when(kind(j).isin(*kinds), size(j)).otherwise(0))
+
+    def junction(i: Column) -> Column:
+        at = F.col("pos").cast("int") + before(i, ("M", "D", "N", "=", "X"))
+        matched = F.coalesce(kind(i + 1) == "M", F.lit(False))
         return F.struct(
-            F.when(x["op"].isin("M", "D", "N", "=", "X"), acc["at"] + x["len"]).otherwise(acc["at"]).alias("at"),
-            F.when(x["op"].isin("M", "I", "S", "=", "X"), acc["q"] + x["len"]).otherwise(acc["q"]).alias("q"),
-            (acc["i"] + 1).alias("i"), F.when(found, F.concat(acc["out"], F.array(junction))).otherwise(acc["out"]).alias("out"),
+            (at - 1).alias("donor"), F.when(matched, at + size(i)).alias("acceptor"), F.when(matched, before(i, ("M", "I", "S", "=", "X"))).alias("from"), F.when(matched, size(i + 1)).alias("length"),
+            (at - size(i - 1)).alias("match_start"), at.alias("match_end"),
         )
 
-    # A place holder in front, so that the first op has a neighbour too: op i stands at place i + 1.
-    ops_column = F.concat(F.array(F.struct(F.lit("-").alias("op"), F.lit(0).alias("len"))), c.cigar_ops(F.col("cigar")))
-    walked = kept.where("cigar IS NOT NULL AND seq IS NOT NULL").withColumn("ops", ops_column)
-    out = F.aggregate(F.slice("ops", 2, F.size("ops")), zero, step)["out"]
-    return walked.select("cb", "ub", "cigar", "ref", F.inline(out))
+    last = F.size("kinds") - 1
+    gaps = F.when(last >= 2, F.filter(F.sequence(F.lit(2), F.greatest(last, F.lit(2))), gap))
+    found = kept.select("cb", "ub", "cigar", "ref", "seq", F.inline(F.transform(gaps, junction)))
+    after = F.coalesce(F.substring("seq", F.col("from") + 1, F.col("length")), F.lit(""))
+    return found.select("cb", "ub", "cigar", "ref", "donor", "acceptor", after.alias("seq_after"), "match_start", "match_end")
 
 
 def consolidate_junctions(junctions: DataFrame) -> DataFrame:
@@ -262,15 +269,23 @@ def classify_span(start: Column, end: Column, tolerance: int = 5, regions: dict[
 
 
 def best_fragment(spans: DataFrame) -> DataFrame:
-    """RD-31: the longest aligned fragment of each molecule; ties go to the smallest (chrom, start, end)."""
-    ranked = F.max_by(F.struct("chrom", "start_pos", "end_pos", "strand", "aligned"), F.struct("aligned", -F.col("start_pos"), -F.col("end_pos")))
+    """RD-31: the longest aligned fragment of each molecule; ties go to the smallest (start, end, chrom, strand)."""
+    ranked = F.min_by(F.struct("chrom", "start_pos", "end_pos", "strand", "aligned"), F.struct(-F.col("aligned"), F.col("start_pos"), F.col("end_pos"), F.col("chrom"), F.col("strand")))
     return spans.groupBy("cell", "umi").agg(ranked.alias("r")).select("cell", "umi", "r.*")
 
 
-def fragment_pairs(best: DataFrame, same_strand: bool = True) -> DataFrame:
-    """RD-32: all pairs of a cell's fragments on one chromosome, with overlap, gap, combined span, gain and overlap share."""
-    a, b = best.alias("a"), best.alias("b")
+def fragment_pairs(best: DataFrame, same_strand: bool = True, near: int | None = None) -> DataFrame:
+    """RD-32: pairs of a cell's fragments on one chromosome, with overlap, gap, combined span, gain and overlap share.
+
+    All pairs of a cell, or with `near` those at most so many bases apart, found by bins of their places.
+    """
     on = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.chrom") == F.col("b.chrom")) & (F.col("a.umi") < F.col("b.umi"))
+    if near is not None:
+        first, last = F.floor(F.col("start_pos") / BIN), F.floor((F.col("end_pos") + near) / BIN)
+        best = best.withColumn("first_bin", first).withColumn("bin", F.explode(F.sequence(first, last)))
+        # Only the first common bin of a pair counts.
+        on = on & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.bin") == F.greatest("a.first_bin", "b.first_bin"))
+    a, b = best.alias("a"), best.alias("b")
     if same_strand:
         on = on & (F.col("a.strand") == F.col("b.strand"))
     s1, e1, s2, e2 = (F.col(x) for x in ("a.start_pos", "a.end_pos", "b.start_pos", "b.end_pos"))
@@ -295,25 +310,10 @@ def pair_summary(pairs: DataFrame) -> DataFrame:
 
 
 def stitched_molecules(best: DataFrame, candidates: DataFrame) -> DataFrame:
-    """RD-35: connected fragments of each cell: molecule_id is the smallest umi of its component.
-
-    A cell's candidate pairs stay small, so each cell is one group; nothing else leaves the JVM.
-    """
-    def label(edges: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[str, str] = {}
-
-        def root(x: str) -> str:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for a, b in zip(edges["umi_1"], edges["umi_2"]):
-            low, high = sorted((root(a), root(b)))
-            parent[high] = low
-        return pd.DataFrame({"cell": edges["cell"].iat[0], "umi": list(parent), "molecule_id": [root(x) for x in parent]})
-
-    linked = candidates.select("cell", "umi_1", "umi_2").groupBy("cell").applyInPandas(label, "cell string, umi string, molecule_id string")
+    """RD-35: connected fragments of each cell: molecule_id is the smallest umi of its component."""
+    id_of = lambda umi: F.struct("cell", F.col(umi).alias("umi"))
+    linked = components(candidates.select(id_of("umi_1").alias("a"), id_of("umi_2").alias("b")))
+    linked = linked.select("id.cell", "id.umi", F.col("component.umi").alias("molecule_id"))
     return best.join(linked, ["cell", "umi"], "left").withColumn("molecule_id", F.coalesce("molecule_id", "umi"))
 
 

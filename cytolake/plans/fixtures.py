@@ -41,11 +41,11 @@ SELECT concat('r', l_orderkey) AS name, CASE WHEN l_linenumber = 7 THEN 256 ELSE
 FROM lineitem""",
     "regions": "SELECT * FROM (VALUES ('D1_A1', 'chr1', 985, 5212), ('A1_D4', 'chr1', 5213, 6596), ('D4_A7', 'chr1', 6597, 8806), ('A7_LTR', 'chr2', 8807, 9700)) AS t(target, chrom, start_pos, end_pos)",
     "spans": """
-SELECT concat('c', l_partkey % 300) AS cell, concat('u', row_number() OVER (PARTITION BY l_partkey % 300 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS umi,
+SELECT concat('c', CAST(floor(l_orderkey / 32) AS BIGINT)) AS cell, concat('u', l_partkey % 20) AS umi,
   concat('chr', l_suppkey % 3) AS chrom, CAST((l_partkey * 37 + l_orderkey * 11) % 9000 AS INT) AS start_pos,
   CAST((l_partkey * 37 + l_orderkey * 11) % 9000 + 100 + l_orderkey % 900 AS INT) AS end_pos, CASE WHEN l_linenumber % 2 = 0 THEN '+' ELSE '-' END AS strand,
   CAST(100 + l_orderkey % 900 AS INT) AS aligned
-FROM lineitem WHERE l_orderkey % 20 = 0""",
+FROM lineitem""",
     "counts": "SELECT concat('c', o_custkey) AS cell, concat('g', l_partkey % 200) AS gene, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, l_partkey % 200",
     "cells": """
 SELECT concat('c', c_custkey) AS cell, c_mktsegment AS cluster, concat('k', c_nationkey) AS clone, CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS condition,
@@ -93,15 +93,9 @@ def needed(names: tuple[str, ...]) -> list[str]:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view or one of the driver's tables.
-
-    A large table in fewer files than there are cores is dealt out first: its one row group would be one task. Filters
-    and column pruning pass through.
-    """
+    """A view or one of the driver's tables."""
     if name not in VIEWS:
-        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        cores = spark.sparkContext.defaultParallelism
-        return table.repartition(cores) if name in ("lineitem", "orders") and len(table.inputFiles()) < cores else table
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = VIEWS[name]
     used = [w for w in dict.fromkeys(re.findall(r"\w+", text)) if (w in VIEWS or w in TABLES) and w != name and re.search(rf"(?:FROM|JOIN)\s+{w}\b", text)]
     for w in used:

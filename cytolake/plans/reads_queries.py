@@ -210,8 +210,8 @@ def _(spans):
     return spans.select("cell", "umi", r.classify_span(F.col("start_pos"), F.col("end_pos")).alias("isoform"))
 
 
-FR = "fr AS (SELECT cell, concat('u', CAST(substr(umi, 2) AS INT) % 30) AS umi, chrom, start_pos, end_pos, strand, aligned FROM spans)"
-BEST = f"{FR}, best AS (SELECT cell, umi, chrom, start_pos, end_pos, strand, aligned FROM (SELECT *, row_number() OVER (PARTITION BY cell, umi ORDER BY aligned DESC, start_pos, end_pos) AS k FROM fr) WHERE k = 1)"
+BEST = """best AS (SELECT cell, umi, chrom, start_pos, end_pos, strand, aligned
+  FROM (SELECT *, row_number() OVER (PARTITION BY cell, umi ORDER BY aligned DESC, start_pos, end_pos, chrom, strand) AS k FROM spans) WHERE k = 1)"""
 PAIRS = f"""{BEST}, pairs AS (SELECT *, overlap_bp / least(end_1 - start_1, end_2 - start_2) AS overlap_share FROM (SELECT a.cell, a.umi AS umi_1, b.umi AS umi_2, a.start_pos AS start_1, a.end_pos AS end_1, b.start_pos AS start_2, b.end_pos AS end_2,
   {ov('a.start_pos', 'a.end_pos', 'b.start_pos', 'b.end_pos')} AS overlap_bp, greatest(0, greatest(a.start_pos, b.start_pos) - least(a.end_pos, b.end_pos)) AS gap_bp,
   greatest(a.end_pos, b.end_pos) - least(a.start_pos, b.start_pos) AS combined_span, greatest(a.end_pos, b.end_pos) - least(a.start_pos, b.start_pos) - greatest(a.end_pos - a.start_pos, b.end_pos - b.start_pos) AS span_gain
@@ -220,27 +220,23 @@ REL = f"""{PAIRS}, rel AS (SELECT *, CASE WHEN (start_1 <= start_2 AND end_1 >=
   WHEN overlap_bp <= 50 AND gap_bp <= 200 AND span_gain >= 100 THEN 'COMPLEMENTARY' ELSE 'DISTANT' END AS relationship FROM pairs)"""
 
 
-def _fragments(spans):
-    return spans.withColumn("umi", F.concat(F.lit("u"), F.substring("umi", 2, 9).cast("int") % 30))
-
-
 def _pairs(spans):
-    return r.classify_pair(r.fragment_pairs(r.best_fragment(_fragments(spans))))
+    return r.classify_pair(r.fragment_pairs(r.best_fragment(spans)))
 
 
 def _stitched(spans):
-    best = r.best_fragment(_fragments(spans))
-    return r.stitched_molecules(best, r.classify_pair(r.fragment_pairs(best)).where("relationship = 'COMPLEMENTARY'"))
+    best = r.best_fragment(spans)
+    return r.stitched_molecules(best, r.classify_pair(r.fragment_pairs(best, near=200)).where("relationship = 'COMPLEMENTARY'"))
 
 
 @operator("RD-31", "spans", sql=f"WITH {BEST} SELECT * FROM best")
 def _(spans):
-    return r.best_fragment(_fragments(spans))
+    return r.best_fragment(spans)
 
 
 @operator("RD-32", "spans", sql=f"WITH {PAIRS} SELECT * FROM pairs")
 def _(spans):
-    return r.fragment_pairs(r.best_fragment(_fragments(spans)))
+    return r.fragment_pairs(r.best_fragment(spans))
 
 
 @operator("RD-33", "spans", sql=f"WITH {REL} SELECT cell, umi_1, umi_2, relationship FROM rel")

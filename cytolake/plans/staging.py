@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the session's spark.checkpoint.dir (a temporary folder where it is unset)."""
+    """A new path in the session's spark.checkpoint.dir. Only a local session (tests) may leave it unset: its warehouse takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/intermediate"
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 

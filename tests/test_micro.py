@@ -133,3 +133,25 @@ def test_clusters_of_whole_reads(spark, monkeypatch):
     reads = spark.createDataFrame(rows, "file_offset long, pos int, seq string")
     monkeypatch.setattr(registry.fixtures, "view", lambda *_: reads)
     assert {x.read_id: x.cluster for x in registry.QUERIES["SEQ-14"](spark, "").collect()} == {"1": "1", "2": "2", "3": "1"}
+
+
+def test_umi_merge_goes_by_falling_count_and_the_taken_take_no_one(spark):
+    import itertools
+    import random
+
+    rng = random.Random(7)
+    rows = [("x", "AAAA", 10), ("x", "AAAC", 5), ("x", "AACC", 1), ("y", "AAAC", 2), ("y", "", 3), ("z", "G", 1), ("z", "GG", 4)]
+    rows += [(f"r{k}", "".join(rng.choice("AC") for _ in range(5)), rng.randint(1, 4)) for k in range(4) for _ in range(14)]
+    got = sorted(map(tuple, b.merge_umis(spark.createDataFrame(rows, "cell string, umi string, n long")).collect()))
+    want = []
+    for cell in {r[0] for r in rows}:
+        counts = {}
+        for _, u, n in (r for r in rows if r[0] == cell):
+            counts[u] = counts.get(u, 0) + n
+        order = sorted(counts, key=lambda u: (-counts[u], u))
+        for i, j in itertools.combinations(range(len(order)), 2):
+            x, y = order[i], order[j]
+            if x in counts and y in counts and len(x) == len(y) and sum(p != q for p, q in zip(x, y)) == 1:
+                counts[x] += counts.pop(y)
+        want += [(cell, u, n) for u, n in counts.items()]
+    assert got == sorted(want) and ("x", "AAAA", 15) in got and ("x", "AACC", 1) in got
