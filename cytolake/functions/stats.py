@@ -95,3 +95,46 @@ def midrank(df: DataFrame, value: str, into: str, *keys: str) -> DataFrame:
     before = F.rank().over(w.orderBy(value))
     ties = F.count("*").over(W.partitionBy(*keys, value))
     return df.withColumn(into, before + (ties - 1) / 2.0)
+
+
+def numbered(df: DataFrame, into: str, *order: Column | str) -> DataFrame:
+    """df with its rows numbered from 0 in the given order: range partitions count alone, one row each gives their offsets."""
+    from cytolake.plans.staging import staged
+
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = staged(sorted_rows.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
+    before = W.partitionBy(F.lit(1)).orderBy("_part")  # one row a partition
+    offsets = sizes.select("_part", (F.sum("n").over(before) - F.col("n") - F.col("first")).alias("_shift"))
+    return parts.join(F.broadcast(offsets), "_part").withColumn(into, F.col("_id") + F.col("_shift")).drop("_part", "_id", "_shift")
+
+
+def running(df: DataFrame, value: str, *columns: str) -> DataFrame:
+    """df (one row a value) with run_<c>, the sum of column c over all rows up to each value, next_value and all_<c>.
+
+    Rows are spread over range partitions of value. Sums of whole partitions, one row each, become their offsets, so
+    no task sorts more than its range.
+    """
+    from cytolake.plans.staging import staged
+
+    parts = staged(df.repartitionByRange(value).withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy("_part").agg(F.min(value).alias("_first"), *[F.sum(c).alias(f"_{c}") for c in columns])
+    order = W.partitionBy(F.lit(1)).orderBy("_part")  # one row a partition
+    offsets = sums.select("_part", F.lead("_first").over(order).alias("_after"), *[x for c in columns for x in ((F.sum(f"_{c}").over(order) - F.col(f"_{c}")).alias(f"_before_{c}"), F.sum(f"_{c}").over(W.partitionBy(F.lit(1))).alias(f"all_{c}"))])
+    inside = W.partitionBy("_part").orderBy(value)
+    joined = parts.join(F.broadcast(offsets), "_part")
+    run = [(F.sum(c).over(inside.rowsBetween(W.unboundedPreceding, 0)) + F.col(f"_before_{c}")).alias(f"run_{c}") for c in columns]
+    return joined.select(*df.columns, *run, F.coalesce(F.lead(value).over(inside), F.col("_after")).alias("next_value"), *[f"all_{c}" for c in columns])
+
+
+def adjust_many(df: DataFrame, p: str, into: str) -> DataFrame:
+    """adjust without keys for very many rows: ranks by `running` over distinct p, and the least value over larger p by range partitions."""
+    from cytolake.plans.staging import staged
+
+    ranked = running(df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("k")), p, "k")
+    raw = staged(ranked.select(p, (F.col(p) * F.col("all_k") / F.col("run_k")).alias("raw")).repartitionByRange(p).withColumn("_part", F.spark_partition_id()))
+    later = W.partitionBy(F.lit(1)).orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)  # one row a partition
+    least = raw.groupBy("_part").agg(F.min("raw").alias("least")).select("_part", F.min("least").over(later).alias("later"))
+    below = W.partitionBy("_part").orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
+    found = raw.join(F.broadcast(least), "_part").select(p, F.least(F.lit(1.0), F.min("raw").over(below), F.coalesce("later", F.lit(1.0))).alias(into))
+    return df.join(found, p, "left")

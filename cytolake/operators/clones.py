@@ -5,14 +5,20 @@ Replicates are rows (spark.range times groups) with seeded hashes as random numb
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cytolake.functions import stats
 
+#: Bytes up to which the matrix of all cells by the listed genes is broadcast.
+MATRIX_BYTES = 1 << 26
+
 
 def distance(a: Column | str, b: Column | str) -> Column:
     """Euclidean distance of two vectors."""
@@ -40,37 +46,104 @@ def pair_differences(x: DataFrame, pairs: DataFrame, genes: DataFrame) -> DataFr
     return grid.join(seen, ["pair", "gene"], "left").na.fill(0, ["d"])
 
 
-def delta_correlation(differences: DataFrame) -> DataFrame:
-    """CL-02: rank correlation of every gene pair over cell-pair differences; ordinal ranks, ties by pair."""
-    ranked = differences.withColumn("r", F.row_number().over(W.partitionBy("gene").orderBy("d", "pair")).cast("double"))
-    a, b = ranked.select("pair", F.col("gene").alias("gene_1"), F.col("r").alias("r1")), ranked.select("pair", F.col("gene").alias("gene_2"), F.col("r").alias("r2"))
-    return a.join(b, "pair").where("gene_1 < gene_2").groupBy("gene_1", "gene_2").agg(F.corr("r1", "r2").alias("rho"))
+def _upper(products: np.ndarray, genes: Sequence[str]) -> list:
+    i, j = np.triu_indices(len(genes), 1)
+    names = pa.array(genes, pa.string())
+    return [names.take(pa.array(i)), names.take(pa.array(j)), pa.array(products[i, j], pa.float64())]
 
 
-def shuffle_null(x: DataFrame, genes: Sequence[str], cells: Sequence[str], n_pairs: int, shuffles: int, seed: int) -> DataFrame:
-    """CL-03: mean and population deviation of the correlation of each gene pair over shuffled cell pairs.
+def delta_correlation(differences: DataFrame) -> DataFrame:
+    """CL-02: rank correlation of every gene pair over cell-pair differences; ordinal ranks, ties by pair.
 
-    The dense matrix of some hundred genes is broadcast and shuffles are the parallel axis; tasks give mergeable
-    sums, one row a gene pair and task.
+    Every pair has a row for every gene. Pairs become dense vectors of centred ranks, each task multiplies its block
+    of vectors, and the products of the blocks are added up: one row a gene pair and task is shuffled.
+    """
+    ranked = differences.select("pair", "gene", F.row_number().over(W.partitionBy("gene").orderBy("d", "pair")).alias("r"))
+    vectors = ranked.groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("gene", "r"))).alias("v")).select("v.gene", "v.r")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        genes, total, n = [], None, 0
+        for batch in batches:
+            if batch.num_rows:
+                genes = genes or batch.column(0)[0].as_py()
+                r = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
+                sums, total, n = r.sum(axis=0), (0 if total is None else total) + r.T @ r, n + batch.num_rows
+                both = sums[:, None] + sums[None, :]
+                shift = both if n == batch.num_rows else shift + both
+        if genes:
+            size = len(genes)
+            yield pa.RecordBatch.from_arrays([*_upper(total, genes), _upper(shift, genes)[2], pa.array(np.full(size * (size - 1) // 2, n))], names=["gene_1", "gene_2", "product", "sums", "n"])
+
+    blocks = vectors.mapInArrow(products, "gene_1 string, gene_2 string, product double, sums double, n long")
+    s = blocks.groupBy("gene_1", "gene_2").agg(*[F.sum(c).alias(c) for c in ("product", "sums", "n")])
+    mean, n = (F.col("n") + 1) / 2.0, F.col("n").cast("double")
+    return s.select("gene_1", "gene_2", F.try_divide(F.col("product") - mean * F.col("sums") + n * mean * mean, n * (n * n - 1) / 12.0).alias("rho"))
+
+
+def numbered(cells: DataFrame) -> tuple[DataFrame, int]:
+    """(cell, at) with the distinct cells numbered from 0 in ascending order, and how many there are."""
+    out = stats.numbered(cells.select("cell").distinct(), "at", "cell")
+    return out, out.count()
+
+
+def _rank_products(d: np.ndarray) -> np.ndarray:
+    """Correlations of the ordinal ranks of the columns."""
+    n, genes = d.shape
+    order = np.argsort(d, axis=0, kind="stable")
+    r = np.empty(d.shape)
+    np.put_along_axis(r, order, np.broadcast_to(np.arange(n, dtype=float)[:, None] - (n - 1) / 2.0, d.shape), axis=0)
+    return r.T @ r / (n * (n * n - 1) / 12.0)
+
+
+def shuffle_null(x: DataFrame, cells: DataFrame, genes: Sequence[str], n_pairs: int, shuffles: int, seed: int, matrix_bytes: int = MATRIX_BYTES) -> DataFrame:
+    """CL-03: mean and population deviation of the rank correlation of each gene pair over shuffles of n_pairs random pairs of all cells.
+
+    Pairs are rows (shuffle, pair) with seeded hashes for cell numbers. While the matrix of all cells by all genes is
+    within matrix_bytes it is broadcast; beyond that the pairs are joined to the cells' counts, with the same result.
+    A shuffle is one group of n_pairs rows, and tasks give mergeable sums, one row a gene pair and task.
     """
-    spark = x.sparkSession
-    wide = x.where(F.col("gene").isin(*genes) & F.col("cell").isin(*cells)).toPandas().pivot_table(index="cell", columns="gene", values="n", fill_value=0).reindex(index=list(cells), columns=list(genes), fill_value=0)
-    held = spark.sparkContext.broadcast(wide.to_numpy(float))
-    upper = np.triu_indices(len(genes), 1)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, q, n = np.zeros(len(upper[0])), np.zeros(len(upper[0])), 0
-        for ids in batches:
-            for i in ids["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                pick = np.array([rng.choice(len(held.value), 2, replace=False) for _ in range(n_pairs)])
-                d = held.value[pick[:, 0]] - held.value[pick[:, 1]]
-                r = np.argsort(np.argsort(d, axis=0, kind="stable"), axis=0).astype(float)
-                c = np.corrcoef(r, rowvar=False)[upper]
+    spark, genes = x.sparkSession, sorted(genes)
+    at, total = numbered(cells)
+    listed = spark.createDataFrame([(g, i) for i, g in enumerate(genes)], "gene string, g int")
+    counts = x.join(F.broadcast(listed), "gene").join(at, "cell").groupBy("at").agg(F.collect_list("g").alias("gs"), F.collect_list(F.col("n").cast("float")).alias("ns"))
+    dealt = lambda s, n: F.pmod(F.xxhash64("id", F.lit(s)), F.lit(n))
+    first = dealt(seed, total)
+    second = F.pmod(first + 1 + dealt(seed + 1, max(total - 1, 1)), F.lit(total))
+    picks = spark.range(shuffles * n_pairs).select(F.floor(F.col("id") / n_pairs).alias("shuffle"), (F.col("id") % n_pairs).alias("pair"), first.alias("i"), second.alias("j"))
+
+    def dense(gs: pa.ListArray, ns: pa.ListArray) -> np.ndarray:
+        out = np.zeros((len(gs), len(genes)), np.float32)
+        out[np.repeat(np.arange(len(gs)), pc.fill_null(pc.list_value_length(gs), 0).to_numpy()), gs.flatten().to_numpy()] = ns.flatten().to_numpy()
+        return out
+
+    if total * len(genes) * 4 <= matrix_bytes:
+        table = counts.toArrow()
+        matrix = np.zeros((total, len(genes)), np.float32)
+        matrix[table.column("at").to_numpy()] = dense(table.column("gs").combine_chunks(), table.column("ns").combine_chunks())
+        held = spark.sparkContext.broadcast(matrix)
+        rows, difference = picks, lambda b: held.value[b.column(2).to_numpy()] - held.value[b.column(3).to_numpy()]
+    else:
+        side = lambda k, c: counts.select(F.col("at").alias(c), F.col("gs").alias(f"gs_{k}"), F.col("ns").alias(f"ns_{k}"))
+        rows = picks.join(side(1, "i"), "i", "left").join(side(2, "j"), "j", "left").select("shuffle", "pair", "gs_1", "ns_1", "gs_2", "ns_2")
+        difference = lambda b: dense(b.column(2), b.column(3)) - dense(b.column(4), b.column(5))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, q, n = np.zeros((len(genes), len(genes))), np.zeros((len(genes), len(genes))), 0
+        held_ids, held_d = np.zeros(0, np.int64), np.zeros((0, len(genes)), np.float32)
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held_ids, held_d = np.r_[held_ids, batch.column(0).to_numpy()], np.concatenate([held_d, difference(batch)])
+            whole = len(held_ids) // n_pairs  # rows come sorted, so whole shuffles stand in front
+            for k in range(whole):
+                c = _rank_products(held_d[k * n_pairs : (k + 1) * n_pairs])
                 s, q, n = s + c, q + c * c, n + 1
-        yield pd.DataFrame({"gene_1": [genes[i] for i in upper[0]], "gene_2": [genes[i] for i in upper[1]], "s": s, "q": q, "k": n})
+            held_ids, held_d = held_ids[whole * n_pairs :], held_d[whole * n_pairs :]
+        if n:
+            yield pa.RecordBatch.from_arrays([*_upper(s, genes), _upper(q, genes)[2], pa.array(np.full(len(genes) * (len(genes) - 1) // 2, n))], names=["gene_1", "gene_2", "s", "q", "k"])
 
-    sums = spark.range(0, shuffles, 1, max(1, min(shuffles // 10, 200))).mapInPandas(run, "gene_1 string, gene_2 string, s double, q double, k long").groupBy("gene_1", "gene_2").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("k").alias("k"))
+    tasks = max(1, min(shuffles // 10, 400))
+    ordered = rows.repartition(tasks, "shuffle").sortWithinPartitions("shuffle", "pair")
+    sums = ordered.mapInArrow(run, "gene_1 string, gene_2 string, s double, q double, k long").groupBy("gene_1", "gene_2").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("k").alias("k"))
     mean = F.col("s") / F.col("k")
     return sums.select("gene_1", "gene_2", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("k") - mean * mean, F.lit(0.0))).alias("sd"))
 
@@ -78,7 +151,7 @@ def shuffle_null(x: DataFrame, genes: Sequence[str], cells: Sequence[str], n_pai
 def significance(observed: DataFrame, null: DataFrame) -> DataFrame:
     """CL-04: z of the observed correlations against the null, two-sided p, BH over all gene pairs."""
     d = observed.join(null, ["gene_1", "gene_2"]).withColumn("z", F.coalesce(F.try_divide(F.col("rho") - F.col("mean"), F.col("sd")), F.lit(0.0)))
-    return stats.adjust(d.withColumn("p", stats.tail(stats.normal_two_sided, F.col("z"))), "p", "p_adj")
+    return stats.adjust_many(d.withColumn("p", stats.tail(stats.normal_two_sided, F.col("z"))), "p", "p_adj")
 
 
 def stability(x: DataFrame, cells: DataFrame, genes: DataFrame, null: DataFrame, seeds: int, clone: str = "clone") -> DataFrame:
@@ -89,9 +162,15 @@ def stability(x: DataFrame, cells: DataFrame, genes: DataFrame, null: DataFrame,
     value = lambda c, n: x.select(F.col("cell").alias(c), "gene", F.col("n").alias(n))
     grid = two.crossJoin(F.broadcast(genes.select("gene").distinct()))
     d = grid.join(value("cell_1", "n1"), ["cell_1", "gene"], "left").join(value("cell_2", "n2"), ["cell_2", "gene"], "left").na.fill(0, ["n1", "n2"]).withColumn("d", F.col("n1") - F.col("n2"))
-    ranked = d.withColumn("r", F.row_number().over(W.partitionBy("seed", "gene").orderBy("d", clone)).cast("double"))
-    a, b = ranked.select("seed", clone, F.col("gene").alias("gene_1"), F.col("r").alias("r1")), ranked.select("seed", clone, F.col("gene").alias("gene_2"), F.col("r").alias("r2"))
-    rho = a.join(b, ["seed", clone]).where("gene_1 < gene_2").groupBy("seed", "gene_1", "gene_2").agg(F.corr("r1", "r2").alias("rho"))
+    vectors = d.groupBy("seed", clone).agg(F.sort_array(F.collect_list(F.struct("gene", F.col("d").cast("double").alias("d")))).alias("v")).select("seed", clone, "v.gene", "v.d")
+
+    def correlate(pairs: pd.DataFrame) -> pd.DataFrame:
+        """One pairing: a row a clone."""
+        pairs = pairs.sort_values(clone)
+        first, second, rho = _upper(_rank_products(np.stack(pairs["d"].to_list())), pairs["gene"].iat[0])
+        return pd.DataFrame({"seed": pairs["seed"].iat[0], "gene_1": first.to_pandas(), "gene_2": second.to_pandas(), "rho": rho.to_numpy()})
+
+    rho = vectors.groupBy("seed").applyInPandas(correlate, "seed long, gene_1 string, gene_2 string, rho double")
     z = rho.join(null, ["gene_1", "gene_2"]).withColumn("z", F.coalesce(F.try_divide(F.col("rho") - F.col("mean"), F.col("sd")), F.lit(0.0)))
     return z.groupBy("gene_1", "gene_2").agg(F.count_if(F.abs("z") > 1.96).alias("significant"), F.percentile("z", 0.5).alias("median_z"), F.avg("z").alias("mean_z"), F.stddev_samp("z").alias("sd_z"))
 
@@ -128,14 +207,34 @@ def energy_matrix(points: DataFrame, least: int = 10) -> DataFrame:
     return m.where("clone_1 < clone_2").join(own.select("clone_1", F.col("d").alias("d1")), "clone_1").join(own.select("clone_2", F.col("d").alias("d2")), "clone_2").select("clone_1", "clone_2", (2 * F.col("d") - F.col("d1") - F.col("d2")).alias("energy"))
 
 
-def distance_groups(points: DataFrame, n: int = 2000, seed: int = 1) -> DataFrame:
-    """CL-08: distances of pairs inside clones and of random pairs between clones, at most n of each by seeded hash."""
-    p = points.select("cell", "clone", "embedding")
-    inside = p.alias("a").join(p.alias("b"), (F.col("a.clone") == F.col("b.clone")) & (F.col("a.cell") < F.col("b.cell")))
-    shuffled = lambda s: p.withColumn("k", F.row_number().over(W.orderBy(F.xxhash64("cell", F.lit(s)), "cell"))).where(F.col("k") <= n)
-    between = shuffled(seed).alias("a").join(shuffled(seed + 1).alias("b"), "k").where("a.clone <> b.clone")
-    out = lambda d, name: d.select(F.lit(name).alias("kind"), F.col("a.cell").alias("cell_1"), F.col("b.cell").alias("cell_2"), distance("a.embedding", "b.embedding").alias("d"))
-    return out(inside, "within").orderBy(F.xxhash64("cell_1", "cell_2", F.lit(seed)), "cell_1", "cell_2").limit(n).unionByName(out(between, "between"))
+def distance_groups(points: DataFrame, n: int = 2000, seed: int = 1, clone: str = "clone") -> DataFrame:
+    """CL-08: distances of up to n random pairs of five kinds: within a clone, between clones, singleton-singleton, clone-singleton, and any two cells.
+
+    The i-th pair of a kind joins a cell number of its first side to one of its second, both by seeded hashes (pairs of
+    equal cells or, between clones, of one clone are drawn again from three times as many). Only the drawn cells are joined.
+    """
+    spark = points.sparkSession
+    sized = points.select("cell", F.col(clone).alias("clone"), F.count("*").over(W.partitionBy(clone)).alias("size"))
+    sides = {"clone": sized.where("size > 1"), "single": sized.where("size = 1"), "any": sized}
+    counted = {k: numbered(v) for k, v in sides.items()}
+    drawn = []
+    for k, (kind, one, two) in enumerate((("between", "clone", "clone"), ("singletons", "single", "single"), ("clone_singleton", "clone", "single"), ("random", "any", "any"))):
+        if counted[one][1] and counted[two][1]:
+            at = lambda s, side: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(2 * k + s)), F.lit(counted[side][1]))  # noqa: B023, E731
+            picks = spark.range(3 * n).select("id", at(0, one).alias("i"), at(1, two).alias("j"))
+            named = picks.join(counted[one][0].select(F.col("cell").alias("cell_1"), F.col("at").alias("i")), "i").join(counted[two][0].select(F.col("cell").alias("cell_2"), F.col("at").alias("j")), "j")
+            drawn.append(named.select(F.lit(kind).alias("kind"), "id", "cell_1", "cell_2").where("cell_1 <> cell_2"))
+    # Inside clones: a random cell with the next one of its clone in a seeded order, so no clone is paired out.
+    order = W.partitionBy("clone").orderBy(F.xxhash64("cell", F.lit(seed)), "cell")
+    near = sides["clone"].select("cell", F.coalesce(F.lead("cell").over(order), F.first("cell").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("other"))
+    within = near.orderBy(F.xxhash64("cell", F.lit(seed + 1)), "cell").limit(n).select(F.lit("within").alias("kind"), F.lit(0).cast("long").alias("id"), F.col("cell").alias("cell_1"), F.col("other").alias("cell_2"))
+    pairs = within
+    for d in drawn:
+        pairs = pairs.unionByName(d)
+    side = lambda k: points.select(F.col("cell").alias(f"cell_{k}"), F.col(clone).alias(f"clone_{k}"), F.col("embedding").alias(f"v{k}"))
+    whole = pairs.join(side(1), "cell_1").join(side(2), "cell_2").where("kind <> 'between' OR clone_1 <> clone_2")
+    kept = whole.withColumn("k", F.row_number().over(W.partitionBy("kind").orderBy("id", "cell_1", "cell_2"))).where(F.col("k") <= n)  # 3 * n rows a kind at most
+    return kept.select("kind", "cell_1", "cell_2", distance("v1", "v2").alias("d"))
 
 
 def cluster_spread_test(points: DataFrame, permutations: int = 20, seed: int = 1) -> DataFrame:
@@ -252,8 +351,8 @@ def mcnemar(categories: DataFrame) -> DataFrame:
 def ks_distance(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
     """CL-18: Kolmogorov-Smirnov distance of a value between two groups."""
     counts = df.groupBy(value).agg(F.count_if(F.col(group) == a).alias("a"), F.count_if(F.col(group) == b).alias("b"))
-    w, every = W.partitionBy(F.lit(1)).orderBy(value).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(F.lit(1))
-    return counts.select(F.abs(F.sum("a").over(w) / F.sum("a").over(every) - F.sum("b").over(w) / F.sum("b").over(every)).alias("d")).agg(F.max("d").alias("ks"))
+    gap = F.abs(F.col("run_a") / F.col("all_a") - F.col("run_b") / F.col("all_b"))
+    return stats.running(counts, value, "a", "b").agg(F.max(gap).alias("ks"))
 
 
 def match_permutation(categories: DataFrame, permutations: int = 100, seed: int = 1) -> DataFrame:
@@ -295,11 +394,9 @@ def singleton_table(cells: DataFrame) -> DataFrame:
 def wasserstein(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
     """CL-23: 1-D Wasserstein distance of a value between two groups, and divided by its deviation over both."""
     counts = df.where(F.col(group).isin(a, b)).groupBy(value).agg(F.count_if(F.col(group) == a).alias("a"), F.count_if(F.col(group) == b).alias("b"))
-    w, every = W.partitionBy(F.lit(1)).orderBy(value), W.partitionBy(F.lit(1))
-    run = w.rowsBetween(W.unboundedPreceding, 0)
-    gap = F.abs(F.sum("a").over(run) / F.sum("a").over(every) - F.sum("b").over(run) / F.sum("b").over(every)) * (F.lead(value).over(w) - F.col(value))
+    gap = F.abs(F.col("run_a") / F.col("all_a") - F.col("run_b") / F.col("all_b")) * (F.col("next_value") - F.col(value))
     sd = df.where(F.col(group).isin(a, b)).agg(F.stddev_samp(value).alias("sd"))
-    return counts.select(gap.alias("g")).agg(F.sum("g").alias("wasserstein")).crossJoin(sd).select("wasserstein", F.try_divide("wasserstein", "sd").alias("scaled"))
+    return stats.running(counts, value, "a", "b").agg(F.sum(gap).alias("wasserstein")).crossJoin(sd).select("wasserstein", F.try_divide("wasserstein", "sd").alias("scaled"))
 
 
 def compare_methods(df: DataFrame, value: str, method: str, reference: str) -> DataFrame:

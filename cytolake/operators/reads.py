@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cytolake.functions import cigar as c
+from cytolake.functions import cigar as c, stats
 from cytolake.functions.graph import components
 
 #: Regions of the isoform classes from blocks, and of those from spans.
@@ -365,7 +365,7 @@ def multimap_positions(reads: DataFrame) -> DataFrame:
 def equalise(a: DataFrame, b: DataFrame, key: str, seed: int) -> DataFrame:
     """RD-42: samples of equal, exact size (the smaller count) from two sets, without replacement, by seeded hash order."""
     n = min(a.count(), b.count())
-    pick = lambda df, side: df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n).withColumn("side", F.lit(side))
+    pick = lambda df, side: stats.numbered(df, "_at", F.xxhash64(key, F.lit(seed)), key).where(F.col("_at") < n).drop("_at").withColumn("side", F.lit(side))
     return pick(a, "a").unionByName(pick(b, "b"))
 
 

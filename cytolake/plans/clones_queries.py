@@ -8,12 +8,6 @@ from cytolake.operators import clones as k
 from cytolake.plans.registry import operator
 
 DIST = "sqrt(list_sum([(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) for i in range(1, len(a.embedding) + 1)]))"
-FEW = ("g1", "g2", "g3", "g4", "g5", "g6")
-
-
-def _few(counts):
-    return counts.where(F.col("gene").isin(*FEW))
-
 
 @operator("CL-01", "cells", sql="SELECT a.clone, a.cell AS cell_1, b.cell AS cell_2 FROM cells a JOIN cells b ON a.clone = b.clone AND a.cell < b.cell")
 def _(cells):
@@ -25,22 +19,29 @@ def _(cells):
     return k.twin_pairs(cells, 3)
 
 
-TWINS = "twins AS (SELECT c_nationkey, concat('c', min(c_custkey)) AS cell_1, concat('c', max(c_custkey)) AS cell_2 FROM customer GROUP BY c_nationkey)"
+#: The first and the last of each fifty customers, so pairs grow with the table.
+TWINS = "twins AS (SELECT concat('c', min(c_custkey)) AS cell_1, concat('c', max(c_custkey)) AS cell_2 FROM customer GROUP BY floor(c_custkey / 50) HAVING count(*) > 1)"
 
 
 def _twins(customer):
-    return customer.groupBy("c_nationkey").agg(F.concat(F.lit("c"), F.min("c_custkey")).alias("cell_1"), F.concat(F.lit("c"), F.max("c_custkey")).alias("cell_2"))
+    ends = customer.groupBy(F.floor(F.col("c_custkey") / 50)).agg(F.min("c_custkey").alias("a"), F.max("c_custkey").alias("b")).where("a < b")
+    return ends.select(F.concat(F.lit("c"), "a").alias("cell_1"), F.concat(F.lit("c"), "b").alias("cell_2"))
 
 
-@operator("CL-02", "counts", "customer", sql=f"""WITH {TWINS}, d AS (SELECT concat(cell_1, '|', cell_2) AS pair, g.gene, coalesce(x.n, 0) - coalesce(y.n, 0) AS d FROM twins CROSS JOIN (SELECT DISTINCT gene FROM counts WHERE gene IN {FEW}) g LEFT JOIN counts x ON x.cell = cell_1 AND x.gene = g.gene LEFT JOIN counts y ON y.cell = cell_2 AND y.gene = g.gene),
-r AS (SELECT pair, gene, row_number() OVER (PARTITION BY gene ORDER BY d, pair) AS r FROM d) SELECT a.gene AS gene_1, b.gene AS gene_2, corr(a.r, b.r) AS rho FROM r a JOIN r b ON a.pair = b.pair AND a.gene < b.gene GROUP BY 1, 2""")
+@operator("CL-02", "counts", "customer", sql=f"""
+WITH {TWINS}, d AS (
+  SELECT concat(cell_1, '|', cell_2) AS pair, g.gene, coalesce(x.n, 0) - coalesce(y.n, 0) AS d FROM twins CROSS JOIN (SELECT DISTINCT gene FROM counts) g
+  LEFT JOIN counts x ON x.cell = cell_1 AND x.gene = g.gene LEFT JOIN counts y ON y.cell = cell_2 AND y.gene = g.gene
+), r AS (SELECT pair, gene, row_number() OVER (PARTITION BY gene ORDER BY d, pair) AS r FROM d)
+SELECT a.gene AS gene_1, b.gene AS gene_2, round(corr(a.r, b.r), 9) + 0.0 AS rho FROM r a JOIN r b ON a.pair = b.pair AND a.gene < b.gene GROUP BY 1, 2""")
 def _(counts, customer):
-    return k.delta_correlation(k.pair_differences(counts, _twins(customer), _few(counts).select("gene")))
+    rho = k.delta_correlation(k.pair_differences(counts, _twins(customer), counts.select("gene").distinct()))
+    return rho.select("gene_1", "gene_2", (F.round("rho", 9) + F.lit(0.0)).alias("rho"))
 
 
 def _null(counts, cells):
-    names = [r[0] for r in cells.select("cell").orderBy("cell").limit(100).collect()]
-    return k.shuffle_null(counts, list(FEW), names, 25, 40, 1)
+    genes = [r[0] for r in counts.select("gene").distinct().collect()]
+    return k.shuffle_null(counts, cells, genes, 25, 200, 1)
 
 
 @operator("CL-03", "counts", "cells")
@@ -50,12 +51,12 @@ def _(counts, cells):
 
 @operator("CL-04", "counts", "cells", "customer")
 def _(counts, cells, customer):
-    return k.significance(k.delta_correlation(k.pair_differences(counts, _twins(customer), _few(counts).select("gene"))), _null(counts, cells))
+    return k.significance(k.delta_correlation(k.pair_differences(counts, _twins(customer), counts.select("gene").distinct())), _null(counts, cells))
 
 
 @operator("CL-05", "counts", "cells")
 def _(counts, cells):
-    return k.stability(_few(counts), cells, _few(counts).select("gene"), _null(counts, cells), 4)
+    return k.stability(counts, cells, counts.select("gene").distinct(), _null(counts, cells), 4)
 
 
 @operator("CL-06", "points")
@@ -63,15 +64,15 @@ def _(points):
     return k.energy_distance(points, 5)
 
 
-@operator("CL-07", "points", sql=f"""WITH m AS (SELECT a.clone AS c1, b.clone AS c2, avg({DIST}) AS d FROM points a JOIN points b ON a.clone <= b.clone WHERE a.clone < 'k13' AND b.clone < 'k13' GROUP BY 1, 2)
+@operator("CL-07", "points", sql=f"""WITH m AS (SELECT a.clone AS c1, b.clone AS c2, avg({DIST}) AS d FROM points a JOIN points b ON a.clone <= b.clone GROUP BY 1, 2)
 SELECT m.c1 AS clone_1, m.c2 AS clone_2, round(2 * m.d - x.d - y.d, 9) AS energy FROM m JOIN m x ON x.c1 = m.c1 AND x.c2 = m.c1 JOIN m y ON y.c1 = m.c2 AND y.c2 = m.c2 WHERE m.c1 < m.c2""")
 def _(points):
-    return k.energy_matrix(points.where("clone < 'k13'")).withColumn("energy", F.round("energy", 9))
+    return k.energy_matrix(points).withColumn("energy", F.round("energy", 9))
 
 
 @operator("CL-08", "points")
 def _(points):
-    return k.distance_groups(points, 500)
+    return k.distance_groups(points.withColumn("clone", F.when(F.substring("cell", 2, 9).cast("int") % 5 == 0, F.col("cell")).otherwise(F.col("clone"))))
 
 
 @operator("CL-09", "points")
@@ -86,28 +87,28 @@ def _(cells):
 
 def icc(keys: str = "") -> str:
     kk = f", {keys}" if keys else ""
-    return f"""d AS (SELECT g.gene{kk}, c.clone, coalesce(x.n, 0) AS n FROM (SELECT *, count(*) OVER (PARTITION BY clone{kk}) AS size FROM cells) c CROSS JOIN (SELECT DISTINCT gene FROM counts WHERE gene IN {FEW}) g LEFT JOIN counts x ON x.cell = c.cell AND x.gene = g.gene WHERE size > 1),
+    return f"""d AS (SELECT g.gene{kk}, c.clone, coalesce(x.n, 0) AS n FROM (SELECT *, count(*) OVER (PARTITION BY clone{kk}) AS size FROM cells) c CROSS JOIN (SELECT DISTINCT gene FROM counts) g LEFT JOIN counts x ON x.cell = c.cell AND x.gene = g.gene WHERE size > 1),
 p AS (SELECT gene{kk}, clone, CAST(count(*) AS DOUBLE) AS n, CAST(sum(n) AS DOUBLE) AS s, CAST(sum(n * n) AS DOUBLE) AS q FROM d GROUP BY ALL), t AS (SELECT gene{kk}, sum(n) AS n, count(*) AS k, sum(s * s / n) AS b, sum(q) AS q, sum(s) AS s, sum(n * n) AS n2 FROM p GROUP BY ALL HAVING count(*) > 1 AND sum(n) > count(*)),
 v AS (SELECT gene{kk}, (b - s * s / n) / (k - 1) AS msb, (q - b) / (n - k) AS msw, (n - n2 / n) / (k - 1) AS n0 FROM t), icc AS (SELECT gene{kk}, greatest(0, coalesce((msb - msw) / nullif(msb + (n0 - 1) * msw, 0), 0)) AS icc FROM v)"""
 
 
 @operator("CL-11", "counts", "cells", sql=f"WITH {icc()} SELECT * FROM icc")
 def _(counts, cells):
-    return k.icc(_few(counts), cells)
+    return k.icc(counts, cells)
 
 
 @operator("CL-11c", "counts", "cells", sql=f"WITH {icc('cluster')} SELECT * FROM icc")
 def _(counts, cells):
-    return k.icc(_few(counts), cells, ["cluster"])
+    return k.icc(counts, cells, ["cluster"])
 
 
 @operator("CL-11p", "counts", "cells")
 def _(counts, cells):
-    return k.icc_test(_few(counts), cells, 5)
+    return k.icc_test(counts, cells, 5)
 
 
 def _coherent(counts, cells):
-    return k.coherence(counts, cells, _few(counts).select("gene"), 8)
+    return k.coherence(counts, cells, counts.select("gene"), 8)
 
 
 @operator("CL-12", "counts", "cells")
@@ -122,7 +123,7 @@ def _(counts, cells):
 
 @operator("CL-14", "counts", "cells")
 def _(counts, cells):
-    return k.icc_compare(k.icc(_few(counts), cells), k.icc(_few(counts), cells, ["cluster"]))
+    return k.icc_compare(k.icc(counts, cells), k.icc(counts, cells, ["cluster"]))
 
 
 DETECTED = "detected AS (SELECT cell, concat('g', CAST(substr(cell, 2) AS INT) % 4) AS gene FROM points WHERE CAST(substr(cell, 2) AS INT) % 3 > 0)"
@@ -183,11 +184,11 @@ def _(points):
     return k.split_half_control(_mixed(points), _detected(points), "B", least=5)
 
 
-TABLE = f"SELECT gene, count(*) FILTER (condition = 'A' AND n > 25) AS a, count(*) FILTER (condition = 'A' AND n <= 25) AS b, count(*) FILTER (condition <> 'A' AND n > 25) AS c, count(*) FILTER (condition <> 'A' AND n <= 25) AS d FROM counts JOIN cells USING (cell) WHERE gene IN {FEW} GROUP BY gene"
+TABLE = f"SELECT gene, count(*) FILTER (condition = 'A' AND n > 25) AS a, count(*) FILTER (condition = 'A' AND n <= 25) AS b, count(*) FILTER (condition <> 'A' AND n > 25) AS c, count(*) FILTER (condition <> 'A' AND n <= 25) AS d FROM counts JOIN cells USING (cell) GROUP BY gene"
 
 
 def _table(counts, cells):
-    return k.detection_table(_few(counts).join(cells, "cell").withColumn("detected", F.col("n") > 25), "condition", "A")
+    return k.detection_table(counts.join(cells, "cell").withColumn("detected", F.col("n") > 25), "condition", "A")
 
 
 @operator("CL-21", "counts", "cells", sql=f"WITH t AS ({TABLE}) SELECT *, a / (a + b) AS share_1, c / (c + d) AS share_2 FROM t")
