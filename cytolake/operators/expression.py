@@ -197,14 +197,34 @@ def gene_variation(x: DataFrame, cells: int) -> DataFrame:
 def signal_correlation(x: DataFrame, signal: DataFrame, least: int = 10) -> DataFrame:
     """EX-21: Spearman correlation of each gene with a signal over the cells where either is above 0, p by the t approximation's normal tail, BH adjusted.
 
-    Cells whose signal is above 0 but that lack the gene are rows too: genes times such cells.
+    Only counts above 0 are rows. Of N such cells of a gene, z lack the gene (rank of n: (z + 1) / 2) and c have no
+    signal (rank of the signal: (c + 1) / 2). Every cell with a signal takes part for every gene, so its rank is c
+    more than m, its midrank among all of them; sums over the z cells are sums over all less those over the others.
     """
-    positive = signal.where("signal > 0")
-    genes = x.select("gene").distinct()
-    absent = genes.join(positive.select("cell", "signal"), how="cross").join(x.where("n > 0").select("gene", "cell"), ["gene", "cell"], "left_anti").withColumn("n", F.lit(0).cast("bigint"))
-    both = x.where("n > 0").select("gene", "cell", "n").join(signal.select("cell", "signal"), "cell").select("gene", "cell", "signal", "n").unionByName(absent.select("gene", "cell", "signal", "n"))
-    ranked = stats.midrank(stats.midrank(both, "n", "rx", "gene"), "signal", "ry", "gene")
-    rho = ranked.groupBy("gene").agg(F.count("*").alias("cells"), F.corr("rx", "ry").alias("rho"), F.count_distinct("n").alias("kx"), F.count_distinct("signal").alias("ky")).where((F.col("cells") >= least) & (F.col("kx") > 1) & (F.col("ky") > 1))
+    by_value = signal.where("signal > 0").groupBy("signal").agg(F.count("*").alias("k"))
+    ranks = stats.running(by_value, "signal", "k").select("signal", "k", (F.col("run_k") - (F.col("k") - 1) / 2.0).alias("m"))
+    whole = ranks.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("p"), F.coalesce(F.sum(F.col("k") * F.col("m") * F.col("m")), F.lit(0.0)).alias("m2"), F.count("*").alias("values"))
+    rows = x.where("n > 0").select("gene", "cell", "n").join(signal.select("cell", "signal"), "cell").join(ranks.select("signal", "m"), "signal", "left")
+    groups = rows.groupBy("gene", "n").agg(F.count("*").alias("k"), F.count("m").alias("kp"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("sm"))
+    w = W.partitionBy("gene")
+    groups = groups.withColumn("r", F.sum("k").over(w.orderBy("n").rowsBetween(W.unboundedPreceding, 0)) - (F.col("k") - 1) / 2.0).withColumn("c", F.sum(F.col("k") - F.col("kp")).over(w))
+    # Sums over the rows above 0 of each gene: rank among them, rank of the signal, and products.
+    ry = F.col("sm") + F.col("kp") * F.col("c") + (F.col("k") - F.col("kp")) * (F.col("c") + 1) / 2.0
+    g = groups.groupBy("gene").agg(
+        F.max("c").alias("c"), F.sum("k").alias("seen"), F.sum("kp").alias("kp"), F.sum("sm").alias("sm"), F.count("*").alias("kinds"), F.sum(F.col("k") * F.col("r")).alias("sr"),
+        F.sum(F.col("k") * F.col("r") * F.col("r")).alias("sr2"), F.sum(ry).alias("sy"), F.sum(F.col("r") * ry).alias("sry"),
+    )
+    genes = x.select("gene").distinct().join(g, "gene", "left").na.fill(0).crossJoin(F.broadcast(whole))
+    c, p, n = F.col("c").cast("double"), F.col("p").cast("double"), (F.col("p") + F.col("c")).cast("double")
+    z = p - F.col("kp")
+    low = (z + 1) / 2
+    m1 = p * (p + 1) / 2
+    sxy = F.col("sry") + z * F.col("sy") + low * (m1 - F.col("sm") + z * c)
+    sx2 = F.col("sr2") + 2 * z * F.col("sr") + z * z * F.col("seen") + z * low * low
+    sy2 = c * (c + 1) * (c + 1) / 4 + F.col("m2") + 2 * c * m1 + p * c * c
+    mean = n * (n + 1) * (n + 1) / 4
+    kx, ky = F.col("kinds") + (z > 0).cast("int"), F.col("values") + (c > 0).cast("int")
+    rho = genes.where((n >= least) & (kx > 1) & (ky > 1)).select("gene", (F.col("p") + F.col("c")).alias("cells"), ((sxy - mean) / F.sqrt((sx2 - mean) * (sy2 - mean))).alias("rho"))
     t = F.col("rho") * F.sqrt(F.try_divide(F.col("cells") - 2, 1 - F.col("rho") * F.col("rho")))
     return stats.adjust(rho.select("gene", "cells", "rho", stats.tail(stats.normal_two_sided, t).alias("p")), "p", "p_adj")
 

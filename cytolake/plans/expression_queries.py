@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from cytolake.operators import expression as x
@@ -91,9 +93,16 @@ def _(counts, cells):
     return x.rank_sum_de(counts, _members(cells)).select(*DE)
 
 
-@operator("EX-12", "counts", "cells")
-def _(counts, cells):
-    return x.significant(x.rank_sum_de(counts, _members(cells)), 0.05, 0.99)
+#: Cells of many counts against the others. Every gene has a test, so a two-sided p times their number stays below alpha beyond this z.
+DEPTH = "members AS (SELECT cell, CASE WHEN sum(n) > 1000 THEN 1 ELSE 2 END AS grp FROM counts GROUP BY cell)"
+ALPHA, GENES = 0.01, 200
+Z_CUT = -NormalDist().inv_cdf(ALPHA / GENES / 2)
+
+
+@operator("EX-12", "counts", sql=f"WITH {DEPTH}, {ranksum()} SELECT gene, CASE WHEN log2fc > 0 THEN 'up' ELSE 'down' END AS direction FROM tests WHERE (pct_1 >= 0.1 OR pct_2 >= 0.1) AND abs(log2fc) > 0.5 AND abs(z) > {Z_CUT}")
+def _(counts):
+    members = counts.groupBy("cell").agg(F.when(F.sum("n") > 1000, 1).otherwise(2).alias("group"))
+    return x.significant(x.rank_sum_de(counts, members, n_genes=GENES), 0.5, ALPHA).select("gene", "direction")
 
 
 @operator("EX-13", "counts", "cells", sql=f"WITH {GROUPS}, {ranksum('cluster')} SELECT cluster, {', '.join(DE)} FROM tests WHERE pct_1 >= 0.1 OR pct_2 >= 0.1")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cytolake.operators import molecules as m
-from cytolake.plans.reads_queries import RB, ov
+from cytolake.plans.reads_queries import RB, isoform, ov
 from cytolake.plans.registry import ORACLES, QUERIES, operator
-from cytolake.plans.staging import shared_path, staged
+from cytolake.plans.staging import shared_path
 from cytolake.sources import readers as s, writers as w
 from cytolake.streaming import incremental
 
@@ -61,6 +61,13 @@ def _(aln):
     return s.read_fasta(aln.sparkSession, path)
 
 
+@operator("SRC-07", "counts", sql="SELECT cell, gene, n FROM counts")
+def _(counts):
+    path = shared_path(counts.sparkSession, "mex")
+    w.write_mex(counts, path)
+    return s.read_mex(counts.sparkSession, path)
+
+
 @operator("SRC-08", "molecule_table", "cells", sql="SELECT * FROM molecule_table WHERE cell IN (SELECT replace(cell, 'c', 'b') FROM cells WHERE signal > 2)")
 def _(molecules, cells):
     return s.read_molecules(molecules, cells.where("signal > 2").select(F.replace("cell", F.lit("c"), F.lit("b")).alias("cell")))
@@ -113,11 +120,11 @@ def _(reads, cells):
     return reads.sparkSession.read.parquet(path).groupBy("cb").agg(F.count("*").alias("reads"))
 
 
-@operator("SNK-03", "reads", sql="SELECT count(*) AS reads FROM reads")
+@operator("SNK-03", "reads", sql=f"WITH {RB} SELECT {isoform(10)} AS isoform, count(*) AS reads, sum(pos) AS pos FROM rb GROUP BY 1")
 def _(reads):
     path = shared_path(reads.sparkSession, "by-isoform")
     w.split_by_isoform(reads, path)
-    return staged(reads.sparkSession.read.parquet(path)).agg(F.count("isoform").alias("reads"))
+    return reads.sparkSession.read.parquet(path).groupBy("isoform").agg(F.count("*").alias("reads"), F.sum("pos").alias("pos"))
 
 
 @operator("SNK-04", "reads", sql=f"WITH {RB} SELECT CASE WHEN cb IS NULL THEN 'no cell' WHEN ub IS NULL THEN 'no molecule' WHEN xf NOT IN (17, 25) THEN 'flag' WHEN ref <> 'chr1' OR {ov('g1', 'e1', 1000, 5000)} < 20 THEN 'region' ELSE 'kept' END AS reason, count(*) AS reads FROM rb GROUP BY 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cytolake.functions.stats import numbered
 from cytolake.operators import reads as r
 
 
@@ -61,3 +62,16 @@ def events_to_gff3(events: DataFrame) -> DataFrame:
     rows += [row(3 + i, "exon", ends[p], F.concat(a, F.lit(f".{p}")), a) for i, p in enumerate(("up", "skipped", "down"))]
     rows += [row(6 + i, "exon", ends[p], F.concat(b, F.lit(f".{p}")), b) for i, p in enumerate(("up", "down"))]
     return events.select("event_id", F.inline(F.array(*rows)))
+
+
+def write_mex(counts: DataFrame, path: str) -> None:
+    """A sparse matrix folder of count triples (cell, gene, n): features, barcodes and matrix, each one file, genes and cells numbered in ascending order."""
+    lists = {}
+    for name, column in (("features", "gene"), ("barcodes", "cell")):
+        lists[column] = numbered(counts.select(column).distinct(), "at", column)
+        lists[column].coalesce(1).sortWithinPartitions("at").select(F.col(column).alias("value")).write.text(f"{path}/{name}.tsv")
+    sizes = counts.agg(F.count("*").alias("n")).crossJoin(lists["gene"].agg(F.count("*").alias("genes"))).crossJoin(lists["cell"].agg(F.count("*").alias("cells")))
+    head = sizes.select(F.lit(0).alias("k"), F.concat_ws("\n", F.lit("%%MatrixMarket matrix coordinate integer general"), F.concat_ws(" ", "genes", "cells", "n")).alias("value"))
+    rows = counts.join(lists["gene"].withColumnRenamed("at", "g"), "gene").join(lists["cell"].withColumnRenamed("at", "c"), "cell")
+    body = rows.select(F.lit(1).alias("k"), F.concat_ws(" ", F.col("g") + 1, F.col("c") + 1, "n").alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("k").select("value").write.text(f"{path}/matrix.mtx")
