@@ -26,6 +26,7 @@ the edge of the broadcasts change nothing; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +39,8 @@ from cytolake.llm.common import discard, materialise
 
 HOT, FREQUENT = 65_535, 1_000_000
 BACKOFF, UNSEEN = 0.4, 0.5
-TASK_ENTRIES = 500_000
+#: Words that a task numbers, and words of the documents that it takes at once.
+TASK_ENTRIES, BLOCK_WORDS = 500_000, 60_000
 #: A bigram of hot words is both numbers in one long; other keys are negative.
 WORD_BITS, SIGN = 32, -(1 << 63)
 #: Bits of the bitmap of the table's keys.
@@ -74,6 +76,35 @@ def _keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return np.where((first > 0) & (second > 0), (first << WORD_BITS) | second, x)
 
 
+class _Lookup:
+    """Values of positive keys in arrays with open addressing; 0 for other keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(2 * len(keys), 2).bit_length()
+        self.shift, self.end = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        slot = self._slots(keys)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]
+            placed = self.keys[slot] == keys
+            self.values[slot[placed]] = values[placed]
+            keys, values, slot = keys[~placed], values[~placed], (slot[~placed] + 1) & self.end
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        out, live, slot = np.zeros(len(keys), np.int64), np.arange(len(keys)), self._slots(keys)
+        while len(live):
+            there = self.keys[slot]
+            hit = there == keys
+            out[live[hit]] = self.values[slot[hit]]
+            on = ~hit & (there != 0)
+            live, keys, slot = live[on], keys[on], (slot[on] + 1) & self.end
+        return out
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(number, n) of each word over all rows, the number being its hash."""
 
@@ -111,7 +142,8 @@ def bigram_counts(docs: DataFrame, hot) -> DataFrame:
         size = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                ids = np.array([numbers[w] for w in _words(text)], np.int64)
+                words = _words(text)
+                ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
                 held.append((ids[:-1] << WORD_BITS) | ids[1:])
                 size += len(ids)
                 if size > 8 * TASK_ENTRIES or len(numbers) > TASK_ENTRIES:
@@ -121,7 +153,8 @@ def bigram_counts(docs: DataFrame, hot) -> DataFrame:
             yield from out()
 
     found = docs.select("text").mapInArrow(count, "key long, first long, second long, n long")
-    return found.groupBy("key", "first", "second").agg(F.sum("n").alias("n"))
+    # Tasks have counted already, so nothing is gained by counting again before the shuffle.
+    return found.repartition("key").groupBy("key", "first", "second").agg(F.sum("n").alias("n"))
 
 
 def _slot(key: Column) -> Column:
@@ -180,58 +213,58 @@ def score(docs: DataFrame, frequent: int = FREQUENT, hot: int = HOT) -> DataFram
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, common_n, counts, bitmap = at_once.value
+        lookup = _Lookup(common, common_n)
         names = ["row_id", "key", "own", "own_first", "own_second", "doc"]
         doc_type = pa.struct([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_bigrams", pa.int64()), ("log_sum", pa.float64())])
         places = _Numbers(numbers.value)
-        done: list[tuple] = []
-        held: list[list[np.ndarray]] = []
 
-        def out() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(c) for c in zip(*held)]
-            types = [pa.int64()] * 2 + [pa.int32()] * 3
-            for at in range(0, len(columns[0]), 100_000):
-                part = [pa.array(c[at : at + 100_000], t) for c, t in zip(columns, types)]
-                yield pa.RecordBatch.from_arrays([*part, pa.nulls(len(part[0]), doc_type)], names=names)
-            # The document's own row is dealt out by its number; what that meets in the table is not used.
-            own = pa.array([d[0] for d in done], pa.int64())
-            rows = pa.array([dict(zip(("doc_id", "n_words", "n_bigrams", "log_sum"), d[1:])) for d in done], doc_type)
-            yield pa.RecordBatch.from_arrays([own, own, *[pa.nulls(len(own), pa.int32())] * 3, rows], names=names)
-
-        def row(row_id: int, doc_id: int | None, cut: list[bytes]) -> None:
-            n = len(cut)
-            distinct, at, own = np.unique(np.array([places[w] for w in cut], np.int64), return_inverse=True, return_counts=True)
-            number = places.known[distinct]
-            # Each word alone.
+        def out(docs: list[tuple[int, int | None, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+            """Rows of some documents at once."""
+            sizes = np.array([len(d[2]) for d in docs])
+            ids = np.fromiter(map(places.__getitem__, itertools.chain.from_iterable(d[2] for d in docs)), np.int64, int(sizes.sum()))
+            doc = np.repeat(np.arange(len(docs)), sizes)
+            # Distinct words of each document.
+            distinct, at, own = np.unique(doc * len(places) + ids, return_inverse=True, return_counts=True)
+            owner, place = np.divmod(distinct, max(len(places), 1))
+            number = places.known[place]
             alone = np.where(number > 0, np.log(np.maximum(counts[np.maximum(number, 0)] - own, UNSEEN)), np.log(UNSEEN))
-            log_sum = float((alone * own).sum()) - n * log_total + max(n - 1, 0) * log_backoff
-            pairs, times = np.unique(at[:-1] * len(distinct) + at[1:], return_counts=True)
+            summed = lambda where, values: np.bincount(where, weights=values, minlength=len(docs))
+            log_sums = summed(owner, alone * own) - sizes * log_total + np.maximum(sizes - 1, 0) * log_backoff
+            # Distinct bigrams of each document.
+            same = doc[1:] == doc[:-1]
+            pairs, times = np.unique(at[:-1][same] * len(distinct) + at[1:][same], return_counts=True)
             a, b = np.divmod(pairs, max(len(distinct), 1))
             keys = _keys(number[a], number[b])
-            if len(common):
-                place = np.minimum(np.searchsorted(common, keys), len(common) - 1)
-                found = common[place] == keys
-                rest = np.where(found, common_n[place] - times, 0)
-                seen = rest > 0
-                x, y = a[seen], b[seen]
-                log_sum += float((times[seen] * (np.log(rest[seen]) - np.log(counts[number[x]] - own[x]) - log_backoff - alone[y] + log_total)).sum())
-                keys, a, b, times = keys[~found], a[~found], b[~found], times[~found]
-            few = np.flatnonzero(number < 0)
-            keys, zeros = np.concatenate([keys, number[few]]), np.zeros(len(few), np.int64)
-            columns = [keys, np.concatenate([times, own[few]]), np.concatenate([own[a], zeros]), np.concatenate([own[b], zeros])]
+            n = lookup.get(keys)
+            seen = n > times
+            x, y, rest = a[seen], b[seen], n[seen] - times[seen]
+            log_sums += summed(owner[x], times[seen] * (np.log(rest) - np.log(counts[number[x]] - own[x]) - log_backoff - alone[y] + log_total))
+            others, few = np.flatnonzero(n == 0), np.flatnonzero(number < 0)
+            keys, zeros = np.concatenate([keys[others], number[few]]), np.zeros(len(few), np.int64)
             there = _in_bitmap(bitmap, keys)
-            done.append((row_id, doc_id, n, max(n - 1, 0), log_sum))
-            held.append([np.full(int(there.sum()), row_id), *(c[there] for c in columns)])
-
+            a, b = a[others], b[others]
+            rows = np.array([d[0] for d in docs], np.int64)
+            columns = [rows[np.concatenate([owner[a], owner[few]])], keys, np.concatenate([times[others], own[few]]), np.concatenate([own[a], zeros]), np.concatenate([own[b], zeros])]
+            part = [pa.array(c[there], t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 3)]
+            yield pa.RecordBatch.from_arrays([*part, pa.nulls(len(part[0]), doc_type)], names=names)
+            # A document's own row is dealt out by its number; what that meets in the table is not used.
+            facts = [pa.array([d[1] for d in docs], pa.int64()), pa.array(sizes), pa.array(np.maximum(sizes - 1, 0)), pa.array(log_sums)]
+            own_rows = pa.StructArray.from_arrays(facts, fields=list(doc_type))
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(rows), *[pa.nulls(len(rows), pa.int32())] * 3, own_rows], names=names)
+
+        held: list[tuple[int, int | None, list[bytes]]] = []
         size = 0
         for batch in batches:
             for row_id, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                row(row_id, doc_id, _words(text))
-                size += len(held[-1][0])
-                if size > TASK_ENTRIES or len(done) >= 10_000 or len(places) > TASK_ENTRIES:
-                    yield from out()
-                    places, done, held, size = _Numbers(numbers.value), [], [], 0
-        if done:
-            yield from out()
+                held.append((row_id, doc_id, _words(text)))
+                size += len(held[-1][2])
+                if size > BLOCK_WORDS or len(held) >= 10_000:
+                    yield from out(held)
+                    held, size = [], 0
+                    if len(places) > TASK_ENTRIES:
+                        places = _Numbers(numbers.value)
+        if held:
+            yield from out(held)
 
     schema = "row_id long, key long, own int, own_first int, own_second int, doc struct<doc_id:long,n_words:long,n_bigrams:long,log_sum:double>"
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), "text").mapInArrow(explode, schema)
