@@ -90,11 +90,16 @@ def adjust(df: DataFrame, p: str, into: str, *keys: str) -> DataFrame:
 
 
 def midrank(df: DataFrame, value: str, into: str, *keys: str) -> DataFrame:
-    """Rank of value in each group of keys, ties sharing their mean rank."""
-    w = W.partitionBy(*keys)
-    before = F.rank().over(w.orderBy(value))
-    ties = F.count("*").over(W.partitionBy(*keys, value))
-    return df.withColumn(into, before + (ties - 1) / 2.0)
+    """Rank of value in each group of keys, ties sharing their mean rank.
+
+    Distinct values are counted and their counts added up over range partitions of (keys, value), so a group of any
+    size is spread over tasks.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_k")).withColumn("_order", F.struct(*keys, value))
+    run = running(counts, "_order", "_k").select(*keys, value, "_k", "run__k")
+    begins = run.groupBy(*keys).agg(F.min(F.col("run__k") - F.col("_k")).alias("_begin"))
+    ranks = run.join(begins, list(keys)).select(*keys, value, (F.col("run__k") - F.col("_begin") - (F.col("_k") - 1) / 2.0).alias(into))
+    return df.join(ranks, [*keys, value])
 
 
 def numbered(df: DataFrame, into: str, *order: Column | str) -> DataFrame:

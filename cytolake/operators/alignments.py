@@ -8,6 +8,9 @@ from itertools import product
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cytolake.functions.graph import greedy_clusters
+from cytolake.plans.staging import staged
+
 #: Fixed value: amino acids of the codons in T, C, A, G order of all three bases; * is a stop.
 CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 CODONS = dict(zip(map("".join, product("TCAG", repeat=3)), CODE))
@@ -195,19 +198,12 @@ def umi_consensus(positions: DataFrame, within: int = 10) -> DataFrame:
 
 def round_to_common(df: DataFrame, group: str, within: int = 2) -> DataFrame:
     """SEQ-18: each value of a group becomes the commonest value within `within` of it that is itself unmoved (falling count, then value)."""
-
-    def settle(part: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        into = {}
-        for v in part.sort_values(["n", "pos"], ascending=[False, True])["pos"]:
-            near = [k for k in kept if abs(k - v) <= within]
-            into[v] = near[0] if near else v
-            if not near:
-                kept.append(v)
-        return pd.DataFrame({group: part[group], "pos": part["pos"], "rounded": part["pos"].map(into)})
-
-    counts = df.groupBy(group, "pos").agg(F.count("*").alias("n"))  # distinct values, not rows, reach the group
-    return counts.groupBy(group).applyInPandas(settle, f"{group} string, pos long, rounded long")
+    counts = staged(df.groupBy(group, "pos").agg(F.count("*").alias("n")).withColumn("id", F.struct(group, "pos")))
+    a = counts.select(group, F.col("id").alias("a"), F.col("n").alias("na"), F.explode(F.array(*[F.col("pos") + d for d in range(-within, within + 1) if d])).alias("pos"))
+    b = counts.select(group, "pos", F.col("id").alias("b"), F.col("n").alias("nb"))
+    earlier = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    links = staged(a.join(b, [group, "pos"]).where(earlier).select("a", "na", "b"))
+    return greedy_clusters(counts, links).select(F.col(f"id.{group}"), F.col("id.pos").alias("pos"), F.col("centre.pos").alias("rounded"))
 
 
 def bin_bias(positions: DataFrame, a: str, b: str, bin: int = 100) -> DataFrame:
@@ -232,7 +228,7 @@ def distance_trend(bins: DataFrame) -> DataFrame:
 
 def find_exons(events: DataFrame, targets: DataFrame) -> DataFrame:
     """PSI-01: events of the target exons by gene, chromosome and exact ends."""
-    return events.join(F.broadcast(targets), ["gene", "chrom", "start_pos", "end_pos"])
+    return events.join(targets, ["gene", "chrom", "start_pos", "end_pos"])
 
 
 def _mean_level(levels: Column) -> Column:

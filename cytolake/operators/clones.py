@@ -181,19 +181,20 @@ def _within(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return a.join(b, list(keys)).where("c1 < c2").groupBy(*keys).agg(F.avg(distance("v1", "v2")).alias("within"), F.count("*").alias("pairs"))
 
 
-def _random_sets(points: DataFrame, sizes: DataFrame, n: int, seed: int) -> DataFrame:
-    """n random sets for each clone, of its size: cells picked by the smallest seeded hashes."""
-    reps = sizes.crossJoin(F.broadcast(points.sparkSession.range(n).withColumnRenamed("id", "rep")))
-    d = points.select("cell", "embedding").crossJoin(F.broadcast(reps))
-    k = F.row_number().over(W.partitionBy("clone", "rep").orderBy(F.xxhash64("cell", "clone", "rep", F.lit(seed)), "cell"))
-    return d.withColumn("k", k).where("k <= size").select("clone", "rep", "cell", "embedding")
+def _random_sets(cells: DataFrame, sizes: DataFrame, n: int, seed: int) -> DataFrame:
+    """(clone, rep, cell): n random sets for each clone, of its size. Each of the n shuffles of all cells is dealt out to the clones in turn, so no cell meets every clone."""
+    seats = stats.numbered(sizes.select("clone", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("size"))).alias("seat")), "at", "clone", "seat").select("clone", "at")
+    total = cells.count()
+    reps = cells.select("cell").crossJoin(F.broadcast(cells.sparkSession.range(n).withColumnRenamed("id", "rep")))
+    shuffled = stats.numbered(reps.withColumn("h", F.xxhash64("cell", "rep", F.lit(seed))), "row", "rep", "h", "cell")
+    return shuffled.select("rep", "cell", (F.col("row") - F.col("rep") * total).alias("at")).join(seats, "at").select("clone", "rep", "cell")
 
 
 def energy_distance(points: DataFrame, nulls: int = 20, seed: int = 1) -> DataFrame:
     """CL-06: mean distance inside each clone against random sets of equal size: z."""
     sizes = points.groupBy("clone").agg(F.count("*").alias("size")).where("size >= 2")
     own = _within(points, ["clone"]).select("clone", "within")
-    null = _within(_random_sets(points, sizes, nulls, seed), ["clone", "rep"]).groupBy("clone").agg(F.avg("within").alias("null_mean"), F.stddev_samp("within").alias("null_sd"))
+    null = _within(_random_sets(points, sizes, nulls, seed).join(points.select("cell", "embedding"), "cell"), ["clone", "rep"]).groupBy("clone").agg(F.avg("within").alias("null_mean"), F.stddev_samp("within").alias("null_sd"))
     return own.join(null, "clone").withColumn("z", F.try_divide(F.col("within") - F.col("null_mean"), F.col("null_sd")))
 
 
@@ -202,7 +203,7 @@ def energy_matrix(points: DataFrame, least: int = 10) -> DataFrame:
     large = points.groupBy("clone").agg(F.count("*").alias("size")).where(F.col("size") >= least).select("clone")
     kept = points.join(F.broadcast(large), "clone", "left_semi")
     a, b = kept.select(F.col("clone").alias("clone_1"), F.col("embedding").alias("v1")), kept.select(F.col("clone").alias("clone_2"), F.col("embedding").alias("v2"))
-    m = a.join(F.broadcast(b), F.col("clone_1") <= F.col("clone_2")).groupBy("clone_1", "clone_2").agg(F.avg(distance("v1", "v2")).alias("d"))
+    m = a.join(b, F.col("clone_1") <= F.col("clone_2")).groupBy("clone_1", "clone_2").agg(F.avg(distance("v1", "v2")).alias("d"))
     own = m.where("clone_1 = clone_2")
     return m.where("clone_1 < clone_2").join(own.select("clone_1", F.col("d").alias("d1")), "clone_1").join(own.select("clone_2", F.col("d").alias("d2")), "clone_2").select("clone_1", "clone_2", (2 * F.col("d") - F.col("d1") - F.col("d2")).alias("energy"))
 
@@ -294,8 +295,7 @@ def coherence(x: DataFrame, cells: DataFrame, genes: DataFrame, nulls: int = 10,
     """CL-12: mean absolute deviation of each gene inside each clone against random sets of equal size: share of sets that deviate no more."""
     kept = cells.select("cell", "clone").withColumn("size", F.count("*").over(W.partitionBy("clone"))).where("size >= 2")
     sizes = kept.select("clone", "size").distinct()
-    reps = sizes.crossJoin(F.broadcast(cells.sparkSession.range(nulls).withColumnRenamed("id", "rep")))
-    random = cells.select("cell").crossJoin(F.broadcast(reps)).withColumn("k", F.row_number().over(W.partitionBy("clone", "rep").orderBy(F.xxhash64("cell", "clone", "rep", F.lit(seed)), "cell"))).where("k <= size").select("cell", "clone", "rep", "size")
+    random = _random_sets(cells, sizes, nulls, seed).join(sizes, "clone").select("cell", "clone", "rep", "size")
     every = random.unionByName(kept.withColumn("rep", F.lit(-1).cast("bigint")).select("cell", "clone", "rep", "size"))
     g = x.join(F.broadcast(genes.select("gene").distinct()), "gene", "left_semi")
     hit = g.join(every, "cell")

@@ -333,11 +333,11 @@ def _vectors(points: DataFrame, name: str) -> DataFrame:
 
 
 def min_js(a: DataFrame, b: DataFrame) -> DataFrame:
-    """EX-31: least Jensen-Shannon divergence (base 2) of each profile of a to those of a small reference set b; profiles are absolute values scaled to sum 1."""
+    """EX-31: least Jensen-Shannon divergence (base 2) of each profile of a to those of a small reference set b; profiles are absolute values scaled to sum 1. Spark broadcasts b while it is small and takes blocks of both sides beyond."""
     share = lambda v: F.transform(v, lambda x: F.abs(x).cast("double") / F.aggregate(v, F.lit(0.0), lambda s, y: s + F.abs(y)))
     part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
     js = F.aggregate(F.zip_with(share(F.col("a")), share(F.col("b")), lambda p, q: (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2), F.lit(0.0), lambda s, y: s + y)
-    return _vectors(a, "a").crossJoin(F.broadcast(_vectors(b, "b"))).groupBy(F.col("cell_a").alias("cell")).agg(F.min(js).alias("js"))
+    return _vectors(a, "a").crossJoin(_vectors(b, "b")).groupBy(F.col("cell_a").alias("cell")).agg(F.min(js).alias("js"))
 
 
 def max_r2(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -351,7 +351,7 @@ def max_r2(a: DataFrame, b: DataFrame) -> DataFrame:
 
     va, vb = (_vectors(d, n).withColumn(n, F.transform(n, lambda x: x.cast("double"))).withColumn(n, standard(F.col(n))) for d, n in ((a, "a"), (b, "b")))
     r = add(F.zip_with("a", "b", lambda p, q: p * q))
-    return va.crossJoin(F.broadcast(vb)).groupBy(F.col("cell_a").alias("cell")).agg(F.max(r * r).alias("r2"))
+    return va.crossJoin(vb).groupBy(F.col("cell_a").alias("cell")).agg(F.max(r * r).alias("r2"))
 
 
 def silhouette(points: DataFrame, label: str) -> DataFrame:
