@@ -454,17 +454,17 @@ def polya_best_window(reads: DataFrame, min_length: int = 6, share: float = 2 /
 
     @F.pandas_udf("start int, length int, score double")
     def best(seqs: pd.Series) -> pd.DataFrame:
-        """Each window length for all reads of a batch at once; filled-up ends never win, as they add no A."""
+        """Each window length for all reads of a batch at once; filled-up ends of long enough reads never win, as they add no A."""
         seqs = seqs.fillna("").str.upper()
         width = max(int(seqs.str.len().max()), 1)
         data = np.frombuffer("".join(seqs.str.pad(width, "right", "-")).encode("ascii", "replace"), np.uint8).reshape(len(seqs), width)
         total = np.concatenate([np.zeros((len(seqs), 1), np.int16), np.cumsum(data == ord("A"), axis=1, dtype=np.int16)], axis=1)
-        start, length, score = np.full(len(seqs), -1), np.zeros(len(seqs), np.int64), np.zeros(len(seqs))
+        start, length, score, sizes = np.full(len(seqs), -1), np.zeros(len(seqs), np.int64), np.zeros(len(seqs)), seqs.str.len().to_numpy()
         for n in range(min_length, width + 1):
             counts = total[:, n:] - total[:, :-n]
             at = counts.argmax(axis=1)
             top = counts[np.arange(len(seqs)), at]
-            better = (top >= share * n - 1e-9) & (top > score)  # length times share is the number of A
+            better = (top >= share * n - 1e-9) & (top > score) & (n <= sizes)  # length times share is the number of A
             start[better], length[better], score[better] = at[better], n, top[better]
         return pd.DataFrame({"start": pd.Series(start).where(length > 0).astype("Int32"), "length": length, "score": score})
 

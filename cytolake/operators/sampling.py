@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cytolake.functions import stats
 from cytolake.functions.cigar import last_block, overlap
 
 MILLION = 1_000_000
@@ -196,5 +197,4 @@ def cell_curves(molecules: DataFrame, fractions: Sequence[float], least: int = 5
 def ecdf(df: DataFrame, value: str) -> DataFrame:
     """SAT-17: share of rows up to each distinct value."""
     counts = df.groupBy(value).agg(F.count("*").alias("n"))
-    w = W.orderBy(value)  # one row a distinct value
-    return counts.select(value, "n", (F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum("n").over(W.partitionBy(F.lit(1)))).alias("share"))
+    return stats.running(counts, value, "n").select(value, "n", (F.col("run_n") / F.col("all_n")).alias("share"))

@@ -121,7 +121,12 @@ def _(counts, cells):
     return k.coherence_summary(_coherent(counts, cells), 0.2)
 
 
-@operator("CL-14", "counts", "cells")
+CL14 = f"""
+SELECT g.gene, g.icc AS global_icc, i.cluster, i.icc
+FROM (WITH {icc()} SELECT * FROM icc) g LEFT JOIN (WITH {icc('cluster')} SELECT * FROM icc) i USING (gene)"""
+
+
+@operator("CL-14", "counts", "cells", sql=CL14)
 def _(counts, cells):
     return k.icc_compare(k.icc(counts, cells), k.icc(counts, cells, ["cluster"]))
 

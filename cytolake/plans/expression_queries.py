@@ -246,9 +246,18 @@ def _(points):
     return x.max_r2(points.where("cluster = 0"), points.where("cluster = 1"))
 
 
-@operator("EX-33", "points")
+SILHOUETTE = """
+WITH e AS (
+  SELECT a.cell, a.cluster AS own, b.cluster AS other, count(*) AS n,
+    sum(list_sum([(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) ** 2 for i in range(1, len(a.embedding) + 1)])) AS s
+  FROM points a JOIN points b ON a.cell <> b.cell GROUP BY 1, 2, 3
+), m AS (SELECT cell, max(s / n) FILTER (own = other) AS a, min(s / n) FILTER (own <> other) AS b FROM e GROUP BY cell)
+SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 9) AS silhouette FROM m"""
+
+
+@operator("EX-33", "points", sql=SILHOUETTE)
 def _(points):
-    return x.silhouette(points, "cluster")
+    return x.silhouette(points, "cluster").select(F.round("silhouette", 9).alias("silhouette"))
 
 
 @operator("EX-34", "cells", sql="SELECT cluster, condition, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY condition) AS share FROM cells GROUP BY 1, 2")

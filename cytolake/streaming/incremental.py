@@ -25,11 +25,16 @@ def cell_counts(molecules: DataFrame, width: str = "1 hour", late: str = "10 min
 
 
 def run_available(counts: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Processes what is there and stops; each batch replaces the table of all windows so far, so a retried batch changes nothing."""
+    """Processes what is there and stops; the newest count of each window, cell and category.
 
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    In update mode a batch holds the changed windows alone and state ends with the watermark. Each batch overwrites the
+    folder of its own number, so a retried batch changes nothing and no batch rewrites what others wrote.
+    """
 
-    query = counts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    query = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return counts.sparkSession.read.parquet(path)
+    changes = counts.sparkSession.read.parquet(path)
+    return changes.groupBy("start", "cell", "category").agg(F.max_by("molecules", "batch").alias("molecules"))

@@ -37,7 +37,7 @@ def duck():
 def test_query(spark, duck, name):
     got = registry.QUERIES[name](spark, SF).toPandas()
     if name not in registry.ORACLES:
-        assert len(got.columns)
+        assert len(got) and not got.isna().all().all()  # values are asserted by the tests against plain loops
         return
     want = duck.execute(registry.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
