@@ -4,7 +4,8 @@ The rank file becomes a sentencepiece BPE model without training: each token's b
 printable characters, its score is the negative rank, normalisation is the identity. Each pre-token
 (match of the split pattern) is byte-mapped and encoded on its own; ids are decoded by the inverse map.
 
-Null text counts as empty: no ids, hashes of the empty string. Repeated rows give repeated results.
+Null text counts as empty: no ids, hashes of the empty string. Repeated rows give repeated results, an empty
+table none. Texts of any length are read whole; what is cached of them are short chunks alone.
 """
 
 from __future__ import annotations
@@ -82,8 +83,11 @@ class ByteBpe:
 
         self.split = regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
-        self.map = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
-        self.tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
+        chars = byte_characters()
+        self.map = str.maketrans({chr(b): c for b, c in enumerate(chars)})
+        # Ids go back through the model's own pieces and the inverse of the byte map.
+        inverse = str.maketrans({c: chr(b) for b, c in enumerate(chars)})
+        self.tokens = [piece.translate(inverse).encode("latin-1") for piece in self.model.id_to_piece(list(range(len(ranks))))]
         # A pre-token that is itself in the vocabulary is one token, even where merges don't lead to it.
         whole = self.model.encode([self.mapped(t) for t in self.tokens], num_threads=1)
         self.direct = {self.mapped(t): [r] for r, (t, ids) in enumerate(zip(self.tokens, whole)) if ids != [r]}
