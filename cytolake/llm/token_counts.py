@@ -7,7 +7,8 @@
    shuffle. What is shuffled has no hot key, since hot pre-tokens are the frequent ones.
 
 Special strings of the tokenizer inside a text are one token each, as its library has it by default.
-Null text counts as empty. Each input row gives one result row, also when a doc_id repeats.
+Null text counts as empty. Each input row gives one result row, also when a doc_id repeats; an empty table gives
+none. Texts are read whole; pre-tokens above FREQUENT_CHARS characters are never broadcast.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from cytolake.llm.common import CHUNK, materialise
 
-FREQUENT = 400_000
+#: Pre-tokens that are broadcast at most, and the longest of them.
+FREQUENT, FREQUENT_CHARS = 400_000, 64
 #: Distinct pre-tokens that a task counts before it passes them on, and entries of the per-worker chunk cache.
 TASK_ENTRIES, CACHE_ENTRIES, CACHE_CHARS = 500_000, 300_000, 40
 
@@ -48,6 +50,9 @@ class PreTokens:
         return 0, Counter(CHUNK.findall(text))
 
     def of(self, chunk: str) -> tuple[str, ...]:
+        # A run of letters with at most one blank before it is one pre-token, as for all patterns that CHUNK serves.
+        if (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+            return (chunk,)
         found = self.cache.get(chunk)
         if found is None:
             found = tuple(self.split.findall(chunk))
@@ -121,7 +126,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, specials: tuple[str,
     """doc_id, n_bytes, n_tokens and over_limit (more than `limit` tokens) of each row of docs."""
     spark = docs.sparkSession
     known = materialise(pieces(distinct_pre_tokens(docs, pattern, specials), path), "pre-tokens")
-    top = known.orderBy(F.desc("n"), "pre_token").limit(frequent).select("pre_token", "pieces").toArrow()
+    top = known.where(F.length("pre_token") <= FREQUENT_CHARS).orderBy(F.desc("n"), "pre_token").limit(frequent).select("pre_token", "pieces").toArrow()
     at_once = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist())))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
