@@ -5,7 +5,9 @@ gain on two thirds of the labelled rows and is pruned on the rest; rows that it
 and the next rule grows. The list becomes one ordered Spark expression (when ... when ... otherwise).
 
 The statistics come from whole texts. Null text has no words and fails the base rule. Without labels
-(or with one class only) the list is empty and the method keeps everything that the base rule keeps.
+(or with one class only) the list is empty and the method keeps everything that the base rule keeps. Each
+input row gives one result row, also when a doc_id repeats; columns of docs may have any names. No documents
+give no rows and no rules; ties among statistics are broken by their values, then by name.
 """
 
 from __future__ import annotations
@@ -183,12 +185,14 @@ def rules_expression(rules: list[Rule], columns: dict[str, Column]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list[Rule]:
-    """Learns from at most `rows` labelled documents. Rows of labels whose quality is null count as unlabelled; conflicting labels of a doc_id both count."""
+    """Learns from at most `rows` labelled documents, those of smallest hash. Rows of labels whose quality is null count as unlabelled; conflicting labels of a doc_id both count."""
     spread = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality").orderBy(spread, "doc_id", "quality").limit(rows)
     stats = with_stats(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "_stats")
     shown = features("_stats")
-    table = stats.select(*[c.alias(n) for n, c in shown.items()], "quality", F.pmod(spread, F.lit(3)).cast("int").alias("part")).toPandas()
+    table = stats.select(*[c.alias(n) for n, c in shown.items()], "quality", F.pmod(spread, F.lit(3)).cast("int").alias("part"))
+    # A doc_id that repeats in docs may give more rows than labels were chosen; the bound holds for them too.
+    table = table.orderBy(F.xxhash64(*table.columns), *table.columns).limit(rows).toPandas()
     return learn_rules(table.sort_values(list(table.columns), ignore_index=True)) if len(table) else []
 
 
