@@ -217,14 +217,16 @@ class _Bitmap:
     """Stands for a table of patterns where they are read: holds all of them and, by chance, some others."""
 
     def __init__(self, patterns: DataFrame):
-        slots = patterns.select(F.pmod(F.xxhash64("pattern"), F.lit(BITMAP)).cast("int").alias("slot")).distinct().toArrow()  # at most BITMAP rows of 4 bytes
-        bits = np.zeros(BITMAP, bool)
-        bits[slots.column("slot").to_numpy()] = True
-        self.bits = np.packbits(bits).tobytes()
+        slot = (F.pmod(F.xxhash64("pattern"), F.lit(BITMAP)) + 1).alias("slot")
+        rows = patterns.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+        bits = bytearray(BITMAP // 8)
+        for bucket, part in rows.toLocalIterator():  # rows of 4 KiB, BITMAP bits in all
+            bits[(bucket - 1) * len(part) : bucket * len(part)] = part
+        self.bits = bytes(bits)
 
     def __contains__(self, pattern: str) -> bool:
         slot = xxhash.xxh64_intdigest(pattern.encode("utf-8", "replace"), 42) % BITMAP
-        return bool(self.bits[slot >> 3] & 128 >> (slot & 7))
+        return bool(self.bits[slot >> 3] >> (slot & 7) & 1)
 
 
 Patterns = list[str] | DataFrame
