@@ -133,11 +133,17 @@ def distinct_cells(reads: DataFrame, include_unmapped: bool = False) -> DataFram
 
 def cell_region_counts(reads: DataFrame, requests: DataFrame, pad: int = 1000) -> DataFrame:
     """RD-16: for each request (cell, donor, acceptor) the cell's reads that begin near it and those that overlap it, zeros kept."""
-    spans = read_span(reads).join(reads.select("file_offset", "cb"), "file_offset").select("cb", "start", "end")
+    ends = with_blocks(reads.where(F.col("cb").isNotNull())).where(F.size("blocks") > 0)
+    spans = ends.select(F.col("cb").alias("cell"), F.col("blocks")[0]["start"].alias("start"), F.element_at("blocks", -1)["end"].alias("end"))
+    # Requests and reads of a cell meet in bins of places, and count in the first bin that both have.
+    place = lambda c: F.floor(c / BIN)
+    asked = requests.withColumn("request_bin", place(F.col("donor") - pad)).withColumn("bin", F.explode(F.sequence("request_bin", place(F.greatest("acceptor", "donor") + pad))))
+    given = spans.withColumn("read_bin", place(F.col("start"))).withColumn("bin", F.explode(F.sequence("read_bin", place(F.greatest("end", "start")))))
     near = (F.col("start") >= F.col("donor") - pad) & (F.col("start") <= F.col("acceptor") + pad)
     over = (F.col("start") < F.col("acceptor")) & (F.col("end") > F.col("donor"))
-    joined = requests.join(spans, (requests["cell"] == spans["cb"]), "left")
-    return joined.groupBy("cell", "donor", "acceptor").agg(F.count_if(near).alias("near"), F.count_if(over).alias("over"))
+    met = asked.join(given, ["cell", "bin"]).where(F.col("bin") == F.greatest("request_bin", "read_bin"))
+    counts = met.groupBy("cell", "donor", "acceptor").agg(F.count_if(near).alias("near"), F.count_if(over).alias("over"))
+    return requests.select("cell", "donor", "acceptor").distinct().join(counts, ["cell", "donor", "acceptor"], "left").na.fill(0, ["near", "over"])
 
 
 def length_histogram(reads: DataFrame, bin: int = 50, kind: str = "aligned") -> DataFrame:
