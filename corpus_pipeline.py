@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read
 again as the next stage's docs. All stages but the last return the columns of `documents`.
+
+Null and empty texts fail the first stage's base rule. Without labels (or with one class) only that rule rejects,
+without benchmark items nothing is contaminated, and no documents give no rows. Rows that repeat are copies of one
+another for the second stage: the row of smallest doc_id stays, as often as it was given.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cytolake.llm import bpe, decontaminate, pii, quality, simhash
-from cytolake.llm.common import materialise, table
+from cytolake.llm.common import discard, materialise, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -53,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            discard(before)  # the result of the stage before, which nothing reads any more
+        before = docs
     return docs
