@@ -243,3 +243,32 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path, odd_texts):
     got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()}
     assert 8 not in got and 10 not in got and 11 not in got and 12 not in got and 13 in got
+
+
+SCHEMAS = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+
+
+def written(spark, folder, **tables):
+    for name, schema in SCHEMAS.items():
+        spark.createDataFrame(tables.get(name, []), schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_pipeline_of_empty_tables_and_null_texts(spark, tmp_path):
+    from tests.llm.conftest import prose
+
+    assert corpus_pipeline.run(spark, written(spark, tmp_path / "none")).count() == 0
+    texts = [None, "", " ", prose(900, 40), prose(901, 40), None]
+    docs = [(i if i < 5 else None, t, None, None, None) for i, t in enumerate(texts)]
+    got = corpus_pipeline.run(spark, written(spark, tmp_path / "nulls", documents=docs)).collect()
+    assert sorted(r.doc_id for r in got) == [3, 4]
+
+
+def test_pipeline_applies_learned_rules(spark, tmp_path):
+    from tests.llm.conftest import prose
+
+    texts = [prose(i, 60) if i % 2 else " ".join(w + "$$$" for w in prose(i, 60).split()) for i in range(1000, 1240)]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    labels = [(i, i % 2, 0) for i in range(160)]
+    folder = written(spark, tmp_path / "rules", documents=docs, labels=labels)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == {i for i in range(240) if i % 2}
