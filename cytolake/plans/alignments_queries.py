@@ -8,14 +8,21 @@ from cytolake.operators import alignments as a
 from cytolake.plans.registry import operator
 
 REFERENCE = "refpos AS (SELECT pos, row_number() OVER (ORDER BY pos) AS ref_pos FROM alignment WHERE seq_id = 5 AND base <> '-')"
-PROFILE = "profile AS (SELECT pos, base, count(*) / sum(count(*)) OVER (PARTITION BY pos) AS share, CASE WHEN base <> '-' THEN count(*) / sum(CASE WHEN base <> '-' THEN count(*) END) OVER (PARTITION BY pos) END AS share_without_gaps FROM alignment GROUP BY 1, 2)"
-DIVERSITY = """diversity AS (SELECT pos, CASE WHEN m > 1 THEN (m * (m - 1) / 2 - same) / (m * (m - 1) / 2) ELSE 0 END AS diversity FROM (SELECT pos, sum(n) AS rows, sum(CASE WHEN base <> '-' THEN n ELSE 0 END) AS m, sum(CASE WHEN base <> '-' THEN n * (n - 1) / 2 ELSE 0 END) AS same
+PROFILE = """profile AS (SELECT pos, base, count(*) / sum(count(*)) OVER (PARTITION BY pos) AS share, CASE WHEN base <> '-' THEN count(*) / sum(CASE
+  WHEN base <> '-' THEN count(*) END) OVER (PARTITION BY pos) END AS share_without_gaps FROM alignment GROUP BY 1, 2)"""
+DIVERSITY = """diversity AS (SELECT pos, CASE WHEN m > 1 THEN (m * (m - 1) / 2 - same) / (m * (m - 1) / 2) ELSE 0 END AS diversity
+  FROM (SELECT pos, sum(n) AS rows, sum(CASE WHEN base <> '-' THEN n ELSE 0 END) AS m, sum(CASE WHEN base <> '-' THEN n * (n - 1) / 2
+  ELSE 0 END) AS same
 FROM (SELECT pos, base, count(*) AS n FROM alignment WHERE seq_id <> 5 GROUP BY 1, 2) GROUP BY 1) WHERE rows - m <= 0.5 * rows)"""
 CODON = f"""codons(codon, residue) AS (VALUES {', '.join(f"('{c}', '{r}')" for c, r in a.CODONS.items())}),
-residues AS (SELECT seq_id, codon_pos, CASE WHEN contains(c, '-') THEN '-' ELSE coalesce(residue, 'X') END AS residue FROM (SELECT seq_id, (pos - 1) // 3 + 1 AS codon_pos, string_agg(base, '' ORDER BY pos) AS c FROM alignment GROUP BY 1, 2 HAVING count(*) = 3) LEFT JOIN codons ON codon = c)"""
+residues AS (SELECT seq_id, codon_pos, CASE WHEN contains(c, '-') THEN '-' ELSE coalesce(residue, 'X') END AS residue
+  FROM (SELECT seq_id, (pos - 1) // 3 + 1 AS codon_pos, string_agg(base, '' ORDER BY pos) AS c FROM alignment GROUP BY 1, 2 HAVING count(*) = 3) LEFT
+  JOIN codons ON codon = c)"""
 
 
-@operator("SEQ-01", "alignment", sql="SELECT pos, count(*) FILTER (base <> '-') AS bases, count(*) FILTER (base <> '-') >= 0.94 * (SELECT count(DISTINCT seq_id) FROM alignment) OR bool_or(seq_id = 5 AND base <> '-') AS occupied FROM alignment GROUP BY pos")
+@operator("SEQ-01", "alignment", sql="""SELECT pos, count(*) FILTER (base <> '-') AS bases,
+  count(*) FILTER (base <> '-') >= 0.94 * (SELECT count(DISTINCT seq_id) FROM alignment) OR bool_or(seq_id = 5 AND base <> '-') AS occupied
+  FROM alignment GROUP BY pos""")
 def _(aln):
     return a.column_occupancy(aln, 0.94, 5)
 
@@ -35,7 +42,9 @@ def _(aln):
     return a.column_diversity(aln, reference=5)
 
 
-@operator("SEQ-05", "alignment", sql=f"WITH {DIVERSITY}, {REFERENCE}, p(protein, lo, hi) AS (VALUES ('gag', 1, 9), ('pol', 10, 21), ('env', 22, 26)) SELECT protein, ref_pos - lo + 1 AS position, diversity, avg(diversity) OVER (PARTITION BY protein) AS mean FROM diversity JOIN refpos USING (pos) JOIN p ON ref_pos BETWEEN lo AND hi")
+@operator("SEQ-05", "alignment", sql=f"""WITH {DIVERSITY}, {REFERENCE}, p(protein, lo, hi) AS (VALUES ('gag', 1, 9), ('pol', 10, 21), ('env', 22, 26))
+  SELECT protein, ref_pos - lo + 1 AS position, diversity, avg(diversity) OVER (PARTITION BY protein) AS mean FROM diversity JOIN refpos USING (pos)
+  JOIN p ON ref_pos BETWEEN lo AND hi""")
 def _(aln):
     return a.protein_diversity(a.column_diversity(aln, reference=5), aln, 5, [("gag", 9), ("pol", 12), ("env", 5)])
 
@@ -45,13 +54,17 @@ def _(aln):
     return a.high_diversity(a.column_diversity(aln, reference=5), 0.75)
 
 
-@operator("SEQ-07", "alignment", sql=f"""WITH {REFERENCE}, g(gene, part, lo, hi) AS (VALUES ('tat', 0, 2, 7), ('tat', 1, 12, 18), ('nef', 2, 9, 20)), c AS (SELECT gene, pos, row_number() OVER (PARTITION BY gene ORDER BY part, pos) AS new_pos, count(*) OVER (PARTITION BY gene) AS size FROM refpos JOIN g ON ref_pos BETWEEN lo AND hi)
+@operator("SEQ-07", "alignment", sql=f"""WITH {REFERENCE}, g(gene, part, lo, hi) AS (VALUES ('tat', 0, 2, 7), ('tat', 1, 12, 18), ('nef', 2, 9, 20)),
+  c AS (SELECT gene, pos, row_number() OVER (PARTITION BY gene ORDER BY part, pos) AS new_pos, count(*) OVER (PARTITION BY gene) AS size FROM refpos
+  JOIN g ON ref_pos BETWEEN lo AND hi)
 SELECT gene, seq_id, new_pos, base FROM alignment JOIN c USING (pos) WHERE new_pos <= size - 3""")
 def _(aln):
     return a.cut_regions(aln, 5, [("tat", 2, 7), ("tat", 12, 18), ("nef", 9, 20)])
 
 
-@operator("SEQ-08", "alignment", sql=f"WITH {PROFILE}, k AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY share DESC, base) AS k FROM profile) SELECT pos, CASE WHEN max(share) >= 0.3 THEN max(base) FILTER (k = 1) ELSE concat(max(base) FILTER (k = 1), max(base) FILTER (k = 2)) END AS dominant FROM k GROUP BY pos")
+@operator("SEQ-08", "alignment", sql=f"""WITH {PROFILE}, k AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY share DESC, base) AS k
+  FROM profile) SELECT pos, CASE WHEN max(share) >= 0.3 THEN max(base) FILTER (k = 1)
+  ELSE concat(max(base) FILTER (k = 1), max(base) FILTER (k = 2)) END AS dominant FROM k GROUP BY pos""")
 def _(aln):
     return a.dominant(aln, 0.3)
 
@@ -66,13 +79,16 @@ def _(aln):
     return a.alignment_score(aln, aln.withColumn("pos", F.col("pos") - 1))
 
 
-@operator("SEQ-10", "alignment", sql="""WITH o AS (SELECT pos, avg(CAST(base <> '-' AS INT)) AS o FROM alignment GROUP BY 1), n AS (SELECT pos, o, greatest(coalesce(lag(o) OVER (ORDER BY pos), 0), coalesce(lead(o) OVER (ORDER BY pos), 0)) AS beside FROM o),
+@operator("SEQ-10", "alignment", sql="""WITH o AS (SELECT pos, avg(CAST(base <> '-' AS INT)) AS o FROM alignment
+  GROUP BY 1), n AS (SELECT pos, o, greatest(coalesce(lag(o) OVER (ORDER BY pos), 0), coalesce(lead(o) OVER (ORDER BY pos), 0)) AS beside FROM o),
 k AS (SELECT pos, row_number() OVER (ORDER BY pos) AS new_pos FROM n WHERE NOT (o < 0.93 AND beside > o)) SELECT seq_id, new_pos, base FROM alignment JOIN k USING (pos)""")
 def _(aln):
     return a.drop_sparse_columns(aln, 0.93)
 
 
-@operator("SEQ-11", "fastq", sql="""WITH s AS (SELECT read_id AS seq_id, seq, unnest(range(1, 33)) AS start FROM (SELECT read_id, substr(seq, 1, 32) AS seq FROM fastq)), e AS (SELECT *, unnest(range(6, 61)) AS length FROM s WHERE substr(seq, start, 1) = 'A'),
+@operator("SEQ-11", "fastq", sql="""WITH s AS (SELECT read_id AS seq_id, seq, unnest(range(1, 33)) AS start
+  FROM (SELECT read_id, substr(seq, 1, 32) AS seq FROM fastq)), e AS (SELECT *, unnest(range(6, 61)) AS length FROM s
+  WHERE substr(seq, start, 1) = 'A'),
 m AS (SELECT *, length(replace(substr(seq, start, length), 'A', '')) AS mismatches FROM e WHERE start + length - 1 <= 32 AND substr(seq, start + length - 1, 1) = 'A')
 SELECT seq_id, start, max(length) AS length, arg_max(mismatches, length) AS mismatches FROM m WHERE mismatches <= 2 GROUP BY 1, 2""")
 def _(fastq):
@@ -94,7 +110,9 @@ def _(reads):
     return a.cluster_reads(reads.select(F.col("file_offset").cast("string").alias("read_id"), "pos", "seq"))
 
 
-@operator("SEQ-15", "positions", sql="SELECT umi, count(*) AS reads, round_even(avg(pos), 0) AS mean, quantile_cont(pos, 0.5) AS median, max(pos) - min(pos) AS range, stddev_samp(pos) AS sd, count(DISTINCT cell) AS cells, CASE WHEN count(*) >= 10 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM positions GROUP BY umi")
+@operator("SEQ-15", "positions", sql="""SELECT umi, count(*) AS reads, round_even(avg(pos), 0) AS mean, quantile_cont(pos, 0.5) AS median,
+  max(pos) - min(pos) AS range, stddev_samp(pos) AS sd, count(DISTINCT cell) AS cells, CASE WHEN count(*) >= 10 THEN 'high'
+  WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM positions GROUP BY umi""")
 def _(positions):
     return a.cluster_consensus(positions, "umi")
 
@@ -104,7 +122,9 @@ def _(positions):
     return a.umi_groups(positions)
 
 
-@operator("SEQ-17", "positions", sql="WITH c AS (SELECT cell, umi, quantile_cont(pos, 0.5) AS c FROM positions GROUP BY 1, 2) SELECT cell, umi, quantile_cont(pos, 0.5) AS median, count(*) AS reads FROM positions JOIN c USING (cell, umi) WHERE abs(pos - c) <= 10 GROUP BY 1, 2")
+@operator("SEQ-17", "positions", sql="""WITH c AS (SELECT cell, umi, quantile_cont(pos, 0.5) AS c FROM positions GROUP BY 1, 2)
+  SELECT cell, umi, quantile_cont(pos, 0.5) AS median, count(*) AS reads FROM positions JOIN c USING (cell, umi) WHERE abs(pos - c) <= 10
+  GROUP BY 1, 2""")
 def _(positions):
     return a.umi_consensus(positions)
 
@@ -114,7 +134,8 @@ def _(positions):
     return a.round_to_common(positions, "cell")
 
 
-BIAS = "bins AS (SELECT pos // 100 * 100 AS bin, count(*) FILTER (sample = 'A') AS a, count(*) FILTER (sample = 'N') AS b FROM positions GROUP BY 1), bias AS (SELECT *, log2((a + 1.0) / (b + 1.0)) AS log2_ratio FROM bins)"
+BIAS = """bins AS (SELECT pos // 100 * 100 AS bin, count(*) FILTER (sample = 'A') AS a, count(*) FILTER (sample = 'N') AS b FROM positions
+  GROUP BY 1), bias AS (SELECT *, log2((a + 1.0) / (b + 1.0)) AS log2_ratio FROM bins)"""
 
 
 @operator("SEQ-19", "positions", sql=f"WITH {BIAS} SELECT *, CASE WHEN log2_ratio > 1 THEN 'a' WHEN log2_ratio < -1 THEN 'b' ELSE 'even' END AS bias FROM bias")
@@ -122,7 +143,9 @@ def _(positions):
     return a.bin_bias(positions, "A", "N")
 
 
-@operator("SEQ-20", "positions", sql="SELECT low, high, count(*) AS reads, count(DISTINCT umi) AS umis, count(DISTINCT cell) AS cells, count(DISTINCT concat(cell, umi)) AS pairs FROM positions JOIN (VALUES (0, 431), (431, 4658), (4658, 8252)) t(low, high) ON pos > low AND pos <= high GROUP BY 1, 2")
+@operator("SEQ-20", "positions", sql="""SELECT low, high, count(*) AS reads, count(DISTINCT umi) AS umis, count(DISTINCT cell) AS cells,
+  count(DISTINCT concat(cell, umi)) AS pairs FROM positions JOIN (VALUES (0, 431), (431, 4658), (4658, 8252)) t(low, high) ON pos > low
+  AND pos <= high GROUP BY 1, 2""")
 def _(positions):
     return a.interval_counts(positions, [0, 431, 4658, 8252])
 
@@ -143,12 +166,15 @@ def _(events):
 MEAN = "list_avg([TRY_CAST(x AS DOUBLE) for x in string_split({c}, ',') if TRY_CAST(x AS DOUBLE) IS NOT NULL])"
 
 
-@operator("PSI-02", "events_psi", sql=f"SELECT o_orderkey, {MEAN.format(c='levels_1')} AS mean_1, {MEAN.format(c='levels_2')} AS mean_2, mean_1 - mean_2 AS delta, fdr < 0.05 AND abs(mean_1 - mean_2) > 0.1 AS significant FROM events_psi")
+@operator("PSI-02", "events_psi", sql=f"""SELECT o_orderkey, {MEAN.format(c='levels_1')} AS mean_1, {MEAN.format(c='levels_2')} AS mean_2,
+  mean_1 - mean_2 AS delta, fdr < 0.05 AND abs(mean_1 - mean_2) > 0.1 AS significant FROM events_psi""")
 def _(events):
     return a.psi_means(events).select("o_orderkey", "mean_1", "mean_2", "delta", "significant")
 
 
-@operator("PSI-03", "events_psi", sql="SELECT gene, coalesce(sum(inclusion), 0) AS inclusion, coalesce(sum(exclusion), 0) AS exclusion, count(DISTINCT cell) FILTER (inclusion + exclusion > 0) AS cells, sum(inclusion) / sum(inclusion + exclusion) AS psi FROM (SELECT concat('g', i) AS gene FROM range(0, 55) t(i)) LEFT JOIN events_psi USING (gene) GROUP BY gene")
+@operator("PSI-03", "events_psi", sql="""SELECT gene, coalesce(sum(inclusion), 0) AS inclusion, coalesce(sum(exclusion), 0) AS exclusion,
+  count(DISTINCT cell) FILTER (inclusion + exclusion > 0) AS cells, sum(inclusion) / sum(inclusion + exclusion) AS psi
+  FROM (SELECT concat('g', i) AS gene FROM range(0, 55) t(i)) LEFT JOIN events_psi USING (gene) GROUP BY gene""")
 def _(events):
     return a.pseudobulk_psi(events, events.sparkSession.range(55).select(F.concat(F.lit("g"), F.col("id")).alias("gene")))
 
@@ -156,7 +182,8 @@ def _(events):
 PSI4 = "SELECT gene, " + ", ".join(f"sum(CASE WHEN condition = {k} THEN {c} ELSE 0 END) AS {n}" for n, k, c in (("a", 0, "inclusion"), ("b", 0, "exclusion"), ("c", 1, "inclusion"), ("d", 1, "exclusion"))) + " FROM events_psi GROUP BY gene"
 
 
-@operator("PSI-04", "events_psi", sql=f"WITH t AS ({PSI4}) SELECT *, CASE WHEN b * c > 0 THEN a * d / (b * c) END AS odds_ratio, CASE WHEN a + b > 0 THEN a / (a + b) END - CASE WHEN c + d > 0 THEN c / (c + d) END AS delta FROM t")
+@operator("PSI-04", "events_psi", sql=f"""WITH t AS ({PSI4}) SELECT *, CASE WHEN b * c > 0 THEN a * d / (b * c) END AS odds_ratio, CASE
+  WHEN a + b > 0 THEN a / (a + b) END - CASE WHEN c + d > 0 THEN c / (c + d) END AS delta FROM t""")
 def _(events):
     return a.psi_table(events)
 
@@ -166,7 +193,8 @@ def _(events):
     return a.psi_test(events)
 
 
-@operator("PSI-05", "events_psi", sql="SELECT gene, cell, 'inclusion' AS isoform, sum(inclusion) AS n FROM events_psi GROUP BY 1, 2 UNION ALL SELECT gene, cell, 'exclusion', sum(exclusion) FROM events_psi GROUP BY 1, 2")
+@operator("PSI-05", "events_psi", sql="""SELECT gene, cell, 'inclusion' AS isoform, sum(inclusion) AS n FROM events_psi GROUP BY 1, 2 UNION ALL
+  SELECT gene, cell, 'exclusion', sum(exclusion) FROM events_psi GROUP BY 1, 2""")
 def _(events):
     return a.psi_cells(events)
 
@@ -176,13 +204,19 @@ def _(events):
     return a.psi_wide(events, ["g1", "g2"])
 
 
-@operator("SP-01", "spots", sql="""WITH p AS (SELECT DISTINCT fov, y AS y1, x AS x1 FROM spots WHERE channel = 'ch0'), q AS (SELECT DISTINCT fov, y AS y2, x AS x2 FROM spots WHERE channel = 'ch1'), n AS (SELECT fov, y1, x1, y2, x2, (y1 - y2) * (y1 - y2) + (x1 - x2) * (x1 - x2) AS d2 FROM p JOIN q USING (fov) WHERE abs(y1 - y2) <= 4 AND abs(x1 - x2) <= 4)
-SELECT fov, y1, x1, y2, x2, d2 FROM (SELECT *, row_number() OVER (PARTITION BY fov, y1, x1 ORDER BY d2, y2, x2) AS k1, row_number() OVER (PARTITION BY fov, y2, x2 ORDER BY d2, y1, x1) AS k2 FROM n WHERE d2 <= 16) WHERE k1 = 1 AND k2 = 1""")
+@operator("SP-01", "spots", sql="""WITH p AS (SELECT DISTINCT fov, y AS y1, x AS x1 FROM spots
+  WHERE channel = 'ch0'), q AS (SELECT DISTINCT fov, y AS y2, x AS x2 FROM spots
+  WHERE channel = 'ch1'), n AS (SELECT fov, y1, x1, y2, x2, (y1 - y2) * (y1 - y2) + (x1 - x2) * (x1 - x2) AS d2 FROM p JOIN q USING (fov)
+  WHERE abs(y1 - y2) <= 4 AND abs(x1 - x2) <= 4)
+SELECT fov, y1, x1, y2, x2, d2 FROM (SELECT *, row_number() OVER (PARTITION BY fov, y1, x1 ORDER BY d2, y2, x2) AS k1, row_number()
+  OVER (PARTITION BY fov, y2, x2 ORDER BY d2, y1, x1) AS k2 FROM n WHERE d2 <= 16) WHERE k1 = 1 AND k2 = 1""")
 def _(spots):
     return a.colocate(spots.where("channel = 'ch0'"), spots.where("channel = 'ch1'"), 4)
 
 
-@operator("SP-02", "spots", sql="WITH s AS (SELECT fov, y // 10 AS y, x // 10 AS x, max(CAST(channel = 'ch0' AS INT)) AS n, max(CAST(channel = 'ch1' AS INT)) AS e, max(CAST(channel = 'ch2' AS INT)) AS p FROM spots GROUP BY 1, 2, 3) SELECT fov, y, x, CASE WHEN e + p = 2 THEN 'US' WHEN e = 1 THEN 'SS' WHEN p = 0 THEN 'MS' END AS class FROM s WHERE n = 1")
+@operator("SP-02", "spots", sql="""WITH s AS (SELECT fov, y // 10 AS y, x // 10 AS x, max(CAST(channel = 'ch0' AS INT)) AS n,
+  max(CAST(channel = 'ch1' AS INT)) AS e, max(CAST(channel = 'ch2' AS INT)) AS p FROM spots GROUP BY 1, 2, 3) SELECT fov, y, x, CASE
+  WHEN e + p = 2 THEN 'US' WHEN e = 1 THEN 'SS' WHEN p = 0 THEN 'MS' END AS class FROM s WHERE n = 1""")
 def _(spots):
     s = spots.select("fov", "channel", F.floor(F.col("y") / 10).alias("y"), F.floor(F.col("x") / 10).alias("x"))
     return a.spot_class(*[s.where(f"channel = 'ch{i}'") for i in range(3)])
@@ -191,7 +225,9 @@ def _(spots):
 LABELS = "SELECT DISTINCT fov, y, x, concat(fov, '_', CAST(floor(y / 100) AS INT)) AS cell_id FROM spots WHERE x < 250"
 
 
-@operator("SP-03", "spots", sql=f"WITH l AS ({LABELS}) SELECT fov, cell_id, area, ch0, ch1, total FROM (SELECT fov, cell_id, count(*) AS area FROM l GROUP BY 1, 2) LEFT JOIN (SELECT fov, cell_id, count(*) FILTER (channel = 'ch0') AS ch0, count(*) FILTER (channel = 'ch1') AS ch1, count(*) AS total FROM spots JOIN l USING (fov, y, x) GROUP BY 1, 2) USING (fov, cell_id)")
+@operator("SP-03", "spots", sql=f"""WITH l AS ({LABELS}) SELECT fov, cell_id, area, ch0, ch1, total FROM (SELECT fov, cell_id, count(*) AS area FROM l
+  GROUP BY 1, 2) LEFT JOIN (SELECT fov, cell_id, count(*) FILTER (channel = 'ch0') AS ch0, count(*) FILTER (channel = 'ch1') AS ch1, count(*) AS total
+  FROM spots JOIN l USING (fov, y, x) GROUP BY 1, 2) USING (fov, cell_id)""")
 def _(spots):
     labels = spots.sparkSession.sql(LABELS.replace("FROM spots", "FROM {spots}"), spots=spots)
     return a.spots_per_cell(spots, labels, ["ch0", "ch1"])

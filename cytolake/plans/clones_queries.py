@@ -65,7 +65,8 @@ def _(points):
 
 
 @operator("CL-07", "points", sql=f"""WITH m AS (SELECT a.clone AS c1, b.clone AS c2, avg({DIST}) AS d FROM points a JOIN points b ON a.clone <= b.clone GROUP BY 1, 2)
-SELECT m.c1 AS clone_1, m.c2 AS clone_2, round(2 * m.d - x.d - y.d, 9) AS energy FROM m JOIN m x ON x.c1 = m.c1 AND x.c2 = m.c1 JOIN m y ON y.c1 = m.c2 AND y.c2 = m.c2 WHERE m.c1 < m.c2""")
+SELECT m.c1 AS clone_1, m.c2 AS clone_2, round(2 * m.d - x.d - y.d, 9) AS energy FROM m JOIN m x ON x.c1 = m.c1 AND x.c2 = m.c1
+  JOIN m y ON y.c1 = m.c2 AND y.c2 = m.c2 WHERE m.c1 < m.c2""")
 def _(points):
     return k.energy_matrix(points).withColumn("energy", F.round("energy", 9))
 
@@ -80,16 +81,22 @@ def _(points):
     return k.cluster_spread_test(points, 5)
 
 
-@operator("CL-10", "cells", sql="SELECT clone, size, cluster AS dominant, n / size AS share, n >= 0.25 * size AS pure FROM (SELECT clone, cluster, count(*) AS n, sum(count(*)) OVER (PARTITION BY clone) AS size, row_number() OVER (PARTITION BY clone ORDER BY count(*) DESC, cluster) AS k FROM cells GROUP BY 1, 2) WHERE k = 1")
+@operator("CL-10", "cells", sql="""SELECT clone, size, cluster AS dominant, n / size AS share, n >= 0.25 * size AS pure
+  FROM (SELECT clone, cluster, count(*) AS n, sum(count(*)) OVER (PARTITION BY clone) AS size, row_number() OVER (PARTITION BY clone
+  ORDER BY count(*) DESC, cluster) AS k FROM cells GROUP BY 1, 2) WHERE k = 1""")
 def _(cells):
     return k.clone_purity(cells, 0.25)
 
 
 def icc(keys: str = "") -> str:
     kk = f", {keys}" if keys else ""
-    return f"""d AS (SELECT g.gene{kk}, c.clone, coalesce(x.n, 0) AS n FROM (SELECT *, count(*) OVER (PARTITION BY clone{kk}) AS size FROM cells) c CROSS JOIN (SELECT DISTINCT gene FROM counts) g LEFT JOIN counts x ON x.cell = c.cell AND x.gene = g.gene WHERE size > 1),
-p AS (SELECT gene{kk}, clone, CAST(count(*) AS DOUBLE) AS n, CAST(sum(n) AS DOUBLE) AS s, CAST(sum(n * n) AS DOUBLE) AS q FROM d GROUP BY ALL), t AS (SELECT gene{kk}, sum(n) AS n, count(*) AS k, sum(s * s / n) AS b, sum(q) AS q, sum(s) AS s, sum(n * n) AS n2 FROM p GROUP BY ALL HAVING count(*) > 1 AND sum(n) > count(*)),
-v AS (SELECT gene{kk}, (b - s * s / n) / (k - 1) AS msb, (q - b) / (n - k) AS msw, (n - n2 / n) / (k - 1) AS n0 FROM t), icc AS (SELECT gene{kk}, greatest(0, coalesce((msb - msw) / nullif(msb + (n0 - 1) * msw, 0), 0)) AS icc FROM v)"""
+    return f"""d AS (SELECT g.gene{kk}, c.clone, coalesce(x.n, 0) AS n FROM (SELECT *, count(*) OVER (PARTITION BY clone{kk}) AS size FROM cells) c
+  CROSS JOIN (SELECT DISTINCT gene FROM counts) g LEFT JOIN counts x ON x.cell = c.cell AND x.gene = g.gene WHERE size > 1),
+p AS (SELECT gene{kk}, clone, CAST(count(*) AS DOUBLE) AS n, CAST(sum(n) AS DOUBLE) AS s, CAST(sum(n * n) AS DOUBLE) AS q FROM d
+  GROUP BY ALL), t AS (SELECT gene{kk}, sum(n) AS n, count(*) AS k, sum(s * s / n) AS b, sum(q) AS q, sum(s) AS s, sum(n * n) AS n2 FROM p
+  GROUP BY ALL HAVING count(*) > 1 AND sum(n) > count(*)),
+v AS (SELECT gene{kk}, (b - s * s / n) / (k - 1) AS msb, (q - b) / (n - k) AS msw, (n - n2 / n) / (k - 1) AS n0
+  FROM t), icc AS (SELECT gene{kk}, greatest(0, coalesce((msb - msw) / nullif(msb + (n0 - 1) * msw, 0), 0)) AS icc FROM v)"""
 
 
 @operator("CL-11", "counts", "cells", sql=f"WITH {icc()} SELECT * FROM icc")
@@ -145,7 +152,8 @@ def _mixed(points):
 
 MATCH = f"""{DETECTED}, p AS (SELECT cell, gene, embedding, CASE WHEN CAST(substr(cell, 2) AS INT) % 5 < 2 THEN 'A' ELSE 'B' END AS condition FROM points JOIN detected USING (cell)),
 n AS (SELECT a.gene, a.cell AS cell_1, b.cell AS cell_2, {DIST} AS d FROM p a JOIN p b ON a.gene = b.gene WHERE a.condition = 'A' AND b.condition = 'B'),
-m AS (SELECT gene, cell_1, cell_2, d FROM (SELECT *, row_number() OVER (PARTITION BY gene, cell_1 ORDER BY d, cell_2) AS k FROM n) WHERE k = 1), matched AS (SELECT m.* FROM m JOIN (SELECT gene, quantile_cont(d, 0.95) AS cut FROM m GROUP BY 1) USING (gene) WHERE d <= cut)"""
+m AS (SELECT gene, cell_1, cell_2, d FROM (SELECT *, row_number() OVER (PARTITION BY gene, cell_1 ORDER BY d, cell_2) AS k FROM n)
+  WHERE k = 1), matched AS (SELECT m.* FROM m JOIN (SELECT gene, quantile_cont(d, 0.95) AS cut FROM m GROUP BY 1) USING (gene) WHERE d <= cut)"""
 
 
 @operator("CL-15", "points", sql=f"WITH {MATCH} SELECT * FROM matched")
@@ -154,7 +162,8 @@ def _(points):
 
 
 SEEN = "(SELECT cell FROM points WHERE cluster < 5)"
-CATEGORY = f"cat AS (SELECT gene, cell_1, cell_2, CASE WHEN cell_1 IN {SEEN} AND cell_2 IN {SEEN} THEN 'both' WHEN cell_1 IN {SEEN} THEN 'first' WHEN cell_2 IN {SEEN} THEN 'second' ELSE 'neither' END AS category FROM matched)"
+CATEGORY = f"""cat AS (SELECT gene, cell_1, cell_2, CASE WHEN cell_1 IN {SEEN} AND cell_2 IN {SEEN} THEN 'both' WHEN cell_1 IN {SEEN} THEN 'first'
+  WHEN cell_2 IN {SEEN} THEN 'second' ELSE 'neither' END AS category FROM matched)"""
 
 
 def _categories(points):
@@ -166,12 +175,16 @@ def _(points):
     return _categories(points)
 
 
-@operator("CL-17", "points", sql=f"WITH {MATCH}, {CATEGORY}, c AS (SELECT gene, count(*) FILTER (category = 'first') AS b, count(*) FILTER (category = 'second') AS c FROM cat GROUP BY 1) SELECT gene, b, c, CASE WHEN b + c > 0 THEN pow(greatest(abs(b - c) - 1, 0), 2) / (b + c) ELSE 0 END AS chi2 FROM c")
+@operator("CL-17", "points", sql=f"""WITH {MATCH}, {CATEGORY}, c AS (SELECT gene, count(*) FILTER (category = 'first') AS b,
+  count(*) FILTER (category = 'second') AS c FROM cat GROUP BY 1) SELECT gene, b, c, CASE
+  WHEN b + c > 0 THEN pow(greatest(abs(b - c) - 1, 0), 2) / (b + c) ELSE 0 END AS chi2 FROM c""")
 def _(points):
     return k.mcnemar(_categories(points)).select("gene", "b", "c", "chi2")
 
 
-KS = "u AS (SELECT signal AS v, count(*) FILTER (cluster = 'BUILDING') AS a, count(*) FILTER (cluster = 'MACHINERY') AS b FROM cells GROUP BY 1), f AS (SELECT v, sum(a) OVER (ORDER BY v) / sum(a) OVER () - sum(b) OVER (ORDER BY v) / sum(b) OVER () AS g, lead(v) OVER (ORDER BY v) - v AS w FROM u)"
+KS = """u AS (SELECT signal AS v, count(*) FILTER (cluster = 'BUILDING') AS a, count(*) FILTER (cluster = 'MACHINERY') AS b FROM cells
+  GROUP BY 1), f AS (SELECT v, sum(a) OVER (ORDER BY v) / sum(a) OVER () - sum(b) OVER (ORDER BY v) / sum(b) OVER () AS g, lead(v)
+  OVER (ORDER BY v) - v AS w FROM u)"""
 
 
 @operator("CL-18", "cells", sql=f"WITH {KS} SELECT max(abs(g)) AS ks FROM f")
@@ -189,7 +202,9 @@ def _(points):
     return k.split_half_control(_mixed(points), _detected(points), "B", least=5)
 
 
-TABLE = f"SELECT gene, count(*) FILTER (condition = 'A' AND n > 25) AS a, count(*) FILTER (condition = 'A' AND n <= 25) AS b, count(*) FILTER (condition <> 'A' AND n > 25) AS c, count(*) FILTER (condition <> 'A' AND n <= 25) AS d FROM counts JOIN cells USING (cell) GROUP BY gene"
+TABLE = f"""SELECT gene, count(*) FILTER (condition = 'A' AND n > 25) AS a, count(*) FILTER (condition = 'A'
+  AND n <= 25) AS b, count(*) FILTER (condition <> 'A' AND n > 25) AS c, count(*) FILTER (condition <> 'A' AND n <= 25) AS d FROM counts
+  JOIN cells USING (cell) GROUP BY gene"""
 
 
 def _table(counts, cells):
@@ -201,7 +216,9 @@ def _(counts, cells):
     return k.fisher(_table(counts, cells)).drop("p", "p_adj")
 
 
-@operator("CL-22", "cells", sql="WITH s AS (SELECT cluster, count(*) OVER (PARTITION BY clone) = 1 AS single FROM (SELECT cluster, concat(clone, x) AS clone FROM cells)), t AS (SELECT cluster, count(*) FILTER (single) AS a, count(*) FILTER (NOT single) AS c FROM s GROUP BY 1) SELECT cluster, a, sum(a) OVER () - a AS b, c, sum(c) OVER () - c AS d FROM t")
+@operator("CL-22", "cells", sql="""WITH s AS (SELECT cluster, count(*) OVER (PARTITION BY clone) = 1 AS single
+  FROM (SELECT cluster, concat(clone, x) AS clone FROM cells)), t AS (SELECT cluster, count(*) FILTER (single) AS a, count(*) FILTER (NOT single) AS c
+  FROM s GROUP BY 1) SELECT cluster, a, sum(a) OVER () - a AS b, c, sum(c) OVER () - c AS d FROM t""")
 def _(cells):
     return k.singleton_table(cells.withColumn("clone", F.concat("clone", "x")))
 
@@ -211,14 +228,20 @@ def _(cells):
     return k.fisher(k.singleton_table(cells.withColumn("clone", F.concat("clone", "x"))))
 
 
-@operator("CL-23", "cells", sql=f"WITH {KS} SELECT sum(abs(g) * w) AS wasserstein, sum(abs(g) * w) / (SELECT stddev_samp(signal) FROM cells WHERE cluster IN ('BUILDING', 'MACHINERY')) AS scaled FROM f")
+@operator("CL-23", "cells", sql=f"""WITH {KS} SELECT sum(abs(g) * w) AS wasserstein, sum(abs(g) * w) / (SELECT stddev_samp(signal) FROM cells
+  WHERE cluster IN ('BUILDING', 'MACHINERY')) AS scaled FROM f""")
 def _(cells):
     return k.wasserstein(cells, "signal", "cluster", "BUILDING", "MACHINERY")
 
 
-@operator("CL-24", "cells", sql="""WITH h AS (SELECT cluster, signal, count(*) AS n FROM cells GROUP BY 1, 2), g AS (SELECT m.cluster, v.signal, coalesce(n, 0) AS n FROM (SELECT DISTINCT cluster FROM h) m CROSS JOIN (SELECT DISTINCT signal FROM h) v LEFT JOIN h USING (cluster, signal)),
-p AS (SELECT *, n / sum(n) OVER (PARTITION BY cluster) AS p FROM g), j AS (SELECT a.cluster, a.signal, a.p, b.p AS q FROM p a JOIN p b USING (signal) WHERE a.cluster <> 'BUILDING' AND b.cluster = 'BUILDING'),
-d AS (SELECT cluster, abs(sum(p - q) OVER w) AS gap, coalesce(lead(signal) OVER w - signal, 0) AS width, (CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 AS js FROM j WINDOW w AS (PARTITION BY cluster ORDER BY signal))
+@operator("CL-24", "cells", sql="""WITH h AS (SELECT cluster, signal, count(*) AS n FROM cells
+  GROUP BY 1, 2), g AS (SELECT m.cluster, v.signal, coalesce(n, 0) AS n FROM (SELECT DISTINCT cluster FROM h) m CROSS JOIN (SELECT DISTINCT signal
+  FROM h) v LEFT JOIN h USING (cluster, signal)),
+p AS (SELECT *, n / sum(n) OVER (PARTITION BY cluster) AS p FROM g), j AS (SELECT a.cluster, a.signal, a.p, b.p AS q FROM p a JOIN p b USING (signal)
+  WHERE a.cluster <> 'BUILDING' AND b.cluster = 'BUILDING'),
+d AS (SELECT cluster, abs(sum(p - q) OVER w) AS gap, coalesce(lead(signal) OVER w - signal, 0) AS width, (CASE
+  WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 AS js FROM j
+  WINDOW w AS (PARTITION BY cluster ORDER BY signal))
 SELECT cluster, max(gap) AS ks, sum(js) AS js, sum(gap * width) AS wasserstein FROM d GROUP BY 1""")
 def _(cells):
     return k.compare_methods(cells, "signal", "cluster", "BUILDING")

@@ -39,14 +39,16 @@ SELECT concat('r', l_orderkey) AS name, CASE WHEN l_linenumber = 7 THEN 256 ELSE
   CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE concat('g', l_partkey % 200) END AS gx, CAST(l_linenumber AS INT) AS nh, CAST(l_quantity AS INT) AS as_score,
   (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey % 10000 * 100 + l_suppkey % 100 AS file_offset
 FROM lineitem""",
-    "regions": "SELECT * FROM (VALUES ('D1_A1', 'chr1', 985, 5212), ('A1_D4', 'chr1', 5213, 6596), ('D4_A7', 'chr1', 6597, 8806), ('A7_LTR', 'chr2', 8807, 9700)) AS t(target, chrom, start_pos, end_pos)",
+    "regions": """SELECT * FROM (VALUES ('D1_A1', 'chr1', 985, 5212), ('A1_D4', 'chr1', 5213, 6596), ('D4_A7', 'chr1', 6597, 8806), ('A7_LTR', 'chr2',
+  8807, 9700)) AS t(target, chrom, start_pos, end_pos)""",
     "spans": """
 SELECT concat('c', CAST(floor(l_orderkey / 32) AS BIGINT)) AS cell, concat('u', l_partkey % 20) AS umi,
   concat('chr', l_suppkey % 3) AS chrom, CAST((l_partkey * 37 + l_orderkey * 11) % 9000 AS INT) AS start_pos,
   CAST((l_partkey * 37 + l_orderkey * 11) % 9000 + 100 + l_orderkey % 900 AS INT) AS end_pos, CASE WHEN l_linenumber % 2 = 0 THEN '+' ELSE '-' END AS strand,
   CAST(100 + l_orderkey % 900 AS INT) AS aligned
 FROM lineitem""",
-    "counts": "SELECT concat('c', o_custkey) AS cell, concat('g', l_partkey % 200) AS gene, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, l_partkey % 200",
+    "counts": """SELECT concat('c', o_custkey) AS cell, concat('g', l_partkey % 200) AS gene, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, l_partkey % 200""",
     "cells": """
 SELECT concat('c', c_custkey) AS cell, c_mktsegment AS cluster, concat('k', c_nationkey) AS clone, CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS condition,
   CAST(c_custkey % 7 AS BIGINT) AS signal, CAST(c_custkey % 5 AS BIGINT) AS other, c_acctbal AS score, CAST(c_custkey % 97 AS DOUBLE) AS x, CAST(c_custkey % 89 AS DOUBLE) AS y
@@ -56,7 +58,8 @@ FROM customer""",
     "molecule_table": "SELECT concat('b', l_suppkey) AS cell, concat('g', l_partkey % 200) AS gene, concat('u', l_orderkey) AS umi, CAST(l_quantity AS BIGINT) AS reads FROM lineitem",
     "fastq": f"""
 SELECT concat('q', o_orderkey) AS read_id, concat({dna("o_orderkey")}, {dna("o_custkey")}, {dna("o_orderkey + 7")}, {dna("o_custkey * 3")}) AS seq,
-  translate(concat(md5(CAST(o_custkey AS STRING)), md5(CAST(o_orderkey AS STRING)), md5(CAST(o_custkey + 1 AS STRING)), md5(CAST(o_orderkey + 1 AS STRING))), '0123456789abcdef', '!%)-15:>BFIIIIII') AS qual,
+  translate(concat(md5(CAST(o_custkey AS STRING)), md5(CAST(o_orderkey AS STRING)), md5(CAST(o_custkey + 1 AS STRING)),
+  md5(CAST(o_orderkey + 1 AS STRING))), '0123456789abcdef', '!%)-15:>BFIIIIII') AS qual,
   CASE WHEN o_orderkey % 9 = 0 THEN concat(substr({dna("o_custkey % 8")}, 1, 4), 'N', substr({dna("o_custkey % 8")}, 6, 3)) ELSE substr({dna("o_custkey % 8")}, 1, 8) END AS index_part
 FROM orders""",
     "samples": f"SELECT concat('s', o_custkey) AS sample, substr({dna('o_custkey')}, 1, 8) AS index_seq FROM (SELECT DISTINCT o_custkey % 8 AS o_custkey FROM orders)",
@@ -64,14 +67,19 @@ FROM orders""",
 SELECT concat('s', o_custkey % 3) AS sample, concat('c', o_custkey % 300) AS cell, concat('u', o_orderkey % 700) AS umi,
   concat({dna("o_custkey % 40 + (CASE WHEN o_orderkey % 5 = 0 THEN 100 ELSE 0 END)")}, {dna("o_custkey % 40")}) AS barcode, CAST(floor(o_totalprice) AS BIGINT) % 9 AS reads
 FROM orders""",
-    "alignment": "SELECT DISTINCT o_orderkey % 400 AS seq_id, CAST(pos AS INT) AS pos, base FROM (SELECT o_orderkey, pos, substr(translate(md5(CAST(o_orderkey % 400 AS STRING)), '0123456789abcdef', 'ACGTACGTACGTACG-'), CAST(pos AS INT), 1) AS base FROM orders CROSS JOIN (SELECT n_nationkey + 1 AS pos FROM nation UNION ALL SELECT r_regionkey + 26 AS pos FROM region))",
+    "alignment": """SELECT DISTINCT o_orderkey % 400 AS seq_id, CAST(pos AS INT) AS pos, base
+  FROM (SELECT o_orderkey, pos, substr(translate(md5(CAST(o_orderkey % 400 AS STRING)), '0123456789abcdef', 'ACGTACGTACGTACG-'), CAST(pos AS INT),
+  1) AS base FROM orders CROSS JOIN (SELECT n_nationkey + 1 AS pos FROM nation UNION ALL SELECT r_regionkey + 26 AS pos FROM region))""",
     "events_psi": """
 SELECT concat('g', o_custkey % 50) AS gene, concat('chr', o_custkey % 5) AS chrom, CAST(o_custkey % 50 * 100 AS INT) AS start_pos, CAST(o_custkey % 50 * 100 + 80 AS INT) AS end_pos,
-  o_orderkey, concat_ws(',', CAST(o_orderkey % 100 AS STRING), 'NA', CAST(o_custkey % 100 AS STRING)) AS levels_1, concat_ws(',', CAST(o_custkey % 37 AS STRING), CAST(o_orderkey % 53 AS STRING), 'NA') AS levels_2,
-  CAST(o_orderkey % 20 AS DOUBLE) / 100 AS fdr, CAST(o_custkey % 2 AS INT) AS condition, CAST(o_orderkey % 30 AS BIGINT) AS inclusion, CAST(o_custkey % 17 AS BIGINT) AS exclusion, concat('c', o_custkey) AS cell
+  o_orderkey, concat_ws(',', CAST(o_orderkey % 100 AS STRING), 'NA', CAST(o_custkey % 100 AS STRING)) AS levels_1, concat_ws(',',
+  CAST(o_custkey % 37 AS STRING), CAST(o_orderkey % 53 AS STRING), 'NA') AS levels_2,
+  CAST(o_orderkey % 20 AS DOUBLE) / 100 AS fdr, CAST(o_custkey % 2 AS INT) AS condition, CAST(o_orderkey % 30 AS BIGINT) AS inclusion,
+  CAST(o_custkey % 17 AS BIGINT) AS exclusion, concat('c', o_custkey) AS cell
 FROM orders""",
     "spots": "SELECT concat('f', l_suppkey % 10) AS fov, concat('ch', l_linenumber % 3) AS channel, CAST(l_partkey % 500 AS INT) AS y, CAST(l_orderkey % 500 AS INT) AS x FROM lineitem",
-    "positions": "SELECT l_returnflag AS sample, concat('c', l_partkey % 300) AS cell, concat('u', l_orderkey % 500) AS umi, CAST((l_partkey * 37 + l_orderkey * 11) % 9000 AS BIGINT) AS pos FROM lineitem",
+    "positions": """SELECT l_returnflag AS sample, concat('c', l_partkey % 300) AS cell, concat('u', l_orderkey % 500) AS umi,
+  CAST((l_partkey * 37 + l_orderkey * 11) % 9000 AS BIGINT) AS pos FROM lineitem""",
     "points": "SELECT concat('c', vec_id) AS cell, concat('k', vec_id % 20) AS clone, CASE WHEN vec_id % 2 = 0 THEN 'A' ELSE 'B' END AS condition, label AS cluster, embedding FROM embeddings",
 }
 

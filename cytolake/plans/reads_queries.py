@@ -70,7 +70,8 @@ def _(reads, regions):
     return r.region_counts(reads, regions)
 
 
-@operator("RD-10", "reads", sql=f"WITH {RB} SELECT cb, ub, count(*) AS reads FROM rb WHERE xf = 25 AND cb IS NOT NULL AND ub IS NOT NULL AND ref = 'chr1' AND {ov('g1', 'e1', 1000, 5000)} >= 20 GROUP BY 1, 2")
+@operator("RD-10", "reads", sql=f"""WITH {RB} SELECT cb, ub, count(*) AS reads FROM rb WHERE xf = 25 AND cb IS NOT NULL AND ub IS NOT NULL
+  AND ref = 'chr1' AND {ov('g1', 'e1', 1000, 5000)} >= 20 GROUP BY 1, 2""")
 def _(reads):
     return r.umi_read_counts(reads, "chr1", 1000, 5000)
 
@@ -80,7 +81,9 @@ def _(reads):
     return r.cell_read_counts(reads, "chr1", 1000, 5000)
 
 
-@operator("RD-12", "reads", sql=f"WITH {RB} SELECT CASE WHEN ref = 'chr1' AND ({ov('g1', 'e1', 1000, 5000)} > 0 OR {ov('pos', 'g0', 1000, 5000)} > 0) THEN 'inside' ELSE 'outside' END AS side, cb, ub AS umi, count(*) AS reads FROM rb WHERE cb IS NOT NULL AND ub IS NOT NULL GROUP BY 1, 2, 3")
+@operator("RD-12", "reads", sql=f"""WITH {RB} SELECT CASE WHEN ref = 'chr1'
+  AND ({ov('g1', 'e1', 1000, 5000)} > 0 OR {ov('pos', 'g0', 1000, 5000)} > 0) THEN 'inside'
+  ELSE 'outside' END AS side, cb, ub AS umi, count(*) AS reads FROM rb WHERE cb IS NOT NULL AND ub IS NOT NULL GROUP BY 1, 2, 3""")
 def _(reads):
     return r.split_inside_outside(reads, "chr1", 1000, 5000)
 
@@ -103,7 +106,8 @@ def _(reads):
 REQUESTS = "SELECT DISTINCT cell, 2000 AS donor, 5000 AS acceptor FROM valid_cells UNION ALL SELECT 'none', 10, 20"
 
 
-@operator("RD-16", "reads", "valid_cells", sql=f"WITH {RB}, q AS ({REQUESTS}) SELECT cell, donor, acceptor, count(*) FILTER (pos >= donor - 1000 AND pos <= acceptor + 1000) AS near, count(*) FILTER (pos < acceptor AND e1 > donor) AS over FROM q LEFT JOIN rb ON cell = cb GROUP BY 1, 2, 3")
+@operator("RD-16", "reads", "valid_cells", sql=f"""WITH {RB}, q AS ({REQUESTS}) SELECT cell, donor, acceptor, count(*) FILTER (pos >= donor - 1000
+  AND pos <= acceptor + 1000) AS near, count(*) FILTER (pos < acceptor AND e1 > donor) AS over FROM q LEFT JOIN rb ON cell = cb GROUP BY 1, 2, 3""")
 def _(reads, cells):
     return r.cell_region_counts(reads, reads.sparkSession.sql(REQUESTS.replace("valid_cells", "{cells}"), cells=cells))
 
@@ -113,7 +117,9 @@ def _(reads):
     return r.length_histogram(reads)
 
 
-@operator("RD-18", "fastq", sql="SELECT greatest(0, length(seq) - length(regexp_extract(left(seq, 100), '^(.*T{4,})', 1)) - length(regexp_extract(right(seq, 100), '(A{4,}.*)$', 1))) AS length, count(*) AS reads FROM fastq WHERE contains(seq, 'ACGA') OR contains(seq, 'TCGT') GROUP BY 1")
+@operator("RD-18", "fastq", sql="""SELECT greatest(0, length(seq) - length(regexp_extract(left(seq, 100), '^(.*T{4,})',
+  1)) - length(regexp_extract(right(seq, 100), '(A{4,}.*)$', 1))) AS length, count(*) AS reads FROM fastq
+  WHERE contains(seq, 'ACGA') OR contains(seq, 'TCGT') GROUP BY 1""")
 def _(fastq):
     return r.trimmed_length_histogram(fastq, min_run=4, motif="ACGA")
 
@@ -136,7 +142,8 @@ def _(reads):
     return r.splice_junctions(reads, 50, reference="chr2").select("ref", "donor", "acceptor")
 
 
-@operator("RD-22", "reads", sql=f"WITH {J} SELECT cb, ref, donor, acceptor, match_start, match_end, coalesce(string_agg(DISTINCT ub, ';' ORDER BY ub), '') AS umis, array_to_string(list_sort(list(DISTINCT cigar))[1:3], ';') AS cigars, count(*) AS reads FROM j GROUP BY ALL")
+@operator("RD-22", "reads", sql=f"""WITH {J} SELECT cb, ref, donor, acceptor, match_start, match_end, coalesce(string_agg(DISTINCT ub, ';'
+  ORDER BY ub), '') AS umis, array_to_string(list_sort(list(DISTINCT cigar))[1:3], ';') AS cigars, count(*) AS reads FROM j GROUP BY ALL""")
 def _(reads):
     return r.consolidate_junctions(r.splice_junctions(reads))
 
@@ -160,7 +167,8 @@ def _(reads):
     return r.site_table(r.splice_junctions(reads), "mnc").select("cb", "ub", "donor_site", "acceptor_site", "target")
 
 
-@operator("RD-25", "reads", sql=f"WITH {J}, t AS (SELECT donor, acceptor, count(*) AS n, string_agg(DISTINCT ref, ',' ORDER BY ref) AS files FROM j GROUP BY 1, 2) SELECT donor, acceptor, n, files FROM (SELECT *, rank() OVER (ORDER BY n DESC) AS k FROM t) WHERE k <= 10")
+@operator("RD-25", "reads", sql=f"""WITH {J}, t AS (SELECT donor, acceptor, count(*) AS n, string_agg(DISTINCT ref, ',' ORDER BY ref) AS files FROM j
+  GROUP BY 1, 2) SELECT donor, acceptor, n, files FROM (SELECT *, rank() OVER (ORDER BY n DESC) AS k FROM t) WHERE k <= 10""")
 def _(reads):
     return r.junction_summary(r.splice_junctions(reads))
 
@@ -170,7 +178,8 @@ def _(reads):
     return r.events_per_cell(r.site_table(r.splice_junctions(reads), None))
 
 
-@operator("RD-27", "reads", "valid_cells", sql=f"WITH {J} SELECT cb, donor, acceptor, count(*) AS n FROM j WHERE cb IN (SELECT cell FROM valid_cells) AND {site('donor', r.DONORS)} = 'nc' AND {site('acceptor', r.ACCEPTORS)} = 'nc' GROUP BY 1, 2, 3")
+@operator("RD-27", "reads", "valid_cells", sql=f"""WITH {J} SELECT cb, donor, acceptor, count(*) AS n FROM j WHERE cb IN (SELECT cell
+  FROM valid_cells) AND {site('donor', r.DONORS)} = 'nc' AND {site('acceptor', r.ACCEPTORS)} = 'nc' GROUP BY 1, 2, 3""")
 def _(reads, cells):
     return r.noncanonical(r.splice_junctions(reads), cells.select(F.col("cell").alias("cb")), "both")
 
@@ -190,7 +199,8 @@ def _(reads):
     return reads.select("file_offset", r.classify_isoform(c.aligned_blocks(F.col("cigar"), F.col("pos"))).alias("isoform"))
 
 
-LR = f"lr AS (SELECT cb, coalesce(ub, ur, '') AS umi, {isoform(10)} AS isoform FROM (SELECT *, row_number() OVER (PARTITION BY cb, coalesce(ub, ur, '') ORDER BY file_offset) AS k FROM rb WHERE flag & 2308 = 0 AND cb IS NOT NULL) WHERE k = 1)"
+LR = f"""lr AS (SELECT cb, coalesce(ub, ur, '') AS umi, {isoform(10)} AS isoform FROM (SELECT *, row_number()
+  OVER (PARTITION BY cb, coalesce(ub, ur, '') ORDER BY file_offset) AS k FROM rb WHERE flag & 2308 = 0 AND cb IS NOT NULL) WHERE k = 1)"""
 
 
 @operator("RD-29", "reads", sql=f"WITH {RB}, {LR} SELECT * FROM lr")
@@ -212,9 +222,11 @@ def _(spans):
 
 BEST = """best AS (SELECT cell, umi, chrom, start_pos, end_pos, strand, aligned
   FROM (SELECT *, row_number() OVER (PARTITION BY cell, umi ORDER BY aligned DESC, start_pos, end_pos, chrom, strand) AS k FROM spans) WHERE k = 1)"""
-PAIRS = f"""{BEST}, pairs AS (SELECT *, overlap_bp / least(end_1 - start_1, end_2 - start_2) AS overlap_share FROM (SELECT a.cell, a.umi AS umi_1, b.umi AS umi_2, a.start_pos AS start_1, a.end_pos AS end_1, b.start_pos AS start_2, b.end_pos AS end_2,
+PAIRS = f"""{BEST}, pairs AS (SELECT *, overlap_bp / least(end_1 - start_1, end_2 - start_2) AS overlap_share
+  FROM (SELECT a.cell, a.umi AS umi_1, b.umi AS umi_2, a.start_pos AS start_1, a.end_pos AS end_1, b.start_pos AS start_2, b.end_pos AS end_2,
   {ov('a.start_pos', 'a.end_pos', 'b.start_pos', 'b.end_pos')} AS overlap_bp, greatest(0, greatest(a.start_pos, b.start_pos) - least(a.end_pos, b.end_pos)) AS gap_bp,
-  greatest(a.end_pos, b.end_pos) - least(a.start_pos, b.start_pos) AS combined_span, greatest(a.end_pos, b.end_pos) - least(a.start_pos, b.start_pos) - greatest(a.end_pos - a.start_pos, b.end_pos - b.start_pos) AS span_gain
+  greatest(a.end_pos, b.end_pos) - least(a.start_pos, b.start_pos) AS combined_span, greatest(a.end_pos, b.end_pos) - least(a.start_pos,
+  b.start_pos) - greatest(a.end_pos - a.start_pos, b.end_pos - b.start_pos) AS span_gain
   FROM best a JOIN best b ON a.cell = b.cell AND a.chrom = b.chrom AND a.strand = b.strand AND a.umi < b.umi))"""
 REL = f"""{PAIRS}, rel AS (SELECT *, CASE WHEN (start_1 <= start_2 AND end_1 >= end_2) OR (start_2 <= start_1 AND end_2 >= end_1) THEN 'NESTED' WHEN overlap_share > 0.5 THEN 'REDUNDANT'
   WHEN overlap_bp <= 50 AND gap_bp <= 200 AND span_gain >= 100 THEN 'COMPLEMENTARY' ELSE 'DISTANT' END AS relationship FROM pairs)"""
@@ -261,17 +273,20 @@ def _(spans):
     return r.merged_molecules(_stitched(spans))
 
 
-@operator("RD-36", "spans", sql=f"WITH RECURSIVE {MOL} SELECT cell, molecule_id, umi, row_number() OVER w AS position, lead(start_pos) OVER w - end_pos AS to_next FROM mol WINDOW w AS (PARTITION BY cell, molecule_id ORDER BY start_pos, end_pos, umi)")
+@operator("RD-36", "spans", sql=f"""WITH RECURSIVE {MOL} SELECT cell, molecule_id, umi, row_number() OVER w AS position, lead(start_pos)
+  OVER w - end_pos AS to_next FROM mol WINDOW w AS (PARTITION BY cell, molecule_id ORDER BY start_pos, end_pos, umi)""")
 def _(spans):
     return r.molecule_chains(_stitched(spans))
 
 
-@operator("RD-37", "spans", sql=f"WITH RECURSIVE {MOL} SELECT {span_class('merged_start', 'merged_end')} AS isoform, fragments > 1 AS stitched, count(*) AS molecules, count(DISTINCT cell) AS cells, max(fragments) AS most_fragments FROM merged GROUP BY 1, 2")
+@operator("RD-37", "spans", sql=f"""WITH RECURSIVE {MOL} SELECT {span_class('merged_start', 'merged_end')} AS isoform, fragments > 1 AS stitched,
+  count(*) AS molecules, count(DISTINCT cell) AS cells, max(fragments) AS most_fragments FROM merged GROUP BY 1, 2""")
 def _(spans):
     return r.stitch_stats(r.merged_molecules(_stitched(spans)))
 
 
-REP = "(SELECT cb, ub, gx, name AS best FROM (SELECT *, row_number() OVER (PARTITION BY cb, ub, gx ORDER BY mapq DESC, as_score DESC, name DESC) AS k FROM reads WHERE cb IS NOT NULL AND ub IS NOT NULL AND gx IS NOT NULL {more}) WHERE k = 1)"
+REP = """(SELECT cb, ub, gx, name AS best FROM (SELECT *, row_number() OVER (PARTITION BY cb, ub, gx
+  ORDER BY mapq DESC, as_score DESC, name DESC) AS k FROM reads WHERE cb IS NOT NULL AND ub IS NOT NULL AND gx IS NOT NULL {more}) WHERE k = 1)"""
 
 
 @operator("RD-38", "reads", sql=f"SELECT cb, ub, gx, best AS name FROM {REP.format(more='')}")
@@ -279,17 +294,21 @@ def _(reads):
     return r.umi_representatives(reads)
 
 
-@operator("RD-39", "reads", sql=f"SELECT file_offset, name, (CASE WHEN flag & 4 = 0 THEN 1 ELSE 0 END) + (CASE WHEN gx IS NOT NULL THEN 16 ELSE 0 END) + (CASE WHEN nh > 1 THEN 4 ELSE 0 END) + (CASE WHEN name = best THEN 8 ELSE 0 END) AS xf FROM reads LEFT JOIN {REP.format(more='AND mapq >= 200')} USING (cb, ub, gx)")
+@operator("RD-39", "reads", sql=f"""SELECT file_offset, name, (CASE WHEN flag & 4 = 0 THEN 1 ELSE 0 END) + (CASE WHEN gx IS NOT NULL THEN 16
+  ELSE 0 END) + (CASE WHEN nh > 1 THEN 4 ELSE 0 END) + (CASE WHEN name = best THEN 8 ELSE 0 END) AS xf FROM reads LEFT
+  JOIN {REP.format(more='AND mapq >= 200')} USING (cb, ub, gx)""")
 def _(reads):
     return r.add_xf(reads, 200)
 
 
-@operator("RD-40", "reads", sql="WITH g AS (SELECT DISTINCT name, gx FROM reads WHERE gx IS NOT NULL) SELECT a.gx AS gene_1, b.gx AS gene_2, count(*) AS reads FROM g a JOIN g b ON a.name = b.name AND a.gx < b.gx GROUP BY 1, 2")
+@operator("RD-40", "reads", sql="""WITH g AS (SELECT DISTINCT name, gx FROM reads WHERE gx IS NOT NULL)
+  SELECT a.gx AS gene_1, b.gx AS gene_2, count(*) AS reads FROM g a JOIN g b ON a.name = b.name AND a.gx < b.gx GROUP BY 1, 2""")
 def _(reads):
     return r.multimap_gene_pairs(reads)
 
 
-@operator("RD-41", "reads", sql="SELECT gx, ref, pos, count(*) AS reads FROM reads WHERE gx IS NOT NULL AND name IN (SELECT name FROM reads GROUP BY name HAVING count(DISTINCT gx) > 1) GROUP BY 1, 2, 3")
+@operator("RD-41", "reads", sql="""SELECT gx, ref, pos, count(*) AS reads FROM reads WHERE gx IS NOT NULL AND name IN (SELECT name FROM reads
+  GROUP BY name HAVING count(DISTINCT gx) > 1) GROUP BY 1, 2, 3""")
 def _(reads):
     return r.multimap_positions(reads)
 
@@ -300,7 +319,8 @@ def _(reads):
 
 
 CALLS = "SELECT cb AS cell, coalesce(ub, ur, '') AS umi, isoform FROM"
-SR = "sr AS (SELECT cell, umi, CASE min(CASE WHEN category LIKE 'US%' THEN 1 WHEN category LIKE 'MS%' THEN 2 WHEN category LIKE 'SS%' THEN 3 ELSE 4 END) WHEN 1 THEN 'US' WHEN 2 THEN 'MS' WHEN 3 THEN 'SS' ELSE 'any' END AS isoform FROM molecules GROUP BY 1, 2)"
+SR = """sr AS (SELECT cell, umi, CASE min(CASE WHEN category LIKE 'US%' THEN 1 WHEN category LIKE 'MS%' THEN 2 WHEN category LIKE 'SS%' THEN 3
+  ELSE 4 END) WHEN 1 THEN 'US' WHEN 2 THEN 'MS' WHEN 3 THEN 'SS' ELSE 'any' END AS isoform FROM molecules GROUP BY 1, 2)"""
 BOTH = f"{RB}, {LR}, {SR}, both_ AS (SELECT cell, sr.umi, lr.isoform AS lr, sr.isoform AS sr FROM lr JOIN sr ON lr.cb = sr.cell AND lr.umi = sr.umi)"
 
 
@@ -318,7 +338,8 @@ def _(molecules):
     return r.collapse_calls(molecules)
 
 
-@operator("RD-45", "reads", "corrections", sql="SELECT cb, ub, name, file_offset FROM (SELECT *, row_number() OVER (PARTITION BY cb, ub ORDER BY file_offset) AS k FROM reads SEMI JOIN corrections ON cb = cell AND ub = umi) WHERE k = 1")
+@operator("RD-45", "reads", "corrections", sql="""SELECT cb, ub, name, file_offset FROM (SELECT *, row_number() OVER (PARTITION BY cb, ub
+  ORDER BY file_offset) AS k FROM reads SEMI JOIN corrections ON cb = cell AND ub = umi) WHERE k = 1""")
 def _(reads, keys):
     return r.reads_for_keys(reads, keys)
 
@@ -344,7 +365,8 @@ def _(fastq):
 
 @operator("RD-49", "reads", sql="""
 WITH m AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file_offset) AS k FROM reads)
-SELECT name, a.ref AS ref_1, a.pos AS pos_1, b.ref AS ref_2, b.pos AS pos_2, a.ref = b.ref AS same_ref, CASE WHEN a.ref = b.ref THEN abs(a.pos - b.pos) END AS distance FROM m a JOIN m b USING (name) WHERE a.k = 1 AND b.k = 2""")
+SELECT name, a.ref AS ref_1, a.pos AS pos_1, b.ref AS ref_2, b.pos AS pos_2, a.ref = b.ref AS same_ref, CASE
+  WHEN a.ref = b.ref THEN abs(a.pos - b.pos) END AS distance FROM m a JOIN m b USING (name) WHERE a.k = 1 AND b.k = 2""")
 def _(reads):
     return r.pair_reads(reads)
 
@@ -353,7 +375,9 @@ TAIL = """t AS (SELECT *, left(seq, length(seq) - 28) AS body, right(seq, 16) AS
 n AS (SELECT *, coalesce(list_max([k FOR k IN range(6, length(body) + 1) IF 3 * (k - length(replace(right(body, k), 'A', ''))) >= 2 * k]), 0) AS tail_length FROM t)"""
 
 
-@operator("RD-50", "reads", sql=f"WITH {TAIL} SELECT name, cell, umi, tail_length, CASE WHEN tail_length > 0 THEN (tail_length - length(replace(right(body, tail_length), 'A', ''))) / tail_length END AS a_share, left(body, length(body) - tail_length) AS genomic FROM n")
+@operator("RD-50", "reads", sql=f"""WITH {TAIL} SELECT name, cell, umi, tail_length, CASE
+  WHEN tail_length > 0 THEN (tail_length - length(replace(right(body, tail_length), 'A', ''))) / tail_length END AS a_share, left(body,
+  length(body) - tail_length) AS genomic FROM n""")
 def _(reads):
     return r.polya_structure(reads)
 
@@ -367,7 +391,9 @@ def _(reads):
     return reads.select("file_offset", r.classify_terminal(F.col("seq"), REFERENCE, distance=11).alias("terminal"))
 
 
-@operator("RD-52", "reads", sql=f"WITH {TAIL} SELECT count(*) AS reads, count(*) FILTER (tail_length > 0) AS tails, count(DISTINCT cell) AS cells, count(DISTINCT umi) AS umis, avg(nullif(tail_length, 0)) AS mean_length, quantile_cont(nullif(tail_length, 0), 0.5) AS median_length, max(nullif(tail_length, 0)) AS max_length FROM n")
+@operator("RD-52", "reads", sql=f"""WITH {TAIL} SELECT count(*) AS reads, count(*) FILTER (tail_length > 0) AS tails, count(DISTINCT cell) AS cells,
+  count(DISTINCT umi) AS umis, avg(nullif(tail_length, 0)) AS mean_length, quantile_cont(nullif(tail_length, 0), 0.5) AS median_length,
+  max(nullif(tail_length, 0)) AS max_length FROM n""")
 def _(reads):
     return r.polya_summary(r.polya_structure(reads))
 

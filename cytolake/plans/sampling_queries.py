@@ -14,7 +14,8 @@ GENES = ["g1", "g2", "g3", "g50"]
 IN = "gene IN ('g1', 'g2', 'g3', 'g50')"
 
 
-@operator("SAT-01", "molecule_table", sql=f"WITH {M} SELECT cell, sum(reads) AS reads, count(*) AS umis, count(DISTINCT gene) AS genes, 1 - count(*) / sum(reads) AS saturation FROM m GROUP BY GROUPING SETS ((cell), ())")
+@operator("SAT-01", "molecule_table", sql=f"""WITH {M} SELECT cell, sum(reads) AS reads, count(*) AS umis, count(DISTINCT gene) AS genes,
+  1 - count(*) / sum(reads) AS saturation FROM m GROUP BY GROUPING SETS ((cell), ())""")
 def _(m):
     return s.read_saturation(m)
 
@@ -24,7 +25,8 @@ def _(m):
     return s.rarefaction(m, FRACTIONS, 2, 1)
 
 
-UMIS = f"{RB}, u AS (SELECT target, cb, ub, count(*) AS reads FROM rb JOIN regions ON ref = chrom AND {ov('g1', 'e1', 'start_pos - 1', 'end_pos')} > 0 WHERE cb IS NOT NULL AND ub IS NOT NULL GROUP BY 1, 2, 3)"
+UMIS = f"""{RB}, u AS (SELECT target, cb, ub, count(*) AS reads FROM rb JOIN regions ON ref = chrom
+  AND {ov('g1', 'e1', 'start_pos - 1', 'end_pos')} > 0 WHERE cb IS NOT NULL AND ub IS NOT NULL GROUP BY 1, 2, 3)"""
 
 
 @operator("SAT-03", "reads", "regions", sql=f"WITH {UMIS} SELECT target, cb, ub, reads FROM (SELECT *, count(*) OVER (PARTITION BY target, cb) AS n FROM u WHERE reads >= 1) WHERE n >= 20")
@@ -37,18 +39,26 @@ def _(reads, regions):
     return s.region_rarefaction(s.region_umis(reads, regions, 1, 1), FRACTIONS, 3, 1)
 
 
-@operator("SAT-05", "reads", "regions", sql=f"WITH {UMIS} SELECT count(*) FILTER (reads >= 2) AS above, count(*) FILTER (reads = 1) AS one_below, count(*) FILTER (reads < 1) AS below, sum(CASE WHEN reads >= 2 THEN reads ELSE 0 END) / sum(reads) AS share, quantile_cont(reads, 0.5) AS median FROM u")
+@operator("SAT-05", "reads", "regions", sql=f"""WITH {UMIS} SELECT count(*) FILTER (reads >= 2) AS above, count(*) FILTER (reads = 1) AS one_below,
+  count(*) FILTER (reads < 1) AS below, sum(CASE WHEN reads >= 2 THEN reads ELSE 0 END) / sum(reads) AS share, quantile_cont(reads, 0.5) AS median
+  FROM u""")
 def _(reads, regions):
     return s.umi_saturation(s.region_umis(reads, regions, 1, 1), 2)
 
 
-@operator("SAT-06", "counts", sql=f"""WITH d AS (SELECT cell, sum(n) AS depth FROM counts GROUP BY 1), t AS (SELECT sum(n) AS total, count(DISTINCT cell) AS cells FROM counts), g AS (SELECT gene, sum(n) AS s, count(*) AS seen FROM counts WHERE {IN} GROUP BY 1)
-SELECT gene, avg(exp(-depth * s / total)) AS mean, quantile_cont(exp(-depth * s / total), 0.5) AS median, any_value(1 - seen / cells) AS observed, CASE WHEN any_value(1 - seen / cells) > avg(exp(-depth * s / total)) + 0.05 THEN 'more zeros than sampling' ELSE 'sampling' END AS verdict FROM d, t, g GROUP BY gene""")
+@operator("SAT-06", "counts", sql=f"""WITH d AS (SELECT cell, sum(n) AS depth FROM counts
+  GROUP BY 1), t AS (SELECT sum(n) AS total, count(DISTINCT cell) AS cells FROM counts), g AS (SELECT gene, sum(n) AS s, count(*) AS seen FROM counts
+  WHERE {IN} GROUP BY 1)
+SELECT gene, avg(exp(-depth * s / total)) AS mean, quantile_cont(exp(-depth * s / total), 0.5) AS median, any_value(1 - seen / cells) AS observed,
+  CASE WHEN any_value(1 - seen / cells) > avg(exp(-depth * s / total)) + 0.05 THEN 'more zeros than sampling' ELSE 'sampling' END AS verdict
+  FROM d, t, g GROUP BY gene""")
 def _(counts):
     return s.dropout_poisson(counts, GENES)
 
 
-@operator("SAT-07", "counts", sql=f"""WITH t AS (SELECT count(DISTINCT cell) AS c FROM counts), g AS (SELECT gene, sum(n) / any_value(c) AS mean, sum(n * n) / any_value(c) - (sum(n) / any_value(c)) * (sum(n) / any_value(c)) AS variance FROM counts, t WHERE {IN} GROUP BY 1)
+@operator("SAT-07", "counts", sql=f"""WITH t AS (SELECT count(DISTINCT cell) AS c
+  FROM counts), g AS (SELECT gene, sum(n) / any_value(c) AS mean,
+  sum(n * n) / any_value(c) - (sum(n) / any_value(c)) * (sum(n) / any_value(c)) AS variance FROM counts, t WHERE {IN} GROUP BY 1)
 SELECT gene, mean, variance, pow((mean * mean / (variance - mean)) / (mean * mean / (variance - mean) + mean), mean * mean / (variance - mean)) AS p0 FROM g""")
 def _(counts):
     return s.dropout_nb(counts, GENES)
@@ -89,12 +99,14 @@ def _curves(cells):
     return cells.groupBy(F.col("cluster").alias("sample")).agg(F.lit("michaelis-menten").alias("curve"), F.avg("x").alias("a"), F.avg("y").alias("b"), (9 * F.avg("y")).alias("required_percent"))
 
 
-@operator("SAT-12", "cells", sql=f"WITH c AS ({CURVE}) SELECT sample, 100.0 / (100.0 + b) AS share, required_percent / 100 AS scale, CASE WHEN 100.0 / (100.0 + b) >= 0.9 THEN 'stop' WHEN 100.0 / (100.0 + b) >= 0.5 THEN 'sequence more' ELSE 'new library' END AS decision FROM c")
+@operator("SAT-12", "cells", sql=f"""WITH c AS ({CURVE}) SELECT sample, 100.0 / (100.0 + b) AS share, required_percent / 100 AS scale, CASE
+  WHEN 100.0 / (100.0 + b) >= 0.9 THEN 'stop' WHEN 100.0 / (100.0 + b) >= 0.5 THEN 'sequence more' ELSE 'new library' END AS decision FROM c""")
 def _(cells):
     return s.sequencing_decision(_curves(cells))
 
 
-@operator("SAT-13", "cells", sql=f"WITH c AS ({CURVE}) SELECT sample, percent, 1000 * percent / 100 AS reads, a * percent / (b + percent) AS coverage, percent / (b + percent) AS saturation FROM c, (SELECT unnest([10, 50, 100]) AS percent)")
+@operator("SAT-13", "cells", sql=f"""WITH c AS ({CURVE}) SELECT sample, percent, 1000 * percent / 100 AS reads,
+  a * percent / (b + percent) AS coverage, percent / (b + percent) AS saturation FROM c, (SELECT unnest([10, 50, 100]) AS percent)""")
 def _(cells):
     fits = _curves(cells)
     return s.saturation_curve(fits, fits.select("sample", F.lit(1000).alias("reads")), [10, 50, 100])

@@ -93,7 +93,8 @@ def _(a, b):
     return s.union_common([a.withColumnRenamed("category", "x"), b])
 
 
-@operator("SRC-13", "events_psi", sql="SELECT o_orderkey AS event_id, gene, CASE WHEN condition = 0 THEN 'RI' ELSE 'SE' END AS event_type, CASE WHEN condition = 0 THEN start_pos ELSE start_pos + 5 END AS first_start, CASE WHEN condition = 0 THEN 1 ELSE 2 END AS exons FROM events_psi")
+@operator("SRC-13", "events_psi", sql="""SELECT o_orderkey AS event_id, gene, CASE WHEN condition = 0 THEN 'RI' ELSE 'SE' END AS event_type, CASE
+  WHEN condition = 0 THEN start_pos ELSE start_pos + 5 END AS first_start, CASE WHEN condition = 0 THEN 1 ELSE 2 END AS exons FROM events_psi""")
 def _(events):
     e = events.withColumn("event_id", F.col("o_orderkey")).withColumns({"up_start": F.col("start_pos") + 5, "up_end": F.col("start_pos") + 9, "down_start": F.col("end_pos"), "down_end": F.col("end_pos") + 9, "ri_start": F.col("start_pos"), "ri_end": F.col("end_pos")})
     out = s.events_of({"SE": (e.where("condition = 1"), ["up", "down"]), "RI": (e.where("condition = 0"), ["ri"])})
@@ -105,7 +106,9 @@ def _(sets):
     return s.gene_sets(sets).select("gene_set", F.array_join("genes", ",").alias("genes"))
 
 
-@operator("SNK-01", "molecules", sql="SELECT cell, count(*) AS n, sum(read_count) AS reads FROM (SELECT cell, umi, category, sum(read_count) AS read_count FROM (SELECT DISTINCT cell, umi, category, read_count FROM molecules) GROUP BY 1, 2, 3) GROUP BY cell")
+@operator("SNK-01", "molecules", sql="""SELECT cell, count(*) AS n, sum(read_count) AS reads
+  FROM (SELECT cell, umi, category, sum(read_count) AS read_count FROM (SELECT DISTINCT cell, umi, category, read_count FROM molecules)
+  GROUP BY 1, 2, 3) GROUP BY cell""")
 def _(mol):
     path = shared_path(mol.sparkSession, "csv")
     w.write_csv(m.pool_counts(mol), path)
@@ -127,14 +130,20 @@ def _(reads):
     return reads.sparkSession.read.parquet(path).groupBy("isoform").agg(F.count("*").alias("reads"), F.sum("pos").alias("pos"))
 
 
-@operator("SNK-04", "reads", sql=f"WITH {RB} SELECT CASE WHEN cb IS NULL THEN 'no cell' WHEN ub IS NULL THEN 'no molecule' WHEN xf NOT IN (17, 25) THEN 'flag' WHEN ref <> 'chr1' OR {ov('g1', 'e1', 1000, 5000)} < 20 THEN 'region' ELSE 'kept' END AS reason, count(*) AS reads FROM rb GROUP BY 1")
+@operator("SNK-04", "reads", sql=f"""WITH {RB} SELECT CASE WHEN cb IS NULL THEN 'no cell' WHEN ub IS NULL THEN 'no molecule'
+  WHEN xf NOT IN (17, 25) THEN 'flag' WHEN ref <> 'chr1' OR {ov('g1', 'e1', 1000, 5000)} < 20 THEN 'region'
+  ELSE 'kept' END AS reason, count(*) AS reads FROM rb GROUP BY 1""")
 def _(reads):
     return w.filter_report(reads, (17, 25), "chr1", 1000, 5000)
 
 
-@operator("SNK-05", "events_psi", sql="""SELECT event_id, k, concat_ws('\t', chrom, 'SE', CASE WHEN k = 0 THEN 'gene' WHEN k < 3 THEN 'mRNA' ELSE 'exon' END, CAST(CASE WHEN k IN (4) THEN start_pos + 21 WHEN k IN (5, 7) THEN start_pos + 61 ELSE start_pos + 1 END AS STRING),
-  CAST(CASE WHEN k IN (3, 6) THEN start_pos + 10 WHEN k = 4 THEN start_pos + 30 ELSE end_pos END AS STRING), '.', '+', '.', concat('ID=', event_id, CASE k WHEN 0 THEN '' WHEN 1 THEN concat('.A;Parent=', event_id) WHEN 2 THEN concat('.B;Parent=', event_id) WHEN 3 THEN concat('.A.up;Parent=', event_id, '.A')
-  WHEN 4 THEN concat('.A.skipped;Parent=', event_id, '.A') WHEN 5 THEN concat('.A.down;Parent=', event_id, '.A') WHEN 6 THEN concat('.B.up;Parent=', event_id, '.B') ELSE concat('.B.down;Parent=', event_id, '.B') END)) AS line
+@operator("SNK-05", "events_psi", sql="""SELECT event_id, k, concat_ws('\t', chrom, 'SE', CASE WHEN k = 0 THEN 'gene' WHEN k < 3 THEN 'mRNA'
+  ELSE 'exon' END, CAST(CASE WHEN k IN (4) THEN start_pos + 21 WHEN k IN (5, 7) THEN start_pos + 61 ELSE start_pos + 1 END AS STRING),
+  CAST(CASE WHEN k IN (3, 6) THEN start_pos + 10 WHEN k = 4 THEN start_pos + 30
+  ELSE end_pos END AS STRING), '.', '+', '.', concat('ID=', event_id, CASE k WHEN 0 THEN '' WHEN 1 THEN concat('.A;Parent=', event_id)
+  WHEN 2 THEN concat('.B;Parent=', event_id) WHEN 3 THEN concat('.A.up;Parent=', event_id, '.A')
+  WHEN 4 THEN concat('.A.skipped;Parent=', event_id, '.A') WHEN 5 THEN concat('.A.down;Parent=', event_id, '.A')
+  WHEN 6 THEN concat('.B.up;Parent=', event_id, '.B') ELSE concat('.B.down;Parent=', event_id, '.B') END)) AS line
 FROM (SELECT *, concat('e', o_orderkey) AS event_id, CAST(unnest(range(0, 8)) AS INT) AS k FROM events_psi)""")
 def _(events):
     e = events.select(F.concat(F.lit("e"), "o_orderkey").alias("event_id"), "chrom", F.lit("+").alias("strand"), F.col("start_pos").alias("up_start"), (F.col("start_pos") + 10).alias("up_end"), (F.col("start_pos") + 20).alias("skipped_start"), (F.col("start_pos") + 30).alias("skipped_end"), (F.col("start_pos") + 60).alias("down_start"), F.col("end_pos").alias("down_end"))
