@@ -24,6 +24,7 @@ def category_of_file(path: Column) -> Column:
     parts = F.split(F.split_part(name, F.lit("_bamsort_alignment_"), F.lit(1)), "_")
     targets = F.filter(F.slice(parts, 2, F.size(parts)), lambda t: ~t.isin("PL", "CI"))
     has = lambda t: F.array_contains(targets, t)
+    # The category of each region and target.
     return (
         F.when(region.endswith("KLRB1"), "KLRB1")
         .when((F.size(targets) == 1) & has("pol"), "US")
