@@ -173,7 +173,7 @@ def splice_junctions(reads: DataFrame, min_intron: int = 1000, min_match: int =
     """
     kept = reads if reference is None else reads.where(F.col("ref") == reference)
     # Only reads whose CIGAR has a gap with enough digits are taken apart.
-    kept = kept.where(F.col("cigar").rlike(f"[0-9]{{{len(str(min_intron))},}}N") & F.col("seq").isNotNull())
+    kept = kept.where(F.col("cigar").rlike(f"[0-9]{{{len(str(min_intron))},}}N"))
     # Op i is kinds[i] (an empty text stands first) with sizes[i - 1].
     kept = kept.withColumn("kinds", F.split("cigar", "[0-9]+")).withColumn("sizes", F.split("cigar", "[MIDNSHPX=]"))
     kind, size = (lambda i: F.get("kinds", i)), (lambda i: F.get("sizes", i - 1).cast("int"))
@@ -186,19 +186,17 @@ def splice_junctions(reads: DataFrame, min_intron: int = 1000, min_match: int =
         """Bases that the ops before i consume."""
         return F.aggregate(F.sequence(F.lit(1), i - 1), F.lit(0), lambda sum, j: sum + F.when(kind(j).isin(*kinds), size(j)).otherwise(0))
 
-    def junction(i: Column) -> Column:
-        at = F.col("pos").cast("int") + before(i, ("M", "D", "N", "=", "X"))
-        matched = F.coalesce(kind(i + 1) == "M", F.lit(False))
-        return F.struct(
-            (at - 1).alias("donor"), F.when(matched, at + size(i)).alias("acceptor"), F.when(matched, before(i, ("M", "I", "S", "=", "X"))).alias("from"), F.when(matched, size(i + 1)).alias("length"),
-            (at - size(i - 1)).alias("match_start"), at.alias("match_end"),
-        )
-
     last = F.size("kinds") - 1
-    gaps = F.when(last >= 2, F.filter(F.sequence(F.lit(2), F.greatest(last, F.lit(2))), gap))
-    found = kept.select("cb", "ub", "cigar", "ref", "seq", F.inline(F.transform(gaps, junction)))
-    after = F.coalesce(F.substring("seq", F.col("from") + 1, F.col("length")), F.lit(""))
-    return found.select("cb", "ub", "cigar", "ref", "donor", "acceptor", after.alias("seq_after"), "match_start", "match_end")
+    gaps = F.when((last >= 2) & F.col("seq").isNotNull(), F.filter(F.sequence(F.lit(2), F.greatest(last, F.lit(2))), gap))
+    # Each gap with the bases before it on the reference and in the read; the rest are plain columns.
+    placed = F.transform(gaps, lambda i: F.struct(i.alias("i"), (F.col("pos").cast("int") + before(i, ("M", "D", "N", "=", "X"))).alias("at"), before(i, ("M", "I", "S", "=", "X")).alias("q")))
+    found = kept.select("cb", "ub", "cigar", "ref", "seq", "kinds", "sizes", F.inline(placed))
+    i, at = F.col("i"), F.col("at")
+    matched = F.coalesce(kind(i + 1) == "M", F.lit(False))
+    return found.select(
+        "cb", "ub", "cigar", "ref", (at - 1).alias("donor"), F.when(matched, at + size(i)).alias("acceptor"), F.when(matched, F.substring("seq", F.col("q") + 1, size(i + 1))).otherwise("").alias("seq_after"),
+        (at - size(i - 1)).alias("match_start"), at.alias("match_end"),
+    )
 
 
 def consolidate_junctions(junctions: DataFrame) -> DataFrame:
