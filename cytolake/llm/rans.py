@@ -162,11 +162,20 @@ class WordEncoder:
         self.map = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.assigned: set[str] = set()
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _assigned(self, text: str) -> bool:
+        """Whether Python's Unicode tables hold every character; of others the library may know more (case, letters)."""
+        new = {*text} - self.assigned
+        if any(unicodedata.category(c) == "Cn" for c in new):
+            return False
+        self.assigned |= new
+        return True
+
     def _parts(self, chunk: str) -> list[str]:
         """The pre-tokens of a chunk; most are letters alone, or with one mark at the end, and need no pattern."""
         if chunk.isalpha():
@@ -183,8 +192,8 @@ class WordEncoder:
             for w in self._parts(chunk):
                 ids = words.get(w)
                 if ids is None:
-                    # What the library does with a pre-token: bytes to characters (ASCII marks and letters stay), then its BPE model.
-                    mapped = w if w.isascii() else w.encode().decode("latin-1").translate(self.map)
+                    # What the library does with a pre-token: bytes to characters (0x21 to 0x7e stay), then its BPE model.
+                    mapped = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.map)
                     ids = words[w] = array("I", [t.id for t in tokenize(mapped)]).tobytes()
                 parts.append(ids)
             out[chunk] = parts[0] if len(parts) == 1 else b"".join(parts)
@@ -195,8 +204,8 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         """Ids as packed unsigned 32-bit integers. Chunks are independent: white space never joins the parts of a token."""
         lower = text.lower()
-        # Lower-case keys are enough where the library's normaliser does nothing else.
-        plain = not any(x in text for x in ODD) and (text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower))
+        # Lower-case keys are enough where the library's normaliser does nothing else and both know all characters.
+        plain = not any(x in text for x in ODD) and (text.isascii() or self._assigned(text) and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower))
         if not plain:
             return b"".join(self._encoded(_CHUNK.findall(text)))
         chunks, cache = lower.split(), self.chunks
