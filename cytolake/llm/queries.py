@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolake.llm import bpe, decontaminate, licenses, lm, pii, quality, rans, simhash, token_counts, warc
+from cytolake.llm import bpe, decontaminate, licenses, lm, merkle, pii, quality, rans, simhash, token_counts, warc
 from cytolake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents")).drop("copied")
