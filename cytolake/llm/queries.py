@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolake.llm import bpe, decontaminate, licenses, lm, merkle, pii, quality, rans, simhash, token_counts, warc
+from cytolake.llm import bpe, decontaminate, licenses, lm, merkle, pii, quality, rans, simhash, token_counts, vectors, warc
 from cytolake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,14 @@ def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents")).drop("copied")
+
+
+ORACLES["op13_merkle_manifest"] = merkle.SQL
+
+
+@query
+def op12_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_embedding_tiles"] = vectors.SQL
