@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolake.llm import bpe, decontaminate, licenses, lm, merkle, pii, quality, rans, simhash, token_counts, vectors, warc
+from cytolake.llm import bpe, decontaminate, licenses, lm, merkle, pii, quality, rans, simhash, spelling, token_counts, vectors, warc
 from cytolake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,11 @@ def op12_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_embedding_tiles"] = vectors.SQL
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_spelling_variants"] = spelling.SQL
