@@ -111,3 +111,20 @@ def test_rans_files_with_null_and_repeated_doc_ids(spark):
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert got == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=30))
+def test_word_ids_of_any_characters(text):
+    encoder = rans.word_encoder(WORDS)
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
+
+
+def test_word_ids_of_controls_and_unassigned_characters(spark):
+    texts = ["a\x7fb", "\x1b[31mred\x1b[0m", "\x00", "".join(map(chr, range(32))), "x\x00y \x08\x7f z", "a͸b \U0001cc00", "﷐"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    library = rans.word_encoder(WORDS).tokenizer
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    rows = rans.write_and_read(docs, WORDS, 49_408, 2, 3).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == want
