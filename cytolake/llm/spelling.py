@@ -156,7 +156,7 @@ class SortedList:
         return *(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1)), visited
 
     def _run(self, queries: list[str], known: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        chars, at, size = _flat(queries, 2)
+        chars, at, size = _flat(queries, 3)  # a row may reach two characters past a query
         rows = np.zeros((len(queries), int(size.max()) + 3), np.uint8)
         q, word, depth = np.arange(len(queries)), low.copy(), known.astype(np.int64)
         rows[q, depth] = EXACT

@@ -66,6 +66,11 @@ def test_scan_finds_each_near_word_of_a_stretch_once(words):
         assert len(got) == len(want) and {*got} == want
 
 
+def test_words_run_past_the_last_query():
+    q, w, _ = spelling.SortedList(["abcdefg", "abcdefgh", "abcdefghi"]).near(["abcdef"], np.array([6]))
+    assert w.tolist() == [0]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc", max_size=6), st.text("abc", min_size=4, max_size=8), st.text("abc", max_size=5))
 def test_no_range_is_skipped_that_holds_a_near_word(prefix, query, rest):
