@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import pandas as pd
@@ -38,7 +39,7 @@ def primer_distance(seq: Column, primer: str, k: int) -> Column:
 
 def where_primer(fastq: DataFrame, primer: str, k: int = 4, stagger: str = "") -> DataFrame:
     """BC-02: reads that begin with the exact stagger and the primer with at most k edits."""
-    rest = F.substring("seq", len(stagger) + 1, 1_000_000)
+    rest = F.substring("seq", F.lit(len(stagger) + 1), F.length("seq"))
     return fastq.where(F.col("seq").startswith(stagger) & (primer_distance(rest, primer, k) <= k))
 
 
@@ -92,13 +93,13 @@ def extract_adapter(fastq: DataFrame, adapter: str, k: int = 3, cell: int = 16,
         return exact.where("end > 0").unionByName(exact.where("end = 0").select("read_id", "s", fuzzy_end("s").alias("end")).where("end > 0"))
 
     found = side(F.col("seq")).withColumn("strand", F.lit("+")).unionByName(side(reverse_complement(F.col("seq"))).withColumn("strand", F.lit("-")))
-    after = F.substring(F.col("s"), F.col("end") + 1, F.lit(1_000_000))
+    after = F.substring(F.col("s"), F.col("end") + 1, F.length("s"))
     head = F.substring("after", cell + umi + 1, 8)
     tailed = found.withColumn("after", after).where((F.length("after") >= cell + umi + 8) & (F.length(head) - F.length(F.replace(head, F.lit("T"), F.lit(""))) >= 6))
-    rest = F.substring("after", cell + umi + 1, 1_000_000)
+    rest = F.substring("after", F.lit(cell + umi + 1), F.length("after"))
     run = F.greatest(F.length(F.regexp_extract(rest, "^((?:T|[^T](?=T))*)", 1)), F.lit(8))
     run = F.when(F.length(F.regexp_extract(rest, "^((?:T|[^T](?=T))*)", 1)) == F.length(rest), 8).otherwise(run)
-    first = tailed.withColumn("cdna", F.substring(rest, F.lit(1) + run, F.lit(1_000_000))).withColumn("k", F.row_number().over(W.partitionBy("read_id").orderBy("strand")))
+    first = tailed.withColumn("cdna", F.substring(rest, F.lit(1) + run, F.length(rest))).withColumn("k", F.row_number().over(W.partitionBy("read_id").orderBy("strand")))
     return first.where("k = 1").select("read_id", "strand", F.substring("after", 1, cell).alias("cell"), F.substring("after", cell + 1, umi).alias("umi"), "cdna")
 
 
@@ -131,24 +132,48 @@ def _masked(seq: Column, length: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.concat(F.substring(seq, F.lit(1), i - 1), F.lit("."), F.substring(seq, i + 1, F.lit(length))))
 
 
-def correct_cells(reads: DataFrame, whitelist: DataFrame, length: int, p: float = 0.975) -> DataFrame:
-    """BC-09: the listed cell of highest posterior, within one substitution, if the posterior reaches p.
+def substituted(odd: DataFrame, listed: DataFrame, length: int, k: int) -> DataFrame:
+    """(cell, known, n, places): pairs of odd (cell) and listed (known, n) barcodes that differ in 1 to k places (from 0).
 
-    Likelihood of a substitution: 10^(-q/10) with the quality of its place; prior: exact matches + 1, counted
-    beforehand over all reads. Reads whose cell is listed keep it. Columns of reads: read_id, cell, qual.
+    For each choice of m places, m up to k, both sides meet by the barcode with these places masked; a pair of m
+    substitutions meets under its own m places alone, as all masked places have to differ.
+    """
+    out = None
+    for m in range(1, k + 1):
+        at = [f"at_{i}" for i in range(m)]
+        choices = F.array(*[F.struct(*[F.lit(p).alias(a) for a, p in zip(at, c)]) for c in itertools.combinations(range(length), m)])
+
+        def masked(df: DataFrame, text: str) -> DataFrame:
+            mask = F.col(text)
+            for a in at:
+                mask = F.overlay(mask, F.lit("."), F.col(a) + 1)
+            return df.select("*", F.inline(choices)).withColumn("mask", mask)
+
+        near = masked(odd, "cell").join(masked(listed, "known"), [*at, "mask"]).where(" AND ".join(f"substring(cell, {a} + 1, 1) <> substring(known, {a} + 1, 1)" for a in at))
+        near = near.select("cell", "known", "n", F.array(*at).alias("places"))
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
+def correct_cells(reads: DataFrame, whitelist: DataFrame, length: int, p: float = 0.975, k: int = 2) -> DataFrame:
+    """BC-09: the listed cell of highest posterior, within k substitutions, if the posterior reaches p.
+
+    Likelihood: the product of 10^(-q/10) with the quality of each substituted place; prior: exact matches + 1, counted
+    beforehand over all reads. Reads whose cell is listed keep it. Columns of reads: read_id, cell, qual. Distinct
+    unlisted cells are matched, however many reads have them.
     """
     listed = whitelist.select(F.col("cell").alias("known")).distinct()
-    prior = reads.join(listed, F.col("cell") == F.col("known")).groupBy("known").agg(F.count("*").alias("n"))
-    weighted = listed.join(prior, "known", "left").select("known", (F.coalesce("n", F.lit(0)) + 1).alias("n"))
-    exact = reads.join(listed, F.col("cell") == F.col("known"), "left_semi").select("read_id", F.col("cell").alias("corrected"), F.lit(1.0).alias("posterior"))
-    off = reads.join(listed, F.col("cell") == F.col("known"), "left_anti")
-    keys = weighted.select("known", "n", F.posexplode(_masked(F.col("known"), length)).alias("pos", "mask"))
-    near = off.select("read_id", "qual", F.posexplode(_masked(F.col("cell"), length)).alias("pos", "mask")).join(keys, ["pos", "mask"])
-    q = F.ascii(F.substring(F.col("qual"), F.col("pos") + 1, F.lit(1))) - 33
-    scored = near.withColumn("score", F.pow(F.lit(10.0), -q / 10.0) * F.col("n"))
-    total = F.sum("score").over(W.partitionBy("read_id"))
-    best = scored.withColumn("posterior", F.col("score") / total).withColumn("k", F.row_number().over(W.partitionBy("read_id").orderBy(F.desc("posterior"), "known")))
-    return exact.unionByName(best.where((F.col("k") == 1) & (F.col("posterior") >= p)).select("read_id", F.col("known").alias("corrected"), "posterior"))
+    counts = reads.groupBy("cell").agg(F.count("*").alias("n"))
+    weighted = listed.join(counts.select(F.col("cell").alias("known"), "n"), "known", "left").select("known", (F.coalesce("n", F.lit(0)) + 1).alias("n"))
+    same = F.col("cell") == F.col("known")
+    exact = reads.join(listed, same, "left_semi").select("read_id", F.col("cell").alias("corrected"), F.lit(1.0).alias("posterior"))
+    odd = counts.where(F.length("cell") == length).join(listed, same, "left_anti").select("cell")
+    near = substituted(odd, weighted.where(F.length("known") == length), length, k)
+    error = F.aggregate("places", F.lit(1.0), lambda x, i: x * F.pow(F.lit(10.0), (33 - F.ascii(F.substring("qual", i + 1, F.lit(1)))) / 10.0))
+    scored = reads.join(near, "cell").select("read_id", "known", (error * F.col("n")).alias("score"))
+    best = scored.groupBy("read_id").agg(F.max(F.struct("score", "known")).alias("best"), F.sum("score").alias("total"))
+    kept = best.withColumn("posterior", F.col("best.score") / F.col("total")).where(F.col("posterior") >= p)
+    return exact.unionByName(kept.select("read_id", F.col("best.known").alias("corrected"), "posterior"))
 
 
 def correct_cells_h1(df: DataFrame, whitelist: DataFrame, length: int) -> DataFrame:

@@ -86,13 +86,26 @@ PAIR = f"""m AS ({MUTATED}), w AS ({LISTED}), near AS (SELECT m.cell AS odd, w.c
   WHERE cell NOT IN (SELECT cell FROM w)) m CROSS JOIN w WHERE {HAM.format(a='m.cell', b='w.cell', n=16)} = 1)"""
 
 
-@operator("BC-09", "orders", sql=f"""WITH {PAIR.format(h='1 AS one')}, p AS (SELECT w.cell AS known, count(m.cell) + 1 AS n FROM w LEFT JOIN m ON m.cell = w.cell GROUP BY 1),
-s AS (SELECT odd, known, n / sum(n) OVER (PARTITION BY odd) AS posterior FROM near JOIN p USING (known))
-  SELECT read_id, coalesce(known, cell) AS corrected, coalesce(posterior, 1) AS posterior FROM m LEFT JOIN s ON odd = cell AND posterior >= 0.975
-  WHERE known IS NOT NULL OR cell IN (SELECT cell FROM w)""")
+#: Reads of listed cells with no, one or two substitutions, at places of different quality.
+SUBSTITUTED = f"""SELECT concat('q', o_orderkey) AS read_id, CASE o_orderkey % 4 WHEN 0 THEN cell WHEN 1 THEN cell
+  WHEN 2 THEN concat(substr(cell, 1, 5), translate(substr(cell, 6, 1), 'ACGT', 'CGTA'), substr(cell, 7, 10))
+  ELSE concat(substr(cell, 1, 5), translate(substr(cell, 6, 1), 'ACGT', 'GTAC'), substr(cell, 7, 5), translate(substr(cell, 12, 1), 'ACGT', 'TACG'), substr(cell, 13, 4)) END AS cell,
+  concat('IIIII', substr('+5?I', CAST(o_orderkey % 4 + 1 AS INT), 1), 'II', substr('$)4I', CAST((o_orderkey + o_custkey) % 4 + 1 AS INT), 1), 'II', substr('#-7A', CAST(o_custkey % 4 + 1 AS INT), 1), 'IIII') AS qual
+FROM (SELECT o_orderkey, o_custkey, substr({dna('o_custkey % 400')}, 1, 16) AS cell FROM orders)"""
+#: Listed cells, and for a third of them one that differs in a place of its own.
+TWINNED = f"""SELECT DISTINCT cell FROM (SELECT substr({dna('o_custkey % 400')}, 1, 16) AS cell FROM orders UNION ALL SELECT concat(substr({dna('o_custkey % 400')}, 1, 8),
+  translate(substr({dna('o_custkey % 400')}, 9, 1), 'ACGT', 'CGTA'), substr({dna('o_custkey % 400')}, 10, 7)) AS cell FROM orders WHERE o_custkey % 3 = 0)"""
+
+
+@operator("BC-09", "orders", sql=f"""WITH m AS ({SUBSTITUTED}), w AS ({TWINNED}),
+p AS (SELECT w.cell AS known, count(m.cell) + 1 AS n FROM w LEFT JOIN m ON m.cell = w.cell GROUP BY 1),
+near AS (SELECT o.cell, known, n FROM (SELECT DISTINCT cell FROM m WHERE cell NOT IN (SELECT cell FROM w)) o CROSS JOIN p WHERE {HAM.format(a='o.cell', b='known', n=16)} BETWEEN 1 AND 2),
+s AS (SELECT read_id, known, n * list_product(list_transform(range(1, 17), lambda i: CASE WHEN cell[i] = known[i] THEN 1.0 ELSE pow(10.0, (33 - ascii(qual[i])) / 10.0) END)) AS score FROM m JOIN near USING (cell)),
+t AS (SELECT read_id, arg_max(known, score) AS corrected, max(score) / sum(score) AS posterior FROM s GROUP BY 1)
+  SELECT read_id, cell AS corrected, 1.0 AS posterior FROM m WHERE cell IN (SELECT cell FROM w) UNION ALL SELECT * FROM t WHERE posterior >= 0.975""")
 def _(orders):
-    reads, listed = _mutated(orders)
-    return b.correct_cells(reads, listed, 16)
+    run = lambda s: orders.sparkSession.sql(s.replace("FROM orders", "FROM {orders}"), orders=orders)
+    return b.correct_cells(run(SUBSTITUTED), run(TWINNED), 16)
 
 
 @operator("BC-10", "orders", sql=f"WITH {PAIR.format(h='1 AS one')} SELECT odd AS cell, min(known) AS corrected FROM near GROUP BY odd")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 SAM = "name string, flag int, ref string, pos int, mapq int, cigar string, mate_ref string, mate_pos int, template_length int, seq string, qual string"
 
@@ -19,7 +19,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("value", "\t")
     lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.size(f) >= 11))
     star = lambda c: F.when(c != "*", c)
-    tags = F.map_from_entries(F.transform(F.slice(f, 12, 1_000), lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, 6, 100_000))))
+    tags = F.map_from_entries(F.transform(F.slice(f, F.lit(12), F.size(f)), lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, F.lit(6), F.length(t)))))
     return lines.select(
         f[0].alias("name"), f[1].cast("int").alias("flag"), star(f[2]).alias("ref"), (f[3].cast("int") - 1).alias("pos"), f[4].cast("int").alias("mapq"), star(f[5]).alias("cigar"), star(f[9]).alias("seq"), star(f[10]).alias("qual"), tags.alias("tags")
     )
@@ -36,17 +36,29 @@ def umi(tags: Column | str) -> Column:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-05: (read_id, comment, seq, qual) of FASTQ text, four lines a record.
+    """SRC-05: (read_id, comment, seq, qual) of FASTQ text, four lines a record, from any store that Spark reads.
 
-    Records are split at the line ends before @ that follow a quality line, by reading each file whole; a gzip file is one task in any case.
+    Lines that begin with @ part the rows, so a plain file of any size is split by byte ranges and a gzip file streams
+    through one task; nothing holds a file. A quality line that begins with @ parts its record in two rows,
+    which follow each other in the file: these halves alone are brought together, inside a block of the file, and
+    over the ends of blocks (two rows a block at most). A last record that is cut short is left out. Names never
+    begin with @ themselves. Line ends may be those of Windows, and blank lines may follow the last record.
     """
-    lines = F.split(F.regexp_replace("content", "\r", ""), "\n")
-    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("content"))
-    starts = F.sequence(F.lit(0), F.floor((F.size("lines") - 4) / 4).cast("int"))
-    record = lambda i: F.struct(F.get("lines", i * 4).alias("head"), F.get("lines", i * 4 + 1).alias("seq"), F.get("lines", i * 4 + 3).alias("qual"))
-    cut = files.select(lines.alias("lines")).where(F.size("lines") >= 4).select(F.inline(F.transform(starts, record))).where("seq IS NOT NULL AND qual IS NOT NULL")
-    head = F.substring("head", 2, 100_000)
-    return cut.select(F.split_part(head, F.lit(" "), F.lit(1)).alias("read_id"), F.split_part(head, F.lit(" "), F.lit(2)).alias("comment"), "seq", "qual")
+    lines = F.split(F.translate("value", "\r", ""), "\n")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    rows = spark.read.option("lineSep", "\n@").text(path).select(lines.alias("lines"), *place)
+    headed = F.coalesce(F.get("lines", F.lit(2)).startswith("+"), F.lit(False))
+    whole = rows.where(headed & (F.size("lines") > 3)).select("lines", F.get("lines", F.lit(3)).alias("qual"))
+    halves = rows.where(~headed | (F.size("lines") <= 3)).withColumn("first", headed)
+    block = W.partitionBy("file", "block").orderBy("at")
+    halves = halves.withColumns({"next": F.lead("lines").over(block), "next_first": F.lead("first").over(block), "last_first": F.lag("first").over(block)})
+    inside = halves.where("first AND NOT next_first").select("lines", "next")
+    ends = halves.where("first AND next IS NULL OR NOT first AND last_first IS NULL")
+    over = W.partitionBy("file").orderBy("block", "at")
+    across = ends.withColumns({"next": F.lead("lines").over(over), "next_first": F.lead("first").over(over)}).where("first AND NOT next_first").select("lines", "next")
+    joined = inside.unionByName(across).select("lines", F.concat(F.lit("@"), F.get("next", F.lit(0))).alias("qual"))
+    head = F.regexp_replace(F.get("lines", F.lit(0)), "^@", "")
+    return whole.unionByName(joined).select(F.split_part(head, F.lit(" "), F.lit(1)).alias("read_id"), F.split_part(head, F.lit(" "), F.lit(2)).alias("comment"), F.get("lines", F.lit(1)).alias("seq"), "qual")
 
 
 def read_fastq_pairs(spark: SparkSession, first: str, second: str) -> DataFrame:
