@@ -392,15 +392,15 @@ def singleton_table(cells: DataFrame) -> DataFrame:
 
 
 def wasserstein(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
-    """CL-23: 1-D Wasserstein distance of a value between two groups, and divided by its deviation over both."""
+    """CL-23: 1-D Wasserstein distance of a value between a group and the reference b, and divided by the reference's deviation."""
     counts = df.where(F.col(group).isin(a, b)).groupBy(value).agg(F.count_if(F.col(group) == a).alias("a"), F.count_if(F.col(group) == b).alias("b"))
     gap = F.abs(F.col("run_a") / F.col("all_a") - F.col("run_b") / F.col("all_b")) * (F.col("next_value") - F.col(value))
-    sd = df.where(F.col(group).isin(a, b)).agg(F.stddev_samp(value).alias("sd"))
+    sd = df.where(F.col(group) == b).agg(F.stddev_samp(value).alias("sd"))
     return stats.running(counts, value, "a", "b").agg(F.sum(gap).alias("wasserstein")).crossJoin(sd).select("wasserstein", F.try_divide("wasserstein", "sd").alias("scaled"))
 
 
 def compare_methods(df: DataFrame, value: str, method: str, reference: str) -> DataFrame:
-    """CL-24: Kolmogorov-Smirnov, Jensen-Shannon (base 2) and Wasserstein distances of each method's values to the reference's, from histograms."""
+    """CL-24: Kolmogorov-Smirnov, Jensen-Shannon (root of the divergence, base 2) and Wasserstein distances of each method's values to the reference's, from histograms."""
     hist = df.groupBy(method, value).agg(F.count("*").alias("n"))
     methods, values = hist.select(method).distinct(), hist.select(value).distinct()
     grid = methods.crossJoin(F.broadcast(values)).join(hist, [method, value], "left").na.fill(0, ["n"])
@@ -412,7 +412,7 @@ def compare_methods(df: DataFrame, value: str, method: str, reference: str) -> D
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     mid = (F.col("p") + F.col("q")) / 2
     d = j.select(method, gap.alias("gap"), (gap * F.coalesce(F.lead(value).over(w) - F.col(value), F.lit(0))).alias("area"), ((part(F.col("p"), mid) + part(F.col("q"), mid)) / 2).alias("js"))
-    return d.groupBy(method).agg(F.max("gap").alias("ks"), F.sum("js").alias("js"), F.sum("area").alias("wasserstein"))
+    return d.groupBy(method).agg(F.max("gap").alias("ks"), F.sqrt(F.sum("js")).alias("js"), F.sum("area").alias("wasserstein"))
 
 
 def clone_infection(cells: DataFrame, infected: Column) -> DataFrame:

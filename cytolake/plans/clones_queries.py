@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cytolake.operators import clones as k
+from cytolake.operators import clones as k, distances as d
 from cytolake.plans.registry import operator
 
 DIST = "sqrt(list_sum([(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) for i in range(1, len(a.embedding) + 1)]))"
@@ -229,7 +229,7 @@ def _(cells):
 
 
 @operator("CL-23", "cells", sql=f"""WITH {KS} SELECT sum(abs(g) * w) AS wasserstein, sum(abs(g) * w) / (SELECT stddev_samp(signal) FROM cells
-  WHERE cluster IN ('BUILDING', 'MACHINERY')) AS scaled FROM f""")
+  WHERE cluster = 'MACHINERY') AS scaled FROM f""")
 def _(cells):
     return k.wasserstein(cells, "signal", "cluster", "BUILDING", "MACHINERY")
 
@@ -242,11 +242,26 @@ p AS (SELECT *, n / sum(n) OVER (PARTITION BY cluster) AS p FROM g), j AS (SELEC
 d AS (SELECT cluster, abs(sum(p - q) OVER w) AS gap, coalesce(lead(signal) OVER w - signal, 0) AS width, (CASE
   WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 AS js FROM j
   WINDOW w AS (PARTITION BY cluster ORDER BY signal))
-SELECT cluster, max(gap) AS ks, sum(js) AS js, sum(gap * width) AS wasserstein FROM d GROUP BY 1""")
+SELECT cluster, max(gap) AS ks, sqrt(sum(js)) AS js, sum(gap * width) AS wasserstein FROM d GROUP BY 1""")
 def _(cells):
     return k.compare_methods(cells, "signal", "cluster", "BUILDING")
 
 
+@operator("CL-23b", "cells")
+def _(cells):
+    return d.wasserstein_context(cells, "score", "cluster", "BUILDING", "MACHINERY")
+
+
+@operator("CL-24b", "cells")
+def _(cells):
+    return d.methods_tested(cells, "score", "cluster", "BUILDING")
+
+
+@operator("CL-24c", "cells")
+def _(cells):
+    return d.closer_methods(cells, "signal", "cluster", "BUILDING")
+
+
 @operator("CL-25", "cells", sql="SELECT clone, count(*) AS size, count(*) FILTER (signal > 3) AS infected, 100.0 * count(*) FILTER (signal > 3) / count(*) AS percent FROM cells GROUP BY clone")
 def _(cells):
     return k.clone_infection(cells, F.col("signal") > 3)
