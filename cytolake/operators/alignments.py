@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cytolake.functions.graph import greedy_clusters
@@ -150,36 +149,43 @@ def landmark_distance(positions: DataFrame, marks: Sequence[int], bin: int = 100
 def cluster_reads(reads: DataFrame, within: int = 5, mer: int = 10) -> DataFrame:
     """SEQ-14: greedy clusters (read_id, pos, seq): reads by position join the first open seed within `within` bases that shares their first and last 10-mer or whole sequence.
 
-    Greedy order is part of the rule, so reads that could meet are one group: those that share a signature. Groups
-    are cut at gaps wider than `within`, over which no cluster can reach, so a common signature is not one task.
+    Reads of a signature at one place go together, so places are what is clustered. The seed after a seed is the first
+    place beyond its reach, which is a function of the place; seeds are the places that it leads to from places
+    with nothing in reach before them. They are found by pointer doubling: in round k every place knows the
+    2^k-th seed after it, and the seeds found so far lead to as many more. A chain of n seeds takes about log2(n) rounds of
+    joins by signature and place, and no group of reads is ever one task. Positions are whole numbers, so what
+    is in reach, or just beyond, is an equi-join. Reads without position, or shorter than the 10-mers, have no cluster.
     """
-    signed = reads.select("read_id", "pos", F.concat(F.left("seq", F.lit(mer)), F.right("seq", F.lit(mer))).alias("signature"))
-    w = W.partitionBy("signature").orderBy("pos", "read_id")
-    run = F.sum((F.col("pos") - F.coalesce(F.lag("pos").over(w), F.col("pos")) > within).cast("int")).over(w)
-
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["pos", "read_id"])
-        seed, name, names = None, None, []
-        for pos, read_id in zip(group["pos"], group["read_id"]):
-            if seed is None or pos - seed > within:
-                seed, name = pos, read_id
-            names.append(name)
-        return pd.DataFrame({"read_id": group["read_id"], "cluster": names})
-
-    whole = W.partitionBy("signature", "run")
-    runs = signed.withColumn("run", run).withColumn("short", F.max("pos").over(whole) - F.min("pos").over(whole) <= within)
-    # A run no longer than the reach is one cluster, named by its first read; only longer ones need the order.
-    first = F.min(F.struct("pos", "read_id")).over(whole)["read_id"]
-    short = runs.withColumn("cluster", first).where("short").select("read_id", "cluster")
-    return short.unionByName(runs.where("NOT short").groupBy("signature", "run").applyInPandas(greedy, "read_id string, cluster string"))
-
-
-def cluster_consensus(positions: DataFrame, cluster: str) -> DataFrame:
-    """SEQ-15: positions of each cluster: mean (half-even), median, range, deviation, cells, and its confidence by reads."""
+    signature = F.when(F.col("pos").isNotNull() & (F.length("seq") >= mer), F.concat(F.left("seq", F.lit(mer)), F.right("seq", F.lit(mer))))
+    signed = reads.select("read_id", "pos", signature.alias("signature"))
+    places = staged(signed.where("signature IS NOT NULL").groupBy("signature", "pos").agg(F.min("read_id").alias("name")))
+    at = places.select("signature", "pos")
+    near = lambda low, high: places.select("signature", F.col("pos").alias("from"), F.explode(F.array(*[F.col("pos") + d for d in range(low, high + 1)])).alias("pos"))
+    # Where a place lies within twice the reach, the first of them is next; farther ones have nothing in reach before them.
+    jump = staged(near(within + 1, 2 * within).join(at, ["signature", "pos"]).groupBy("signature", F.col("from").alias("pos")).agg(F.min("pos").alias("to")))
+    seeds = staged(at.join(near(1, within).select("signature", "pos"), ["signature", "pos"], "left_anti"))
+    while not jump.isEmpty():
+        seeds = staged(seeds.union(seeds.join(jump, ["signature", "pos"]).select("signature", "to")).distinct())
+        jump = staged(jump.join(jump.select("signature", F.col("pos").alias("to"), F.col("to").alias("then")), ["signature", "to"]).select("signature", "pos", F.col("then").alias("to")))
+    reach = places.join(seeds, ["signature", "pos"]).select("signature", F.explode(F.array(*[F.col("pos") + d for d in range(within + 1)])).alias("pos"), F.col("name").alias("cluster"))
+    return signed.join(reach, ["signature", "pos"], "left").select("read_id", "cluster")
+
+
+def cluster_consensus(reads: DataFrame, cluster: str) -> DataFrame:
+    """SEQ-15: positions of each cluster: mean (half-even), median, range, deviation, cells, sequence of its first read (pos, read_id), and its confidence by reads."""
     p = F.col("pos")
-    return positions.groupBy(cluster).agg(
+    return reads.groupBy(cluster).agg(
         F.count("*").alias("reads"), F.bround(F.avg(p), 0).alias("mean"), F.percentile(p, 0.5).alias("median"), (F.max(p) - F.min(p)).alias("range"), F.stddev_samp(p).alias("sd"),
-        F.count_distinct("cell").alias("cells"), F.when(F.count("*") >= 10, "high").when(F.count("*") >= 3, "medium").otherwise("low").alias("confidence"),
+        F.count_distinct("cell").alias("cells"), F.min_by("seq", F.struct("pos", "read_id")).alias("sequence"), F.when(F.count("*") >= 10, "high").when(F.count("*") >= 3, "medium").otherwise("low").alias("confidence"),
+    )
+
+
+def consensus_summary(consensus: DataFrame, least: int = 3) -> DataFrame:
+    """SEQ-15: clusters, those of `least` reads, of several cells, of both, and how far clusters reduce positions, in percent."""
+    sure, several = F.col("reads") >= least, F.col("cells") > 1
+    return consensus.agg(
+        F.sum("reads").alias("positions"), F.count("*").alias("sites"), (100.0 * (1 - F.count("*") / F.sum("reads"))).alias("reduction"), F.count_if(sure).alias("confident"),
+        F.count_if(several).alias("several_cells"), F.count_if(sure & several).alias("both"), F.max("reads").alias("largest"),
     )
 
 
@@ -189,11 +195,12 @@ def umi_groups(positions: DataFrame, within: int = 10) -> DataFrame:
     return per.select("cell", "umi", "size", F.dense_rank().over(W.partitionBy("cell").orderBy("umi")).cast("bigint").alias("group"), (F.col("spread") <= within).alias("consistent"))
 
 
-def umi_consensus(positions: DataFrame, within: int = 10) -> DataFrame:
-    """SEQ-17: median of the positions near each molecule's median, and how many they are."""
-    centre = positions.groupBy("cell", "umi").agg(F.percentile("pos", 0.5).alias("centre"))
-    near = positions.join(centre, ["cell", "umi"]).where(F.abs(F.col("pos") - F.col("centre")) <= within)
-    return near.groupBy("cell", "umi").agg(F.percentile("pos", 0.5).alias("median"), F.count("*").alias("reads"))
+def umi_consensus(reads: DataFrame) -> DataFrame:
+    """SEQ-17: median position (half-even) of each molecule (cell, umi), the reads right there, and their median length and commonest sequence (ties: the first)."""
+    named = reads.where("cell <> '' AND umi <> ''")
+    centre = named.groupBy("cell", "umi").agg(F.bround(F.percentile("pos", 0.5), 0).alias("consensus"))
+    there = named.join(centre, ["cell", "umi"]).where("pos = consensus")
+    return there.groupBy("cell", "umi").agg(F.min("pos").alias("pos"), F.count("*").alias("reads"), F.bround(F.percentile(F.length("seq"), 0.5), 0).alias("length"), F.mode("seq", True).alias("sequence"))
 
 
 def round_to_common(df: DataFrame, group: str, within: int = 2) -> DataFrame:

@@ -313,6 +313,20 @@ def coherence_summary(coherent: DataFrame, alpha: float = 0.05) -> DataFrame:
     return stats.adjust(d.withColumn("p_value", stats.tail(lambda k, n: stats.binomial_upper(int(k), int(n), alpha), F.col("clones"), F.col("tested"))), "p_value", "p_adj")
 
 
+def coherent_genes(coherent: DataFrame, alpha: float = 0.05, top: int = 5) -> DataFrame:
+    """CL-13: genes tested and coherent in each clone, their share, and the clone's most coherent genes (by p, then name)."""
+    d = coherent.groupBy("clone").agg(F.count("*").alias("tested"), F.count_if(F.col("p") < alpha).alias("coherent"))
+    rank = F.row_number().over(W.partitionBy("clone").orderBy("p", "gene"))
+    best = coherent.select("clone", "gene", rank.alias("k")).where(F.col("k") <= top).groupBy("clone").agg(F.array_sort(F.collect_list(F.struct("k", "gene"))).alias("all"))
+    return d.join(best, "clone").select("clone", "tested", "coherent", (F.col("coherent") / F.col("tested")).alias("share"), F.array_join(F.transform("all", lambda x: x["gene"]), ", ").alias("top_genes"))
+
+
+def gene_recurrence(coherent: DataFrame, alpha: float = 0.05, least: int = 3) -> DataFrame:
+    """CL-13: clones in which each gene was tested (at least `least`) and coherent, their share, and the median p."""
+    d = coherent.groupBy("gene").agg(F.count("*").alias("tested"), F.count_if(F.col("p") < alpha).alias("coherent"), F.percentile("p", 0.5).alias("median_p"))
+    return d.where(F.col("tested") >= least).select("gene", "tested", "coherent", (F.col("coherent") / F.col("tested")).alias("share"), "median_p")
+
+
 def icc_compare(everywhere: DataFrame, inside: DataFrame) -> DataFrame:
     """CL-14: each gene's global icc beside those within clusters."""
     return everywhere.select("gene", F.col("icc").alias("global_icc")).join(inside, "gene", "left")

@@ -353,17 +353,30 @@ def add_xf(reads: DataFrame, min_mapq: int = 255) -> DataFrame:
     return joined.select("file_offset", "name", xf.cast("bigint").alias("xf"))
 
 
+def _gene_sets(reads: DataFrame) -> DataFrame:
+    """The genes of each read name over its records that are neither secondary nor supplementary."""
+    primary = reads.where((F.col("flag").bitwiseAND(F.lit(256 + 2048)) == 0) & F.col("gx").isNotNull())
+    return primary.groupBy("name").agg(F.sort_array(F.collect_set("gx")).alias("genes"))
+
+
 def multimap_gene_pairs(reads: DataFrame) -> DataFrame:
     """RD-40: gene pairs that the same read name maps to, counted by read names."""
-    genes = reads.where("gx IS NOT NULL").groupBy("name").agg(F.sort_array(F.collect_set("gx")).alias("genes")).where(F.size("genes") > 1)
     pairs = F.flatten(F.transform("genes", lambda a: F.transform(F.filter("genes", lambda b: b > a), lambda b: F.struct(a.alias("gene_1"), b.alias("gene_2")))))
-    return genes.select(F.inline(pairs)).groupBy("gene_1", "gene_2").agg(F.count("*").alias("reads"))
+    return _gene_sets(reads).where(F.size("genes") > 1).select(F.inline(pairs)).groupBy("gene_1", "gene_2").agg(F.count("*").alias("reads"))
+
+
+def multimap_share(reads: DataFrame) -> DataFrame:
+    """RD-40: records that are neither secondary nor supplementary, read names with several genes among them, and these in percent of the records."""
+    total = reads.agg(F.count_if(F.col("flag").bitwiseAND(F.lit(256 + 2048)) == 0).alias("reads"))
+    several = _gene_sets(reads).agg(F.count_if(F.size("genes") > 1).alias("multimapped"))
+    return total.crossJoin(several).withColumn("percent", F.coalesce(F.try_divide(100.0 * F.col("multimapped"), F.col("reads")), F.lit(0.0)))  # one row each
 
 
 def multimap_positions(reads: DataFrame) -> DataFrame:
     """RD-41: positions per gene of reads whose name maps to several genes."""
-    names = reads.where("gx IS NOT NULL").groupBy("name").agg(F.count_distinct("gx").alias("k")).where("k > 1").select("name")
-    return reads.where("gx IS NOT NULL").join(names, "name", "left_semi").groupBy("gx", "ref", "pos").agg(F.count("*").alias("reads"))
+    primary = reads.where((F.col("flag").bitwiseAND(F.lit(256 + 2048)) == 0) & F.col("gx").isNotNull())
+    names = primary.groupBy("name").agg((F.min("gx") < F.max("gx")).alias("several")).where("several").select("name")
+    return primary.join(names, "name", "left_semi").groupBy("gx", "ref", "pos").agg(F.count("*").alias("reads"))
 
 
 def equalise(a: DataFrame, b: DataFrame, key: str, seed: int) -> DataFrame:
@@ -411,13 +424,30 @@ def extract_barcode_umi(fastq: DataFrame, cb: int = 16, umi: int = 12) -> DataFr
 
 
 def pair_reads(reads: DataFrame) -> DataFrame:
-    """RD-49: read pairs by name (first and second in file order): same reference, distance between starts."""
-    w = W.partitionBy("name").orderBy("file_offset")
-    mates = reads.select("name", "ref", "pos", F.row_number().over(w).alias("mate")).where("mate <= 2")
-    one = lambda k, x: F.max(F.when(F.col("mate") == k, F.col(x)))
-    pairs = mates.groupBy("name").agg(one(1, "ref").alias("ref_1"), one(1, "pos").alias("pos_1"), one(2, "ref").alias("ref_2"), one(2, "pos").alias("pos_2")).where("ref_2 IS NOT NULL")
-    same = F.col("ref_1") == F.col("ref_2")
-    return pairs.withColumn("same_ref", same).withColumn("distance", F.when(same, F.abs(F.col("pos_1") - F.col("pos_2"))))
+    """RD-49: mapped paired reads by name: both mates' places and strands, same reference, distance between starts, proper pair.
+
+    A mate's last record in the file counts (by file_offset); pairs of which it is secondary are left out.
+    """
+    bit = lambda b: F.col("flag").bitwiseAND(F.lit(b)) != 0
+    mates = reads.where(~bit(4) & bit(1)).withColumn("mate", F.when(bit(64), 1).when(bit(128), 2))
+    record = F.struct("ref", "pos", "mapq", F.length("seq").alias("length"), bit(16).alias("reverse"), bit(2).alias("proper"), bit(256).alias("secondary"))
+    last = lambda k: F.max_by(record, F.when(F.col("mate") == k, F.col("file_offset"))).alias(f"m{k}")
+    pairs = mates.groupBy("name").agg(last(1), last(2), F.count_if(F.col("mate") == 1).alias("n1"), F.count_if(F.col("mate") == 2).alias("n2")).where("n1 > 0 AND n2 > 0 AND NOT m1.secondary AND NOT m2.secondary")
+    sides = [F.col(f"m{k}.{c}").alias(f"{c}_{k}") for k in (1, 2) for c in ("ref", "pos", "mapq", "length", "reverse")]
+    same = F.col("m1.ref") == F.col("m2.ref")
+    return pairs.select("name", *sides, (F.col("m1.proper") & F.col("m2.proper")).alias("proper"), same.alias("same_ref"), F.when(same, F.abs(F.col("m1.pos") - F.col("m2.pos"))).alias("distance"))
+
+
+def pair_summary(pairs: DataFrame) -> DataFrame:
+    """RD-49: pairs, proper ones, those on one reference and on one strand, qualities, lengths and distances of both mates."""
+    strand = F.col("reverse_1") == F.col("reverse_2")
+    share = lambda c: F.avg(c.cast("double"))
+    return pairs.agg(
+        F.count("*").alias("pairs"), F.count_if("proper").alias("proper"), share(F.col("proper")).alias("proper_share"), F.count_if("same_ref").alias("same_ref"), share(F.col("same_ref")).alias("same_ref_share"),
+        F.count_if(strand).alias("same_strand"), share(strand).alias("same_strand_share"), F.avg("mapq_1").alias("mapq_1"), F.avg("mapq_2").alias("mapq_2"), F.avg("length_1").alias("length_1"), F.avg("length_2").alias("length_2"),
+        F.count_distinct("ref_1").alias("refs_1"), F.count_distinct("ref_2").alias("refs_2"), F.avg("distance").alias("mean_distance"), F.percentile("distance", 0.5).alias("median_distance"),
+        F.min("distance").alias("min_distance"), F.max("distance").alias("max_distance"), F.count_if(F.col("distance") <= 1000).alias("within_1000"),
+    )
 
 
 def polya_structure(reads: DataFrame, min_length: int = 6, share: float = 2 / 3) -> DataFrame:

@@ -75,12 +75,15 @@ def region_umis(reads: DataFrame, regions: DataFrame, min_reads: int, min_umis:
 
 
 def region_rarefaction(umis: DataFrame, fractions: Sequence[float], repeats: int, seed: int) -> DataFrame:
-    """SAT-04: cells found at each fraction of reads drawn without replacement: mean, deviation over repeats, gain over the fraction before."""
-    reads = umis.select("target", "cb", "ub", F.explode(F.sequence(F.lit(1), F.col("reads").cast("int"))).alias("i"))
-    runs = reads.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")).withColumn("u", unit("target", "cb", "ub", "i", "repeat", F.lit(seed)))
-    # A cell is found at a fraction if its read of smallest hash is; that one number a cell stands for all its reads.
-    first = runs.groupBy("target", "repeat", "cb").agg(F.min("u").alias("u"))
-    at = first.select("target", "repeat", "cb", "u", F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"))
+    """SAT-04: cells found at each fraction of reads drawn without replacement: mean, deviation over repeats, gain over the fraction before.
+
+    A cell is found at a fraction if the least of its reads' uniform numbers is. The least of n is distributed as
+    1 - (1 - u)^(1/n), so one number a cell and repeat stands for all its reads.
+    """
+    cells = umis.groupBy("target", "cb").agg(F.sum("reads").alias("reads"))
+    runs = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    least = 1 - F.pow(1 - unit("target", "cb", "repeat", F.lit(seed)), 1.0 / F.col("reads"))
+    at = runs.select("target", "repeat", least.alias("u"), F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"))
     found = at.groupBy("target", "fraction", "repeat").agg(F.count_if(F.col("u") <= F.col("fraction")).alias("cells"))
     curve = found.groupBy("target", "fraction").agg(F.avg("cells").alias("mean"), F.stddev_samp("cells").alias("sd"))
     return curve.withColumn("gain", F.col("mean") - F.lag("mean").over(W.partitionBy("target").orderBy("fraction")))
@@ -100,10 +103,21 @@ def _depths(x: DataFrame, genes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
 
 
 def dropout_poisson(x: DataFrame, genes: Sequence[str]) -> DataFrame:
-    """SAT-06: expected dropout exp(-depth * p) of each gene over cells (mean, median) against the observed share of zeros."""
+    """SAT-06: expected dropout exp(-depth * p) of each gene over cells (mean, median) against the observed share of zeros.
+
+    Cells of equal depth count once, in one histogram of depths for all genes. The median of a monotone function lies at
+    the middle depths, so it needs no row a gene and cell either: two numbers of the histogram are enough.
+    """
     cells, sums = _depths(x, genes)
-    e = cells.crossJoin(F.broadcast(sums)).withColumn("p0", F.exp(-F.col("depth") * F.col("s") / F.col("total")))
-    out = e.groupBy("gene").agg(F.avg("p0").alias("mean"), F.percentile("p0", 0.5).alias("median"), F.first(1 - F.col("seen") / F.col("cells")).alias("observed"))
+    depths = cells.groupBy("depth").agg(F.count("*").alias("k"))
+    run = stats.running(depths, "depth", "k")
+    below, upto, half = F.col("run_k") - F.col("k"), F.col("run_k"), (F.col("all_k") - 1) / 2
+    here = lambda at: F.max(F.when((below <= at) & (at < upto), F.col("depth")))
+    middle = run.agg(here(F.floor(half)).alias("low"), here(F.ceil(half)).alias("high"))  # one row
+    p = F.col("s") / F.col("total")
+    genes_at = sums.crossJoin(F.broadcast(middle)).withColumn("median", (F.exp(-F.col("low") * p) + F.exp(-F.col("high") * p)) / 2)
+    mean = depths.join(F.broadcast(sums.select("gene", p.alias("p")))).groupBy("gene").agg((F.sum(F.col("k") * F.exp(-F.col("depth") * F.col("p"))) / F.sum("k")).alias("mean"))  # asked genes by distinct depths
+    out = genes_at.join(mean, "gene").select("gene", "mean", "median", (1 - F.col("seen") / F.col("cells")).alias("observed"))
     return out.withColumn("verdict", F.when(F.col("observed") > F.col("mean") + 0.05, "more zeros than sampling").otherwise("sampling"))
 
 
@@ -186,12 +200,25 @@ def depth_curve(molecules: DataFrame, steps: int = 8, seed: int = 1) -> DataFram
 
 
 def cell_curves(molecules: DataFrame, fractions: Sequence[float], least: int = 50, seed: int = 1) -> DataFrame:
-    """SAT-16: molecules found at each fraction over cells with enough reads: mean, median, standard error of their share."""
+    """SAT-16: molecules found at each fraction over cells with enough reads: mean, median, standard error of their share, and the mean number.
+
+    A molecule of r reads is found at fraction f with probability 1 - (1 - f)^r.
+    """
     per = molecules.groupBy("cell").agg(F.sum("reads").alias("reads"), F.count("*").alias("umis")).where(F.col("reads") >= least)
     m = molecules.join(per.select("cell", F.col("umis").alias("all")), "cell").select("cell", "umi", "gene", "reads", "all", F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"))
     seen = unit("cell", "umi", "gene", F.lit(seed)) > F.pow(1 - F.col("fraction"), F.col("reads"))
-    cells = m.groupBy("fraction", "cell", "all").agg((F.count_if(seen) / F.col("all")).alias("share"))
-    return cells.groupBy("fraction").agg(F.avg("share").alias("mean"), F.percentile("share", 0.5).alias("median"), (F.stddev_samp("share") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("cells"))
+    cells = m.groupBy("fraction", "cell", "all").agg(F.count_if(seen).alias("n"))
+    share = F.col("n") / F.col("all")
+    return cells.groupBy("fraction").agg(F.avg(share).alias("mean"), F.percentile(share, 0.5).alias("median"), (F.stddev_samp(share) / F.sqrt(F.count("*"))).alias("se"), F.avg("n").alias("mean_umis"), F.count("*").alias("cells"))
+
+
+def curve_end(curves: DataFrame, value: str = "mean_umis") -> DataFrame:
+    """SAT-16: the curve at 90 and at 80 percent of the reads against all of them, and its slope over that last fifth."""
+    at = lambda f: F.max(F.when(F.abs(F.col("fraction") - f) < 1e-9, F.col(value)))
+    last = F.col("fraction") >= 0.8 - 1e-9
+    over = lambda fn, c: fn(F.when(last, F.col(c)))
+    slope = F.try_divide(over(F.max, value) - over(F.min, value), over(F.max, "fraction") - over(F.min, "fraction"))
+    return curves.agg((at(0.9) / at(1.0)).alias("ratio_90"), (at(0.8) / at(1.0)).alias("ratio_80"), slope.alias("slope"))
 
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:

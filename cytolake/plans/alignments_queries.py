@@ -86,13 +86,12 @@ def _(aln):
     return a.drop_sparse_columns(aln, 0.93)
 
 
-@operator("SEQ-11", "fastq", sql="""WITH s AS (SELECT read_id AS seq_id, seq, unnest(range(1, 33)) AS start
-  FROM (SELECT read_id, substr(seq, 1, 32) AS seq FROM fastq)), e AS (SELECT *, unnest(range(6, 61)) AS length FROM s
-  WHERE substr(seq, start, 1) = 'A'),
-m AS (SELECT *, length(replace(substr(seq, start, length), 'A', '')) AS mismatches FROM e WHERE start + length - 1 <= 32 AND substr(seq, start + length - 1, 1) = 'A')
+@operator("SEQ-11", "fastq", sql="""WITH p AS (SELECT read_id AS seq_id, seq, unnest(range(1, length(seq) + 1)) AS pos FROM fastq),
+  a AS (SELECT seq_id, pos, row_number() OVER (PARTITION BY seq_id ORDER BY pos) AS k FROM p WHERE seq[pos] = 'A'),
+  m AS (SELECT a.seq_id, a.pos AS start, b.pos - a.pos + 1 AS length, (b.pos - a.pos) - (b.k - a.k) AS mismatches FROM a JOIN a b ON a.seq_id = b.seq_id AND b.pos >= a.pos + 5)
 SELECT seq_id, start, max(length) AS length, arg_max(mismatches, length) AS mismatches FROM m WHERE mismatches <= 2 GROUP BY 1, 2""")
 def _(fastq):
-    return a.a_rich_regions(fastq.select(F.col("read_id").alias("seq_id"), F.substring("seq", 1, 32).alias("seq")))
+    return a.a_rich_regions(fastq.select(F.col("read_id").alias("seq_id"), "seq"))
 
 
 @operator("SEQ-12", "positions", sql="SELECT w AS window, count(pos) AS n FROM (SELECT unnest(range(0, 12001, 100)) AS w) LEFT JOIN positions ON pos // 100 * 100 = w GROUP BY w")
@@ -110,11 +109,24 @@ def _(reads):
     return a.cluster_reads(reads.select(F.col("file_offset").cast("string").alias("read_id"), "pos", "seq"))
 
 
-@operator("SEQ-15", "positions", sql="""SELECT umi, count(*) AS reads, round_even(avg(pos), 0) AS mean, quantile_cont(pos, 0.5) AS median,
-  max(pos) - min(pos) AS range, stddev_samp(pos) AS sd, count(DISTINCT cell) AS cells, CASE WHEN count(*) >= 10 THEN 'high'
-  WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM positions GROUP BY umi""")
-def _(positions):
-    return a.cluster_consensus(positions, "umi")
+CONSENSUS = """SELECT ub AS umi, count(*) AS reads, round_even(avg(pos), 0) AS mean, quantile_cont(pos, 0.5) AS median,
+  max(pos) - min(pos) AS range, stddev_samp(pos) AS sd, count(DISTINCT cb) AS cells, arg_min(seq, (pos, CAST(file_offset AS VARCHAR))) AS sequence,
+  CASE WHEN count(*) >= 10 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM reads WHERE ub IS NOT NULL GROUP BY 1"""
+
+
+def _sites(reads):
+    return a.cluster_consensus(reads.where("ub IS NOT NULL").select(F.col("ub").alias("umi"), F.col("cb").alias("cell"), "pos", "seq", F.col("file_offset").cast("string").alias("read_id")), "umi")
+
+
+@operator("SEQ-15", "reads", sql=CONSENSUS)
+def _(reads):
+    return _sites(reads)
+
+
+@operator("SEQ-15s", "reads", sql=f"""WITH s AS ({CONSENSUS}) SELECT sum(reads) AS positions, count(*) AS sites, 100 * (1 - count(*) / sum(reads)) AS reduction,
+  count(*) FILTER (reads >= 3) AS confident, count(*) FILTER (cells > 1) AS several_cells, count(*) FILTER (reads >= 3 AND cells > 1) AS both, max(reads) AS largest FROM s""")
+def _(reads):
+    return a.consensus_summary(_sites(reads))
 
 
 @operator("SEQ-16", "positions", sql="SELECT cell, umi, count(*) AS size, dense_rank() OVER (PARTITION BY cell ORDER BY umi) AS \"group\", max(pos) - min(pos) <= 10 AS consistent FROM positions GROUP BY 1, 2")
@@ -122,11 +134,15 @@ def _(positions):
     return a.umi_groups(positions)
 
 
-@operator("SEQ-17", "positions", sql="""WITH c AS (SELECT cell, umi, quantile_cont(pos, 0.5) AS c FROM positions GROUP BY 1, 2)
-  SELECT cell, umi, quantile_cont(pos, 0.5) AS median, count(*) AS reads FROM positions JOIN c USING (cell, umi) WHERE abs(pos - c) <= 10
-  GROUP BY 1, 2""")
-def _(positions):
-    return a.umi_consensus(positions)
+@operator("SEQ-17", "reads", sql="""WITH m AS (SELECT cb AS cell, ub AS umi, pos // 30 * 30 AS pos, left(seq, CAST(20 + pos % 3 AS INT)) AS seq FROM reads WHERE ub IS NOT NULL),
+  c AS (SELECT cell, umi, round_even(quantile_cont(pos, 0.5), 0) AS c FROM m GROUP BY 1, 2),
+  t AS (SELECT cell, umi, pos, seq FROM m JOIN c USING (cell, umi) WHERE pos = c),
+  s AS (SELECT cell, umi, arg_min(seq, (-n, seq)) AS sequence FROM (SELECT cell, umi, seq, count(*) AS n FROM t GROUP BY ALL) GROUP BY 1, 2)
+  SELECT cell, umi, min(pos) AS pos, count(*) AS reads, round_even(quantile_cont(length(seq), 0.5), 0) AS length, any_value(sequence) AS sequence
+  FROM t JOIN s USING (cell, umi) GROUP BY 1, 2""")
+def _(reads):
+    pos = F.floor(F.col("pos") / 30) * 30
+    return a.umi_consensus(reads.select(F.col("cb").alias("cell"), F.col("ub").alias("umi"), pos.alias("pos"), F.left("seq", (20 + F.col("pos") % 3).cast("int")).alias("seq")))
 
 
 @operator("SEQ-18", "positions")

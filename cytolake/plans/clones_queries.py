@@ -128,6 +128,26 @@ def _(counts, cells):
     return k.coherence_summary(_coherent(counts, cells), 0.2)
 
 
+#: A test of each gene and clone, its p made of the counts.
+TESTED = "tested AS (SELECT gene, clone, CAST(sum(n) % 41 AS DOUBLE) / 100 AS p FROM counts JOIN cells USING (cell) GROUP BY gene, clone)"
+
+
+def _tested(counts, cells):
+    return counts.join(cells, "cell").groupBy("gene", "clone").agg(((F.sum("n") % 41).cast("double") / 100).alias("p"))
+
+
+@operator("CL-13g", "counts", "cells", sql=f"""WITH {TESTED} SELECT clone, count(*) AS tested, count(*) FILTER (p < 0.05) AS coherent, count(*) FILTER (p < 0.05) / count(*) AS share,
+  array_to_string(list(gene ORDER BY p, gene)[1:5], ', ') AS top_genes FROM tested GROUP BY clone""")
+def _(counts, cells):
+    return k.coherent_genes(_tested(counts, cells))
+
+
+@operator("CL-13r", "counts", "cells", sql=f"""WITH {TESTED} SELECT gene, count(*) AS tested, count(*) FILTER (p < 0.05) AS coherent, count(*) FILTER (p < 0.05) / count(*) AS share,
+  quantile_cont(p, 0.5) AS median_p FROM tested GROUP BY gene HAVING count(*) >= 3""")
+def _(counts, cells):
+    return k.gene_recurrence(_tested(counts, cells))
+
+
 CL14 = f"""
 SELECT g.gene, g.icc AS global_icc, i.cluster, i.icc
 FROM (WITH {icc()} SELECT * FROM icc) g LEFT JOIN (WITH {icc('cluster')} SELECT * FROM icc) i USING (gene)"""

@@ -127,6 +127,11 @@ def _(m):
     return s.cell_curves(m.groupBy("cell", "umi", "gene").agg(F.sum("reads").alias("reads")), FRACTIONS)
 
 
+@operator("SAT-16s", "molecule_table")
+def _(m):
+    return s.curve_end(s.cell_curves(m.groupBy("cell", "umi", "gene").agg(F.sum("reads").alias("reads")), [0.8, 0.9, 1.0]))
+
+
 @operator("SAT-17", "counts", sql="SELECT n AS value, count(*) AS n, sum(count(*)) OVER (ORDER BY n) / sum(count(*)) OVER () AS share FROM counts GROUP BY counts.n")
 def _(counts):
     return s.ecdf(counts.select(F.col("n").alias("value")), "value")

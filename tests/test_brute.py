@@ -66,6 +66,29 @@ def test_reads_join_the_first_open_seed_of_their_signature(spark):
     assert got == want
 
 
+def test_chains_of_seeds_in_one_signature(spark, monkeypatch):
+    """A run of 4,000 places, of which every second or third is a seed: a dozen rounds, whatever the length."""
+    rng, pos, rows = random.Random(9), 0, []
+    for i in range(4000):
+        pos += rng.choice([1, 2, 3, 5]) if i != 2000 else 40
+        rows.append((f"r{i:04}", pos, "ACGTACGTAC" * 2))
+    rows += [("short", 3, "ACGT"), ("nowhere", None, "ACGTACGTAC" * 2), ("nothing", 5, None)]
+    want, seed = {"short": None, "nowhere": None, "nothing": None}, None
+    for name, at, _ in rows[:4000]:
+        seed = (at, name) if seed is None or at - seed[0] > 5 else seed
+        want[name] = seed[1]
+    written, staged = [], al.staged
+    monkeypatch.setattr(al, "staged", lambda df: written.append(1) or staged(df))
+    got = {r.read_id: r.cluster for r in al.cluster_reads(spark.createDataFrame(rows, "read_id string, pos long, seq string").repartition(3)).collect()}
+    assert got == want and len(set(want.values())) > 1000 and len(written) < 30
+
+
+def test_molecules_take_the_reads_at_their_median(spark):
+    rows = [("c", "u", 10, "AC"), ("c", "u", 10, "AC"), ("c", "u", 10, "ACGT"), ("c", "u", 99, "GG"), ("c", "v", 4, "B"), ("c", "v", 5, "A"), ("c", "w", 1, "TT"), ("c", "w", 1, "AA"), ("", "w", 1, "A"), (None, "w", 1, "A")]
+    got = {r.umi: tuple(r)[2:] for r in al.umi_consensus(spark.createDataFrame(rows, "cell string, umi string, pos long, seq string")).collect()}
+    assert got == {"u": (10, 3, 2, "AC"), "v": (4, 1, 1, "B"), "w": (1, 2, 2, "AA")}
+
+
 def test_best_tail_window(spark):
     rng = random.Random(7)
     rows = [(f"r{i}", i, "".join(rng.choice("AAAC" if rng.random() < 0.7 else "CGT") for _ in range(rng.randint(0, 40)))) for i in range(60)] + [("x", 60, None)]
