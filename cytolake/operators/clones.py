@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cytolake.functions import stats
+from cytolake.operators.neighbours import nearest
+from cytolake.plans.staging import staged
 
 #: Bytes up to which the matrix of all cells by the listed genes is broadcast.
 MATRIX_BYTES = 1 << 26
@@ -332,20 +334,58 @@ def icc_compare(everywhere: DataFrame, inside: DataFrame) -> DataFrame:
     return everywhere.select("gene", F.col("icc").alias("global_icc")).join(inside, "gene", "left")
 
 
-def match_cells(points: DataFrame, detected: DataFrame, least: int = 10, drop: float = 0.05) -> DataFrame:
-    """CL-15: per gene the nearest cell of condition B to each cell of A among cells that show it, where both sides have enough; the farthest share goes.
-
-    Points and detections (cell, gene) meet per gene; for very many cells per gene restrict `detected` to bins first.
-    """
+def _expressing(points: DataFrame, detected: DataFrame, least: int) -> DataFrame:
+    """(gene, cell, condition, embedding) of cells that show a gene which `least` cells of either condition show."""
     d = detected.join(points.select("cell", "condition", "embedding"), "cell")
     ok = d.groupBy("gene").agg(F.count_if(F.col("condition") == "A").alias("a"), F.count_if(F.col("condition") == "B").alias("b")).where((F.col("a") >= least) & (F.col("b") >= least)).select("gene")
-    d = d.join(ok, "gene", "left_semi")
-    side = lambda c, k: d.where(F.col("condition") == c).select("gene", F.col("cell").alias(f"cell_{k}"), F.col("embedding").alias(f"v{k}"))
-    m = side("A", 1).join(side("B", 2), "gene").groupBy("gene", "cell_1").agg(F.min(F.struct(distance("v1", "v2").alias("d"), F.col("cell_2"))).alias("best")).select("gene", "cell_1", "best.cell_2", "best.d")
+    return d.join(ok, "gene", "left_semi").select("gene", "cell", "condition", "embedding")
+
+
+def _side(d: DataFrame, condition: str) -> DataFrame:
+    return d.where(F.col("condition") == condition).select(F.col("gene").alias("grp"), F.col("cell").alias("name"), F.col("embedding").alias("v"))
+
+
+def nearest_cells(points: DataFrame, detected: DataFrame, least: int = 10) -> DataFrame:
+    """CL-15: (gene, cell_1, cell_2, d, compared) per gene and cell of condition A that shows it: the nearest such cell of B, and the cells compared."""
+    d = _expressing(points, detected, least)
+    return nearest(_side(d, "A"), _side(d, "B")).select(F.col("grp").alias("gene"), F.col("query").alias("cell_1"), F.col("target").alias("cell_2"), "d", "compared")
+
+
+def match_cells(points: DataFrame, detected: DataFrame, least: int = 10, drop: float = 0.05) -> DataFrame:
+    """CL-15: per gene the nearest cell of condition B to each cell of A among cells that show it, where both sides have enough; the farthest share goes."""
+    m = staged(nearest_cells(points, detected, least).drop("compared"))
     cut = m.groupBy("gene").agg(F.percentile("d", 1 - drop).alias("cut"))
     return m.join(F.broadcast(cut), "gene").where("d <= cut").drop("cut")
 
 
+def match_distances(points: DataFrame, detected: DataFrame, matched: DataFrame, least: int = 10, most: int = 1000, seed: int = 1) -> DataFrame:
+    """CL-18: (gene, kind, d): distances of matched pairs, of random pairs across conditions, and of each cell of A to the nearest other one.
+
+    Random pairs: the cells of either condition in the order of a seeded hash, one with one, `most` or as many as both have.
+    """
+    d = staged(_expressing(points, detected, least))
+    order = W.partitionBy("gene", "condition").orderBy(F.xxhash64("cell", F.lit(seed)), "cell")
+    drawn = d.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)  # the first of each window, kept before the shuffle
+    one = lambda c, n: drawn.where(F.col("condition") == c).select("gene", "k", F.col("embedding").alias(n))
+    random = one("A", "v1").join(one("B", "v2"), ["gene", "k"]).select("gene", F.lit("random").alias("kind"), distance("v1", "v2").alias("d"))
+    within = nearest(_side(d, "A"), _side(d, "A"), True).select(F.col("grp").alias("gene"), F.lit("within").alias("kind"), "d")
+    return matched.select("gene", F.lit("matched").alias("kind"), "d").unionByName(random).unionByName(within)
+
+
+def match_quality(distances: DataFrame) -> DataFrame:
+    """CL-18: per gene the pairs and median distance of each kind, and the one-sided Kolmogorov-Smirnov test that matched pairs are nearer than random ones."""
+    n = lambda k: F.count_if(F.col("kind") == k)
+    med = lambda k: F.percentile(F.when(F.col("kind") == k, F.col("d")), F.lit(0.5))
+    size = distances.groupBy("gene").agg(*[f(k).alias(f"{name}{k}") for k in ("matched", "random", "within") for f, name in ((n, "n_"), (med, "median_"))])
+    counts = distances.where("kind <> 'within'").groupBy("gene", "d").agg(n("matched").alias("a"), n("random").alias("b")).withColumn("at", F.struct("gene", "d"))
+    run = stats.running(counts, "at", "a", "b").select("gene", "d", "a", "b", "run_a", "run_b")
+    start = run.groupBy("gene").agg(F.min(F.col("run_a") - F.col("a")).alias("a0"), F.min(F.col("run_b") - F.col("b")).alias("b0"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    gap = (F.col("run_a") - F.col("a0")) / F.col("na") - (F.col("run_b") - F.col("b0")) / F.col("nb")
+    ks = run.join(start, "gene").where("na > 0 AND nb > 0").groupBy("gene").agg(F.greatest(F.max(gap), F.lit(0.0)).alias("ks"))
+    effective = F.col("n_matched") * F.col("n_random") / (F.col("n_matched") + F.col("n_random"))
+    return size.join(ks, "gene", "left").withColumn("p", F.exp(-2 * F.col("ks") * F.col("ks") * effective))
+
+
 def pair_categories(pairs: DataFrame, detected: DataFrame) -> DataFrame:
     """CL-16: matched pairs by whether the second gene table shows either cell: both, first, second, neither."""
     seen = detected.select("cell").distinct().withColumn("seen", F.lit(True))

@@ -212,6 +212,22 @@ def _(cells):
     return k.ks_distance(cells, "signal", "cluster", "BUILDING", "MACHINERY")
 
 
+SAMPLES = f"""{MATCH}, e AS (SELECT p.* FROM p JOIN (SELECT gene FROM p GROUP BY 1 HAVING count(*) FILTER (condition = 'A') >= 10 AND count(*) FILTER (condition = 'B') >= 10) USING (gene)),
+  kinds AS (SELECT gene, 'matched' AS kind, d FROM matched UNION ALL SELECT a.gene, 'within', min({DIST}) FROM e a JOIN e b ON a.gene = b.gene AND a.cell <> b.cell WHERE a.condition = 'A' AND b.condition = 'A' GROUP BY a.gene, a.cell)"""
+
+
+@operator("CL-18d", "points", sql=f"WITH {SAMPLES} SELECT * FROM kinds")
+def _(points):
+    mixed, detected = _mixed(points), _detected(points)
+    return k.match_distances(mixed, detected, k.match_cells(mixed, detected)).where("kind <> 'random'")
+
+
+@operator("CL-18q", "points")
+def _(points):
+    mixed, detected = _mixed(points), _detected(points)
+    return k.match_quality(k.match_distances(mixed, detected, k.match_cells(mixed, detected)))
+
+
 @operator("CL-19", "points")
 def _(points):
     return k.match_permutation(_categories(points), 20)
