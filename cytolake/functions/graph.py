@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cytolake.plans.staging import staged
+from cytolake.plans.staging import shared_path, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,14 +41,27 @@ def greedy_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, centre) by the greedy order: by falling n (ties by id) each free node becomes a centre and takes its free neighbours.
 
     nodes has id and n; links (a, na, b) go from the earlier node to the later one, na being the earlier one's n. In
-    each round the nodes without an earlier free neighbour become centres, and their free neighbours join the first of them.
+    each round the nodes without an earlier free neighbour are centres, and their free neighbours are taken. A round
+    writes the nodes taken in it, each once, behind those of the rounds before. Links whose nodes are both left are
+    found by anti-joins and written again only when at most half of them are left, so what is written grows with
+    nodes and links, not with rounds. Who took a node is known at the end alone: the first of all centres beside it.
     """
-    free, done = nodes.select("id"), nodes.select("id", F.col("id").alias("centre")).where(F.lit(False))
-    while not free.isEmpty():
-        live = links.join(free.withColumnRenamed("id", "a"), "a", "left_semi").join(free.withColumnRenamed("id", "b"), "b", "left_semi")
-        blocked = live.select(F.col("b").alias("id")).distinct()
-        centres = staged(free.join(blocked, "id", "left_anti").select("id"))
-        taken = live.join(centres.withColumnRenamed("id", "a"), "a", "left_semi").groupBy("b").agg(F.min_by("a", F.struct(-F.col("na"), F.col("a"))).alias("centre"))
-        done = staged(done.unionByName(centres.withColumn("centre", F.col("id"))).unionByName(taken.select(F.col("b").alias("id"), "centre")))
-        free = staged(free.join(done, "id", "left_anti").select("id"))
-    return done
+    spark = nodes.sparkSession
+    path = shared_path(spark, "taken")
+    base = left = links.select("a", "b")
+    size = count = base.count()
+    taken = None
+    while count:
+        centres = left.select(F.col("a").alias("id")).distinct().join(left.select(F.col("b").alias("id")), "id", "left_anti")
+        found = left.join(centres.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        found.write.mode("append").parquet(path)
+        taken = spark.read.schema(found.schema).parquet(path)
+        left = base.join(taken.withColumnRenamed("id", "a"), "a", "left_anti").join(taken.withColumnRenamed("id", "b"), "b", "left_anti")
+        count = left.count()
+        if 2 * count <= size:
+            base = left = staged(left)
+            size = count
+    if taken is None:
+        return nodes.select("id", F.col("id").alias("centre"))
+    beside = links.join(taken.withColumnRenamed("id", "a"), "a", "left_anti").groupBy(F.col("b").alias("id")).agg(F.min_by("a", F.struct(-F.col("na"), F.col("a"))).alias("centre"))
+    return nodes.select("id").join(beside, "id", "left").select("id", F.coalesce("centre", "id").alias("centre"))

@@ -219,23 +219,43 @@ def edit_distance_histogram(df: DataFrame, column: str, n: int = 5000, seed: int
     return d.withColumn("share", F.col("pairs") / F.sum("pairs").over(W.partitionBy(F.lit(1))))
 
 
-def cluster_barcodes(df: DataFrame, distance: int = 8) -> DataFrame:
-    """BC-15: sphere clusters: by falling count (ties by sequence) each free barcode becomes a centre and takes free neighbours within the edit distance.
-
-    Candidate pairs share one of distance + 1 segments near its place (pigeonhole; a segment may move by as many
-    places as there are edits).
+def near_candidates(values: DataFrame, distance: int) -> DataFrame:
+    """Distinct pairs (short, long), short no longer than long, of values (value) that may be within the edit distance.
+
+    A text of length l is cut into distance + 1 segments of its own length class; of a longer text within the
+    distance at least one of them stands unchanged, near its place. So texts are indexed by (length, segment,
+    text), and each text looks up the segments of the lengths there are from its own down to distance less. A short
+    text makes short segments for its own class alone. Texts of at most `distance` characters have empty
+    segments: they meet all texts of the lengths within reach, as any two such texts are within it.
     """
+    k = distance + 1
+    texts = values.select("value", F.length("value").alias("size"))
+    lengths = sorted(r[0] for r in texts.select("size").distinct().collect())  # lengths there are
+    width = lambda l, i: F.floor(l / k).cast("int") + F.when(i >= k - l % k, 1).otherwise(0)
+    start = lambda l, i: i * F.floor(l / k).cast("int") + F.greatest(F.lit(0), i - (k - l % k))
+    segments = F.explode(F.sequence(F.lit(0), F.lit(distance))).alias("segment")
+    left = texts.select(F.col("value").alias("short"), "size", segments)
+    left = left.withColumn("text", F.substring("short", start(F.col("size"), F.col("segment")) + 1, width(F.col("size"), F.col("segment")))).where((F.col("segment") == 0) | (F.col("text") != ""))
+    there = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+    right = texts.select(F.col("value").alias("long"), F.col("size").alias("own"), F.explode(F.filter(there, lambda n: (n <= F.col("size")) & (n >= F.col("size") - distance))).alias("size"))
+    more = F.col("own") - F.col("size")
+    shifts = F.explode(F.sequence(-F.floor((distance - more) / 2).cast("int"), F.floor((distance + more) / 2).cast("int"))).alias("shift")
+    right = right.select("long", "own", "size", segments).select("*", shifts)
+    at, wide = start(F.col("size"), F.col("segment")) + F.col("shift"), width(F.col("size"), F.col("segment"))
+    right = right.withColumns({"at": at, "wide": wide}).where("at >= 0 AND at + wide <= own AND (wide > 0 OR segment = 0 AND shift = 0)")
+    right = right.select("long", "size", "segment", F.substring("long", F.col("at") + 1, F.col("wide")).alias("text")).distinct()
+    return left.join(right, ["size", "segment", "text"]).where((F.col("size") < F.length("long")) | (F.col("short") < F.col("long"))).select("short", "long").distinct()
+
+
+def cluster_barcodes(df: DataFrame, distance: int = 8) -> DataFrame:
+    """BC-15: sphere clusters: by falling count (ties by sequence) each free barcode becomes a centre and takes free neighbours within the edit distance."""
     counts = staged(df.groupBy("barcode").agg(F.sum("reads").alias("n")))
-    size = counts.agg(F.min(F.length("barcode"))).first()[0] or 0
-    width = max(size // (distance + 1), 1)
-    own = F.transform(F.sequence(F.lit(0), F.lit(distance)), lambda i: F.struct(i.alias("segment"), F.substring(F.col("barcode"), i * width + 1, F.lit(width)).alias("text")))
-    moved = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(distance)), lambda i: F.transform(F.sequence(F.greatest(i * width - distance, F.lit(0)), i * width + distance), lambda at: F.struct(i.alias("segment"), F.substring(F.col("barcode"), at + 1, F.lit(width)).alias("text")))))
-    left = counts.select(F.col("barcode").alias("a"), F.col("n").alias("na"), F.inline(own))
-    right = counts.select(F.col("barcode").alias("b"), F.col("n").alias("nb"), F.inline(F.array_distinct(moved)))
-    larger = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    links = left.join(right, ["segment", "text"]).where(larger).select("a", "na", "b").distinct().where(F.levenshtein("a", "b", distance) >= 0)
-    links = staged(links)
-    return greedy_clusters(counts.withColumnRenamed("barcode", "id"), links).withColumnRenamed("id", "barcode")
+    near = near_candidates(counts.select(F.col("barcode").alias("value")), distance).where(F.levenshtein("short", "long", distance) >= 0)
+    side = lambda name, n: counts.select(F.col("barcode").alias(name), F.col("n").alias(n))
+    pairs = near.join(side("short", "n1"), "short").join(side("long", "n2"), "long")
+    first = (F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("short") < F.col("long")))
+    links = pairs.select(F.when(first, F.col("short")).otherwise(F.col("long")).alias("a"), F.greatest("n1", "n2").alias("na"), F.when(first, F.col("long")).otherwise(F.col("short")).alias("b"))
+    return greedy_clusters(counts.withColumnRenamed("barcode", "id"), staged(links)).withColumnRenamed("id", "barcode")
 
 
 def apply_canonical(df: DataFrame, clusters: DataFrame) -> DataFrame:
