@@ -74,23 +74,51 @@ def has_intron(reads: DataFrame, min_intron: int = 50) -> DataFrame:
     return with_blocks(reads).withColumn("has_intron", F.exists("gaps", lambda g: g["end"] - g["start"] >= min_intron))
 
 
-def region_counts(reads: DataFrame, regions: DataFrame, min_overlap: int = 20, max_broadcast: int = 100_000) -> DataFrame:
-    """RD-09: reads per region, all regions in one pass, by the last aligned block.
+#: Shortest bins of regions, as a power of two.
+LEAST_LEVEL = 7
+
+
+def region_bins(regions: DataFrame) -> DataFrame:
+    """regions by the bins that they meet (chrom, level, bin): a region of up to 2^level bases lies in bins of that width, two at most."""
+    size = F.greatest(F.col("end_pos") - F.col("start_pos"), F.lit(1))
+    level = F.greatest(F.ceil(F.log2(size)).cast("int"), F.lit(LEAST_LEVEL))
+    width = F.pow(F.lit(2.0), "level")
+    return regions.withColumn("level", level).withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_pos") / width), F.floor(F.col("end_pos") / width))))
 
-    Regions are broadcast while they are few; beyond max_broadcast both sides meet on bins of the largest region's length.
+
+def join_regions(blocks: DataFrame, regions: DataFrame, min_overlap: int = 1, max_broadcast: int = 100_000) -> DataFrame:
+    """Blocks (ref, s, e) with each region (target, chrom, start_pos, end_pos) that they meet by min_overlap bases.
+
+    Up to max_broadcast regions are broadcast, the longest first, level by level. Shorter ones beyond these meet the blocks
+    in bins of their own level's width, so a long region makes no wide bins for short ones, and blocks look up
+    the levels that there are.
     """
-    blocks = reads.select("ref", c.last_block(F.col("cigar"), F.col("pos")).alias("b")).select("ref", F.col("b.start").alias("s"), F.col("b.end").alias("e"))
     meets = (F.col("ref") == F.col("chrom")) & (c.overlap(F.col("s"), F.col("e"), F.col("start_pos"), F.col("end_pos")) >= min_overlap)
     if regions.limit(max_broadcast + 1).count() <= max_broadcast:
-        joined = blocks.join(F.broadcast(regions), meets)
-    else:
-        width = regions.agg(F.max(F.col("end_pos") - F.col("start_pos"))).first()[0]
-        bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
-        left = blocks.withColumn("bin", bins(F.col("s"), F.col("e")))
-        right = regions.withColumn("bin", bins(F.col("start_pos"), F.col("end_pos")))
-        first_common = F.floor(F.greatest("s", "start_pos") / width)
-        joined = left.join(right, "bin").where(meets & (F.col("bin") == first_common))
-    return joined.groupBy("target").agg(F.count("*").alias("reads"))
+        return blocks.join(F.broadcast(regions), meets)
+    binned = region_bins(regions)
+    counts = sorted(((r["level"], r["count"]) for r in binned.select("level", *regions.columns).distinct().groupBy("level").count().collect()), reverse=True)  # a row a power of two
+    sent, levels = 0, []
+    for level, n in counts:
+        if levels or sent + n > max_broadcast:
+            levels.append(level)
+        else:
+            sent += n
+    level = F.explode(F.array(*[F.lit(x) for x in levels]))
+    width = F.pow(F.lit(2.0), "level")
+    left = blocks.withColumn("level", level).withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))))
+    right = binned.where(F.col("level").isin(levels)).withColumnRenamed("chrom", "ref").withColumn("chrom", F.col("ref"))
+    near = left.join(right, ["ref", "level", "bin"]).where(meets & (F.col("bin") == F.floor(F.greatest("s", "start_pos") / width))).drop("level", "bin")
+    if not sent:
+        return near
+    long = binned.where(~F.col("level").isin(levels)).select(*regions.columns).distinct()  # max_broadcast rows at most
+    return near.unionByName(blocks.join(F.broadcast(long), meets))
+
+
+def region_counts(reads: DataFrame, regions: DataFrame, min_overlap: int = 20, max_broadcast: int = 100_000) -> DataFrame:
+    """RD-09: reads per region, all regions in one pass, by the last aligned block."""
+    blocks = reads.select("ref", c.last_block(F.col("cigar"), F.col("pos")).alias("b")).select("ref", F.col("b.start").alias("s"), F.col("b.end").alias("e"))
+    return join_regions(blocks, regions, min_overlap, max_broadcast).groupBy("target").agg(F.count("*").alias("reads"))
 
 
 def umi_read_counts(reads: DataFrame, chrom: str, start: int, end: int, flags: Sequence[int] = (25,)) -> DataFrame:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cytolake.functions import stats
-from cytolake.functions.cigar import last_block, overlap
+from cytolake.functions.cigar import last_block
+from cytolake.operators.reads import join_regions
 
 MILLION = 1_000_000
 
@@ -66,10 +67,9 @@ def rarefaction(molecules: DataFrame, fractions: Sequence[float], repeats: int,
 
 def region_umis(reads: DataFrame, regions: DataFrame, min_reads: int, min_umis: int, one_based: bool = True) -> DataFrame:
     """SAT-03: molecules of each region with min_reads reads, of cells with min_umis of them."""
-    start = F.col("start_pos") - (1 if one_based else 0)
     placed = reads.where("cb IS NOT NULL AND ub IS NOT NULL").select("cb", "ub", "ref", last_block(F.col("cigar"), F.col("pos")).alias("b"))
     blocks = placed.select("cb", "ub", "ref", F.col("b.start").alias("s"), F.col("b.end").alias("e"))
-    hit = blocks.join(F.broadcast(regions), (F.col("ref") == F.col("chrom")) & (overlap(F.col("s"), F.col("e"), start, F.col("end_pos")) > 0))
+    hit = join_regions(blocks, regions.withColumn("start_pos", F.col("start_pos") - (1 if one_based else 0)))
     umis = hit.groupBy("target", "cb", "ub").agg(F.count("*").alias("reads")).where(F.col("reads") >= min_reads)
     return umis.withColumn("n", F.count("*").over(W.partitionBy("target", "cb"))).where(F.col("n") >= min_umis).drop("n")
 

@@ -65,7 +65,7 @@ def _(counts, cells):
 
 @operator("EX-08", "counts")
 def _(counts):
-    return x.scale_pca(counts, [f"g{i}" for i in range(20)], 5)
+    return x.scale_pca(counts, [f"g{i}" for i in range(200)], 5)
 
 
 @operator("EX-09", "counts", sql="SELECT cell, " + ", ".join(f"coalesce(max(n) FILTER (gene = '{g}'), 0) AS {g}" for g in ("g1", "g2", "nogene")) + " FROM counts GROUP BY cell")

@@ -14,8 +14,10 @@ from cytolake.streaming import incremental
 
 @operator("SRC-01", "reads", sql=f"WITH {RB} SELECT file_offset FROM rb WHERE ref = 'chr1' AND pos < 5000 AND e1 > 1000")
 def _(reads):
-    end = F.element_at(w.r.c.aligned_blocks(F.col("cigar"), F.col("pos")), -1)["end"]
-    return s.read_region(reads.withColumn("end_pos", end), "chr1", 1000, 5000).select("file_offset")
+    """Reads laid out by reference and position, and a region of them."""
+    path = shared_path(reads.sparkSession, "aligned")
+    w.write_aligned(reads, path)
+    return s.read_aligned(reads.sparkSession, path, "chr1", 1000, 5000).select("file_offset")
 
 
 SAM = "SELECT concat_ws('\t', name, CAST(flag AS STRING), ref, CAST(pos + 1 AS STRING), CAST(mapq AS STRING), cigar, '*', '0', '0', seq, '*', concat('CB:Z:', coalesce(cb, '-')), concat('UR:Z:', ur)) AS value FROM reads"
@@ -75,22 +77,36 @@ def _(molecules, cells):
 
 @operator("SRC-09", "cells", sql="SELECT DISTINCT concat(clone, '-2') AS cell FROM cells")
 def _(cells):
-    return s.clean_cells(cells.select(F.concat("clone", F.lit("-1")).alias("cell")), "-2")
+    path = shared_path(cells.sparkSession, "cells")
+    cells.select(F.concat("clone", F.lit("-1,"), "cluster").alias("value")).write.option("compression", "gzip").text(path)
+    return s.read_cells(cells.sparkSession, path, "-2")
 
 
 @operator("SRC-10", "cells", sql="SELECT cell FROM cells")
 def _(cells):
-    return s.first_field(cells.select(F.concat(F.lit(" "), "cell", F.lit("\t"), "clone").alias("value")))
+    path = shared_path(cells.sparkSession, "whitelist")
+    cells.select(F.concat(F.lit(" "), "cell", F.lit("\t"), "clone").alias("value")).write.text(path)
+    return s.read_whitelist(cells.sparkSession, path)
 
 
-@operator("SRC-11", "regions", sql="SELECT target, 'chr9' AS chrom, CAST(start_pos AS BIGINT) AS start_pos, CAST(end_pos AS BIGINT) AS end_pos FROM regions")
-def _(regions):
-    return s.regions_of(regions.select(F.col("target").alias("Target"), F.col("start_pos").alias("Start"), F.col("end_pos").alias("End")), "chr9")
+EXONS = "SELECT DISTINCT concat(gene, '_', start_pos) AS target, chrom, CAST(start_pos AS BIGINT) AS start_pos, CAST(end_pos AS BIGINT) AS end_pos FROM events_psi"
+
+
+@operator("SRC-11", "events_psi", sql=f"{EXONS} UNION ALL SELECT target, 'chr9' AS chrom, start_pos, end_pos FROM ({EXONS})")
+def _(events):
+    """The exons of events as a region file, read with its own references and with one that overrides them."""
+    path = shared_path(events.sparkSession, "regions")
+    table = events.select(F.concat("gene", F.lit("_"), "start_pos").alias("Target"), F.col("chrom").alias("Chr"), F.col("start_pos").alias("Start"), F.col("end_pos").alias("End")).distinct()
+    w.write_csv(table, path)
+    return s.read_regions(events.sparkSession, path).unionByName(s.read_regions(events.sparkSession, path, "chr9"))
 
 
 @operator("SRC-12", "assay_a", "assay_b", sql="SELECT cell, umi FROM assay_a UNION ALL SELECT cell, umi FROM assay_b")
 def _(a, b):
-    return s.union_common([a.withColumnRenamed("category", "x"), b])
+    path = shared_path(a.sparkSession, "assays")
+    for name, part in (("a", a.withColumnRenamed("category", "x")), ("b", b)):
+        w.write_csv(part, f"{path}/{name}.csv")
+    return s.union_common([s.read_many(a.sparkSession, f"{path}/{name}.csv") for name in "ab"]).select("cell", "umi")
 
 
 @operator("SRC-13", "events_psi", sql="""SELECT o_orderkey AS event_id, gene, CASE WHEN condition = 0 THEN 'RI' ELSE 'SE' END AS event_type, CASE
@@ -116,10 +132,10 @@ def _(mol):
     return back.groupBy("cell").agg(F.count("*").alias("n"), F.sum("read_count").alias("reads"))
 
 
-@operator("SNK-02", "reads", "valid_cells", sql="SELECT cb, count(*) AS reads FROM reads WHERE cb IN (SELECT cell FROM valid_cells WHERE cell < 'c12') GROUP BY cb")
+@operator("SNK-02", "reads", "valid_cells", sql="SELECT cb, count(*) AS reads FROM reads WHERE cb IN (SELECT cell FROM valid_cells) GROUP BY cb")
 def _(reads, cells):
     path = shared_path(reads.sparkSession, "by-cell")
-    w.split_by_cell(reads, cells.where("cell < 'c12'").select(F.col("cell").alias("cb")), path)
+    w.split_by_cell(reads, cells.select(F.col("cell").alias("cb")), path)
     return reads.sparkSession.read.parquet(path).groupBy("cb").agg(F.count("*").alias("reads"))
 
 
@@ -134,7 +150,8 @@ def _(reads):
   WHEN xf NOT IN (17, 25) THEN 'flag' WHEN ref <> 'chr1' OR {ov('g1', 'e1', 1000, 5000)} < 20 THEN 'region'
   ELSE 'kept' END AS reason, count(*) AS reads FROM rb GROUP BY 1""")
 def _(reads):
-    return w.filter_report(reads, (17, 25), "chr1", 1000, 5000)
+    counts = w.write_kept(reads, (17, 25), "chr1", 1000, 5000, shared_path(reads.sparkSession, "kept"))
+    return reads.sparkSession.createDataFrame(list(counts.items()), "reason string, reads long")
 
 
 @operator("SNK-05", "events_psi", sql="""SELECT event_id, k, concat_ws('\t', chrom, 'SE', CASE WHEN k = 0 THEN 'gene' WHEN k < 3 THEN 'mRNA'

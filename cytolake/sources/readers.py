@@ -14,6 +14,17 @@ def read_region(reads: DataFrame, chrom: str, start: int, end: int) -> DataFrame
     return reads.where((F.col("ref") == chrom) & (F.col("pos") < end) & (F.col("end_pos") > start))
 
 
+def read_aligned(spark: SparkSession, path: str, chrom: str, start: int, end: int) -> DataFrame:
+    """SRC-01: reads of a table that writers.write_aligned laid out whose span overlaps the 0-based half-open interval.
+
+    One folder a reference, positions in ranges, and the longest span of each reference beside the reads: so the scan
+    opens one folder and skips row groups on either side by their least and largest position.
+    """
+    longest = spark.read.parquet(f"{path}/spans").where(F.col("ref") == chrom).agg(F.max("span")).first()[0]
+    found = spark.read.parquet(f"{path}/reads").where(F.col("ref") == chrom)
+    return read_region(found.where(F.col("pos") > start - (longest or 0)), chrom, start, end)
+
+
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """SRC-02: every record of SAM text, unmapped ones too: 0-based pos, tags as a map, * as null."""
     f = F.split("value", "\t")

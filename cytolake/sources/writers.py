@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from cytolake.functions.stats import numbered
 from cytolake.operators import reads as r
@@ -20,6 +20,19 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.select(*[flat(n, k) for n, k in df.dtypes]).write.option("header", True).option("sep", sep).csv(path)
 
 
+def write_aligned(reads: DataFrame, path: str) -> None:
+    """SRC-01: reads laid out for region scans: end_pos added, a folder a reference, ranges of positions, sorted; and the longest span of each reference.
+
+    Reads without a place go to the folder of null. Ranges are cut by sampled quantiles of (ref, pos), so a deep
+    reference gets many files.
+    """
+    end = r.c.last_block(F.col("cigar"), F.col("pos"))["end"]
+    placed = reads.withColumn("end_pos", F.coalesce(end, F.col("pos")))
+    placed.repartitionByRange("ref", "pos").sortWithinPartitions("ref", "pos").write.partitionBy("ref").parquet(f"{path}/reads")
+    written = reads.sparkSession.read.parquet(f"{path}/reads")
+    written.groupBy("ref").agg(F.max(F.col("end_pos") - F.col("pos")).alias("span")).coalesce(1).write.parquet(f"{path}/spans")
+
+
 def reads_of_cells(reads: DataFrame, cells: DataFrame) -> DataFrame:
     """SNK-02: reads of the listed cells."""
     return reads.join(cells.select("cb").distinct(), "cb", "left_semi")
@@ -36,12 +49,28 @@ def split_by_isoform(reads: DataFrame, path: str) -> None:
     kinds.sortWithinPartitions("isoform", "ref", "pos").write.partitionBy("isoform").parquet(path)
 
 
+REASONS = ("no cell", "no molecule", "flag", "region", "kept")
+
+
+def write_kept(reads: DataFrame, flags: tuple[int, ...], chrom: str, start: int, end: int, path: str) -> dict[str, int]:
+    """SNK-04: writes the reads that pass, and counts all by reason in the same scan, as observed metrics of the write."""
+    seen = Observation()
+    watched = rejected(reads, flags, chrom, start, end).observe(seen, *[F.count_if(F.col("reason") == x).alias(x) for x in REASONS])
+    watched.where("reason = 'kept'").drop("reason").write.parquet(path)
+    return {x: n for x, n in seen.get.items() if n}
+
+
 def filter_report(reads: DataFrame, flags: tuple[int, ...], chrom: str, start: int, end: int) -> DataFrame:
     """SNK-04: reads by the first test that rejects them: no cell, no molecule, flag, region; else kept."""
+    return rejected(reads, flags, chrom, start, end).groupBy("reason").agg(F.count("*").alias("reads"))
+
+
+def rejected(reads: DataFrame, flags: tuple[int, ...], chrom: str, start: int, end: int) -> DataFrame:
+    """reads with the reason: the first test that rejects it, else kept."""
     over = r.c.overlap(F.col("b.start"), F.col("b.end"), F.lit(start), F.lit(end)) >= 20
-    d = r.with_blocks(reads).withColumn("b", F.try_element_at("blocks", F.lit(-1)))
+    d = reads.withColumn("b", r.c.last_block(F.col("cigar"), F.col("pos")))
     reason = F.when(F.col("cb").isNull(), "no cell").when(F.col("ub").isNull(), "no molecule").when(~F.coalesce(F.col("xf").isin(*flags), F.lit(False)), "flag").when((F.col("ref") != chrom) | ~F.coalesce(over, F.lit(False)), "region").otherwise("kept")
-    return d.groupBy(reason.alias("reason")).agg(F.count("*").alias("reads"))
+    return d.withColumn("reason", reason).drop("b")
 
 
 def events_to_gff3(events: DataFrame) -> DataFrame:
