@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cytolake.functions import stats
+from cytolake.operators import tiles
 from cytolake.operators.neighbours import nearest
 from cytolake.plans.staging import staged
 
@@ -177,10 +178,21 @@ def stability(x: DataFrame, cells: DataFrame, genes: DataFrame, null: DataFrame,
     return z.groupBy("gene_1", "gene_2").agg(F.count_if(F.abs("z") > 1.96).alias("significant"), F.percentile("z", 0.5).alias("median_z"), F.avg("z").alias("mean_z"), F.stddev_samp("z").alias("sd_z"))
 
 
+def _named(points: DataFrame, *columns: str) -> DataFrame:
+    return points.select(*columns, F.col("cell").alias("name"), F.col("embedding").alias("v"))
+
+
 def _within(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean distance of the pairs inside each group."""
-    a, b = points.select(*keys, F.col("cell").alias("c1"), F.col("embedding").alias("v1")), points.select(*keys, F.col("cell").alias("c2"), F.col("embedding").alias("v2"))
-    return a.join(b, list(keys)).where("c1 < c2").groupBy(*keys).agg(F.avg(distance("v1", "v2")).alias("within"), F.count("*").alias("pairs"))
+    """Mean distance of the pairs inside each group, tile by tile."""
+
+    def inside(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
+        d = tiles.distances(tiles.matrix(a), tiles.matrix(b))
+        total, pairs = (d.sum() / 2, len(d) * (len(d) - 1) // 2) if same else (d.sum(), d.size)
+        return pa.table({k: a.column(k).slice(0, 1) for k in keys} | {"total": [float(total)], "pairs": [pairs]})
+
+    kinds = dict(points.dtypes)
+    parts = tiles.square(_named(points, *keys), inside, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", total double, pairs long", keys)
+    return parts.groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs")).where("pairs > 0").select(*keys, (F.col("total") / F.col("pairs")).alias("within"), "pairs")
 
 
 def _random_sets(cells: DataFrame, sizes: DataFrame, n: int, seed: int) -> DataFrame:
@@ -201,11 +213,24 @@ def energy_distance(points: DataFrame, nulls: int = 20, seed: int = 1) -> DataFr
 
 
 def energy_matrix(points: DataFrame, least: int = 10) -> DataFrame:
-    """CL-07: energy distance of each pair of clones with at least `least` cells: twice the mean distance between minus the mean distances inside (all ordered pairs)."""
+    """CL-07: energy distance of each pair of clones with at least `least` cells: twice the mean distance between minus the mean distances inside (all ordered pairs).
+
+    A tile of distances gives one row for each pair of clones in it.
+    """
     large = points.groupBy("clone").agg(F.count("*").alias("size")).where(F.col("size") >= least).select("clone")
-    kept = points.join(F.broadcast(large), "clone", "left_semi")
-    a, b = kept.select(F.col("clone").alias("clone_1"), F.col("embedding").alias("v1")), kept.select(F.col("clone").alias("clone_2"), F.col("embedding").alias("v2"))
-    m = a.join(b, F.col("clone_1") <= F.col("clone_2")).groupBy("clone_1", "clone_2").agg(F.avg(distance("v1", "v2")).alias("d"))
+    kept = points.join(large, "clone", "left_semi")
+
+    def between(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
+        d = tiles.distances(tiles.matrix(a), tiles.matrix(b))
+        (n1, one), (n2, two) = (np.unique(np.array(t.column("clone").to_pylist(), object), return_inverse=True) for t in (a, b))
+        rows, columns = (np.eye(len(n))[at] for n, at in ((n1, one), (n2, two)))
+        total, pairs = rows.T @ d @ columns, np.outer(rows.sum(axis=0), columns.sum(axis=0))
+        first, second = np.repeat(n1, len(n2)), np.tile(n2, len(n1))
+        sides = [(first, second)] if same else [(first, second), (second, first)]
+        return pa.table({"clone_1": np.concatenate([s[0] for s in sides]).tolist(), "clone_2": np.concatenate([s[1] for s in sides]).tolist(), "total": np.tile(total.ravel(), len(sides)), "pairs": np.tile(pairs.ravel(), len(sides)).astype(np.int64)})
+
+    parts = tiles.square(_named(kept, "clone"), between, "clone_1 string, clone_2 string, total double, pairs long").where("clone_1 <= clone_2")
+    m = parts.groupBy("clone_1", "clone_2").agg((F.sum("total") / F.sum("pairs")).alias("d"))
     own = m.where("clone_1 = clone_2")
     return m.where("clone_1 < clone_2").join(own.select("clone_1", F.col("d").alias("d1")), "clone_1").join(own.select("clone_2", F.col("d").alias("d2")), "clone_2").select("clone_1", "clone_2", (2 * F.col("d") - F.col("d1") - F.col("d2")).alias("energy"))
 
@@ -241,15 +266,34 @@ def distance_groups(points: DataFrame, n: int = 2000, seed: int = 1, clone: str
 
 
 def cluster_spread_test(points: DataFrame, permutations: int = 20, seed: int = 1) -> DataFrame:
-    """CL-09: difference of the mean distances inside the two conditions of each cluster, p over dealt labels (+1 rule)."""
-    reps = points.sparkSession.range(permutations + 1).withColumnRenamed("id", "rep")  # rep 0 is the observed labelling
-    d = points.crossJoin(F.broadcast(reps))
+    """CL-09: difference of the mean distances inside the two conditions of each cluster, p over dealt labels (+1 rule).
+
+    Each cell carries its side in all replicates (the observed one first), so a distance is computed once and the sums
+    inside either side of all replicates are one product a tile.
+    """
+    cells = points.select("cell", "cluster", "condition")
+    reps = cells.crossJoin(F.broadcast(points.sparkSession.range(permutations + 1).withColumnRenamed("id", "rep")))  # labels only
     size_a = F.count_if(F.col("condition") == "A").over(W.partitionBy("cluster", "rep"))
     k = F.row_number().over(W.partitionBy("cluster", "rep").orderBy(F.xxhash64("cell", "rep", F.lit(seed)), "cell"))
-    dealt = d.withColumn("side", F.when(F.col("rep") == 0, F.col("condition")).when(k <= size_a, "A").otherwise("B"))
-    w = _within(dealt, ["cluster", "rep", "side"]).groupBy("cluster", "rep").agg((F.max(F.when(F.col("side") == "A", F.col("within"))) - F.max(F.when(F.col("side") == "B", F.col("within")))).alias("d"))
+    side = F.when(F.col("rep") == 0, F.col("condition") == "A").otherwise(k <= size_a)
+    sides = reps.select("cell", "rep", side.cast("double").alias("side")).groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "side"))), lambda x: x["side"]).alias("z"))
+
+    def inside(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
+        d = tiles.distances(tiles.matrix(a), tiles.matrix(b))
+        out = {"cluster": pa.concat_tables([a.select(["cluster"]).slice(0, 1)] * (permutations + 1)).column("cluster"), "rep": pa.array(range(permutations + 1), pa.int64())}
+        for name, flip in (("a", False), ("b", True)):
+            z, y = (1 - tiles.matrix(t, "z") if flip else tiles.matrix(t, "z") for t in (a, b))
+            total, n, m = (z * (d @ y)).sum(axis=0), z.sum(axis=0), y.sum(axis=0)
+            out |= {f"total_{name}": total / 2 if same else total, f"pairs_{name}": n * (n - 1) / 2 if same else n * m}
+        return pa.table(out)
+
+    kind = dict(points.dtypes)["cluster"]
+    parts = tiles.square(_named(points, "cluster").join(sides.withColumnRenamed("cell", "name"), "name"), inside, f"cluster {kind}, rep long, total_a double, pairs_a double, total_b double, pairs_b double", ["cluster"])
+    mean = lambda s: F.try_divide(F.sum(f"total_{s}"), F.sum(f"pairs_{s}"))
+    w = parts.groupBy("cluster", "rep").agg((mean("a") - mean("b")).alias("d"))
     own = w.where("rep = 0").select("cluster", F.col("d").alias("observed"))
-    return own.join(w.where("rep > 0"), "cluster").groupBy("cluster", "observed").agg(((F.count_if(F.abs("d") >= F.abs("observed")) + 1) / (F.count("*") + 1)).alias("p"))
+    least = F.abs("observed") * (1 - 1e-12)  # sums of tiles in another order
+    return own.join(w.where("rep > 0"), "cluster").groupBy("cluster", "observed").agg(((F.count_if(F.abs("d") >= least) + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def clone_purity(cells: DataFrame, pure: float = 0.8) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cytolake.functions import stats
+from cytolake.operators import tiles
 
 
 def qc_cells(x: DataFrame, mito: Column, genes: tuple[int, int] = (200, 3500), umis: int = 20_000, mito_percent: float = 5) -> DataFrame:
@@ -376,30 +377,53 @@ def expressed_any(x: DataFrame, genes: Sequence[str]) -> DataFrame:
     return x.where(F.col("gene").isin(*genes) & (F.col("n") > 0)).select("cell").distinct()
 
 
-def _vectors(points: DataFrame, name: str) -> DataFrame:
-    return points.select(F.col("cell").alias(f"cell_{name}"), F.col("embedding").alias(name))
+def _profiles(points: DataFrame) -> DataFrame:
+    return points.select(F.col("cell").alias("name"), F.col("embedding").alias("v"))
 
 
 def min_js(a: DataFrame, b: DataFrame) -> DataFrame:
-    """EX-31: least Jensen-Shannon divergence (base 2) of each profile of a to those of a small reference set b; profiles are absolute values scaled to sum 1. Spark broadcasts b while it is small and takes blocks of both sides beyond."""
-    share = lambda v: F.transform(v, lambda x: F.abs(x).cast("double") / F.aggregate(v, F.lit(0.0), lambda s, y: s + F.abs(y)))
-    part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
-    js = F.aggregate(F.zip_with(share(F.col("a")), share(F.col("b")), lambda p, q: (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2), F.lit(0.0), lambda s, y: s + y)
-    return _vectors(a, "a").crossJoin(_vectors(b, "b")).groupBy(F.col("cell_a").alias("cell")).agg(F.min(js).alias("js"))
+    """EX-31: least Jensen-Shannon divergence (base 2) of each profile of a to those of b; profiles are absolute values scaled to sum 1."""
 
+    def least(one: pa.Table, two: pa.Table) -> pa.Table:
+        p, q = (np.abs(tiles.matrix(t)) for t in (one, two))
+        p, q = p / p.sum(axis=1, keepdims=True), q / q.sum(axis=1, keepdims=True)
+        entropy = lambda x: -(x * np.log2(np.where(x > 0, x, 1))).sum(axis=-1)
+        js, step = np.full(len(p), np.inf), max(1, tiles.ENTRIES // max(1, q.size))
+        for at in range(0, len(p), step):
+            some = p[at : at + step]
+            js[at : at + step] = (entropy((some[:, None, :] + q[None, :, :]) / 2) - (entropy(some)[:, None] + entropy(q)[None, :]) / 2).min(axis=1)
+        return pa.table({"cell": one.column("name"), "js": np.maximum(js, 0)})
 
-def max_r2(a: DataFrame, b: DataFrame) -> DataFrame:
-    """EX-32: largest squared correlation of each profile of a with those of a small reference set b."""
-    add = lambda v: F.aggregate(v, F.lit(0.0), lambda s, y: s + y)
+    return tiles.cross(_profiles(a), _profiles(b), least, "cell string, js double").groupBy("cell").agg(F.min("js").alias("js"))
 
-    def standard(v: Column) -> Column:
-        mean = add(v) / F.size(v)
-        norm = F.sqrt(add(F.transform(v, lambda x: (x - mean) * (x - mean))))
-        return F.transform(v, lambda x: F.try_divide(x - mean, norm))
 
-    va, vb = (_vectors(d, n).withColumn(n, F.transform(n, lambda x: x.cast("double"))).withColumn(n, standard(F.col(n))) for d, n in ((a, "a"), (b, "b")))
-    r = add(F.zip_with("a", "b", lambda p, q: p * q))
-    return va.crossJoin(vb).groupBy(F.col("cell_a").alias("cell")).agg(F.max(r * r).alias("r2"))
+def _standard(x: np.ndarray) -> np.ndarray:
+    x = x - x.mean(axis=1, keepdims=True)
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, size, out=np.full_like(x, np.nan), where=size > 0)
+
+
+def max_r2(a: DataFrame, b: DataFrame, apart: bool = False) -> DataFrame:
+    """EX-32: largest squared correlation of each profile of a with those of b (constant profiles count for nothing). apart: a cell isn't held against itself."""
+
+    def largest(one: pa.Table, two: pa.Table) -> pa.Table:
+        r2 = (_standard(tiles.matrix(one)) @ _standard(tiles.matrix(two)).T) ** 2
+        if apart:
+            r2[np.array(one.column("name").to_pylist(), object)[:, None] == np.array(two.column("name").to_pylist(), object)[None, :]] = np.nan
+        best = np.where(np.isnan(r2), -1, r2).max(axis=1)
+        return pa.table({"cell": one.column("name"), "r2": pa.array(best, mask=best < 0)})
+
+    return tiles.cross(_profiles(a), _profiles(b), largest, "cell string, r2 double").groupBy("cell").agg(F.max("r2").alias("r2"))
+
+
+def max_r2_null(a: DataFrame, pool: DataFrame, size: int, iterations: int = 5, seed: int = 123) -> DataFrame:
+    """EX-32: (cell, random_r2, iterations): mean over iterations of the largest squared correlation of each profile of a with a random set of `size` of the pool, drawn without replacement by seeded hash."""
+    out = None
+    for i in range(iterations):  # a few sets, each one job over its own tiles
+        drawn = stats.numbered(pool, "_at", F.xxhash64("cell", F.lit(seed), F.lit(i)), "cell").where(F.col("_at") < size).drop("_at")
+        part = max_r2(a, drawn)
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("cell").agg(F.avg("r2").alias("random_r2"), F.count("r2").alias("iterations"))
 
 
 def silhouette(points: DataFrame, label: str) -> DataFrame:

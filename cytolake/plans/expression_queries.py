@@ -276,6 +276,20 @@ def _(points):
     return x.max_r2(points.where("cluster = 0"), points.where("cluster = 1"))
 
 
+@operator("EX-32i", "points", sql="""WITH pair AS (SELECT a.cell, b.cell AS other, unnest(a.embedding) AS p, unnest(b.embedding) AS q FROM points a
+  JOIN points b ON a.cell <> b.cell WHERE a.cluster = 0 AND b.cluster = 0)
+SELECT cell, max(r * r) AS r2 FROM (SELECT cell, other, corr(CAST(p AS DOUBLE), CAST(q AS DOUBLE)) AS r FROM pair GROUP BY 1, 2) GROUP BY cell""")
+def _(points):
+    own = points.where("cluster = 0")
+    return x.max_r2(own, own, apart=True)
+
+
+@operator("EX-32r", "points")
+def _(points):
+    own = points.where("cluster = 0")
+    return x.max_r2_null(own, points.where("cluster > 1"), own.count())
+
+
 SILHOUETTE = """
 WITH e AS (
   SELECT a.cell, a.cluster AS own, b.cluster AS other, count(*) AS n,
