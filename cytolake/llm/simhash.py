@@ -4,17 +4,17 @@ Fingerprints (64 bits over XXH64 of word shingles) link at DISTANCE or fewer dif
 are the connected documents. Work goes in steps, each a Spark job over all fingerprints:
 
 1. Equal fingerprints collapse to one node, named by its smallest doc_id.
-2. Pigeonhole: linked fingerprints agree on some choice of whole bit blocks (BLOCKS), so nodes are grouped by
-   each choice. More nodes take choices of more bits; this changes the size of the groups, never the links.
-3. The groups of a task are sorted by Gray rank into runs under one hierarchical index: each upper node keeps
-   the bits that all fingerprints below it share (mask and pattern), the blocks of a run highest. Every
-   fingerprint goes down from the top, adds up the differences in the bits that become known, and drops a
-   whole node when the sum passes DISTANCE, when a shared block bit differs, or when all below it is already
-   connected with the searching one. All links come from this search.
-4. A group of more than TILE nodes is spread over range partitions of its Gray order and cut into tiles, each
-   searched as above. Then the tiles' shared bits are upper nodes in a table: a fingerprint is sent to a later
-   tile of its group only if the differences allow and the tile isn't already connected with it.
-5. Searches give a spanning forest (at most one edge a row), never all pairs. Components by alternating
+2. All nodes are sorted by Gray rank over range partitions, twice: as they are, and with their halves swapped. Of two
+   linked fingerprints one half or the other differs in HALF bits at most, so it is enough that each order finds
+   the pairs whose leading half does.
+3. Neighbours in Gray order share bits. Each upper node keeps those that all fingerprints below it share (mask and
+   pattern); leaves, partitions and the levels above both are such nodes, in one hierarchy. A fingerprint goes down from
+   the top and adds up its differences in the bits that become known on the way. A whole node is dropped when
+   the sum passes DISTANCE, or the leading half's sum passes HALF; nothing else decides where links are looked for.
+4. The levels above the partitions (a node a partition) are searched where a fingerprint is read, which tells the later
+   partitions that it visits; the levels inside a partition are searched there, by its own rows and by the
+   visitors, some at once. Nodes below which all is already connected with the searching one are dropped as well.
+5. A partition gives a forest of its links (one edge a row at most), never its pairs. Components by alternating
    large-star and small-star steps over the edges, cut by written tables.
 
 Null text and text without words have fingerprint zero and link like any other. doc_id names a document:
@@ -23,23 +23,21 @@ rows that repeat a doc_id are linked through it. No documents give no rows.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cytolake.functions.graph import components
 from cytolake.llm.common import free_name, materialise, text_udf
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: Widths of bit blocks, by the most nodes they serve. Of DISTANCE + k blocks, k agree at least in a linked pair.
-BLOCKS = ((1 << 21, (13, 13, 13, 13, 12)), (1 << 30, (11, 11, 11, 11, 10, 10)), (1 << 63, (10, 9, 9, 9, 9, 9, 9)))
-#: Most nodes of a tile, rows under one index, leaf width and fan-out of the index, and searches that go down at once.
-TILE, CHUNK, LEAF, FAN, AT_ONCE = 2048, 32_768, 8, 8, 512
+#: Differing bits at most in one of two halves of linked fingerprints, and the bits of the leading half.
+HALF, LEADING = DISTANCE // 2, np.uint64(0xFFFFFFFF00000000)
+#: Fingerprints of a partition, leaf width and fan-out of the index, and searches that go down at once.
+ROWS, LEAF, FAN, AT_ONCE = 65_536, 8, 4, 1024
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -76,34 +74,69 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _shared(bits: np.ndarray, mask: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mask and pattern of each run of `width` nodes (bits, mask): what all of the run share."""
+    starts = np.arange(0, len(bits), width)
+    first = np.repeat(bits[starts], np.diff(np.r_[starts, len(bits)]))
+    mask = np.bitwise_and.reduceat(mask & ~(bits ^ first), starts)
+    return mask, bits[starts] & mask
+
+
 class Hierarchy:
-    """Levels of shared bit patterns over fingerprints in Gray order; level 0 has the leaves."""
-
-    def __init__(self, fps: np.ndarray):
-        self.fps = fps
-        n = len(fps)
-        same_as_first = lambda x, starts: np.repeat(x[starts], np.diff(np.r_[starts, len(x)]))
-        starts = np.arange(0, n, LEAF)
-        mask = ~np.bitwise_or.reduceat(fps ^ same_as_first(fps, starts), starts)
-        self.levels = [(mask, fps[starts] & mask)]
+    """Levels of nodes (mask, pattern) in Gray order, the lowest first."""
+
+    def __init__(self, mask: np.ndarray, pattern: np.ndarray):
+        self.levels = [(mask, pattern)]
         while len(self.levels[-1][0]) > FAN:
             mask, pattern = self.levels[-1]
-            starts = np.arange(0, len(mask), FAN)
-            differ = np.bitwise_or.reduceat(pattern ^ same_as_first(pattern, starts), starts)
-            shared = np.bitwise_and.reduceat(mask, starts) & ~differ
-            self.levels.append((shared, pattern[starts] & shared))
+            self.levels.append(_shared(pattern, mask, FAN))
+        #: Nodes visited so far, and those dropped by their sums and as settled.
+        self.visited = self.by_sums = self.by_settled = 0
+
+    @classmethod
+    def of(cls, fps: np.ndarray) -> Hierarchy:
+        """The index over fingerprints in Gray order; its lowest nodes have LEAF of them each."""
+        return cls(*_shared(fps, np.full(len(fps), ~np.uint64(0)), LEAF))
 
     def settled(self, roots: np.ndarray) -> list[np.ndarray]:
-        """Per level the root that all leaves below a node have, or -1."""
+        """Per level the root that all rows below a node have, or -1."""
         out, values, width = [], roots, LEAF
         for _ in self.levels:
             starts = np.arange(0, len(values), width)
             low, high = np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
-            low_ok = np.where(low == high, low, -1)
-            out.append(low_ok)
-            values, width = low_ok, FAN
+            values, width = np.where(low == high, low, -1), FAN
+            out.append(values)
         return out
 
+    def descend(self, fps: np.ndarray, roots: np.ndarray | None = None, settled: list[np.ndarray] | None = None, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(search, lowest node) pairs that the sums of differences leave; with nearest only the child of least sum at each level."""
+        known = np.uint64(0)
+        q, up = np.arange(len(fps)), np.zeros(len(fps), np.int64)
+        total = lead = np.zeros(len(fps), np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            mask, pattern = self.levels[level]
+            width = FAN if level < len(self.levels) - 1 else len(mask)
+            node = (up[:, None] * width + np.arange(width)).ravel()
+            there = node < len(mask)
+            q, node, total, lead = np.repeat(q, width)[there], node[there], np.repeat(total, width)[there], np.repeat(lead, width)[there]
+            known = np.repeat(known, width)[there] if np.ndim(known) else known
+            new = (fps[q] ^ pattern[node]) & mask[node] & ~known
+            total, lead = total + np.bitwise_count(new), lead + np.bitwise_count(new & LEADING)
+            near = (total <= DISTANCE) & (lead <= HALF)
+            self.visited += len(q)
+            self.by_sums += len(q) - int(near.sum())
+            if settled:
+                open_ = settled[level][node] != roots[q]
+                self.by_settled += int((near & ~open_).sum())
+                near &= open_
+            q, up, total, lead = q[near], node[near], total[near], lead[near]
+            if nearest and len(q):
+                order = np.lexsort((total, q))
+                order = order[np.r_[True, np.diff(q[order]) != 0]]
+                q, up, total, lead = q[order], up[order], total[order], lead[order]
+            known = mask[up]
+        return q, up
+
 
 def _roots(parent: np.ndarray) -> np.ndarray:
     while True:
@@ -124,87 +157,52 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _roots(parent)
 
 
-def connect(fps: np.ndarray, group: np.ndarray, block: int, searching: np.ndarray | None = None) -> np.ndarray:
-    """For each row a row that it is connected with through links, the same one for all rows so connected.
-
-    Rows of a group agree on the bits of `block`, and links between groups need not be found (those found are
-    links all the same). searching: marks the rows that search, if not all do.
-    """
-    n = len(fps)
-    order = np.lexsort((gray_rank(fps), group))
-    index = Hierarchy(fps[order])
-    parent = np.arange(n)
-    searches = np.arange(n) if searching is None else np.flatnonzero(searching[order])
-    for begin in range(0, len(searches), AT_ONCE):
-        parent = _search(index, parent, searches[begin : begin + AT_ONCE], np.uint64(block))
-    out = np.empty(n, np.int64)
-    out[order] = order[parent]
-    return out
-
-
-def _search(index: Hierarchy, parent: np.ndarray, searches: np.ndarray, block: np.uint64) -> np.ndarray:
-    fps, settled, top = index.fps, index.settled(parent), len(index.levels) - 1
-    mask, pattern = index.levels[top]
-    q = np.repeat(searches, len(mask))
-    node = np.tile(np.arange(len(mask)), len(searches))
-    new = (fps[q] ^ pattern[node]) & mask[node]
-    sums = np.bitwise_count(new).astype(np.int64)
-    keep = (new & block) == 0
-    for level in range(top, -1, -1):
-        keep &= (sums <= DISTANCE) & (settled[level][node] != parent[q])
-        q, node, sums = q[keep], node[keep], sums[keep]
-        width, below = (FAN, len(index.levels[level - 1][0])) if level else (LEAF, len(fps))
-        child = (node[:, None] * width + np.arange(width)).ravel()
-        q, up, sums = np.repeat(q, width), np.repeat(node, width), np.repeat(sums, width)
-        there = child < below
-        q, up, sums, child = q[there], up[there], sums[there], child[there]
-        unknown = ~index.levels[level][0][up]
-        if level:
-            mask, pattern = index.levels[level - 1]
-            new = (fps[q] ^ pattern[child]) & mask[child] & unknown
-            sums = sums + np.bitwise_count(new)
-            keep = (new & block) == 0
-        else:
-            linked = sums + np.bitwise_count((fps[q] ^ fps[child]) & unknown) <= DISTANCE
-            linked &= parent[q] != parent[child]
-            parent = _union(parent, q[linked], child[linked])
-        node = child
-    return parent
-
-
-def choice_masks(nodes: int) -> list[int]:
-    """The bits that each choice of agreeing blocks keeps, for so many nodes."""
-    widths = next(w for most, w in BLOCKS if nodes <= most)
-    ends = np.cumsum(widths).tolist()
-    blocks = [((1 << w) - 1) << (e - w) for w, e in zip(widths, ends)]
-    return [sum(c) for c in itertools.combinations(blocks, len(widths) - DISTANCE)]
+class Partition:
+    """Fingerprints of a range of the Gray order under their index, and what is connected among them."""
+
+    def __init__(self, ids: np.ndarray, fps: np.ndarray):
+        order = np.argsort(gray_rank(fps))
+        self.ids, self.fps = ids[order], fps[order]
+        self.index, self.parent = Hierarchy.of(self.fps), np.arange(len(fps))
+
+    def _links(self, fps: np.ndarray, roots: np.ndarray, **how) -> tuple[np.ndarray, np.ndarray]:
+        """(search, row) of links in the leaves that the index leaves."""
+        q, leaf = self.index.descend(fps, roots, self.index.settled(self.parent), **how)
+        row = (leaf[:, None] * LEAF + np.arange(LEAF)).ravel()
+        there = row < len(self.fps)
+        q, row = np.repeat(q, LEAF)[there], row[there]
+        linked = np.bitwise_count(fps[q] ^ self.fps[row]) <= DISTANCE
+        return q[linked], row[linked]
+
+    def search_own(self) -> None:
+        for at in range(0, len(self.fps), AT_ONCE):
+            own = np.arange(at, min(at + AT_ONCE, len(self.fps)))
+            q, row = self._links(self.fps[own], self.parent[own])
+            self.parent = _union(self.parent, own[q], row)
+
+    def visit(self, fps: np.ndarray) -> np.ndarray:
+        """For each visitor the root of what it is connected with here, or -1; rows that share visitors get connected."""
+        roots = np.full(len(fps), -2)  # of nothing here
+        q, row = self._links(fps, roots, nearest=True)  # one leaf each, so that what is settled can be dropped below
+        roots[q] = self.parent[row]
+        found_q, found_row = self._links(fps, roots)
+        q, row = np.r_[q, found_q], np.r_[row, found_row]
+        n = len(self.fps)
+        parent = _union(np.r_[self.parent, n + np.arange(len(fps))], n + q, row)
+        self.parent = parent[:n]
+        return np.where(parent[n:] < n, parent[n:], -1)
+
+    def edges(self) -> pa.RecordBatch:
+        return _edges(self.ids, self.ids[self.parent])
 
 
 def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """Columns of rows that come sorted by their first `keys` columns, cut between groups, about CHUNK rows at once."""
-    held: list[list[np.ndarray]] = []
-    size = 0
-    for batch in batches:
-        held.append([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-        size += batch.num_rows
-        if size >= CHUNK:
-            columns = [np.concatenate(c) for c in zip(*held)]
-            differs = np.flatnonzero(np.any([c[:-1] != c[-1] for c in columns[:keys]], axis=0))
-            cut = differs[-1] + 1 if len(differs) else 0
-            if cut:
-                yield [c[:cut] for c in columns]
-            held, size = [[c[cut:] for c in columns]], size - cut
-    if size:
-        yield [np.concatenate(c) for c in zip(*held)]
-
-
-def _edges(ids: np.ndarray, to: np.ndarray) -> pa.RecordBatch:
-    own = to != np.arange(len(to))
-    return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[to[own]])], names=["a", "b"])
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    own = a != b
+    return pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(b[own])], names=["a", "b"])
 
 
 def _gray(fp: Column) -> Column:
@@ -214,69 +212,68 @@ def _gray(fp: Column) -> Column:
     return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, partitions: int | None = None) -> DataFrame:
     """Edges (a, b) between nodes (id, fp), fp distinct, that connect what their links connect."""
-    masks = choice_masks(nodes.count())
-    choices = F.explode(F.array(*[F.struct(F.lit(c).alias("choice"), F.col("fp").bitwiseAND(F.lit(_long(m))).alias("bits")) for c, m in enumerate(masks)]))
-    keyed = nodes.select("id", "fp", choices.alias("key")).select("key.choice", "key.bits", "id", "fp")
-    large = materialise(keyed.groupBy("choice", "bits").count().where(F.col("count") > TILE).drop("count"), "simhash-large")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for choice, bits, ids, fps in _whole_groups(batches, 2):
-            for c in np.unique(choice):
-                at = choice == c
-                yield _edges(ids[at], connect(fps[at].view(np.uint64), bits[at], masks[c]))
-
-    group = ["choice", "bits"]
-    if large.isEmpty():
-        return keyed.repartition(*group).sortWithinPartitions(*group).mapInArrow(search, "a long, b long")
-    small = keyed.join(large, group, "left_anti").repartition(*group).sortWithinPartitions(*group).mapInArrow(search, "a long, b long")
-    return large_links(keyed.join(large, group, "left_semi"), materialise(small, "simhash-small"), masks)
-
-
-def large_links(keyed: DataFrame, edges: DataFrame, masks: list[int]) -> DataFrame:
-    """edges, and those inside the groups of keyed (choice, bits, id, fp), which may be of any size."""
-
-    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cuts rows in Gray order into tiles of one group."""
-        part, first = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            choice, bits, ids, fps = (c.to_numpy().astype(np.int64) for c in batch.columns)
-            begins = np.r_[True, (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])] if len(ids) else np.zeros(0, bool)
-            begins[::TILE] = True
-            number = first + np.cumsum(begins)
-            first = int(number[-1]) if len(ids) else first
-            to = np.arange(len(ids))
-            for c in np.unique(choice):
-                at = np.flatnonzero(choice == c)
-                to[at] = at[connect(fps[at].view(np.uint64), number[at], masks[c])]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (choice, bits, part + number, ids, fps, ids[to])], names=["choice", "bits", "tile", "id", "fp", "root"])
-
-    ranked = keyed.withColumn("gray", _gray(F.col("fp"))).repartitionByRange("choice", "bits", "gray").sortWithinPartitions("choice", "bits", "gray")
-    rows = materialise(ranked.select("choice", "bits", "id", "fp").mapInArrow(tile, "choice long, bits long, tile long, id long, fp long, root long"), "simhash-tiles")
-    edges = edges.unionByName(rows.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    # What is connected so far; a tile is split into its largest component and the rest, each with its shared bits.
-    known = rows.join(components(edges), "id", "left").withColumn("component", F.coalesce("component", "id")).drop("root")
-    known = materialise(known.join(known.groupBy("tile").agg(F.mode("component").alias("most")), "tile").withColumn("main", F.col("component") == F.col("most")).drop("most"), "simhash-known")
-    part = ["tile", "main"]
-    upper = known.groupBy("choice", "bits", *part).agg(F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any"), F.min("component").alias("low"), F.max("component").alias("high"))
-    upper = upper.select("choice", "bits", *part, F.bitwise_not(F.col("all").bitwiseXOR(F.col("any"))).alias("mask"), F.col("all").alias("pattern"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("settled"))
-    differences = F.bit_count(F.col("fp").bitwiseXOR(F.col("pattern")).bitwiseAND(F.col("mask")))
-    asking = known.select("choice", "bits", F.col("tile").alias("from"), "id", "fp", "component").join(upper, ["choice", "bits"])
-    asking = asking.where((F.col("from") < F.col("tile")) & (differences <= DISTANCE) & (F.col("settled").isNull() | (F.col("settled") != F.col("component"))))
-    pair, row = ["choice", "from", *part], ["side", "id", "fp"]
-    asking = materialise(asking.select(*pair, F.lit(1).alias("side"), "id", "fp"), "simhash-asking")
-    asked = asking.select(*pair).distinct().join(known.select(*part, F.lit(0).alias("side"), "id", "fp"), part).select(*pair, *row)
+    spark = nodes.sparkSession
+    partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // ROWS))
+    swapped = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
+    return _ordered_links(nodes.select("id", "fp"), partitions).unionByName(_ordered_links(nodes.select("id", swapped.alias("fp")), partitions))
+
+
+def _ordered_links(nodes: DataFrame, partitions: int) -> DataFrame:
+    """The links whose leading halves differ in HALF bits at most."""
+    ranked = nodes.withColumn("gray", _gray(F.col("fp"))).repartitionByRange(partitions, "gray")
+    rows = materialise(ranked.select("id", "fp", F.spark_partition_id().alias("part"), "gray"), "simhash-ranked")
+    ranges = rows.groupBy("part").agg(F.min("gray").alias("low"), F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any")).orderBy("low").collect()  # a row a partition
+    part = np.array([r["part"] for r in ranges], np.int64)
+    all_, any_ = (np.array([r[c] for r in ranges], np.int64).view(np.uint64) for c in ("all", "any"))
+    place = np.zeros(int(part.max()) + 1 if len(part) else 1, np.int64)
+    place[part] = np.arange(len(part))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each fingerprint's own partition and one for each later one that it visits."""
+        upper = Hierarchy(~(all_ ^ any_), all_)
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(at, AT_ONCE)
+                ids, fps, own = (c.to_numpy() for c in b.columns[:3])
+                q, to = upper.descend(fps.view(np.uint64))
+                later = to > place[own[q]]
+                q, to = q[later], part[to[later]]
+                row, guest = np.r_[np.arange(len(ids)), q], np.r_[np.zeros(len(ids), bool), np.ones(len(q), bool)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[own, to], pa.int32()), pa.array(guest), pa.array(ids[row]), pa.array(fps[row])], names=["part", "guest", "id", "fp"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for choice, tile_from, tile_to, main, side, ids, fps in _whole_groups(batches, 4):
-            group = np.cumsum(np.r_[0, (tile_from[1:] != tile_from[:-1]) | (tile_to[1:] != tile_to[:-1]) | (main[1:] != main[:-1])])
-            for c in np.unique(choice):
-                at = choice == c
-                yield _edges(ids[at], connect(fps[at].view(np.uint64), group[at], masks[c], side[at] == 1))
-
-    both = asking.unionByName(asked).repartition(*pair).sortWithinPartitions(*pair)
-    return edges.unionByName(both.mapInArrow(search, "a long, b long"))
+        """Rows by partition, its own ones first."""
+        now, held, here = None, [], None
+
+        def begin() -> Partition:
+            here = Partition(*(np.concatenate(x) for x in zip(*held)))
+            here.search_own()
+            return here
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(at, AT_ONCE)
+                parts, guests, ids = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
+                fps = b.column(3).to_numpy().view(np.uint64)
+                for p in dict.fromkeys(parts.tolist()):
+                    if p != now:
+                        if held:
+                            yield (here or begin()).edges()
+                        now, held, here = p, [], None
+                    mine, visitors = (parts == p) & ~guests, (parts == p) & guests
+                    if mine.any():
+                        held.append((ids[mine], fps[mine]))
+                    if visitors.any():
+                        here = here or begin()
+                        roots = here.visit(fps[visitors])
+                        yield _edges(ids[visitors][roots >= 0], here.ids[roots[roots >= 0]])
+        if held:
+            yield (here or begin()).edges()
+
+    routed = rows.select("id", "fp", "part").mapInArrow(route, "part int, guest boolean, id long, fp long")
+    return routed.repartition(partitions, "part").sortWithinPartitions("part", "guest").mapInArrow(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -60,41 +60,52 @@ def dense(seed, size, centres=1):
     return sorted(fps | {int(x) for x in rng.integers(0, 2**63, size // 4)})
 
 
-@pytest.mark.parametrize("tile, most", [(8, 1 << 21), (40, 1 << 21), (2048, 1 << 21), (2048, 0)])
-def test_links_of_dense_groups_in_tiles(spark, monkeypatch, tile, most):
-    monkeypatch.setattr(simhash, "TILE", tile)
-    monkeypatch.setattr(simhash, "BLOCKS", ((most, simhash.BLOCKS[0][1]), *simhash.BLOCKS[1:]))
+@pytest.mark.parametrize("partitions", [1, 3, 25])
+def test_links_of_dense_groups_over_partitions(spark, partitions):
     fps = dense(2, 150, 3)
     nodes = spark.createDataFrame([(i, simhash._long(f)) for i, f in enumerate(fps)], "id long, fp long")
-    got = dict(map(tuple, simhash.components(simhash.links(nodes)).collect()))
+    got = dict(map(tuple, simhash.components(simhash.links(nodes, partitions)).collect()))
     want = brute_components(range(len(fps)), fps)
     assert {i: got.get(i, i) for i in want} == want
 
 
-def test_hierarchy_prunes_but_loses_nothing():
+def test_one_order_finds_all_links_of_its_leading_half():
+    """Rows and visitors of a partition: everything with two differing bits at most in the leading half, and no two that aren't linked."""
     rng = np.random.default_rng(4)
     centres = rng.integers(0, 2**63, 20, dtype=np.uint64)
-    fps = np.unique(np.concatenate([centres ^ (np.uint64(1) << rng.integers(0, 64, 20, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 20, dtype=np.uint64)) for _ in range(40)]))
-    got = simhash.connect(fps, np.zeros(len(fps), np.int64), 0)
-    want = brute_components(range(len(fps)), [int(f) for f in fps])
-    assert len(set(want.values())) == len(set(got.tolist())) and all(got[i] == got[c] for i, c in want.items())
-
-
-def test_all_links_come_from_the_search(monkeypatch):
-    fps = np.array(dense(5, 400), np.uint64)
-    group = (fps & np.uint64(3)).astype(np.int64)
-    found = simhash.connect(fps, group, 3)
-    for g in range(4):
-        at = np.flatnonzero(group == g)
-        want = brute_components(at.tolist(), [int(f) for f in fps[at]])
-        assert all(found[i] == found[c] for i, c in want.items())
-    near = lambda a, b: int(fps[a] ^ fps[b]).bit_count() <= 4
-    trees = {r: np.flatnonzero(found == r).tolist() for r in set(found.tolist())}
-    for members in trees.values():  # nothing is tied together without links
-        assert len(set(brute_components(members, [int(fps[m]) for m in members]).values())) == 1
-    assert any(near(a, b) for a in range(40) for b in range(a))
-    monkeypatch.setattr(simhash, "_search", lambda index, parent, searches, block: parent)
-    assert (simhash.connect(fps, group, 3) == np.arange(len(fps))).all()
+    bit = lambda: np.uint64(1) << rng.integers(0, 64, 20, dtype=np.uint64)
+    fps = np.unique(np.concatenate([centres ^ bit() ^ bit() for _ in range(40)]))
+    rng.shuffle(fps)
+    here = simhash.Partition(np.arange(500), fps[:500])
+    here.search_own()
+    visitors = fps[500:]
+    roots = here.visit(visitors)
+    near = np.bitwise_count(visitors[:, None] ^ here.fps[None, :]) <= 4
+    lead = np.bitwise_count((visitors[:, None] ^ here.fps[None, :]) & simhash.LEADING) <= 2
+    final = simhash._roots(here.parent)
+    for v in range(len(visitors)):
+        rows = np.flatnonzero(near[v] & lead[v])
+        assert {final[r] for r in rows} <= {final[roots[v]]} if len(rows) else roots[v] < 0 or near[v].any()
+    labels = brute_components(range(len(fps)), [int(x) for x in np.r_[here.fps, visitors]])
+    assert all(labels[i] == labels[int(r)] for i, r in enumerate(final)) and all(labels[500 + v] == labels[int(r)] for v, r in enumerate(roots) if r >= 0)
+
+
+def test_sums_of_differences_prune_most_of_the_index():
+    """No block has to be equal: of 20,000 unrelated fingerprints, sums alone keep a search away from all but a few leaves."""
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 2**64, 20_000, dtype=np.uint64))
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
+    index = simhash.Hierarchy.of(fps)
+    q, leaf = index.descend(fps[:300])
+    assert len(index.levels) >= 4 and index.by_settled == 0
+    assert index.by_sums > 0.7 * index.visited and len(q) < 0.05 * 300 * len(index.levels[0][0])
+    assert {(i, i // simhash.LEAF) for i in range(300)} <= {*zip(q.tolist(), leaf.tolist())}
+    groups = np.unique(np.concatenate([fps[:40] ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(60)]))
+    here = simhash.Partition(np.arange(len(groups)), groups)
+    here.search_own()
+    before = here.index.by_settled
+    here.search_own()
+    assert here.index.by_settled > before  # what is connected already isn't gone through again
 
 
 BENCH = "the quick brown fox jumps over the lazy dog while seven wizards quietly brew strong tea for nobody at all today"
