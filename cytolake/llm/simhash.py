@@ -36,8 +36,8 @@ from cytolake.llm.common import free_name, materialise, text_udf
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Differing bits at most in one of two halves of linked fingerprints, and the bits of the leading half.
 HALF, LEADING = DISTANCE // 2, np.uint64(0xFFFFFFFF00000000)
-#: Fingerprints of a partition, leaf width and fan-out of the index, and searches that go down at once.
-ROWS, LEAF, FAN, AT_ONCE = 65_536, 8, 4, 1024
+#: Fingerprints of a partition (its rows travel in blocks, so that is a matter of work alone), leaf width and fan-out of the index, and searches that go down at once.
+ROWS, LEAF, FAN, AT_ONCE = 32_768, 8, 4, 1024
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -214,8 +214,7 @@ def _gray(fp: Column) -> Column:
 
 def links(nodes: DataFrame, partitions: int | None = None) -> DataFrame:
     """Edges (a, b) between nodes (id, fp), fp distinct, that connect what their links connect."""
-    spark = nodes.sparkSession
-    partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // ROWS))
+    partitions = partitions or max(1, -(-nodes.count() // ROWS))
     swapped = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
     return _ordered_links(nodes.select("id", "fp"), partitions).unionByName(_ordered_links(nodes.select("id", swapped.alias("fp")), partitions))
 
@@ -231,17 +230,23 @@ def _ordered_links(nodes: DataFrame, partitions: int) -> DataFrame:
     place[part] = np.arange(len(part))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each fingerprint's own partition and one for each later one that it visits."""
+        """For each batch a row for each partition that it has rows in, and one for each later partition that it visits: their ids and fingerprints."""
         upper = Hierarchy(~(all_ ^ any_), all_)
-        for whole in batches:
-            for at in range(0, whole.num_rows, AT_ONCE):
-                b = whole.slice(at, AT_ONCE)
-                ids, fps, own = (c.to_numpy() for c in b.columns[:3])
-                q, to = upper.descend(fps.view(np.uint64))
-                later = to > place[own[q]]
-                q, to = q[later], part[to[later]]
-                row, guest = np.r_[np.arange(len(ids)), q], np.r_[np.zeros(len(ids), bool), np.ones(len(q), bool)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[own, to], pa.int32()), pa.array(guest), pa.array(ids[row]), pa.array(fps[row])], names=["part", "guest", "id", "fp"])
+        for b in batches:
+            ids, fps, own = (c.to_numpy() for c in b.columns)
+            rows, to = [], []
+            for at in range(0, len(ids), AT_ONCE):
+                q, range_ = upper.descend(fps[at : at + AT_ONCE].view(np.uint64))
+                later = range_ > place[own[at + q]]
+                rows.append(at + q[later])
+                to.append(part[range_[later]])
+            for guest, row, target in ((False, np.arange(len(ids)), own), (True, *(np.concatenate(x) for x in (rows, to)))) if len(ids) else ():
+                order = np.argsort(target, kind="stable")
+                row, target = row[order], target[order]
+                starts = np.flatnonzero(np.r_[True, target[1:] != target[:-1]]) if len(row) else np.zeros(0, np.int64)
+                ends = pa.array(np.r_[starts, len(row)], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[row])) for x in (ids, fps)]
+                yield pa.RecordBatch.from_arrays([pa.array(target[starts], pa.int32()), pa.array(np.full(len(starts), guest)), *lists], names=["part", "guest", "ids", "fps"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by partition, its own ones first."""
@@ -252,27 +257,26 @@ def _ordered_links(nodes: DataFrame, partitions: int) -> DataFrame:
             here.search_own()
             return here
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, AT_ONCE):
-                b = whole.slice(at, AT_ONCE)
-                parts, guests, ids = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
-                fps = b.column(3).to_numpy().view(np.uint64)
-                for p in dict.fromkeys(parts.tolist()):
-                    if p != now:
-                        if held:
-                            yield (here or begin()).edges()
-                        now, held, here = p, [], None
-                    mine, visitors = (parts == p) & ~guests, (parts == p) & guests
-                    if mine.any():
-                        held.append((ids[mine], fps[mine]))
-                    if visitors.any():
-                        here = here or begin()
-                        roots = here.visit(fps[visitors])
-                        yield _edges(ids[visitors][roots >= 0], here.ids[roots[roots >= 0]])
+        for b in batches:
+            for k in range(b.num_rows):
+                p, guest = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+                ids, fps = (b.column(c)[k].values.to_numpy() for c in (2, 3))
+                fps = fps.view(np.uint64)
+                if p != now:
+                    if held:
+                        yield (here or begin()).edges()
+                    now, held, here = p, [], None
+                if not guest:
+                    held.append((ids, fps))
+                    continue
+                here = here or begin()
+                for at in range(0, len(ids), AT_ONCE):
+                    roots = here.visit(fps[at : at + AT_ONCE])
+                    yield _edges(ids[at : at + AT_ONCE][roots >= 0], here.ids[roots[roots >= 0]])
         if held:
             yield (here or begin()).edges()
 
-    routed = rows.select("id", "fp", "part").mapInArrow(route, "part int, guest boolean, id long, fp long")
+    routed = rows.select("id", "fp", "part").mapInArrow(route, "part int, guest boolean, ids array<long>, fps array<long>")
     return routed.repartition(partitions, "part").sortWithinPartitions("part", "guest").mapInArrow(search, "a long, b long")
 
 

@@ -98,7 +98,7 @@ def test_sums_of_differences_prune_most_of_the_index():
     index = simhash.Hierarchy.of(fps)
     q, leaf = index.descend(fps[:300])
     assert len(index.levels) >= 4 and index.by_settled == 0
-    assert index.by_sums > 0.7 * index.visited and len(q) < 0.05 * 300 * len(index.levels[0][0])
+    assert index.by_sums > 0.5 * index.visited and len(q) < 0.05 * 300 * len(index.levels[0][0])
     assert {(i, i // simhash.LEAF) for i in range(300)} <= {*zip(q.tolist(), leaf.tolist())}
     groups = np.unique(np.concatenate([fps[:40] ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(60)]))
     here = simhash.Partition(np.arange(len(groups)), groups)
