@@ -10,12 +10,15 @@ Words are lower-cased, digits in them are slots (0), and marks at their edges an
 gathers the graph of distinct (pattern, instance) pairs of the whole corpus, a second one counts all that
 follows patterns of SUPPORT instances or more. Then patterns and instances are scored in turns:
 
-    pattern    share of instances among all that follows it, times the mean worth of its distinct instances,
-               if SUPPORT of them are trusted (worth of CONFIDENCE or more)
+    pattern    share of instances among all that follows it, times T / (T + U + DOUBT * S) if SUPPORT of its distinct
+               instances are trusted (worth of CONFIDENCE or more); T is the worth of all of them, U and S what they
+               lack, S that of instances whose shape (length in eights, kinds of characters) a trusted one has
     instance   1 if a seed, else 1 - product of (1 - score) over its confident patterns
 
-so what the patterns of one turn discover induces the patterns of the next. Patterns of one word need
-ONE_WORD_CONFIDENCE, as fewer words say less. Patterns that are confident after the last turn extract the identifiers that stand in their place, as kind `id`. All such patterns are kept. Up to
+so what the patterns of one turn discover induces the patterns of the next. What nobody knows yet speaks against a
+pattern, but hardly where it looks like what is trusted there, or nothing unseen would ever be found. Patterns of one word need ONE_WORD_CONFIDENCE, as fewer words say less. Patterns that are confident after the
+last turn extract what stands in their place: as kind `secret` what is a seed by its shape, as kind `id` what no
+rule knows. All such patterns are kept. Up to
 BROADCAST_PATTERNS of them are broadcast; beyond that they stay a table, to which what stands in their place is
 joined by a shuffle, with the same result (a bitmap of fixed size only saves rows that would not join).
 
@@ -29,7 +32,7 @@ import bisect
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,10 +43,11 @@ from pyspark.sql.functions import pandas_udf
 
 from cytolake.llm.common import free_name, materialise
 
-KINDS = ("email", "ip", "card", "phone", "id")
+KINDS = ("email", "ip", "card", "phone", "secret", "id")
+SECRET, ID = 4, 5
 SUPPORT, ROUNDS, BROADCAST_PATTERNS, MIN_CHARS = 5, 3, 20_000, 6
-#: Confidence that patterns need, and those of one word.
-CONFIDENCE, ONE_WORD_CONFIDENCE = 0.7, 0.95
+#: Confidence that patterns need, and those of one word; how much an unknown identifier speaks against a pattern.
+CONFIDENCE, ONE_WORD_CONFIDENCE, DOUBT = 0.7, 0.95, 0.03
 #: Bits of the bitmap of a table of patterns, and of a place's end in a pair of places.
 BITMAP, END_BITS = 1 << 24, 32
 #: Words of a pattern above this length stand as their digest.
@@ -193,24 +197,34 @@ def instances(text: str, base: list[Span]) -> Iterator[tuple[int, int, bool, lis
             yield start, end, False, _contexts(words, k - 1, k + 1)
 
 
-def pattern_instances(docs: DataFrame) -> DataFrame:
-    """(pattern, instance, seed, n): the distinct pairs of the corpus, instances by a hash of 64 bits."""
+def _shape(token: str) -> str:
+    """Length in eights and the kinds of characters: letters, digits, and each mark."""
+    return f"{len(token) // 8}" + "".join(sorted({"a" if c.isalpha() else "0" if c.isdigit() else c for c in token}))
+
+
+#: Whether a lower-cased token is a seed by its shape.
+Seeded = Callable[[str], bool]
+
+
+def pattern_instances(docs: DataFrame, seeded: Seeded = _looks_random) -> DataFrame:
+    """(pattern, instance, seed, shape, n): the distinct pairs of the corpus, instances and shapes by a hash of 64 bits."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["pattern", "instance", "seed", "n"]
+        names = ["pattern", "instance", "seed", "shape", "n"]
         for batch in batches:
             held: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 for start, end, base, patterns in instances(text or "", base_spans(text or "")):
                     token = text[start:end].lower()
                     name = xxhash.xxh64_intdigest(token.encode("utf-8", "replace"), 42) - (1 << 63)
-                    seed = base or _looks_random(token)
-                    held.update((p, name, seed) for p in patterns)
-            columns = [*(list(zip(*held)) or [()] * 3), list(held.values())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_(), pa.int64()))], names=names)
+                    seed = base or seeded(token)
+                    shape = xxhash.xxh64_intdigest(_shape(token).encode("utf-8", "replace"), 42) - (1 << 63)
+                    held.update((p, name, seed, shape) for p in patterns)
+            columns = [*(list(zip(*held)) or [()] * 4), list(held.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()))], names=names)
 
-    found = docs.select("text").mapInArrow(pairs, "pattern string, instance long, seed boolean, n long")
-    return found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(pairs, "pattern string, instance long, seed boolean, shape long, n long")
+    return found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.min("shape").alias("shape"), F.sum("n").alias("n"))
 
 
 class _Bitmap:
@@ -289,15 +303,18 @@ def followers(docs: DataFrame, patterns: Patterns) -> DataFrame:
 
 
 def score_patterns(pairs: DataFrame, following: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score) after `rounds` turns over the graph of pairs (pattern, instance, seed, n)."""
+    """(pattern, score) after `rounds` turns over the graph of pairs (pattern, instance, seed, shape, n)."""
     sizes = pairs.groupBy("pattern").agg(F.count("*").alias("size"), F.sum("n").alias("ids")).where(F.col("size") >= SUPPORT)
-    sizes = sizes.join(following, "pattern", "left").select("pattern", "size", (F.col("ids") / F.greatest("ids", F.coalesce("followers", F.lit(0)))).alias("share"))
+    sizes = sizes.join(following, "pattern", "left").select("pattern", (F.col("ids") / F.greatest("ids", F.coalesce("followers", F.lit(0)))).alias("share"))
     # A pattern of a smaller share never reaches CONFIDENCE.
-    graph = materialise(pairs.join(sizes.where(F.col("share") >= CONFIDENCE), "pattern").select("pattern", "instance", "seed", "size", "share"), "pii-graph")
+    graph = materialise(pairs.join(sizes.where(F.col("share") >= CONFIDENCE), "pattern").select("pattern", "instance", "seed", "shape", "share"), "pii-graph")
     worth = graph.where("seed").select("instance", F.lit(1.0).alias("worth")).distinct()
     for turn in range(rounds):
-        means = graph.join(worth, "instance").groupBy("pattern", "size", "share").agg(F.sum("worth").alias("sum"), F.count(F.when(F.col("worth") >= CONFIDENCE, 1)).alias("trusted"))
-        scores = means.where(F.col("trusted") >= SUPPORT).select("pattern", (F.col("share") * F.col("sum") / F.col("size")).alias("score"))
+        known = F.coalesce("worth", F.lit(0.0))
+        shapes = graph.join(worth, "instance", "left").groupBy("pattern", "share", "shape").agg(F.sum(known).alias("sum"), F.sum(1 - known).alias("lack"), F.count_if(known >= CONFIDENCE).alias("trusted"))
+        against = F.sum(F.col("lack") * F.when(F.col("trusted") > 0, DOUBT).otherwise(1.0))
+        sums = shapes.groupBy("pattern", "share").agg(F.sum("sum").alias("sum"), against.alias("against"), F.sum("trusted").alias("trusted"))
+        scores = sums.where(F.col("trusted") >= SUPPORT).select("pattern", (F.col("share") * F.col("sum") / (F.col("sum") + F.col("against"))).alias("score"))
         enough = F.when(F.size(F.split("pattern", " ")) > 2, CONFIDENCE).otherwise(ONE_WORD_CONFIDENCE)
         scores = materialise(scores.where(F.col("score") >= enough), "pii-scores")
         if turn + 1 < rounds:
@@ -306,9 +323,9 @@ def score_patterns(pairs: DataFrame, following: DataFrame, rounds: int = ROUNDS)
     return scores
 
 
-def learn_patterns(docs: DataFrame) -> Patterns:
+def learn_patterns(docs: DataFrame, seeded: Seeded = _looks_random) -> Patterns:
     """Patterns of high confidence: a sorted list, or a table beyond BROADCAST_PATTERNS."""
-    pairs = materialise(pattern_instances(docs), "pii-pairs")
+    pairs = materialise(pattern_instances(docs, seeded), "pii-pairs")
     candidates = _small(materialise(pairs.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= SUPPORT).select("pattern"), "pii-candidates"))
     if isinstance(candidates, list) and not candidates:
         return []
@@ -319,14 +336,16 @@ def learn_patterns(docs: DataFrame) -> Patterns:
 Wanted = frozenset[str] | np.ndarray
 
 
-def all_spans(text: str, wanted: Wanted) -> tuple[list[Span], list[Span]]:
-    """Base spans and discovered spans."""
+def all_spans(text: str, wanted: Wanted, seeded: Seeded = _looks_random) -> tuple[list[Span], list[Span]]:
+    """Base spans, and those that stand in the place of a pattern."""
     base = base_spans(text)
     if not isinstance(wanted, frozenset):
-        return base, [(int(p) >> END_BITS, 4, int(p) & ((1 << END_BITS) - 1)) for p in sorted(wanted)]
-    if not wanted:
-        return base, []
-    return base, [(start, 4, end) for start, end, seed, patterns in instances(text, base) if not seed and not wanted.isdisjoint(patterns)]
+        places = [(int(p) >> END_BITS, int(p) & ((1 << END_BITS) - 1)) for p in sorted(wanted)]
+    elif wanted:
+        places = [(start, end) for start, end, seed, patterns in instances(text, base) if not seed and not wanted.isdisjoint(patterns)]
+    else:
+        places = []
+    return base, [(start, SECRET if seeded(text[start:end].lower()) else ID, end) for start, end in places]
 
 
 def _placed(docs: DataFrame, patterns: Patterns) -> tuple[DataFrame, str]:
@@ -357,13 +376,13 @@ def _placed(docs: DataFrame, patterns: Patterns) -> tuple[DataFrame, str]:
     return joined.withColumn(name, F.coalesce(name, F.array().cast("array<long>"))).drop(digest), name
 
 
-def _report(text: str | None, wanted: Wanted) -> tuple:
-    base, more = all_spans(text or "", wanted)
+def _report(text: str | None, wanted: Wanted, seeded: Seeded) -> tuple:
+    base, more = all_spans(text or "", wanted, seeded)
     kinds = Counter(k for _, k, _ in base)
     return kinds[0], kinds[1], kinds[2], kinds[3], hashlib.sha256(shown(base).encode()).hexdigest(), shown(base + more)
 
 
-def find(docs: DataFrame, patterns: Patterns) -> DataFrame:
+def find(docs: DataFrame, patterns: Patterns, seeded: Seeded = _looks_random) -> DataFrame:
     """doc_id and RESULT of each row of docs."""
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(patterns if isinstance(patterns, list) else ()))
     columns = [x.split()[0] for x in RESULT.split(", ")]
@@ -371,7 +390,7 @@ def find(docs: DataFrame, patterns: Patterns) -> DataFrame:
     @pandas_udf(RESULT)
     def report(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, places in batches:
-            yield pd.DataFrame([_report(t, wanted.value if p is None else p) for t, p in zip(texts, places)], columns=columns, dtype=object)
+            yield pd.DataFrame([_report(t, wanted.value if p is None else p, seeded) for t, p in zip(texts, places)], columns=columns, dtype=object)
 
     placed, name = _placed(docs.select("doc_id", "text"), patterns)
     return placed.select("doc_id", report("text", name).alias("r")).select("doc_id", "r.*")
