@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -80,6 +81,26 @@ class Scanner:
         self.seeds.make_automaton()
         self.fuzzy = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}(?![^ ])") if n.edits else None for n in notices]
 
+    def _matches(self, k: int, text: str, first: int, last: int) -> Iterator:
+        """Matches of a notice in a window, by their places.
+
+        The search for the best match passes over a first letter too many that takes the last edit allowed, so words
+        outside its matches are tried as the start of one as well.
+        """
+        found = list(self.fuzzy[k].finditer(text, first, last))
+        at = first
+        for m in [*found, None]:
+            end = m.start() if m else last
+            while at < end:
+                more = self.fuzzy[k].match(text, at, end)
+                if more and more.end() > at:
+                    yield more
+                    at = more.end()
+                at = text.find(" ", at, end) + 1 or end
+            if m:
+                yield m
+                at = m.end() + 1
+
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, end, notice, edits) over the normalised text, sorted: all exact places, and inexact ones apart from them."""
         exact: set[tuple[int, int, int]] = set()
@@ -107,7 +128,7 @@ class Scanner:
                 else:
                     merged.append([first, last])
             for first, last in merged:
-                for m in self.fuzzy[k].finditer(text, first, last):
+                for m in self._matches(k, text, first, last):
                     near = range(bisect.bisect_left(taken, (m.start() - LONGEST,)), bisect.bisect_left(taken, (m.end(),)))
                     if sum(m.fuzzy_counts) and not any(m.start() < taken[i][1] for i in near):
                         found.append((m.start(), m.end(), k, sum(m.fuzzy_counts)))

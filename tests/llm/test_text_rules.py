@@ -153,6 +153,17 @@ def test_contexts_find_unseen_identifiers_and_leave_other_text_alone(spark):
     assert masked[100] == "reach me at [ID] today" and masked[3] == "some words here reach me at [EMAIL] thanks" and masked[102] is None
 
 
+def test_notices_with_a_letter_too_many_at_either_end():
+    """All edits allowed spent before the first letter, inside, or after the last one; with a letter more it isn't the notice."""
+    for text, label, edits in [(t, x, k) for t, x, k in licenses.BASE + licenses.NOTICES if k]:
+        head, tail = text.split(" ", 1)
+        for k in range(edits + 2):
+            for t in ("z" * k + text, text + "z" * k, head + "z" * k + " " + tail):
+                found = licenses.scan_text(f"under {t}, or so; {t}")[7].split(",")
+                hits = [x for x in found if x.startswith(f"{label}:")]
+                assert len(hits) == (2 if k <= edits else 0) and all(x.endswith(f":{k}") for x in hits), (t, found)
+
+
 def name(i):
     return "".join("abcdefghij"[int(d)] for d in f"{i:05}")
 
