@@ -350,7 +350,9 @@ def coherence(x: DataFrame, cells: DataFrame, genes: DataFrame, nulls: int = 10,
     dev = hit.withColumn("m", mean).groupBy("gene", "clone", "rep", "size", "m").agg(F.sum(F.abs(F.col("n") - F.col("m"))).alias("a"), F.count("*").alias("seen"))
     d = dev.select("gene", "clone", "rep", ((F.col("a") + (F.col("size") - F.col("seen")) * F.col("m")) / F.col("size")).alias("deviation"))
     own = d.where("rep = -1").select("gene", "clone", F.col("deviation").alias("observed"))
-    return own.join(d.where("rep >= 0"), ["gene", "clone"], "left").groupBy("gene", "clone", "observed").agg((F.count_if(F.col("deviation") <= F.col("observed")) / F.greatest(F.count("deviation"), F.lit(1))).alias("p"))
+    # Sets without the gene have no row; they don't deviate at all.
+    held = F.count_if(F.col("deviation") <= F.col("observed") + 1e-12) + nulls - F.count("deviation")
+    return own.join(d.where("rep >= 0"), ["gene", "clone"], "left").groupBy("gene", "clone", "observed").agg((held / nulls).alias("p"))
 
 
 def coherence_summary(coherent: DataFrame, alpha: float = 0.05) -> DataFrame:

@@ -201,24 +201,22 @@ def splice_junctions(reads: DataFrame, min_intron: int = 1000, min_match: int =
     """
     kept = reads if reference is None else reads.where(F.col("ref") == reference)
     # Only reads whose CIGAR has a gap with enough digits are taken apart.
-    kept = kept.where(F.col("cigar").rlike(f"[0-9]{{{len(str(min_intron))},}}N"))
+    kept = kept.where(F.col("cigar").rlike(f"[0-9]{{{len(str(min_intron))},}}N") & F.col("seq").isNotNull())
     # Op i is kinds[i] (an empty text stands first) with sizes[i - 1].
-    kept = kept.withColumn("kinds", F.split("cigar", "[0-9]+")).withColumn("sizes", F.split("cigar", "[MIDNSHPX=]"))
-    kind, size = (lambda i: F.get("kinds", i)), (lambda i: F.get("sizes", i - 1).cast("int"))
-
-    def gap(i: Column) -> Column:
-        long = (kind(i) == "N") & (size(i) >= min_intron) & (F.lit(True) if max_intron is None else size(i) <= max_intron)
-        return long & (kind(i - 1) == "M") & (size(i - 1) >= min_match)
-
-    def before(i: Column, kinds: tuple[str, ...]) -> Column:
-        """Bases that the ops before i consume."""
-        return F.aggregate(F.sequence(F.lit(1), i - 1), F.lit(0), lambda sum, j: sum + F.when(kind(j).isin(*kinds), size(j)).otherwise(0))
-
-    last = F.size("kinds") - 1
-    gaps = F.when((last >= 2) & F.col("seq").isNotNull(), F.filter(F.sequence(F.lit(2), F.greatest(last, F.lit(2))), gap))
-    # Each gap with the bases before it on the reference and in the read; the rest are plain columns.
-    placed = F.transform(gaps, lambda i: F.struct(i.alias("i"), (F.col("pos").cast("int") + before(i, ("M", "D", "N", "=", "X"))).alias("at"), before(i, ("M", "I", "S", "=", "X")).alias("q")))
-    found = kept.select("cb", "ub", "cigar", "ref", "seq", "kinds", "sizes", F.inline(placed))
+    sizes = F.split(F.rtrim(F.translate("cigar", "MIDNSHPX=", " " * 9)), " ").cast("array<int>")
+    kept = kept.withColumn("kinds", F.split("cigar", "[0-9]+")).withColumn("sizes", sizes)
+    kind, size = (lambda i: F.get("kinds", i)), (lambda i: F.get("sizes", i - 1))
+
+    def step(seen: Column, n: Column) -> Column:
+        """One op further: the bases so far on the reference and in the read, and each gap found with those before it."""
+        i, op = seen["i"], kind(seen["i"])
+        gap = (op == "N") & (n >= min_intron) & (F.lit(True) if max_intron is None else n <= max_intron) & (kind(i - 1) == "M") & (size(i - 1) >= min_match)
+        out = F.when(F.coalesce(gap, F.lit(False)), F.array_append(seen["out"], F.struct(i.alias("i"), seen["at"].alias("at"), seen["q"].alias("q")))).otherwise(seen["out"])
+        grown = lambda c, *ops: seen[c] + F.when(op.isin(*ops), n).otherwise(0)
+        return F.struct((i + 1).alias("i"), grown("at", "M", "D", "N", "=", "X").alias("at"), grown("q", "M", "I", "S", "=", "X").alias("q"), out.alias("out"))
+
+    zero = F.struct(F.lit(1).alias("i"), F.col("pos").cast("int").alias("at"), F.lit(0).alias("q"), F.array().cast("array<struct<i:int,at:int,q:int>>").alias("out"))
+    found = kept.select("cb", "ub", "cigar", "ref", "seq", "kinds", "sizes", F.inline(F.aggregate("sizes", zero, step)["out"]))
     i, at = F.col("i"), F.col("at")
     matched = F.coalesce(kind(i + 1) == "M", F.lit(False))
     return found.select(
