@@ -55,14 +55,25 @@ def _upper(products: np.ndarray, genes: Sequence[str]) -> list:
     return [names.take(pa.array(i)), names.take(pa.array(j)), pa.array(products[i, j], pa.float64())]
 
 
+def _rank_vectors(differences: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, pair, gene, r): each pair's ordinal ranks of all genes (sorted), among the pairs of its keys; ties by pair."""
+    ranked = differences.select(*keys, "pair", "gene", F.row_number().over(W.partitionBy(*keys, "gene").orderBy("d", "pair")).alias("r"))
+    return ranked.groupBy(*keys, "pair").agg(F.sort_array(F.collect_list(F.struct("gene", "r"))).alias("v")).select(*keys, "pair", "v.gene", "v.r")
+
+
+def _block_products(blocks: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, gene_1, gene_2, rho) from sums over blocks of pairs: products of ranks, ranks of both genes, and pairs."""
+    s = blocks.groupBy(*keys, "gene_1", "gene_2").agg(*[F.sum(c).alias(c) for c in ("product", "sums", "n")])
+    mean, n = (F.col("n") + 1) / 2.0, F.col("n").cast("double")
+    return s.select(*keys, "gene_1", "gene_2", F.try_divide(F.col("product") - mean * F.col("sums") + n * mean * mean, n * (n * n - 1) / 12.0).alias("rho"))
+
+
 def delta_correlation(differences: DataFrame) -> DataFrame:
     """CL-02: rank correlation of every gene pair over cell-pair differences; ordinal ranks, ties by pair.
 
-    Every pair has a row for every gene. Pairs become dense vectors of centred ranks, each task multiplies its block
+    Every pair has a row for every gene. Pairs become dense vectors of ranks, each task multiplies its block
     of vectors, and the products of the blocks are added up: one row a gene pair and task is shuffled.
     """
-    ranked = differences.select("pair", "gene", F.row_number().over(W.partitionBy("gene").orderBy("d", "pair")).alias("r"))
-    vectors = ranked.groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("gene", "r"))).alias("v")).select("v.gene", "v.r")
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         genes, total, n = [], None, 0
@@ -77,10 +88,27 @@ def delta_correlation(differences: DataFrame) -> DataFrame:
             size = len(genes)
             yield pa.RecordBatch.from_arrays([*_upper(total, genes), _upper(shift, genes)[2], pa.array(np.full(size * (size - 1) // 2, n))], names=["gene_1", "gene_2", "product", "sums", "n"])
 
-    blocks = vectors.mapInArrow(products, "gene_1 string, gene_2 string, product double, sums double, n long")
-    s = blocks.groupBy("gene_1", "gene_2").agg(*[F.sum(c).alias(c) for c in ("product", "sums", "n")])
-    mean, n = (F.col("n") + 1) / 2.0, F.col("n").cast("double")
-    return s.select("gene_1", "gene_2", F.try_divide(F.col("product") - mean * F.col("sums") + n * mean * mean, n * (n * n - 1) / 12.0).alias("rho"))
+    return _block_products(_rank_vectors(differences).select("gene", "r").mapInArrow(products, "gene_1 string, gene_2 string, product double, sums double, n long"))
+
+
+#: Pairs of a block of one pairing in CL-05.
+PAIRING_ROWS = 16_384
+
+
+def pairing_correlations(differences: DataFrame, key: str, rows: int = PAIRING_ROWS) -> DataFrame:
+    """CL-05: the correlations of CL-02 for each pairing (a long column, key): blocks of about `rows` of its pairs are multiplied apart, so a pairing of any size is many tasks."""
+    blocks = max(1, -(-differences.select("pair").distinct().count() // rows))
+
+    def products(table: pa.Table) -> pa.Table:
+        genes = table.column("gene")[0].as_py()
+        r = table.column("r").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).astype(float)
+        sums = r.sum(axis=0)
+        first, second, product = _upper(r.T @ r, genes)
+        size = len(first)
+        return pa.table({key: np.full(size, table.column(key)[0].as_py()), "gene_1": first, "gene_2": second, "product": product, "sums": _upper(sums[:, None] + sums[None, :], genes)[2], "n": np.full(size, table.num_rows)})
+
+    vectors = _rank_vectors(differences, key).withColumn("block", F.pmod(F.xxhash64("pair"), F.lit(blocks)))
+    return _block_products(vectors.groupBy(key, "block").applyInArrow(products, f"{key} long, gene_1 string, gene_2 string, product double, sums double, n long"), key)
 
 
 def numbered(cells: DataFrame) -> tuple[DataFrame, int]:
@@ -164,16 +192,8 @@ def stability(x: DataFrame, cells: DataFrame, genes: DataFrame, null: DataFrame,
     two = reps.select("seed", clone, "cell", k.alias("k")).where("k <= 2").groupBy("seed", clone).agg(F.max(F.when(F.col("k") == 1, F.col("cell"))).alias("cell_1"), F.max(F.when(F.col("k") == 2, F.col("cell"))).alias("cell_2")).where("cell_2 IS NOT NULL")
     value = lambda c, n: x.select(F.col("cell").alias(c), "gene", F.col("n").alias(n))
     grid = two.crossJoin(F.broadcast(genes.select("gene").distinct()))
-    d = grid.join(value("cell_1", "n1"), ["cell_1", "gene"], "left").join(value("cell_2", "n2"), ["cell_2", "gene"], "left").na.fill(0, ["n1", "n2"]).withColumn("d", F.col("n1") - F.col("n2"))
-    vectors = d.groupBy("seed", clone).agg(F.sort_array(F.collect_list(F.struct("gene", F.col("d").cast("double").alias("d")))).alias("v")).select("seed", clone, "v.gene", "v.d")
-
-    def correlate(pairs: pd.DataFrame) -> pd.DataFrame:
-        """One pairing: a row a clone."""
-        pairs = pairs.sort_values(clone)
-        first, second, rho = _upper(_rank_products(np.stack(pairs["d"].to_list())), pairs["gene"].iat[0])
-        return pd.DataFrame({"seed": pairs["seed"].iat[0], "gene_1": first.to_pandas(), "gene_2": second.to_pandas(), "rho": rho.to_numpy()})
-
-    rho = vectors.groupBy("seed").applyInPandas(correlate, "seed long, gene_1 string, gene_2 string, rho double")
+    d = grid.join(value("cell_1", "n1"), ["cell_1", "gene"], "left").join(value("cell_2", "n2"), ["cell_2", "gene"], "left").na.fill(0, ["n1", "n2"])
+    rho = pairing_correlations(d.select("seed", F.col(clone).alias("pair"), "gene", (F.col("n1") - F.col("n2")).alias("d")), "seed")
     z = rho.join(null, ["gene_1", "gene_2"]).withColumn("z", F.coalesce(F.try_divide(F.col("rho") - F.col("mean"), F.col("sd")), F.lit(0.0)))
     return z.groupBy("gene_1", "gene_2").agg(F.count_if(F.abs("z") > 1.96).alias("significant"), F.percentile("z", 0.5).alias("median_z"), F.avg("z").alias("mean_z"), F.stddev_samp("z").alias("sd_z"))
 

@@ -149,3 +149,31 @@ def test_swapped_sides_of_matched_pairs(spark):
         observed = sum(v for *_, v in odd)
         null = [sum(v * (1 if h[a, b, i] == 0 else -1) for a, b, v in odd) for i in range(20)]
         assert r.observed == observed and r.p == pytest.approx((sum(abs(d) >= abs(observed) for d in null) + 1) / 21)
+
+
+def test_stability_over_pairings_in_blocks(spark, monkeypatch):
+    rng = random.Random(7)
+    cells = [(f"c{i:02}", f"k{i % 9}") for i in range(40)]
+    counts = {(c, g): rng.randint(0, 6) for c, _ in cells for g in "xyz"}
+    df = spark.createDataFrame(cells, "cell string, clone string")
+    x = spark.createDataFrame([(*k, n) for k, n in counts.items() if n], "cell string, gene string, n long")
+    null = {("x", "y"): (0.1, 0.3), ("x", "z"): (-0.1, 0.2), ("y", "z"): (0.0, 0.0)}
+    h = numbers(df.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("seed")), F.xxhash64("cell", "seed"), "cell", "seed")
+    z = {k: [] for k in null}
+    for seed in range(5):
+        pairs = [sorted((c for c, j in cells if j == k), key=lambda c: (h[c, seed], c))[:2] for k in sorted({k for _, k in cells})]
+        ranks = {}
+        for g in "xyz":
+            d = [counts[a, g] - counts[b, g] for a, b in pairs]
+            order = sorted(range(len(d)), key=lambda i: (d[i], i))
+            ranks[g] = [order.index(i) for i in range(len(d))]
+        for (a, b), (mean, sd) in null.items():
+            z[a, b].append((np.corrcoef(ranks[a], ranks[b])[0, 1] - mean) / sd if sd else 0.0)
+    known = spark.createDataFrame([(*k, *v) for k, v in null.items()], "gene_1 string, gene_2 string, mean double, sd double")
+    for rows in (4, 100):
+        plain = clones.pairing_correlations
+        with monkeypatch.context() as m:
+            m.setattr(clones, "pairing_correlations", lambda d, key, rows=rows: plain(d, key, rows))
+            got = {(r.gene_1, r.gene_2): r for r in clones.stability(x, df, x.select("gene"), known, 5).collect()}
+        for k, v in z.items():
+            assert (got[k].significant, got[k].median_z, got[k].mean_z, got[k].sd_z) == pytest.approx((sum(abs(i) > 1.96 for i in v), statistics.median(v), statistics.mean(v), statistics.stdev(v)), abs=1e-9)
