@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cytolake.llm.common import materialise, new_path
 
 MIN_BYTES = 100
-#: Records of one archive file at most: readers take a file at a time.
-FILE_RECORDS = 2_000
+#: Records and payload bytes of one archive file at most, but for a single longer page: readers take a file at a time.
+FILE_RECORDS, FILE_BYTES = 2_000, 1 << 29
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -83,8 +83,16 @@ def records(pages: DataFrame, revisits: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str) -> None:
+    """Archives under path. Pages go by classes of their size, longer ones with fewer records a file, so files stay bounded in bytes."""
     revisits = materialise(resolve(headers(pages)), "warc-revisits")
-    records(pages, revisits).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    longest = pages.agg(F.max(size)).first()[0] or 0
+    least, most = -1, FILE_BYTES // FILE_RECORDS
+    while least < longest or least < 0:
+        few = pages.where((size > least) & (size <= most)) if least >= 0 or most < longest else pages
+        out = records(few, revisits).write.mode("append").option("compression", "gzip").option("lineSep", "\n")
+        out.option("maxRecordsPerFile", max(1, FILE_BYTES // most)).text(path)
+        least, most = most, 16 * most
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n")

@@ -283,3 +283,16 @@ def test_pipeline_applies_learned_rules(spark, tmp_path):
     labels = [(i, i % 2, 0) for i in range(160)]
     folder = written(spark, tmp_path / "rules", documents=docs, labels=labels)
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == {i for i in range(240) if i % 2}
+
+
+def test_archives_of_long_pages_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", 10)
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    pages = [(i, f"http://h/{i}", "x" * n + str(i % 7)) for i, n in enumerate([50] * 40 + [1_900] * 12 + [9_000] * 9 + [70_000] * 3)] + [(100, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    path = warc.new_path(spark, "long")
+    warc.write(df, path)
+    sizes = [(len(records), sum(len(warc.http_payload(b)[1]) for _, b in records)) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect() if (records := list(warc.parse(gzip.open(io.BytesIO(r.content)))))]
+    assert sum(n for n, _ in sizes) == len(pages) and all(n <= 10 and (n == 1 or size <= 20_000) for n, size in sizes)
+    found = {r.page_id: r.payload_bytes for r in warc.resolved(warc.read(spark, path)).collect()}
+    assert found == {i: len(h or "") for i, _, h in pages}
