@@ -292,9 +292,10 @@ def colocate(a: DataFrame, b: DataFrame, radius: int, least: int = 3) -> DataFra
     right = b.join(enough, "fov", "left_semi").select("fov", F.col("y").alias("y2"), F.col("x").alias("x2")).distinct().withColumn("gy", around("y2")).withColumn("gx", around("x2"))
     d2 = (F.col("y1") - F.col("y2")) * (F.col("y1") - F.col("y2")) + (F.col("x1") - F.col("x2")) * (F.col("x1") - F.col("x2"))
     near = left.join(right, ["fov", "gy", "gx"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-    best1 = F.row_number().over(W.partitionBy("fov", "y1", "x1").orderBy("d2", "y2", "x2"))
-    best2 = F.row_number().over(W.partitionBy("fov", "y2", "x2").orderBy("d2", "y1", "x1"))
-    return near.withColumn("k1", best1).withColumn("k2", best2).where("k1 = 1 AND k2 = 1").select("fov", "y1", "x1", "y2", "x2", "d2")
+    # All pairs of a left spot meet in its own cell, so its nearest one needs no further shuffle; both sides are reduced before any.
+    best1 = near.groupBy("fov", "gy", "gx", "y1", "x1").agg(F.min(F.struct("d2", "y2", "x2")).alias("b")).select("fov", "y1", "x1", "b.*")
+    best2 = near.groupBy("fov", "y2", "x2").agg(F.min(F.struct("d2", "y1", "x1")).alias("b")).select("fov", "y2", "x2", "b.y1", "b.x1")
+    return best1.join(best2, ["fov", "y1", "x1", "y2", "x2"]).select("fov", "y1", "x1", "y2", "x2", "d2")
 
 
 def spot_class(nef: DataFrame, env: DataFrame, pol: DataFrame) -> DataFrame:
