@@ -372,28 +372,28 @@ def _(fastq):
 #: Reads as mates: odd lines first mates, with strands, proper pairs and unmapped ones.
 MATES = """SELECT name, ref, pos, mapq, seq, file_offset, CAST(1 + CASE WHEN nh % 2 = 1 THEN 64 ELSE 128 END + CASE WHEN pos % 3 > 0 THEN 2 ELSE 0 END
   + CASE WHEN mapq % 2 = 0 THEN 16 ELSE 0 END + CASE WHEN mapq % 29 = 0 THEN 4 ELSE 0 END + CASE WHEN nh = 7 THEN 256 ELSE 0 END AS INT) AS flag FROM reads"""
-PAIRS = f"""m AS (SELECT *, CASE WHEN flag & 64 > 0 THEN 1 ELSE 2 END AS mate FROM ({MATES}) WHERE flag & 4 = 0),
+MATE_PAIRS = f"""m AS (SELECT *, CASE WHEN flag & 64 > 0 THEN 1 ELSE 2 END AS mate FROM ({MATES}) WHERE flag & 4 = 0),
 l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, mate ORDER BY file_offset DESC) AS k FROM m) WHERE k = 1),
 pairs AS (SELECT a.name, a.ref AS ref_1, a.pos AS pos_1, a.mapq AS mapq_1, length(a.seq) AS length_1, a.flag & 16 > 0 AS reverse_1, b.ref AS ref_2, b.pos AS pos_2, b.mapq AS mapq_2,
   length(b.seq) AS length_2, b.flag & 16 > 0 AS reverse_2, a.flag & 2 > 0 AND b.flag & 2 > 0 AS proper, a.ref = b.ref AS same_ref, CASE WHEN a.ref = b.ref THEN abs(a.pos - b.pos) END AS distance
   FROM l a JOIN l b ON a.name = b.name AND a.mate = 1 AND b.mate = 2 WHERE a.flag & 256 = 0 AND b.flag & 256 = 0)"""
 
 
-def _pairs(reads):
+def _mate_pairs(reads):
     return r.pair_reads(reads.sparkSession.sql(MATES.replace("FROM reads", "FROM {reads}"), reads=reads))
 
 
-@operator("RD-49", "reads", sql=f"WITH {PAIRS} SELECT * FROM pairs")
+@operator("RD-49", "reads", sql=f"WITH {MATE_PAIRS} SELECT * FROM pairs")
 def _(reads):
-    return _pairs(reads)
+    return _mate_pairs(reads)
 
 
-@operator("RD-49s", "reads", sql=f"""WITH {PAIRS} SELECT count(*) AS pairs, count(*) FILTER (proper) AS proper, avg(CAST(proper AS INT)) AS proper_share, count(*) FILTER (same_ref) AS same_ref,
+@operator("RD-49s", "reads", sql=f"""WITH {MATE_PAIRS} SELECT count(*) AS pairs, count(*) FILTER (proper) AS proper, avg(CAST(proper AS INT)) AS proper_share, count(*) FILTER (same_ref) AS same_ref,
   avg(CAST(same_ref AS INT)) AS same_ref_share, count(*) FILTER (reverse_1 = reverse_2) AS same_strand, avg(CAST(reverse_1 = reverse_2 AS INT)) AS same_strand_share, avg(mapq_1) AS mapq_1, avg(mapq_2) AS mapq_2,
   avg(length_1) AS length_1, avg(length_2) AS length_2, count(DISTINCT ref_1) AS refs_1, count(DISTINCT ref_2) AS refs_2, avg(distance) AS mean_distance, quantile_cont(distance, 0.5) AS median_distance,
   min(distance) AS min_distance, max(distance) AS max_distance, count(*) FILTER (distance <= 1000) AS within_1000 FROM pairs""")
 def _(reads):
-    return r.pair_summary(_pairs(reads))
+    return r.pair_summary(_mate_pairs(reads))
 
 
 TAIL = """t AS (SELECT *, left(seq, length(seq) - 28) AS body, right(seq, 16) AS cell, left(right(seq, 28), 12) AS umi FROM reads WHERE length(seq) >= 28),
