@@ -464,7 +464,7 @@ def pair_reads(reads: DataFrame) -> DataFrame:
     return pairs.select("name", *sides, (F.col("m1.proper") & F.col("m2.proper")).alias("proper"), same.alias("same_ref"), F.when(same, F.abs(F.col("m1.pos") - F.col("m2.pos"))).alias("distance"))
 
 
-def pair_summary(pairs: DataFrame) -> DataFrame:
+def mate_summary(pairs: DataFrame) -> DataFrame:
     """RD-49: pairs, proper ones, those on one reference and on one strand, qualities, lengths and distances of both mates."""
     strand = F.col("reverse_1") == F.col("reverse_2")
     share = lambda c: F.avg(c.cast("double"))

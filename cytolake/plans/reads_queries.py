@@ -393,7 +393,7 @@ def _(reads):
   avg(length_1) AS length_1, avg(length_2) AS length_2, count(DISTINCT ref_1) AS refs_1, count(DISTINCT ref_2) AS refs_2, avg(distance) AS mean_distance, quantile_cont(distance, 0.5) AS median_distance,
   min(distance) AS min_distance, max(distance) AS max_distance, count(*) FILTER (distance <= 1000) AS within_1000 FROM pairs""")
 def _(reads):
-    return r.pair_summary(_mate_pairs(reads))
+    return r.mate_summary(_mate_pairs(reads))
 
 
 TAIL = """t AS (SELECT *, left(seq, length(seq) - 28) AS body, right(seq, 16) AS cell, left(right(seq, 28), 12) AS umi FROM reads WHERE length(seq) >= 28),
