@@ -7,6 +7,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cytolake.functions import stats
 from cytolake.functions.graph import greedy_clusters
 from cytolake.plans.staging import staged
 
@@ -230,7 +231,7 @@ def interval_counts(positions: DataFrame, marks: Sequence[int]) -> DataFrame:
 
 def distance_trend(bins: DataFrame) -> DataFrame:
     """SEQ-21: correlation of bin and log2 ratio."""
-    return bins.agg(F.corr("bin", "log2_ratio").alias("r"))
+    return bins.agg(stats.correlation("bin", "log2_ratio").alias("r"))
 
 
 def find_exons(events: DataFrame, targets: DataFrame) -> DataFrame:

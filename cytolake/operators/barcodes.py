@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cytolake.functions import stats
 from cytolake.functions.cigar import reverse_complement
 from cytolake.functions.graph import greedy_clusters
 from cytolake.plans.staging import staged
@@ -314,7 +315,7 @@ def library_overlap(a: DataFrame, b: DataFrame, thresholds: Sequence[int] = rang
 
 def abundance_r2(a: DataFrame, b: DataFrame) -> DataFrame:
     """BC-23: squared correlation of abundances of shared barcodes."""
-    r = F.corr("na", "nb")
+    r = stats.correlation("na", "nb")
     return a.select("barcode", F.col("n").alias("na")).join(b.select("barcode", F.col("n").alias("nb")), "barcode").agg(F.count("*").alias("n"), (r * r).alias("r2"))
 
 

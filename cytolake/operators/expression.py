@@ -283,15 +283,15 @@ def metric_correlation(df: DataFrame, metrics: Sequence[str], signal: str) -> Da
     parts = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
     long = df.select(F.col(signal).alias("signal"), F.inline(parts)).where("value IS NOT NULL AND signal IS NOT NULL")
     ranked = stats.midrank(stats.midrank(long, "value", "rx", "metric"), "signal", "ry", "metric")
-    return ranked.groupBy("metric").agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    return ranked.groupBy("metric").agg(stats.correlation("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
 def assay_correlation(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
-    """EX-23: Pearson and Spearman correlation of two counts, raw, log1p and log2 (cells with a zero left out of log2)."""
+    """EX-23: Pearson and Spearman correlation of two counts, raw, log1p and log2 (cells with a zero left out of log2); NaN where a side is constant."""
     j = a.select("cell", F.col("n").alias("a")).join(b.select("cell", F.col("n").alias("b")), "cell", how).na.fill(0)
     ranked = stats.midrank(stats.midrank(j.withColumn("one", F.lit(1)), "a", "ra", "one"), "b", "rb", "one")
     log2 = lambda c: F.when((F.col("a") > 0) & (F.col("b") > 0), F.log2(c))
-    return ranked.agg(F.count("*").alias("n"), F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"), F.corr(F.log1p("a"), F.log1p("b")).alias("log1p"), F.corr(log2("a"), log2("b")).alias("log2"))
+    return ranked.agg(F.count("*").alias("n"), stats.correlation("a", "b").alias("pearson"), stats.correlation("ra", "rb").alias("spearman"), stats.correlation(F.log1p("a"), F.log1p("b")).alias("log1p"), stats.correlation(log2("a"), log2("b")).alias("log2"))
 
 
 def enrichment_scores(scores: DataFrame, sets: DataFrame, sizes: tuple[int, int] = (10, 500)) -> DataFrame:
