@@ -295,7 +295,10 @@ def assay_correlation(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFra
 
 
 def enrichment_scores(scores: DataFrame, sets: DataFrame, sizes: tuple[int, int] = (10, 500)) -> DataFrame:
-    """EX-24: running-sum enrichment score of each gene set in each pattern's ranking of genes (falling v, then gene)."""
+    """EX-24: running-sum enrichment score of each gene set in each pattern's ranking of genes (falling v, then gene).
+
+    It is NaN where it isn't defined: for a set of all genes, which leaves no misses, and for one of weight zero.
+    """
     in_play = sets.join(scores.select("gene").distinct(), "gene", "left_semi").select("gene_set", "gene").distinct()
     ok = in_play.groupBy("gene_set").agg(F.count("*").alias("size")).where(F.col("size").between(*sizes))
     w = W.partitionBy("pattern").orderBy(F.desc("v"), "gene")
@@ -305,9 +308,10 @@ def enrichment_scores(scores: DataFrame, sets: DataFrame, sizes: tuple[int, int]
     up = per.orderBy("k").rowsBetween(W.unboundedPreceding, 0)
     m, all_w = F.count("*").over(per), F.sum("weight").over(per)
     # Just after a hit and just before it: the running sum's turning points.
-    misses = (F.col("k") - F.count("*").over(up)) / (F.col("total") - m)
-    after = F.sum("weight").over(up) / all_w - misses
-    points = hits.select("pattern", "gene_set", after.alias("after"), (after - F.col("weight") / all_w).alias("before"))
+    share = lambda n, of: F.coalesce(F.try_divide(n, of), F.lit(float("nan")))
+    misses = share(F.col("k") - F.count("*").over(up), F.col("total") - m)
+    after = share(F.sum("weight").over(up), all_w) - misses
+    points = hits.select("pattern", "gene_set", after.alias("after"), (after - share(F.col("weight"), all_w)).alias("before"))
     best = points.groupBy("pattern", "gene_set").agg(F.max("after").alias("high"), F.min("before").alias("low"), F.count("*").alias("size"))
     return best.select("pattern", "gene_set", "size", F.when(F.col("high") >= -F.col("low"), F.col("high")).otherwise(F.col("low")).alias("es"))
 

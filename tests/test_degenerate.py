@@ -17,3 +17,16 @@ def test_constant_counts_have_no_correlation(spark):
     assert math.isnan(barcodes.abundance_r2(*named).first().r2)
     assert math.isnan(alignments.distance_trend(b.selectExpr("n AS bin", "2.0D AS log2_ratio")).first().r)
     assert math.isnan(x.metric_correlation(b.selectExpr("n AS m", "1 AS signal"), ["m"], "signal").first().rho)
+
+
+def _sets(spark):
+    scores = spark.createDataFrame([(f"g{i}", "p", float(12 - i)) for i in range(12)], "gene string, pattern string, v double")
+    sets = spark.createDataFrame([("all", f"g{i}") for i in range(12)] + [("top", f"g{i}") for i in range(10)], "gene_set string, gene string")
+    return scores, sets
+
+
+def test_a_set_of_all_genes_has_no_enrichment_score(spark):
+    got = {r.gene_set: r for r in x.enrichment_scores(*_sets(spark)).collect()}
+    assert math.isnan(got["all"].es) and got["all"].size == 12 and abs(got["top"].es - 1) < 1e-12
+    scores, sets = _sets(spark)
+    assert all(math.isnan(r.es) for r in x.enrichment_scores(scores.withColumn("v", scores.v * 0), sets).collect())
