@@ -317,7 +317,7 @@ def enrichment_scores(scores: DataFrame, sets: DataFrame, sizes: tuple[int, int]
 
 
 def gsea(scores: DataFrame, sets: DataFrame, permutations: int = 100, seed: int = 1, sizes: tuple[int, int] = (10, 500)) -> DataFrame:
-    """EX-24: enrichment scores with p from gene permutations (rows of one job: gene labels dealt anew by seeded hash), BH by pattern."""
+    """EX-24: enrichment scores with p from gene permutations (rows of one job: gene labels dealt anew by seeded hash), BH by pattern. An undefined score has no p and doesn't count in BH."""
     observed = enrichment_scores(scores, sets, sizes)
     spark = scores.sparkSession
     reps = spark.range(permutations).withColumnRenamed("id", "rep")
@@ -328,6 +328,7 @@ def gsea(scores: DataFrame, sets: DataFrame, permutations: int = 100, seed: int
     values = many.withColumn("k", order(F.desc("v"))).select("pattern", "k", "v")
     null = enrichment_scores(dealt.join(values, ["pattern", "k"]).select("pattern", "gene", "v"), sets, sizes).select(F.split_part("pattern", F.lit("#"), F.lit(1)).alias("pattern"), "gene_set", F.col("es").alias("null_es"))
     p = observed.join(null, ["pattern", "gene_set"]).groupBy("pattern", "gene_set", "size", "es").agg(((F.count_if(F.abs("null_es") >= F.abs("es")) + 1) / (F.count("*") + 1)).alias("p"))
+    p = p.withColumn("p", F.when(~F.isnan("es"), F.col("p")))
     return stats.adjust(p, "p", "p_adj", "pattern")
 
 

@@ -30,3 +30,9 @@ def test_a_set_of_all_genes_has_no_enrichment_score(spark):
     assert math.isnan(got["all"].es) and got["all"].size == 12 and abs(got["top"].es - 1) < 1e-12
     scores, sets = _sets(spark)
     assert all(math.isnan(r.es) for r in x.enrichment_scores(scores.withColumn("v", scores.v * 0), sets).collect())
+
+
+def test_an_undefined_score_has_no_p(spark):
+    got = {r.gene_set: r for r in x.gsea(*_sets(spark), 30).collect()}
+    assert got["all"].p is None and got["all"].p_adj is None
+    assert 0 < got["top"].p < 0.5 and got["top"].p_adj == got["top"].p
