@@ -5,7 +5,7 @@ replicates itself, as matrices of values by replicates: Poisson weights for the
 weighs Poisson(n)), hypergeometric counts for permuted labels. Labels are dealt to the blocks first (one draw a
 block and replicate) and inside a block to its values, which is the same as dealing them to all values at once.
 What a block needs of the others is the sum of each replicate before it; what it gives is a row a replicate: its
-largest gap, and its parts of the two sums. So neither a cell nor a value ever becomes a row for each replicate,
+largest gap, and its parts of the two sums. A block's replicates are shared by several tasks where blocks are few. So neither a cell nor a value ever becomes a row for each replicate,
 and every generator is seeded by its block, so results don't depend on partitions.
 """
 
@@ -16,13 +16,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, functions as F
 
 from cytolake.functions import stats
 from cytolake.plans.staging import staged
 
 #: Blocks at most (their sums of all replicates meet at the driver), values of a block at least.
 BLOCKS, LEAST = 128, 1024
+#: Tasks that share the replicates of the blocks, about.
+TASKS = 256
 #: Replicates of a block drawn at once, and entries of their matrix at most.
 AT_ONCE, ENTRIES = 256, 1 << 21
 OBSERVED, BOOTSTRAP, PERMUTED, CLOSER = range(4)
@@ -91,37 +93,59 @@ def replicates(df: DataFrame, value: str, group: str, names: Sequence[str], boot
             both = totals[:, a] + totals[:, b if kind == CLOSER else 0]
             taken[kind, a, b] = dealt(generator(seed, kind, a, b, -1, 0), both, np.full(reps, totals[:, a].sum()))
 
-    def drawn(table: pa.Table) -> Iterator[tuple]:
-        """Every run and chunk of replicates of a block, with the two sides of its distances."""
-        block = table.column("block")[0].as_py()
+    jobs = [(kind, a, b, at, min(at_once, reps - at)) for kind, a, b, reps in runs for at in range(0, reps, at_once)]
+
+    def dealt_out(jobs: list[tuple]) -> tuple[GroupedData, int]:
+        """The blocks, each copied to the units that share the chunks in jobs (unit u draws every units-th), a task a block and unit."""
+        units = max(1, min(len(jobs), -(-TASKS // max(1, len(sums)))))
+        copies = placed.select("block", "v", *columns, F.explode(F.sequence(F.lit(0), F.lit(units - 1))).alias("unit"))
+        return copies.repartition(max(1, units * len(sums)), "block", "unit").groupBy("block", "unit"), units
+
+    def drawn(table: pa.Table, jobs: list[tuple], units: int) -> Iterator[tuple]:
+        """Every chunk of replicates of a block and unit, with the two sides of its distances."""
+        block, unit = table.column("block")[0].as_py(), table.column("unit")[0].as_py()
         counts = np.column_stack([table.column(f"c{i}").to_numpy() for i in range(k)])
-        for kind, a, b, reps in runs:
-            for at in range(0, reps, at_once):
-                take = taken[kind, a, b][block, at : at + at_once] if (kind, a, b) in taken else None
-                sides = _draw(kind, counts, a, b, 0, generator(seed, kind, a, b, block, at // at_once), take, min(at_once, reps - at))
-                yield block, kind, a, b, at, sides
+        for kind, a, b, at, n in jobs[unit::units]:
+            take = taken[kind, a, b][block, at : at + n] if (kind, a, b) in taken else None
+            yield block, kind, a, b, at, _draw(kind, counts, a, b, 0, generator(seed, kind, a, b, block, at // at_once), take, n)
 
     columns = [f"c{i}" for i in range(k)]
     before: dict[tuple, np.ndarray] = {}
-    if len(sums) > 1:  # each block's sums of all replicates, as its neighbours need them
-
-        def block_sums(table: pa.Table) -> pa.Table:
-            rows = [(block, kind, a, b, side, at, x.sum(axis=0).tolist(), y.sum(axis=0).tolist()) for block, kind, a, b, at, sides in drawn(table.sort_by("v")) for side, (x, y) in enumerate(sides)]
-            return pa.table({n: [r[i] for r in rows] for i, n in enumerate(("block", "kind", "first", "second", "side", "at", "x", "y"))})
-
-        found = placed.groupBy("block").applyInArrow(block_sums, "block long, kind long, first long, second long, side long, at long, x array<long>, y array<long>").collect()  # numbers: blocks times replicates
-        for r in found:
-            key = (r["kind"], r["first"], r["second"], r["side"], r["at"])
-            before.setdefault(key, np.zeros((len(sums) + 1, 2, len(r["x"])), np.int64))[r["block"] + 1] = [r["x"], r["y"]]
+    if len(sums) > 1:  # each block's sums of all replicates, as its neighbours need them: those of dealt labels are known, weights are drawn
+        drawn_jobs = [j for j in jobs if j[0] == BOOTSTRAP]
+        for kind, a, b, at, n in jobs:
+            mine = taken[kind, a, b][:, at : at + n] if (kind, a, b) in taken else totals[:, [a]]
+            ref = np.repeat(totals[:, [0]], mine.shape[1], axis=1)
+            if kind == OBSERVED:
+                sides = [(mine, ref)]
+            elif kind == PERMUTED:
+                sides = [(mine, totals[:, [a]] + ref - mine)]
+            elif kind == CLOSER:
+                sides = [(mine, ref), (totals[:, [a]] + totals[:, [b]] - mine, ref)]
+            else:
+                sides = []
+            before |= {(kind, a, b, side, at): np.concatenate([np.zeros((1, 2, mine.shape[1]), np.int64), np.stack(xy, axis=1)]) for side, xy in enumerate(sides)}
+
+        if drawn_jobs:
+            spread, units = dealt_out(drawn_jobs)
+
+            def block_sums(table: pa.Table) -> pa.Table:
+                rows = [(block, a, at, x.sum(axis=0).tolist(), y.sum(axis=0).tolist()) for block, _, a, _, at, [(x, y)] in drawn(table.sort_by("v"), drawn_jobs, units)]
+                return pa.table({n: [r[i] for r in rows] for i, n in enumerate(("block", "first", "at", "x", "y"))})
+
+            for r in spread.applyInArrow(block_sums, "block long, first long, at long, x array<long>, y array<long>").collect():  # numbers: blocks times replicates
+                before.setdefault((BOOTSTRAP, r["first"], 0, 0, r["at"]), np.zeros((len(sums) + 1, 2, len(r["x"])), np.int64))[r["block"] + 1] = [r["x"], r["y"]]
         before = {key: np.cumsum(v, axis=0) for key, v in before.items()}
 
+    spread_all, all_units = dealt_out(jobs)
+
     def distances(table: pa.Table) -> pa.Table:
         table = table.sort_by("v")
         v = table.column("v").to_numpy()
         block = table.column("block")[0].as_py()
         width = np.nan_to_num(np.diff(np.r_[v, low[block + 1]]))
         out: list[tuple] = []
-        for block, kind, a, b, at, sides in drawn(table):
+        for block, kind, a, b, at, sides in drawn(table, jobs, all_units):
             for side, (x, y) in enumerate(sides):
                 run = before.get((kind, a, b, side, at))
                 if run is None:
@@ -133,7 +157,7 @@ def replicates(df: DataFrame, value: str, group: str, names: Sequence[str], boot
         types = [pa.int32()] * 5 + [pa.float64()] * 3
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[c.split()[0] for c in ROWS.split(", ")])
 
-    rows = placed.select("block", "v", *columns).groupBy("block").applyInArrow(distances, ROWS)
+    rows = spread_all.applyInArrow(distances, ROWS)
     key = ["kind", "first", "second", "side", "rep"]
     return rows.groupBy(*key).agg(F.max("gap").alias("ks"), F.sqrt(F.greatest(F.sum("js"), F.lit(0.0))).alias("js"), F.sum("area").alias("wasserstein"))
 

@@ -111,3 +111,14 @@ def test_without_rows_or_methods(spark, df):
     assert d.closer_methods(df.where("m <> 'near'"), "v", "m", "ref").count() == 0
     none = d.wasserstein_context(df.where("m <> 'far'"), "v", "m", "far", "ref", 20, 20).first()
     assert none.wasserstein is None and none.p is None
+
+
+def test_few_blocks_are_shared_by_many_tasks(df, monkeypatch):
+    """A block's chunks of replicates go to several groups; the replicates stay those of one task a block."""
+    monkeypatch.setattr(d, "AT_ONCE", 8)
+    made = {}
+    for tasks in (1, 64):
+        monkeypatch.setattr(d, "TASKS", tasks)
+        reps = d.replicates(df, "v", "m", ["ref", "far", "near"], 30, 40, 7, True, 9)
+        made[tasks] = sorted(map(tuple, reps.collect()))
+    assert np.allclose(np.array(made[1], float), np.array(made[64], float)) and len(made[1]) == 2 + 2 * 30 + 2 * 40 + 2 * 40
