@@ -36,3 +36,9 @@ def test_an_undefined_score_has_no_p(spark):
     got = {r.gene_set: r for r in x.gsea(*_sets(spark), 30).collect()}
     assert got["all"].p is None and got["all"].p_adj is None
     assert 0 < got["top"].p < 0.5 and got["top"].p_adj == got["top"].p
+
+
+def test_a_matrix_keeps_an_undefined_score(spark):
+    scores, sets = _sets(spark)
+    row = {r.gene_set: r for r in x.score_matrix(x.enrichment_scores(scores, sets), ["p", "q"]).collect()}
+    assert math.isnan(row["all"].p) and row["all"].q == 0 and abs(row["top"].p - 1) < 1e-12
