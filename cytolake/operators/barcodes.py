@@ -70,30 +70,36 @@ def shave_totals(fastq: DataFrame, shaved: DataFrame) -> DataFrame:
 def extract_adapter(fastq: DataFrame, adapter: str, k: int = 3, cell: int = 16, umi: int = 12) -> DataFrame:
     """BC-07: adapter on either strand, then cell, molecule and a T tail of at least 6 of 8 bases; the tail is trimmed.
 
-    Exact adapters are found natively; a Pandas UDF searches with up to k edits only in the rest, around exact
-    8-mers of the adapter. The tail is a run of T, or of another base directly followed by T; at least 8 bases go.
+    One Pandas UDF gives the adapter's end on both strands, so a read is made once: exact places first, then the best
+    fuzzy place with up to k edits where the read has an exact 8-mer of the adapter (fewest edits are tried first, which
+    finds the same place). The tail is a run of T, or of another base directly followed by T; at least 8 bases go.
     """
     import regex
 
-    pattern = regex.compile(f"(?b)(?:{regex.escape(adapter)}){{e<={k}}}")
+    patterns = [regex.compile(f"(?b)(?:{regex.escape(adapter)}){{e<={n}}}") for n in range(1, k + 1)]
     seeds = [adapter[i : i + 8] for i in range(0, len(adapter) - 7, 4)]
+    complement = str.maketrans("ACGTacgt", "TGCAtgca")
 
     def end_of(seq: str) -> int:
-        if not any(s in seq for s in seeds):
-            return 0
-        m = pattern.search(seq)
-        return m.end() if m else 0
-
-    @F.pandas_udf("int")
-    def fuzzy_end(seqs: pd.Series) -> pd.Series:
-        return seqs.map(end_of).astype("int32")
-
-    def side(seq: Column) -> DataFrame:
-        at = F.instr(seq, adapter)
-        exact = fastq.select("read_id", seq.alias("s"), F.when(at > 0, at + len(adapter) - 1).otherwise(0).alias("end"))
-        return exact.where("end > 0").unionByName(exact.where("end = 0").select("read_id", "s", fuzzy_end("s").alias("end")).where("end > 0"))
-
-    found = side(F.col("seq")).withColumn("strand", F.lit("+")).unionByName(side(reverse_complement(F.col("seq"))).withColumn("strand", F.lit("-")))
+        at = seq.find(adapter)
+        if at >= 0:
+            return at + len(adapter)
+        if any(s in seq for s in seeds):
+            for pattern in patterns:
+                if m := pattern.search(seq):
+                    return m.end()
+        return 0
+
+    @F.pandas_udf("plus int, minus int")
+    def ends(seqs: pd.Series) -> pd.DataFrame:
+        both = [(0, 0) if s is None else (end_of(s), end_of(s.translate(complement)[::-1])) for s in seqs]
+        return pd.DataFrame(both, columns=["plus", "minus"]).astype("int32")
+
+    side = lambda strand, s, end: F.struct(F.lit(strand).alias("strand"), s.alias("s"), F.col(f"ends.{end}").alias("end"))
+    sides = F.array(side("+", F.col("seq"), "plus"), side("-", reverse_complement(F.col("seq")), "minus"))
+    ends = ends.asNondeterministic()  # or the filter would run it again
+    read = fastq.select("read_id", "seq", ends("seq").alias("ends")).where("ends.plus > 0 OR ends.minus > 0")
+    found = read.select("read_id", F.inline(sides)).where("end > 0")
     after = F.substring(F.col("s"), F.col("end") + 1, F.length("s"))
     head = F.substring("after", cell + umi + 1, 8)
     tailed = found.withColumn("after", after).where((F.length("after") >= cell + umi + 8) & (F.length(head) - F.length(F.replace(head, F.lit("T"), F.lit(""))) >= 6))

@@ -42,3 +42,11 @@ def test_a_matrix_keeps_an_undefined_score(spark):
     scores, sets = _sets(spark)
     row = {r.gene_set: r for r in x.score_matrix(x.enrichment_scores(scores, sets), ["p", "q"]).collect()}
     assert math.isnan(row["all"].p) and row["all"].q == 0 and abs(row["top"].p - 1) < 1e-12
+
+
+def test_a_read_without_sequence_has_no_adapter(spark):
+    adapter = "CTACACGACGCTCTTCCGATCT"
+    tag = "ACGTACGTACGTACGTGGCCGGCCGGCC"
+    rows = [("a", None), ("b", "GG" + adapter + tag + "TTTTTTTTTT" + "GCAG"), ("c", "GG" + adapter[:10] + "A" + adapter[11:] + tag + "TTTTTTTTTT" + "GCAG")]
+    got = barcodes.extract_adapter(spark.createDataFrame(rows, "read_id string, seq string"), adapter).collect()
+    assert {r.read_id: (r.strand, r.cell, r.umi) for r in got} == {k: ("+", tag[:16], tag[16:]) for k in "bc"}
