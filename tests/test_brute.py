@@ -120,3 +120,8 @@ def test_equal_samples_are_exact_and_the_same_in_any_partitioning(spark):
     assert got == sorted(map(tuple, r.equalise(a, b_.repartition(3), "id", 5).collect()))
     hashed = {x.id: x.h for x in a.select("id", F.xxhash64("id", F.lit(5)).alias("h")).collect()}
     assert {x[0] for x in got if x[2] == "a"} == set(sorted(hashed, key=lambda i: (hashed[i], i))[:120])
+
+
+def test_best_window_of_a_very_long_tail(spark):
+    row = r.polya_best_window(spark.createDataFrame([("a", 1, "C" + "A" * 40_000)], "name string, file_offset long, seq string")).first()
+    assert (row.start, row.length, row.score) == (1, 40_000, 40_000)
