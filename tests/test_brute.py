@@ -125,3 +125,17 @@ def test_equal_samples_are_exact_and_the_same_in_any_partitioning(spark):
 def test_best_window_of_a_very_long_tail(spark):
     row = r.polya_best_window(spark.createDataFrame([("a", 1, "C" + "A" * 40_000)], "name string, file_offset long, seq string")).first()
     assert (row.start, row.length, row.score) == (1, 40_000, 40_000)
+
+
+def test_terminal_makes_the_sequence_once(spark):
+    """Hamming distances by letters, of references of few and many letters; the sequence is one expression of the plan."""
+    rnd = random.Random(11)
+    rows = [("".join(rnd.choice("ACGTN") for _ in range(rnd.randrange(16, 45))),) for _ in range(300)] + [(None,)]
+    df = spark.createDataFrame(rows, "seq string")
+    for letters in ("ACGT", "ACGTN"):
+        reference = "".join(rnd.choice(letters) for _ in range(28))
+        for row in df.select("seq", r.classify_terminal(F.col("seq"), reference, 20, 12).alias("t")).collect():
+            near = row.seq and len(row.seq) >= 20 and min(sum(a != b for a, b in zip(row.seq[-20:], reference[i:])) for i in range(9)) <= 12
+            assert row.t is None if row.seq is None else row.t == near
+    made = df.select(r.classify_terminal(F.md5("seq"), "ACGTTGCAAGCTTACGGATCCATGCAAT").alias("t"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
