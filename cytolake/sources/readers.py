@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from cytolake.functions.stats import numbered
+
 SAM = "name string, flag int, ref string, pos int, mapq int, cigar string, mate_ref string, mate_pos int, template_length int, seq string, qual string"
 
 
@@ -89,21 +91,25 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 def read_mex(spark: SparkSession, folder: str) -> DataFrame:
     """SRC-07: (cell, gene, n) of a sparse matrix folder (matrix.mtx, barcodes.tsv, features.tsv, gzip or not); never dense.
 
-    The two lists number their lines by the position of each line in its one file.
+    Each is a file or a folder of part files, which follow each other by name. Lines of the two lists are numbered over
+    range partitions of (file, block, line), so no task reads a list or the matrix whole.
     """
 
-    def numbered(name: str, column: str) -> DataFrame:
-        lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
-        whole = spark.read.text(f"{folder}/{name}.tsv*", wholetext=True)
-        return whole.select(F.posexplode(lines).alias("k", "line")).where("line <> ''").select((F.col("k") + 1).alias(f"{column}_idx"), F.split_part("line", F.lit("\t"), F.lit(1)).alias(column))
+    def lines(pattern: str) -> DataFrame:
+        text = spark.read.option("lineSep", "\n").text(pattern)
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+        return text.select(F.translate("value", "\r", "").alias("value"), place.alias("place"))
+
+    def listed(name: str, column: str) -> DataFrame:
+        whole = numbered(lines(f"{folder}/{name}.tsv*"), "k", "place")
+        return whole.where("value <> ''").select((F.col("k") + 1).alias(f"{column}_idx"), F.split_part("value", F.lit("\t"), F.lit(1)).alias(column))
 
+    rows = lines(f"{folder}/matrix.mtx*").where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    # The size line is the first one after the comments.
+    first = rows.agg(F.min("place").alias("first"))
     f = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(f"{folder}/matrix.mtx*").where(~F.col("value").startswith("%"))
-    # The size line after the comments is the one whose first two numbers are the list lengths and whose third counts the rows.
-    body = rows.select(f[0].cast("int").alias("gene_idx"), f[1].cast("int").alias("cell_idx"), f[2].cast("long").alias("n"), F.monotonically_increasing_id().alias("at"))
-    first = body.agg(F.min("at").alias("at"))
-    body = body.join(F.broadcast(first), "at", "left_anti")
-    return body.join(numbered("features", "gene"), "gene_idx").join(numbered("barcodes", "cell"), "cell_idx").select("cell", "gene", "n")
+    body = rows.join(F.broadcast(first), F.col("place") > F.col("first")).select(f[0].cast("long").alias("gene_idx"), f[1].cast("long").alias("cell_idx"), f[2].cast("long").alias("n"))
+    return body.join(listed("features", "gene"), "gene_idx").join(listed("barcodes", "cell"), "cell_idx").select("cell", "gene", "n")
 
 
 def read_molecules(molecules: DataFrame, cells: DataFrame | None = None) -> DataFrame:

@@ -94,13 +94,16 @@ def events_to_gff3(events: DataFrame) -> DataFrame:
 
 
 def write_mex(counts: DataFrame, path: str) -> None:
-    """A sparse matrix folder of count triples (cell, gene, n): features, barcodes and matrix, each one file, genes and cells numbered in ascending order."""
+    """A sparse matrix folder of count triples (cell, gene, n): features, barcodes and matrix, genes and cells numbered in ascending order.
+
+    Each is a folder of part files which, one after the other by name, are the whole file; the matrix's header is the first.
+    """
     lists = {}
     for name, column in (("features", "gene"), ("barcodes", "cell")):
         lists[column] = numbered(counts.select(column).distinct(), "at", column)
-        lists[column].coalesce(1).sortWithinPartitions("at").select(F.col(column).alias("value")).write.text(f"{path}/{name}.tsv")
+        lists[column].repartitionByRange("at").sortWithinPartitions("at").select(F.col(column).alias("value")).write.text(f"{path}/{name}.tsv")
     sizes = counts.agg(F.count("*").alias("n")).crossJoin(lists["gene"].agg(F.count("*").alias("genes"))).crossJoin(lists["cell"].agg(F.count("*").alias("cells")))
-    head = sizes.select(F.lit(0).alias("k"), F.concat_ws("\n", F.lit("%%MatrixMarket matrix coordinate integer general"), F.concat_ws(" ", "genes", "cells", "n")).alias("value"))
+    head = sizes.select(F.concat_ws("\n", F.lit("%%MatrixMarket matrix coordinate integer general"), F.concat_ws(" ", "genes", "cells", "n")).alias("value")).coalesce(1)
     rows = counts.join(lists["gene"].withColumnRenamed("at", "g"), "gene").join(lists["cell"].withColumnRenamed("at", "c"), "cell")
-    body = rows.select(F.lit(1).alias("k"), F.concat_ws(" ", F.col("g") + 1, F.col("c") + 1, "n").alias("value"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("k").select("value").write.text(f"{path}/matrix.mtx")
+    # Partitions of a union follow each other, so the header's is the first file.
+    head.unionByName(rows.select(F.concat_ws(" ", F.col("g") + 1, F.col("c") + 1, "n").alias("value"))).write.text(f"{path}/matrix.mtx")

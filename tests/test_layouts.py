@@ -87,3 +87,19 @@ def test_components_of_many_genes(spark):
     counts = spark.range(60_000).selectExpr("concat('c', id % 300) cell", "concat('g', hash(id) % 2000) gene", "1 + id % 5 n").groupBy("cell", "gene").sum("n").toDF("cell", "gene", "n")
     got = x.scale_pca(counts, [f"g{i}" for i in range(-1999, 2000)][::2], 3).collect()
     assert len(got) == 300 and all(len(v.pca) == 3 for v in got)
+
+
+def test_sparse_matrix_of_many_files(spark, tmp_path):
+    """Lists and matrix are parts of several tasks, numbered over all of them; the header is in the first."""
+    rows = [(f"c{i}", f"g{i * 7 % 30}", i) for i in range(1, 400)]
+    path = str(tmp_path / "mex")
+    w.write_mex(spark.createDataFrame(rows, "cell string, gene string, n long").repartition(5), path)
+    parts = sorted((tmp_path / "mex" / "matrix.mtx").glob("part-*"))
+    assert parts[0].read_text().splitlines() == ["%%MatrixMarket matrix coordinate integer general", "30 399 399"] and len(parts) > 1
+    assert sorted(map(tuple, s.read_mex(spark, path).collect())) == sorted(rows)
+    for name, order in (("barcodes", ["b0", "", "b2"]), ("features", ["f0", "f1", "f2"])):
+        (tmp_path / "two" / f"{name}.tsv").mkdir(parents=True)
+        for i, line in enumerate(order):
+            (tmp_path / "two" / f"{name}.tsv" / f"part-{i}").write_text(line + "\n")
+    (tmp_path / "two" / "matrix.mtx").write_text("%%MatrixMarket\n3 3 2\n2 1 5\n3 3 1\n")
+    assert sorted(map(tuple, s.read_mex(spark, str(tmp_path / "two")).collect())) == [("b0", "f1", 5), ("b2", "f2", 1)]
