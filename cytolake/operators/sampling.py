@@ -13,6 +13,8 @@ from cytolake.functions.cigar import last_block
 from cytolake.operators.reads import join_regions
 
 MILLION = 1_000_000
+#: Groups of a cell's genes in SAT-02.
+GENE_BUCKETS = 8
 
 
 def unit(*key: Column | str) -> Column:
@@ -51,17 +53,27 @@ def _poisson(mean: Column, u: Column) -> Column:
 def rarefaction(molecules: DataFrame, fractions: Sequence[float], repeats: int, seed: int, replace: bool = True) -> DataFrame:
     """SAT-02: at each fraction and repeat median molecules and genes per cell and the saturation of the drawn reads.
 
-    With replacement each molecule's reads are a Poisson draw (no global sort); without it, every read is kept by its own hash.
+    With replacement each molecule's reads are a Poisson draw (no global sort); without it, every read is kept by its own
+    hash. All draws of a molecule are columns of its one row, which is shuffled once: a cell's genes go to GENE_BUCKETS
+    groups, counted there and added up a cell.
     """
-    runs = F.explode(F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.lit(k).alias("repeat")) for f in fractions for k in range(repeats)]))
-    m = molecules.select("cell", "gene", "umi", "reads", runs.alias("run")).select("cell", "gene", "umi", "reads", "run.*")
-    key = ["cell", "gene", "umi", "fraction", "repeat"]
-    if replace:
-        drawn = m.withColumn("drawn", _poisson(F.col("reads") * F.col("fraction"), unit(*key, F.lit(seed))))
-    else:
-        kept = F.filter(F.sequence(F.lit(1), F.col("reads").cast("int")), lambda i: (F.pmod(F.xxhash64(F.col("cell"), F.col("gene"), F.col("umi"), F.col("repeat"), i, F.lit(seed)), F.lit(MILLION)) + 0.5) / MILLION <= F.col("fraction"))
-        drawn = m.withColumn("drawn", F.size(kept))
-    cells = drawn.where("drawn > 0").groupBy("fraction", "repeat", "cell").agg(F.count("*").alias("umis"), F.count_distinct("gene").alias("genes"), F.sum("drawn").alias("reads"))
+    runs = [(float(f), k) for f in fractions for k in range(repeats)]
+
+    def drawn(f: float, k: int) -> Column:
+        fraction, repeat = F.lit(f), F.lit(k)
+        if replace:
+            return _poisson(F.col("reads") * fraction, unit("cell", "gene", "umi", fraction, repeat, F.lit(seed)))
+        return F.size(F.filter(F.sequence(F.lit(1), F.col("reads").cast("int")), lambda i: (F.pmod(F.xxhash64(F.col("cell"), F.col("gene"), F.col("umi"), repeat, i, F.lit(seed)), F.lit(MILLION)) + 0.5) / MILLION <= fraction))
+
+    bucket = F.pmod(F.xxhash64("gene"), F.lit(GENE_BUCKETS)).alias("bucket")
+    m = molecules.select("cell", "gene", "umi", "reads", bucket).repartition("cell", "bucket")
+    d = m.select("cell", "bucket", "gene", *[drawn(f, k).alias(f"d{i}") for i, (f, k) in enumerate(runs)])
+    some = [F.when(F.col(f"d{i}") > 0, F.col(f"d{i}")) for i in range(len(runs))]
+    genes = d.groupBy("cell", "bucket", "gene").agg(*[x for i, s in enumerate(some) for x in (F.count(s).alias(f"u{i}"), F.sum(s).alias(f"r{i}"))])
+    parts = genes.groupBy("cell", "bucket").agg(*[x for i in range(len(runs)) for x in (F.sum(f"u{i}").alias(f"u{i}"), F.count_if((F.col(f"u{i}") > 0) & F.col("gene").isNotNull()).alias(f"g{i}"), F.sum(f"r{i}").alias(f"r{i}"))])
+    sums = parts.groupBy("cell").agg(*[F.sum(f"{c}{i}").alias(f"{c}{i}") for i in range(len(runs)) for c in "ugr"])
+    rows = F.array(*[F.struct(F.lit(f).alias("fraction"), F.lit(k).alias("repeat"), F.col(f"u{i}").alias("umis"), F.col(f"g{i}").alias("genes"), F.col(f"r{i}").alias("reads")) for i, (f, k) in enumerate(runs)])
+    cells = sums.select("cell", F.inline(rows)).where("umis > 0")
     return cells.groupBy("fraction", "repeat").agg(F.percentile("umis", 0.5).alias("median_umis"), F.percentile("genes", 0.5).alias("median_genes"), F.count("*").alias("cells"), (1 - F.sum("umis") / F.sum("reads")).alias("saturation"))
 
 
