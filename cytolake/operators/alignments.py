@@ -147,6 +147,10 @@ def landmark_distance(positions: DataFrame, marks: Sequence[int], bin: int = 100
     return positions.select("sample", (F.floor(d / bin) * bin).cast("bigint").alias("bin"), F.when(d.isNotNull(), band).alias("band")).where("bin IS NOT NULL").groupBy("sample", "bin", "band").agg(F.count("*").alias("n"))
 
 
+#: Positions of a stretch in SEQ-14.
+STRETCH = 1024
+
+
 def cluster_reads(reads: DataFrame, within: int = 5, mer: int = 10) -> DataFrame:
     """SEQ-14: greedy clusters (read_id, pos, seq): reads by position join the first open seed within `within` bases that shares their first and last 10-mer or whole sequence.
 
@@ -154,22 +158,35 @@ def cluster_reads(reads: DataFrame, within: int = 5, mer: int = 10) -> DataFrame
     place beyond its reach, which is a function of the place; seeds are the places that it leads to from places
     with nothing in reach before them. They are found by pointer doubling: in round k every place knows the
     2^k-th seed after it, and the seeds found so far lead to as many more. A chain of n seeds takes about log2(n) rounds of
-    joins by signature and place, and no group of reads is ever one task. Positions are whole numbers, so what
-    is in reach, or just beyond, is an equi-join. Reads without position, or shorter than the 10-mers, have no cluster.
+    joins by signature and place, of chained places only. What is in reach is seen in stretches of STRETCH positions of a
+    signature, which share the places at their ends, so no group is larger than a stretch and few places are copied.
+    Reads without position, or shorter than the 10-mers, have no cluster.
     """
-    signature = F.when(F.col("pos").isNotNull() & (F.length("seq") >= mer), F.concat(F.left("seq", F.lit(mer)), F.right("seq", F.lit(mer))))
-    signed = reads.select("read_id", "pos", signature.alias("signature"))
-    places = staged(signed.where("signature IS NOT NULL").groupBy("signature", "pos").agg(F.min("read_id").alias("name")))
-    at = places.select("signature", "pos")
-    near = lambda low, high: places.select("signature", F.col("pos").alias("from"), F.explode(F.array(*[F.col("pos") + d for d in range(low, high + 1)])).alias("pos"))
+    # As an array of one, so a sequence is made once a read.
+    ends = F.transform(F.array("seq"), lambda s: F.when(F.length(s) >= mer, F.concat(F.substring(s, 1, mer), F.substring(s, -mer, mer))))[0]
+    signed = staged(reads.select("read_id", "pos", F.when(F.col("pos").isNotNull(), ends).alias("signature")))
+    places = signed.where("signature IS NOT NULL").groupBy("signature", F.col("pos").cast("long").alias("pos")).agg(F.min("read_id").alias("name"))
+    width = max(STRETCH, 5 * within)
+
+    def stretched(df: DataFrame) -> DataFrame:
+        at = lambda d: F.floor((F.col("pos") + d) / width)
+        return df.select("*", at(0).alias("own"), F.explode(F.sequence(at(-2 * within), at(2 * within))).alias("stretch")).withColumn("own", F.col("own") == F.col("stretch"))
+
+    order = W.partitionBy("signature", "stretch").orderBy("pos")
+    count = lambda low, high: F.count("*").over(order.rangeBetween(low, high)) > 0
     # Where a place lies within twice the reach, the first of them is next; farther ones have nothing in reach before them.
-    jump = staged(near(within + 1, 2 * within).join(at, ["signature", "pos"]).groupBy("signature", F.col("from").alias("pos")).agg(F.min("pos").alias("to")))
-    seeds = staged(at.join(near(1, within).select("signature", "pos"), ["signature", "pos"], "left_anti"))
+    seen = stretched(places).withColumns({"before": count(-within, -1), "after": count(1, within), "to": F.min("pos").over(order.rangeBetween(within + 1, 2 * within))})
+    seen = staged(seen.where("own").drop("own", "stretch"))
+    jump = seen.where("to IS NOT NULL").select("signature", "pos", "to")
+    found = seen.where("NOT before AND to IS NOT NULL").select("signature", "pos")
     while not jump.isEmpty():
-        seeds = staged(seeds.union(seeds.join(jump, ["signature", "pos"]).select("signature", "to")).distinct())
+        found = staged(found.union(found.join(jump, ["signature", "pos"]).select("signature", "to")).distinct())
         jump = staged(jump.join(jump.select("signature", F.col("pos").alias("to"), F.col("to").alias("then")), ["signature", "to"]).select("signature", "pos", F.col("then").alias("to")))
-    reach = places.join(seeds, ["signature", "pos"]).select("signature", F.explode(F.array(*[F.col("pos") + d for d in range(within + 1)])).alias("pos"), F.col("name").alias("cluster"))
-    return signed.join(reach, ["signature", "pos"], "left").select("read_id", "cluster")
+    near = seen.where("before OR after").join(found.withColumn("found", F.lit(True)), ["signature", "pos"], "left")
+    seed = F.when(~F.col("before") | F.coalesce("found", F.lit(False)), F.col("name"))
+    joined = stretched(near.select("signature", "pos", seed.alias("seed"))).withColumn("cluster", F.max("seed").over(order.rangeBetween(-within, 0)))  # one at most
+    clusters = joined.where("own").select("signature", "pos", "cluster").unionByName(seen.where("NOT before AND NOT after").select("signature", "pos", F.col("name").alias("cluster")))
+    return signed.join(clusters, ["signature", "pos"], "left").select("read_id", "cluster")
 
 
 def cluster_consensus(reads: DataFrame, cluster: str) -> DataFrame:
