@@ -27,6 +27,8 @@ BLOCKS, LEAST = 128, 1024
 TASKS = 256
 #: Replicates of a block drawn at once, and entries of their matrix at most.
 AT_ONCE, ENTRIES = 256, 1 << 21
+#: Things of a kind up to which labels are dealt thing by thing (a uniform number each, far cheaper than a hypergeometric one).
+SINGLY = 16
 OBSERVED, BOOTSTRAP, PERMUTED, CLOSER = range(4)
 METRICS = ("ks", "js", "wasserstein")
 ROWS = "kind int, first int, second int, side int, rep int, gap double, js double, area double"
@@ -38,18 +40,27 @@ def generator(seed: int, kind: int, first: int, second: int, block: int, chunk:
 
 def dealt(rng: np.random.Generator, counts: np.ndarray, take: np.ndarray) -> np.ndarray:
     """Multivariate hypergeometric draws: of counts[v] things of each kind v, take[r] are taken in replicate r: (v, r)."""
-    out = np.empty((len(counts), len(take)), np.int64)
+    out = np.zeros((len(counts), len(take)), np.int64)
     left, need = int(counts.sum()), take.copy()
     for v, n in enumerate(counts.tolist()):
-        out[v] = rng.hypergeometric(n, left - n, need) if n else 0
-        left -= n
-        need -= out[v]
+        if n > SINGLY:
+            out[v] = rng.hypergeometric(n, left - n, need)
+            left -= n
+            need -= out[v]
+            continue
+        for _ in range(n):
+            hit = rng.random(len(take)) * left < need
+            out[v] += hit
+            need -= hit
+            left -= 1
     return out
 
 
-def parts(width: np.ndarray, x: np.ndarray, y: np.ndarray, before_x: np.ndarray, before_y: np.ndarray, all_x: np.ndarray, all_y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Largest gap of the two cumulative shares, Jensen-Shannon part (base 2) and area between them, of a block's values in each replicate."""
+def parts(width: np.ndarray, x: np.ndarray, y: np.ndarray, before_x: np.ndarray, before_y: np.ndarray, all_x: np.ndarray, all_y: np.ndarray, metrics: Sequence[str] = METRICS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Largest gap of the two cumulative shares, Jensen-Shannon part (base 2; NaN unless in metrics) and area between them, of a block's values in each replicate."""
     gap = np.abs((before_x + np.cumsum(x, axis=0)) / all_x - (before_y + np.cumsum(y, axis=0)) / all_y)
+    if "js" not in metrics:
+        return gap.max(axis=0), np.full(gap.shape[1], np.nan), (gap * width[:, None]).sum(axis=0)
     p, q = x / all_x, y / all_y
     with np.errstate(divide="ignore", invalid="ignore"):
         mid = (p + q) / 2
@@ -71,8 +82,8 @@ def _draw(kind: int, counts: np.ndarray, first: int, second: int, reference: int
     return [(mine, rest)] if kind == PERMUTED else [(mine, fixed), (rest, fixed)]
 
 
-def replicates(df: DataFrame, value: str, group: str, names: Sequence[str], boot: int, perm: int, seed: int, pairs: bool = False, size: int | None = None) -> DataFrame:
-    """(kind, first, second, side, rep, ks, js, wasserstein) for all methods names[1:] against the reference names[0].
+def replicates(df: DataFrame, value: str, group: str, names: Sequence[str], boot: int, perm: int, seed: int, pairs: bool = False, size: int | None = None, metrics: Sequence[str] = METRICS) -> DataFrame:
+    """(kind, first, second, side, rep, ks, js, wasserstein) for all methods names[1:] against the reference names[0]; js is null unless in metrics.
 
     Rows of null value don't count. A method or replicate without values has null distances.
     """
@@ -152,7 +163,7 @@ def replicates(df: DataFrame, value: str, group: str, names: Sequence[str], boot
                     run = np.stack([np.zeros((2, x.shape[1]), np.int64), np.stack([x.sum(axis=0), y.sum(axis=0)])])
                 start, all_ = run[block], run[-1].astype(float)
                 all_[all_ == 0] = np.nan
-                for r, row in enumerate(zip(*parts(width, x, y, start[0], start[1], all_[0], all_[1]))):
+                for r, row in enumerate(zip(*parts(width, x, y, start[0], start[1], all_[0], all_[1], metrics))):
                     out.append((kind, a, b, side, at + r, *(None if np.isnan(z) else float(z) for z in row)))
         types = [pa.int32()] * 5 + [pa.float64()] * 3
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[c.split()[0] for c in ROWS.split(", ")])
@@ -178,7 +189,7 @@ def _labels(names: Sequence[str], column: str) -> Column:
 
 def wasserstein_context(df: DataFrame, value: str, group: str, a: str, b: str, boot: int = 1000, perm: int = 1000, seed: int = 123, size: int | None = None) -> DataFrame:
     """CL-23: 1-D Wasserstein distance of group a to the reference b, its bootstrap interval and error, and the share of permutations that reach it."""
-    d = staged(replicates(df, value, group, [b, a], boot, perm, seed, size=size).select("kind", "rep", "wasserstein"))
+    d = staged(replicates(df, value, group, [b, a], boot, perm, seed, size=size, metrics=["wasserstein"]).select("kind", "rep", "wasserstein"))
     own = d.where(F.col("kind") == OBSERVED).select(F.col("wasserstein").alias("observed"))
     ref = df.where(F.col(group) == b).agg(F.stddev_samp(value).alias("ref_sd"), F.mean(value).alias("ref_mean"))
     rep = lambda kind, x: F.when(F.col("kind") == kind, x)

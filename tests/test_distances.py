@@ -122,3 +122,31 @@ def test_few_blocks_are_shared_by_many_tasks(df, monkeypatch):
         reps = d.replicates(df, "v", "m", ["ref", "far", "near"], 30, 40, 7, True, 9)
         made[tasks] = sorted(map(tuple, reps.collect()))
     assert np.allclose(np.array(made[1], float), np.array(made[64], float)) and len(made[1]) == 2 + 2 * 30 + 2 * 40 + 2 * 40
+
+
+def test_few_things_are_dealt_one_by_one():
+    """Small counts take no hypergeometric numbers; sums are exact, means and variances those of the hypergeometric distribution."""
+
+    class Uniform:
+        def __init__(self):
+            self.rng = np.random.default_rng(5)
+
+        def random(self, n):
+            return self.rng.random(n)
+
+    counts, take = np.array([1, 0, 3, 16, 2]), np.full(20_000, 8)
+    got = d.dealt(Uniform(), counts, take)
+    assert (got.sum(axis=0) == take).all() and (got >= 0).all() and (got <= counts[:, None]).all()
+    share = 8 / 22
+    assert got.mean(axis=1) == pytest.approx(counts * share, abs=0.05)
+    assert got.var(axis=1) == pytest.approx(counts * share * (1 - share) * (22 - counts) / 21, abs=0.06)
+    for least in (0, 22):
+        assert (d.dealt(Uniform(), counts, np.full(3, least)).sum(axis=0) == least).all()
+
+
+def test_wasserstein_alone_computes_no_other_divergence():
+    x, y = np.array([[1.0, 2.0], [3.0, 0.0]]), np.array([[2.0, 1.0], [1.0, 1.0]])
+    args = (np.array([1.0, 0.0]), x, y, np.zeros(2), np.zeros(2), x.sum(axis=0), y.sum(axis=0))
+    gap, js, area = d.parts(*args, ["wasserstein"])
+    whole = d.parts(*args)
+    assert (gap == whole[0]).all() and np.isnan(js).all() and (area == whole[2]).all()
