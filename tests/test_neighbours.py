@@ -72,3 +72,17 @@ def test_match_quality(spark):
     assert got["g"].ks == pytest.approx(ks) and got["g"].p == pytest.approx(math.exp(-2 * ks**2 * 40 * 50 / 90)) and got["g"].median_matched == pytest.approx(np.median(m))
     assert (got["g"].n_matched, got["g"].n_random, got["g"].n_within) == (40, 50, 1)
     assert got["h"].ks == 0 and got["h"].p == 1 and got["w"].ks is None
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_estimates_leave_open_what_may_be_nearest(shift):
+    """The nearest pair stays open, ties and copies too, also where products cancel; few others do."""
+    rng = np.random.default_rng(7)
+    b = rng.normal(size=(400, 16)) + shift
+    a = np.concatenate([rng.normal(size=(50, 16)) + shift, b[:5], [np.full(16, np.nan)]])
+    b = np.concatenate([b, b[:3]])
+    near = rng.random((len(a), len(b))) < 0.9
+    d = np.where(near, ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), np.inf)
+    open_ = neighbours._open(a, b, near)
+    assert open_[:-1][d[:-1] == d[:-1].min(axis=1, keepdims=True)].all() and not (open_ & ~near).any() and (open_[-1] == near[-1]).all()
+    assert shift or open_[:-1].sum() < 2 * len(a)
