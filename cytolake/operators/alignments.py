@@ -95,8 +95,9 @@ def dominant(aln: DataFrame, cut: float = 0.9) -> DataFrame:
 
 
 def alignment_score(a: DataFrame, b: DataFrame, by_share: bool = False) -> DataFrame:
-    """SEQ-09: share of equal places of each sequence in two alignments, or the mean column share in b of a's symbols."""
+    """SEQ-09: share of equal places of each sequence in two alignments, or the mean column share in b of a's symbols (b may be a itself, which is made once then)."""
     if by_share:
+        a, b = (staged(a),) * 2 if a is b else (a, b)
         return a.join(column_profile(b).select("pos", "base", "share"), ["pos", "base"], "left").groupBy("seq_id").agg(F.avg(F.coalesce("share", F.lit(0.0))).alias("score"))
     j = a.select("seq_id", "pos", F.col("base").alias("x")).join(b.select("seq_id", "pos", F.col("base").alias("y")), ["seq_id", "pos"])
     return j.groupBy("seq_id").agg(F.avg((F.col("x") == F.col("y")).cast("double")).alias("score"))

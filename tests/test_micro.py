@@ -155,3 +155,19 @@ def test_umi_merge_goes_by_falling_count_and_the_taken_take_no_one(spark):
                 counts[x] += counts.pop(y)
         want += [(cell, u, n) for u, n in counts.items()]
     assert got == sorted(want) and ("x", "AAAA", 15) in got and ("x", "AACC", 1) in got
+
+
+def test_alignment_scored_against_itself_is_made_once(spark):
+    """SEQ-09 by column shares: rows of an expensive view are not computed again for the profile."""
+    from cytolake.operators import alignments
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def base(n):
+        made.add(1)
+        return "ACGT"[n % 3]
+
+    aln = spark.range(12).select((F.col("id") % 3).alias("seq_id"), (F.col("id") % 4).cast("int").alias("pos"), base("id").alias("base"))
+    got = {r.seq_id: r.score for r in alignments.alignment_score(aln, aln, True).collect()}
+    assert got.keys() == {0, 1, 2} and all(0 < v <= 1 for v in got.values()) and made.value == 12
