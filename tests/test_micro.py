@@ -30,6 +30,21 @@ def test_site_distances_and_ties(spark):
     assert [x[0] for x in df.select(r.classify_site(F.col("p"), sites)).collect()] == ["A", "B", "mnc", "mnc", "nc", "nc", "A"]
 
 
+def test_sites_are_compared_without_arrays(spark):
+    sites = {"A": 100, "B": 106, "C": 106, "D": 40}
+    df = spark.range(0, 150).select(F.col("id").cast("int").alias("p"))
+
+    def label(p):
+        d, k, name = min((abs(p - at), k, name) for k, (name, at) in enumerate(sites.items()))
+        return name if d <= 3 else "mnc" if d <= 12 else "nc"
+
+    named = df.select("p", r.classify_site(F.col("p"), sites).alias("site"), r.classify_site(F.col("p"), {"A": 100}).alias("one"))
+    for p, site, one in named.collect():
+        assert site == label(p) and one == ("A" if abs(p - 100) <= 3 else "mnc" if abs(p - 100) <= 12 else "nc")
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_min" not in plan and "named_struct" not in plan and "struct(" not in plan
+
+
 @pytest.mark.parametrize("end, start, size, kept", [(1019, 900, 119, False), (1020, 900, 120, True), (1000, 900, 100, False)])
 def test_region_overlap_of_19_and_20(spark, end, start, size, kept):
     df = spark.createDataFrame([("x", start, f"{size}M")], "ref string, pos int, cigar string")
