@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from cytolake.functions.stats import numbered
@@ -44,9 +46,31 @@ def split_by_cell(reads: DataFrame, cells: DataFrame, path: str) -> None:
 
 
 def split_by_isoform(reads: DataFrame, path: str) -> None:
-    """SNK-03: one folder an isoform class, sorted by position inside each file."""
-    kinds = r.with_blocks(reads).withColumn("isoform", r.classify_isoform(F.col("blocks"))).drop("blocks", "gaps")
-    kinds.sortWithinPartitions("isoform", "ref", "pos").write.partitionBy("isoform").parquet(path)
+    """SNK-03: one folder an isoform class, sorted by position inside each file.
+
+    Where an input partition has more than SORTED_ROWS reads, it is written by several tasks, each with a hashed share of
+    its reads, so that they are sorted in memory and neither spilled nor shuffled. All is one write.
+    """
+    shares = in_shares(reads)
+    kinds = r.with_blocks(shares).withColumn("isoform", r.classify_isoform(F.col("blocks"))).drop("blocks", "gaps")
+    kinds.sortWithinPartitions("isoform", "ref", "pos").write.option("compression", "zstd").partitionBy("isoform").parquet(path)
+
+
+#: Reads that a task sorts before it writes them, about: half a GB of short reads.
+SORTED_ROWS = 1_000_000
+
+
+def in_shares(reads: DataFrame) -> DataFrame:
+    """All reads, each once, in as many partitions for one of the input as leave none with much more than SORTED_ROWS.
+
+    The share of a read follows from its file_offset, so a scan drops the others before it makes or reads further columns.
+    """
+    largest = reads.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    n = -(-largest // SORTED_ROWS)
+    if n < 2:
+        return reads
+    share = F.pmod(F.xxhash64("file_offset"), F.lit(n))
+    return reduce(DataFrame.unionByName, [reads.where(share == k) for k in range(n)])
 
 
 REASONS = ("no cell", "no molecule", "flag", "region", "kept")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cytolake.operators import expression as x, reads as r
 from cytolake.plans import fixtures
@@ -103,3 +104,18 @@ def test_sparse_matrix_of_many_files(spark, tmp_path):
             (tmp_path / "two" / f"{name}.tsv" / f"part-{i}").write_text(line + "\n")
     (tmp_path / "two" / "matrix.mtx").write_text("%%MatrixMarket\n3 3 2\n2 1 5\n3 3 1\n")
     assert sorted(map(tuple, s.read_mex(spark, str(tmp_path / "two")).collect())) == [("b0", "f1", 5), ("b2", "f2", 1)]
+
+
+def test_reads_by_class_are_sorted_in_small_tasks(spark, tmp_path, monkeypatch):
+    reads = fixtures.view(spark, SF, "reads").withColumn("file_offset", F.expr("nullif(file_offset % 5, 0) * 0 + file_offset")).coalesce(1)
+    monkeypatch.setattr(w, "SORTED_ROWS", 1500, raising=False)
+    w.split_by_isoform(reads, str(tmp_path / "many"))
+    back = spark.read.parquet(str(tmp_path / "many")).withColumn("file", F.col("_metadata.file_path"))
+    files = {}
+    for x in back.select("file", "ref", "pos").withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect():
+        files.setdefault(x.file, []).append((x.ref, x.pos))
+    assert all(places == sorted(places) for places in files.values())
+    assert len(files) > back.select("isoform").distinct().count()  # one input partition, several tasks
+    same = [*reads.columns]
+    assert back.select(same).exceptAll(reads).isEmpty() and reads.exceptAll(back.select(same)).isEmpty()
+    assert reads.where("file_offset IS NULL").count() > 0
