@@ -64,6 +64,7 @@ def in_shares(reads: DataFrame) -> DataFrame:
     """All reads, each once, in as many partitions for one of the input as leave none with much more than SORTED_ROWS.
 
     The share of a read follows from its file_offset, so a scan drops the others before it makes or reads further columns.
+    That is for scans; Spark puts the shares of an input of known partitioning (a shuffle's) together again.
     """
     largest = reads.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     n = -(-largest // SORTED_ROWS)

@@ -107,7 +107,7 @@ def test_sparse_matrix_of_many_files(spark, tmp_path):
 
 
 def test_reads_by_class_are_sorted_in_small_tasks(spark, tmp_path, monkeypatch):
-    reads = fixtures.view(spark, SF, "reads").withColumn("file_offset", F.expr("nullif(file_offset % 5, 0) * 0 + file_offset")).coalesce(1)
+    reads = fixtures.view(spark, SF, "reads").withColumn("file_offset", F.expr("nullif(file_offset % 5, 0) * 0 + file_offset"))
     monkeypatch.setattr(w, "SORTED_ROWS", 1500, raising=False)
     w.split_by_isoform(reads, str(tmp_path / "many"))
     back = spark.read.parquet(str(tmp_path / "many")).withColumn("file", F.col("_metadata.file_path"))
