@@ -10,6 +10,10 @@ from cytolake.functions.stats import numbered
 from cytolake.operators import reads as r
 
 
+#: Reads that a task sorts before it writes them, about: half a GB of short reads.
+SORTED_ROWS = 1_000_000
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     """SNK-01: CSV or TSV with a header; arrays joined by `;`, booleans in capitals."""
 
@@ -25,16 +29,43 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
 def write_aligned(reads: DataFrame, path: str) -> None:
     """SRC-01: reads laid out for region scans: end_pos added, a folder a reference, ranges of positions, sorted; and the longest span of each reference.
 
-    Reads without a place go to the folder of null. Ranges are cut by sampled quantiles of (ref, pos), so a deep
-    reference gets many files.
+    Reads without a place go to the folder of null. Ranges hold about SORTED_ROWS reads, so a deep reference gets many
+    files. They are cut by counts and quantiles of ref and pos, which need no other column of the reads; a partitioner
+    by ranges would make all columns twice, once to sample them.
     """
     end = r.c.last_block(F.col("cigar"), F.col("pos"))["end"]
     placed = reads.withColumn("end_pos", F.coalesce(end, F.col("pos")))
-    placed.repartitionByRange("ref", "pos").sortWithinPartitions("ref", "pos").write.partitionBy("ref").parquet(f"{path}/reads")
+    cuts = range_cuts(reads)
+
+    def at(low: int, high: int) -> Column:
+        """The range of a read among those from low to high: how many cuts aren't beyond it; reads without a reference come last."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high + 1) // 2
+        ref, pos = cuts[middle - 1]
+        before = F.col("ref") < ref
+        return F.when(before if pos is None else before | ((F.col("ref") == ref) & (F.col("pos") < pos)), at(low, middle - 1)).otherwise(at(middle, high))
+
+    placed.repartitionById(len(cuts) + 1, at(0, len(cuts))).sortWithinPartitions("ref", "pos").write.partitionBy("ref").parquet(f"{path}/reads")
     written = reads.sparkSession.read.parquet(f"{path}/reads")
     written.groupBy("ref").agg(F.max(F.col("end_pos") - F.col("pos")).alias("span")).coalesce(1).write.parquet(f"{path}/spans")
 
 
+def range_cuts(reads: DataFrame, grid: int = 1000) -> list[tuple[str, int | None]]:
+    """Where ranges of about SORTED_ROWS reads begin, the first one left out: (ref, first pos or None), ascending. A reference has at most `grid` ranges."""
+    found = reads.where("ref IS NOT NULL").groupBy("ref").agg(F.count("*").alias("n"), F.percentile_approx("pos", [k / grid for k in range(1, grid)]).alias("q")).orderBy("ref").collect()
+    cuts, held = [], 0.0
+    for ref, n, q in found:
+        pieces = min(grid, -(-n // SORTED_ROWS)) if q else 1
+        starts = [None] + sorted({q[k * grid // pieces - 1] for k in range(1, pieces)})
+        for pos in starts:
+            if held and held + n / len(starts) > SORTED_ROWS:
+                cuts.append((ref, pos))
+                held = 0.0
+            held += n / len(starts)
+    return cuts
+
+
 def reads_of_cells(reads: DataFrame, cells: DataFrame) -> DataFrame:
     """SNK-02: reads of the listed cells."""
     return reads.join(cells.select("cb").distinct(), "cb", "left_semi")
@@ -56,10 +87,6 @@ def split_by_isoform(reads: DataFrame, path: str) -> None:
     kinds.sortWithinPartitions("isoform", "ref", "pos").write.option("compression", "zstd").partitionBy("isoform").parquet(path)
 
 
-#: Reads that a task sorts before it writes them, about: half a GB of short reads.
-SORTED_ROWS = 1_000_000
-
-
 def in_shares(reads: DataFrame) -> DataFrame:
     """All reads, each once, in as many partitions for one of the input as leave none with much more than SORTED_ROWS.
 

@@ -119,3 +119,26 @@ def test_reads_by_class_are_sorted_in_small_tasks(spark, tmp_path, monkeypatch):
     same = [*reads.columns]
     assert back.select(same).exceptAll(reads).isEmpty() and reads.exceptAll(back.select(same)).isEmpty()
     assert reads.where("file_offset IS NULL").count() > 0
+
+
+def test_aligned_reads_are_made_once_for_their_ranges(spark, tmp_path, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(seq):
+        made.add(1)
+        return seq
+
+    monkeypatch.setattr(w, "SORTED_ROWS", 700, raising=False)
+    plain = fixtures.view(spark, SF.replace("0.01", "0.001"), "reads").withColumn("ref", F.expr("CASE WHEN pos % 50 > 0 THEN ref END")).withColumn("pos", F.expr("nullif(pos, 4000)"))
+    w.write_aligned(plain.withColumn("seq", noted("seq")), str(tmp_path / "aligned"))
+    assert made.value == plain.count()  # a partitioner by ranges makes them again for its sample
+    back = spark.read.parquet(str(tmp_path / "aligned" / "reads"))
+    assert back.select(plain.columns).exceptAll(plain).isEmpty() and plain.exceptAll(back.select(plain.columns)).isEmpty()
+    files = {}
+    for x in back.where("ref IS NOT NULL AND pos IS NOT NULL").select(F.col("_metadata.file_path").alias("file"), "ref", "pos", F.monotonically_increasing_id().alias("at")).orderBy("at").collect():
+        files.setdefault((x.ref, x.file), []).append(x.pos)
+    assert all(at == sorted(at) for at in files.values()) and max(map(len, files.values())) < 1400
+    for ref in {k[0] for k in files}:
+        spans = sorted((at[0], at[-1]) for (name, _), at in files.items() if name == ref)
+        assert len(spans) > 2 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
