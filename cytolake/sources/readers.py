@@ -20,7 +20,7 @@ def read_aligned(spark: SparkSession, path: str, chrom: str, start: int, end: in
     """SRC-01: reads of a table that writers.write_aligned laid out whose span overlaps the 0-based half-open interval.
 
     One folder a reference, positions in ranges, and the longest span of each reference beside the reads: so the scan
-    opens one folder and skips row groups on either side by their least and largest position.
+    opens one folder and skips files, row groups and pages on either side by their least and largest position.
     """
     longest = spark.read.parquet(f"{path}/spans").where(F.col("ref") == chrom).agg(F.max("span")).first()[0]
     found = spark.read.parquet(f"{path}/reads").where(F.col("ref") == chrom)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
@@ -29,37 +30,37 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
 def write_aligned(reads: DataFrame, path: str) -> None:
     """SRC-01: reads laid out for region scans: end_pos added, a folder a reference, ranges of positions, sorted; and the longest span of each reference.
 
-    Reads without a place go to the folder of null. Ranges hold about SORTED_ROWS reads, so a deep reference gets many
-    files. They are cut by counts and quantiles of ref and pos, which need no other column of the reads; a partitioner
-    by ranges would make all columns twice, once to sample them.
+    Reads are not shuffled: each input partition is written by a task a range, of about SORTED_ROWS of its reads, which
+    reads no further column of the others. So a range has a file an input partition at most, sorted, and a scan skips
+    files, row groups and pages by position. Reads without a place go to the folder of null.
     """
     end = r.c.last_block(F.col("cigar"), F.col("pos"))["end"]
-    placed = reads.withColumn("end_pos", F.coalesce(end, F.col("pos")))
-    cuts = range_cuts(reads)
-
-    def at(low: int, high: int) -> Column:
-        """The range of a read among those from low to high: how many cuts aren't beyond it; reads without a reference come last."""
-        if low == high:
-            return F.lit(low)
-        middle = (low + high + 1) // 2
-        ref, pos = cuts[middle - 1]
-        before = F.col("ref") < ref
-        return F.when(before if pos is None else before | ((F.col("ref") == ref) & (F.col("pos") < pos)), at(low, middle - 1)).otherwise(at(middle, high))
-
-    placed.repartitionById(len(cuts) + 1, at(0, len(cuts))).sortWithinPartitions("ref", "pos").write.partitionBy("ref").parquet(f"{path}/reads")
+    cuts = range_cuts(reads, share_count(reads))
+
+    def before(cut: tuple[str, int | None]) -> Column:
+        """Whether a read lies before a cut; reads without a reference come last."""
+        ref, pos = cut
+        return F.coalesce(F.col("ref") < ref if pos is None else (F.col("ref") < ref) | ((F.col("ref") == ref) & (F.col("pos") < pos)), F.lit(False))
+
+    ranges = [reads.where((~before(low) if low else F.lit(True)) & (before(high) if high else F.lit(True))) for low, high in zip([None, *cuts], [*cuts, None])]
+    placed = reduce(DataFrame.unionByName, ranges).withColumn("end_pos", F.coalesce(end, F.col("pos")))
+    placed.sortWithinPartitions("ref", "pos").write.option("compression", "zstd").partitionBy("ref").parquet(f"{path}/reads")
     written = reads.sparkSession.read.parquet(f"{path}/reads")
     written.groupBy("ref").agg(F.max(F.col("end_pos") - F.col("pos")).alias("span")).coalesce(1).write.parquet(f"{path}/spans")
 
 
-def range_cuts(reads: DataFrame, grid: int = 1000) -> list[tuple[str, int | None]]:
-    """Where ranges of about SORTED_ROWS reads begin, the first one left out: (ref, first pos or None), ascending. A reference has at most `grid` ranges."""
+def range_cuts(reads: DataFrame, ranges: int, grid: int = 1000) -> list[tuple[str, int | None]]:
+    """Where about so many ranges of equal numbers of reads begin, the first one left out: (ref, first pos or None), ascending. A reference has at most `grid` ranges."""
+    if ranges < 2:
+        return []
     found = reads.where("ref IS NOT NULL").groupBy("ref").agg(F.count("*").alias("n"), F.percentile_approx("pos", [k / grid for k in range(1, grid)]).alias("q")).orderBy("ref").collect()
+    most = max(1, sum(n for _, n, _ in found) / ranges)
     cuts, held = [], 0.0
     for ref, n, q in found:
-        pieces = min(grid, -(-n // SORTED_ROWS)) if q else 1
+        pieces = min(grid, math.ceil(n / most)) if q else 1
         starts = [None] + sorted({q[k * grid // pieces - 1] for k in range(1, pieces)})
         for pos in starts:
-            if held and held + n / len(starts) > SORTED_ROWS:
+            if held and held + n / len(starts) > most * (1 + 1e-9):
                 cuts.append((ref, pos))
                 held = 0.0
             held += n / len(starts)
@@ -87,14 +88,19 @@ def split_by_isoform(reads: DataFrame, path: str) -> None:
     kinds.sortWithinPartitions("isoform", "ref", "pos").write.option("compression", "zstd").partitionBy("isoform").parquet(path)
 
 
+def share_count(reads: DataFrame) -> int:
+    """Tasks for an input partition that leave none with much more than SORTED_ROWS reads."""
+    largest = reads.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return -(-largest // SORTED_ROWS)
+
+
 def in_shares(reads: DataFrame) -> DataFrame:
     """All reads, each once, in as many partitions for one of the input as leave none with much more than SORTED_ROWS.
 
     The share of a read follows from its file_offset, so a scan drops the others before it makes or reads further columns.
     That is for scans; Spark puts the shares of an input of known partitioning (a shuffle's) together again.
     """
-    largest = reads.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    n = -(-largest // SORTED_ROWS)
+    n = share_count(reads)
     if n < 2:
         return reads
     share = F.pmod(F.xxhash64("file_offset"), F.lit(n))

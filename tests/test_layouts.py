@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from cytolake.operators import expression as x, reads as r
 from cytolake.plans import fixtures
@@ -142,3 +142,32 @@ def test_aligned_reads_are_made_once_for_their_ranges(spark, tmp_path, monkeypat
     for ref in {k[0] for k in files}:
         spans = sorted((at[0], at[-1]) for (name, _), at in files.items() if name == ref)
         assert len(spans) > 2 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_aligned_reads_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Each input partition writes its own sorted file of a range; ranges are the same for all of them."""
+    plans, parquet = {}, DataFrameWriter.parquet
+
+    def noted(self, path, *args, **options):
+        plans[path.rpartition("/")[2]] = self._df._jdf.queryExecution().executedPlan().toString()
+        parquet(self, path, *args, **options)
+
+    plain = fixtures.view(spark, SF.replace("0.01", "0.001"), "reads").withColumn("ref", F.expr("nullif(ref, 'chr2')"))
+    plain.repartition(3, "name").write.parquet(str(tmp_path / "given"))
+    monkeypatch.setattr(w, "SORTED_ROWS", 700)
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    given = spark.read.parquet(str(tmp_path / "given"))
+    parts = given.rdd.getNumPartitions()
+    w.write_aligned(given, str(tmp_path / "aligned"))
+    assert "Exchange" not in plans["reads"]
+    back = spark.read.parquet(str(tmp_path / "aligned" / "reads"))
+    assert back.select(plain.columns).exceptAll(plain).isEmpty() and plain.exceptAll(back.select(plain.columns)).isEmpty()
+    files = {}
+    for x in back.where("ref = 'chr1'").select(F.col("_metadata.file_path").alias("file"), "pos", F.monotonically_increasing_id().alias("at")).orderBy("at").collect():
+        files.setdefault(x.file, []).append(x.pos)
+    assert all(at == sorted(at) for at in files.values()) and max(map(len, files.values())) < 1400
+    spans = sorted({(at[0], at[-1]) for at in files.values()})
+    meeting = [sum(a[0] <= b[1] and b[0] <= a[1] for b in spans) for a in spans]
+    assert parts > 1 and len(files) > parts and max(meeting) <= parts
+    found = s.read_aligned(spark, str(tmp_path / "aligned"), "chr1", 1000, 5000)
+    assert found.count() == plain.where("ref = 'chr1'").withColumn("end", w.r.c.last_block(F.col("cigar"), F.col("pos"))["end"]).where("pos < 5000 AND end > 1000").count() > 0
