@@ -9,6 +9,8 @@ from cytolake.plans.reads_queries import RB, ov
 from cytolake.plans.registry import operator
 
 FRACTIONS = [0.1, 0.3, 0.5, 1.0]
+#: Fractions and repeats of SAT-02, those of its reference.
+DEPTHS, REPEATS = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0], 3
 M = "m AS (SELECT cell, umi, gene, sum(reads) AS reads FROM molecule_table GROUP BY 1, 2, 3)"
 GENES = ["g1", "g2", "g3", "g50"]
 IN = "gene IN ('g1', 'g2', 'g3', 'g50')"
@@ -22,7 +24,7 @@ def _(m):
 
 @operator("SAT-02", "molecule_table")
 def _(m):
-    return s.rarefaction(m, FRACTIONS, 2, 1)
+    return s.rarefaction(m, DEPTHS, REPEATS, 1)
 
 
 UMIS = f"""{RB}, u AS (SELECT target, cb, ub, count(*) AS reads FROM rb JOIN regions ON ref = chrom

@@ -81,3 +81,13 @@ def test_poisson_dropout_with_an_even_and_an_odd_number_of_cells(spark):
             zero = [math.exp(-d * sum(n for _, h, n in rows if h == g) / total) for d in depth.values()]
             assert got[g]["mean"] == pytest.approx(statistics.mean(zero)) and got[g]["median"] == pytest.approx(statistics.median(zero))
             assert got[g].observed == pytest.approx(1 - sum(h == g for _, h, _ in rows) / cells)
+
+
+def test_the_query_draws_at_all_depths_of_its_reference(spark, monkeypatch):
+    """SAT-02: 11 fractions, three times each."""
+    from cytolake.plans import registry, sampling_queries as q
+
+    asked = []
+    monkeypatch.setattr(q.s, "rarefaction", lambda m, fractions, repeats, seed: asked.append((fractions, repeats)) or m)
+    registry.QUERIES["SAT-02"](spark, "/root/testdata/sf0.001")
+    assert asked == [([0.05, *[k / 10 for k in range(1, 11)]], 3)]
